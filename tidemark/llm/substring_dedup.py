@@ -4,7 +4,8 @@ Level 1 looks at windows of half the target length, at content-selected position
 window contains the leftmost minimum of its half-length window hashes, so equal windows select equal halves.
 Halves that occur in one document alone end there. Survivors are extended to twice the length; runs of windows
 that several documents share as a whole are settled once, by the run's own hash, and only the first document
-of each run is looked at window by window. Windows repeated at the target length decide what is removed.
+of each run is looked at window by window, where its half has other runs too. Windows repeated at the target
+length decide what is removed.
 
 Defined results: null or empty text has no words; a null ``doc_id`` neither removes nor is removed from;
 repeated rows of one ``doc_id`` share one fate, since only a smaller ``doc_id`` removes; extra columns are ignored.
@@ -23,13 +24,16 @@ from pyspark.sql import functions as F
 from . import text as T
 from .common import written
 
-_KEY = ["doc_id", "tid"]
+_KEY = ["kid", "tid"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a hash of the text, which tells apart texts under one doc_id."""
+    """doc_id, text, and a key that is never null: the id with a hash of the text, which tells apart texts under one
+    id. Both text joins of a plan then read one shuffle of the texts."""
+    text = F.coalesce("text", F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash(F.coalesce("text", F.lit(""))).alias("tid")
+        doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("kid"), F.hash(text).alias("tid")
     )
 
 
@@ -56,12 +60,12 @@ def _half_windows(length: int):
             [
                 pa.array(T.mix(sums.of(q, q + half)).view(np.int64)),
                 pa.array(T.mix(sums.of(lo, hi + length), 7).view(np.int64)),
-                part.column("doc_id").take(pa.array(doc)),
+                part.column("kid").take(pa.array(doc)),
                 part.column("tid").take(pa.array(doc)),
                 pa.array((lo - zero).astype(np.int32)),
                 pa.array((hi - zero).astype(np.int32)),
             ],
-            ["half", "run", "doc_id", "tid", "lo", "hi"],
+            ["half", "run", "kid", "tid", "lo", "hi"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +74,7 @@ def _half_windows(length: int):
                 if (out := one(part)) is not None:
                     yield out
 
-    return run, "half long, run long, doc_id long, tid int, lo int, hi int"
+    return run, "half long, run long, kid long, tid int, lo int, hi int"
 
 
 def _spans(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,14 +107,14 @@ def _full_windows(length: int):
                     [
                         pa.array(T.mix(sums.of(at, at + length)).view(np.int64)),
                         pa.array((T.mix(other.of(at, at + length)) >> np.uint64(33)).astype(np.int32)),
-                        part.column("doc_id").take(take),
+                        part.column("kid").take(take),
                         part.column("tid").take(take),
                         pa.array((at - w.first[row]).astype(np.int32)),
                     ],
-                    ["window", "check", "doc_id", "tid", "at"],
+                    ["window", "check", "kid", "tid", "at"],
                 )
 
-    return run, "window long, check int, doc_id long, tid int, at int"
+    return run, "window long, check int, kid long, tid int, at int"
 
 
 def _cut(length: int):
@@ -147,21 +151,23 @@ def _cut(length: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
-    """Spans ``[lo, hi]`` of window starts whose window also starts in a document of smaller doc_id."""
-    docs = _keyed(docs)
+    """Spans ``[lo, hi]`` of window starts whose window also starts in a document of smaller doc_id.
+
+    ``docs`` comes from ``_keyed``; returns kid, tid, lo, hi.
+    """
     level = written(docs.filter(F.col("doc_id").isNotNull()).mapInArrow(*_half_windows(length)), "op3-half")
-    repeated = level.groupBy("half").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
-    survivors = written(level.join(repeated.select("half"), "half", "left_semi").drop("half"), "op3-repeated")
-
-    runs = survivors.join(survivors.groupBy("run").agg(F.min("doc_id").alias("first_doc")), "run")
-    spans = F.collect_list(F.struct("lo", "hi")).alias("spans")
-    leaders = runs.filter("doc_id = first_doc").distinct().groupBy(*_KEY).agg(spans)
-    full = written(
-        docs.join(leaders.hint("shuffle_hash"), _KEY).mapInArrow(*_full_windows(length)), "op3-full"
-    )
-    first = full.groupBy("window", "check").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
-    late = full.join(first, ["window", "check"]).filter("doc_id > a")
-    whole = runs.filter("doc_id > first_doc").select(*_KEY, "lo", "hi")
+    least, most = F.min("kid").alias("a"), F.max("kid").alias("b")
+    repeated = level.groupBy("half").agg(least, most, F.min("run").alias("r"), F.max("run").alias("s"))
+    repeated = repeated.filter("a < b").select("half", (F.col("r") < F.col("s")).alias("varies"))
+    survivors = written(level.join(repeated, "half").drop("half"), "op3-repeated")
+
+    runs = survivors.join(survivors.groupBy("run").agg(F.min("kid").alias("first_doc")), "run")
+    leaders = runs.filter("varies and kid = first_doc").select(*_KEY, "lo", "hi").distinct()
+    leaders = leaders.groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    full = docs.join(leaders.hint("shuffle_hash"), _KEY).mapInArrow(*_full_windows(length))
+    first = full.groupBy("window", "check").agg(least, most).filter("a < b").drop("b")
+    late = full.join(first, ["window", "check"]).filter("kid > a")
+    whole = runs.filter("kid > first_doc").select(*_KEY, "lo", "hi")
     return whole.unionByName(late.select(*_KEY, F.col("at").alias("lo"), F.col("at").alias("hi")))
 
 
@@ -171,5 +177,6 @@ def remove_repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
     Returns doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words joined by one space), one row per
     input row. Windows are judged on the input, not on what is left.
     """
+    docs = _keyed(docs)
     spans = repeated_spans(docs, length).groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return _keyed(docs).join(spans.hint("shuffle_hash"), _KEY, "left").mapInArrow(*_cut(length))
+    return docs.join(spans.hint("shuffle_hash"), _KEY, "left").mapInArrow(*_cut(length))
