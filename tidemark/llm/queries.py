@@ -7,23 +7,58 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, sentencepiece_codec, substring_dedup
-from .common import table
+from . import (
+    jaccard_join,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_codec,
+    substring_dedup,
+    token_store,
+    warc,
+)
+from .common import shared_dir, table
+
+
+def tokenizer_path(name: str) -> str:
+    """Where this machine keeps a public tokenizer."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), "quality")
+    scored = quality_classifier.with_scores(docs.select("doc_id", "text"), model)
+    held_out = quality_classifier.fold(F.col("doc_id")) == 1
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"), 50).drop("kept_text")
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "op4-store")
+    token_store.write_store(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"), end=2)
+    stored = token_store.read_store(spark, folder)
+    return stored.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), 3, 90)
 
 
-def tokenizer_path(name: str) -> str:
-    """Where this machine keeps a public tokenizer."""
-    import public_tokenizers
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
 
-    return str(public_tokenizers.path(name))
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "op9-warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder, least_bytes=0)
+    pages = warc.read_archives(spark, folder)
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +70,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_token_store": op4_token_store,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_quality_rules": quality_rules.ORACLE}
