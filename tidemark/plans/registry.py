@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import events, records
+
+QUERIES: dict = {**events.Q, **records.Q}
+ORACLES: dict[str, str] = {**events.O, **records.O}
