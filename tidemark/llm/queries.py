@@ -15,6 +15,7 @@ from . import (
     secret_scan,
     sentencepiece_codec,
     substring_dedup,
+    suffix_array,
     token_store,
     warc,
 )
@@ -37,6 +38,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted)
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.repeated_passages(table(spark, sf_dir, "documents"), 50)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"), 50).drop("kept_text")
 
@@ -84,6 +89,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_suffix_array": op2_suffix_array,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_token_store": op4_token_store,
     "op5_decontamination": op5_decontamination,
