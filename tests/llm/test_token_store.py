@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -48,6 +49,10 @@ def test_hard_rows(spark, hard_docs, no_docs):
 def test_word_by_word_equals_whole_texts():
     texts = ["It's o'clock, they're HERE.%%% x.92@mail <|endoftext|> <|endoftext|>a", "é,́ ΑΣ ΑΣ. İstanbul ﬁ, a.b a...b"]
     texts += ["naïve, ÀÉ! Σας; 12,5% a'b's 's", "x\x00y  z \xa0q"]
+    texts += ["don't 'tis rock'n'roll ''s .'s a.'b x' 'x5'll 12's ª'º µ5ß ÿ'd ×÷ é×é 5%'re o'RE", "a\xa0b'\x85c\xadd ¿qué? «x»'s"]
+    rng = random.Random(4)
+    bits = ["a", "É", "ß", "'", "'s", "'LL", ".", "5", " ", "%", "µ", "×", "\xa0", "\n", "´", "the", "Z", "-"]
+    texts += ["".join(rng.choice(bits) for _ in range(30)) for _ in range(3000)]
     ids, first = S.WordTokenizer(PATH).encode(texts, 2)
     for i, t in enumerate(texts):
         assert ids[first[i] : first[i + 1]].tolist() == [*LIBRARY.encode(t, add_special_tokens=False).ids, 2], t
