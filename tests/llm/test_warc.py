@@ -61,7 +61,7 @@ def test_hard_rows(spark):
 
 
 def test_missing_segment_is_an_error(spark, tmp_path):
-    parts = warc.page_records("7", 0, "u", b"x" * 20000, None)
+    parts = warc.page_records("7", 0, "u", b"x" * 80000, None)
     assert len(parts) > 3
     (tmp_path / "a.warc").write_bytes(b"".join(parts[:2] + parts[3:]))
     with pytest.raises(Exception, match="missing|INVALID|segments"):

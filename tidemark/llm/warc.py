@@ -9,7 +9,9 @@ Reading groups segments by that origin, orders them by number, verifies the tota
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .token_store import _put
 
-SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 4096, 1000, 32 << 20
+SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 16 << 10, 4096, 16 << 20
 _NULL_ID = -(1 << 63)
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -55,8 +57,8 @@ def record(headers: dict[str, str], block: bytes) -> bytes:
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive."""
-    at = 0
+    """Headers and block of each record of an archive, compressed or not."""
+    at, data = 0, gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")
@@ -75,7 +77,7 @@ def page_records(page: str, occurrence: int, url: str | None, payload: bytes, re
     origin = f"<urn:page:{page}:{sha}:{occurrence}>"
     common = {"WARC-Target-URI": url or "", "WARC-Date": _DATE, "WARC-Payload-Digest": f"sha1:{sha}"}
     if refers_to is not None:
-        head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+        head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
         names = {"WARC-Type": "revisit", "WARC-Record-ID": origin, **common, "WARC-Profile": profile}
         return [record(names | {"WARC-Refers-To": f"<urn:page:{refers_to}:{sha}:0>"}, head)]
@@ -118,8 +120,8 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
         last, occurrence, parts, size, made = None, 0, [], 0, 0
 
         def close() -> pa.RecordBatch:
-            name = f"pages-{task.partitionId():07d}-{made:05d}.warc"
-            _put(folder, name, b"".join(parts), str(task.taskAttemptId()))
+            name = f"pages-{task.partitionId():07d}-{made:05d}.warc.gz"
+            _put(folder, name, gzip.compress(b"".join(parts), 1, mtime=0), str(task.taskAttemptId()))
             return pa.RecordBatch.from_pydict({"archive": [name], "bytes": [size]})
 
         for batch in batches:
@@ -144,7 +146,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["origin", "record_type", "segment", "total", "refers_to", "digest", "url", "block"]
+    names = ["origin", "record_type", "segmented", "segment", "total", "refers_to", "digest", "url", "block"]
     for batch in batches:
         for data in batch.column("content"):
             rows, size = [], 0
@@ -154,6 +156,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     (
                         h.get("warc-segment-origin-id", h["warc-record-id"]),
                         None if kind == "continuation" else kind,
+                        "warc-segment-number" in h,
                         int(h.get("warc-segment-number", "1")),
                         int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None,
                         h.get("warc-refers-to"),
@@ -171,67 +174,66 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads of responses, verified; the length that a revisit's header tells."""
     for batch in batches:
-        out = []
+        out, sizes = [], []
         for block, kind, sha in zip(*(batch.column(c).to_pylist() for c in ("block", "record_type", "digest")), strict=True):
             head, _, body = block.partition(b"\r\n\r\n")
-            payload = None
+            payload, size = None, re.search(rb"(?i)\r\ncontent-length: *(\d+)", head)
             if kind == "response":
                 payload = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
                 if digest(payload) != sha:
                     raise ValueError("a payload differs from its digest")
             out.append(payload)
+            sizes.append(len(payload) if payload is not None else int(size[1]) if size else None)
         kept = [batch.column(c) for c in ("origin", "record_type", "refers_to", "digest", "url")]
-        yield pa.RecordBatch.from_arrays(
-            [*kept, pa.array(out, pa.binary())], ["origin", "record_type", "refers_to", "digest", "url", "payload"]
-        )
+        names = ["origin", "record_type", "refers_to", "digest", "url", "payload", "payload_bytes"]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.binary()), pa.array(sizes, pa.int64())], names)
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, record_type, refers_to, payload_digest, url, payload, payload_bytes) of each page in the archives.
 
-    A revisit has no payload of its own; its payload_bytes are those of the response it refers to. Segments that do
+    A revisit has no payload of its own; its payload_bytes come from the header of the response that it keeps. Segments that do
     not add up to the stated total, broken framing and wrong digests are errors.
     """
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-    files = files.option("pathGlobFilter", "*.warc").load(folder).select("content")
-    schema = "origin string, record_type string, segment int, total long, refers_to string, digest string, url string, block binary"
+    files = files.option("pathGlobFilter", "*.warc*").load(folder).select("content")
+    schema = "origin string, record_type string, segmented boolean, segment int, total long, refers_to string, digest string, url string, block binary"
     parsed = files.mapInArrow(_parsed, schema)
-    whole = parsed.groupBy("origin").agg(
-        F.max("record_type").alias("record_type"),
-        F.max("refers_to").alias("refers_to"),
-        F.max("digest").alias("digest"),
-        F.max("url").alias("url"),
-        F.max("total").alias("total"),
+    parts = parsed.filter("segmented").groupBy("origin").agg(
+        *[F.max(c).alias(c) for c in ("record_type", "refers_to", "digest", "url", "total")],
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("segments"),  # one page's segments
     )
     block = F.aggregate("segments", F.lit(b""), lambda a, s: F.concat(a, s["block"]))
-    joined = whole.withColumn("block", block)
-    complete = F.col("total").isNull() | (F.octet_length("block") == F.col("total"))
+    joined = parts.withColumn("block", block)
+    complete = F.col("total").isNotNull() & (F.octet_length("block") == F.col("total"))
     last = F.element_at("segments", -1)["segment"] == F.size("segments")
     broken = F.raise_error(F.concat(F.lit("segments of "), F.col("origin"), F.lit(" are missing"))).cast("binary")
-    checked = joined.withColumn("block", F.when(complete & last, F.col("block")).otherwise(broken)).drop("segments", "total")
-    pages = checked.mapInArrow(
-        _payloads, "origin string, record_type string, refers_to string, digest string, url string, payload binary"
-    ).withColumn("own_bytes", F.octet_length("payload").cast("long"))
-    # a payload's digest settles its length, so revisits ask the manifest of lengths instead of one hot response
-    lengths = pages.filter("record_type = 'response'").groupBy("digest").agg(F.max("own_bytes").alias("full_bytes"))
+    checked = joined.withColumn("block", F.when(complete & last, F.col("block")).otherwise(broken))
+    columns = ["origin", "record_type", "refers_to", "digest", "url", "block"]
+    # whole records need no partner and stay where they are read
+    whole = parsed.filter("not segmented").select(*columns).unionByName(checked.select(*columns))
+    pages = whole.mapInArrow(
+        _payloads,
+        "origin string, record_type string, refers_to string, digest string, url string, payload binary, payload_bytes long",
+    )
 
     def page(name: str) -> Column:
         found = F.regexp_extract(name, r"^<urn:page:(-?\d+):", 1)
         return F.when(found != "", found.cast("long"))
 
-    return pages.join(lengths, "digest", "left").select(
+    return pages.select(
         page("origin").alias("page_id"),
         "record_type",
         page("refers_to").alias("refers_to"),
         F.col("digest").alias("payload_digest"),
         "url",
         "payload",
-        F.coalesce("own_bytes", "full_bytes").alias("payload_bytes"),
+        "payload_bytes",
     )
