@@ -8,8 +8,8 @@ Empty symbols say little, so they only meet in pairs: two agreeing symbols are e
 a pair. Links are verified on the whole shingle sets.
 
 Copies of one set are folded before the join. Sets that meet in a symbol are first linked to the smallest of them;
-after contraction only pairs that meet and are still apart are verified, so no link between components is lost
-and no group of copies is expanded into pairs.
+after contraction only pairs that meet, are still apart and have enough shingles that anyone shares are verified,
+so no link between components is lost and no group of copies is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -147,6 +147,31 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b", "ga", "gb").mapInArrow(*_verified(percent))
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for sid, grams in zip(batch.column("sid").to_pylist(), batch.column("grams"), strict=True):
+            h = np.frombuffer(grams.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), sid)), pa.array(h)], ["sid", "gram"])
+
+
+def _shareable(sets: DataFrame) -> DataFrame:
+    """(sid, n, c): each set's size, and how many of its shingles any other of ``sets`` has. No two of them can have
+    more shingles in common than the smaller c, which rules most members of a drifting group out unpaired."""
+    each = sets.select("sid", "grams").mapInArrow(_exploded, "sid long, gram long")
+    alone = each.groupBy("gram").agg(F.count("*").alias("k"), F.min("sid").alias("sid")).filter("k = 1")
+    sizes = sets.select("sid", (F.length("grams") / 8).cast("long").alias("n"))
+    own = alone.groupBy("sid").agg(F.count("*").alias("own"))
+    return sizes.join(own, "sid", "left").select("sid", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c"))
+
+
+def _meet(live: DataFrame, others: DataFrame, percent: int, order: Column | bool = True) -> DataFrame:
+    """Distinct pairs (a < b) of ``live`` and ``others`` (key, m) in one key and different components that have enough
+    shingles which anyone shares."""
+    enough = (100 + percent) * F.least("c", "m.c") >= percent * (F.col("n") + F.col("m.n"))
+    pairs = live.join(others, "key").filter((F.col("root") != F.col("m.root")) & enough & F.lit(order))
+    return pairs.select(F.least("sid", "m.sid").alias("a"), F.greatest("sid", "m.sid").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row.
 
@@ -186,10 +211,24 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     )
     open_keys = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s")
     apart = written(placed.join(open_keys.select("key"), "key", "left_semi"), "op7-apart")
-    a = apart.select("key", F.col("sid").alias("a"), F.col("root").alias("ra"))
-    b = apart.select("key", F.col("sid").alias("b"), F.col("root").alias("rb"))
-    rest = a.join(b, "key").filter("a < b and ra <> rb").select("a", "b").distinct()
-    more = written(_links(rest.join(first_pairs, ["a", "b"], "left_anti"), sets, percent), "op7-more")
+    able = _shareable(sets.join(apart.select("sid").distinct(), "sid", "left_semi"))
+    live = written(apart.join(able.filter(100 * F.col("c") >= percent * F.col("n")), "sid"), "op7-live")
+
+    # the member with the fewest shingles of its own is the likeliest to be linked with the others
+    middle = live.groupBy("key").agg(F.max_by(F.struct("sid", "root", "n", "c"), F.struct(F.col("c") - F.col("n"), "sid")).alias("m"))
+    near = written(_meet(live, middle, percent), "op7-near")
+    second = written(_links(near.join(first_pairs, ["a", "b"], "left_anti"), sets, percent), "op7-second")
+    links = links.union(second)
+    roots = components(links).withColumnRenamed("node", "sid")
+    live = live.drop("root").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    keys = live.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("key")), 1, 64).alias("low"))  # of one set
+    live = written(live.join(keys, "sid"), "op7-live")
+    # a pair comes out of the smallest key that both sets have among their lowest, or of each key where they have none
+    lowest = F.array_min(F.array_intersect("low", "m.low"))
+    once = (F.col("sid") < F.col("m.sid")) & (lowest.isNull() | (lowest == F.col("key")))
+    rest = _meet(live, live.select("key", F.struct("sid", "root", "n", "c", "low").alias("m")), percent, once)
+    tested = first_pairs.union(near)
+    more = written(_links(rest.join(tested, ["a", "b"], "left_anti"), sets, percent), "op7-more")
 
     classes = components(links.union(more)).withColumnRenamed("node", "sid")
     smallest = reps.join(classes, "sid").groupBy("root").agg(F.min("doc_id").alias("least"))
