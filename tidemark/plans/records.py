@@ -73,10 +73,10 @@ def _(spark, sf):
 _MOMENTS = f"WITH {_C}, m AS (SELECT array_to_string(itemset, ',') AS itemset, count(*) AS n, sum(q) AS lq, sum(e) AS le, sum(q * e) AS sqe FROM i GROUP BY 1)"
 
 
-@query("itemset_moments", f"{_MOMENTS} SELECT itemset, n, round(lq, 2) AS lq, round(le / n, 6) AS mean_e, round(sqe / n, 6) AS mean_qe FROM m")
+@query("itemset_moments", f"{_MOMENTS} SELECT itemset, n, round(lq, 2) AS lq, CAST(round(le * 100000) AS BIGINT) AS le, CAST(round(sqe * 100000) AS BIGINT) AS sqe FROM m")
 def _(spark, sf):
     m = outlier.itemset_moments(connections(spark, sf), 3)
-    return m.select(F.array_join("itemset", ",").alias("itemset"), "n", F.round(F.col("l")[0], 2).alias("lq"), F.round(F.col("l")[1] / F.col("n"), 6).alias("mean_e"), F.round(F.col("s")[1] / F.col("n"), 6).alias("mean_qe"))
+    return m.select(F.array_join("itemset", ",").alias("itemset"), "n", F.round(F.col("l")[0], 2).alias("lq"), F.round(F.col("l")[1] * 100000).cast("long").alias("le"), F.round(F.col("s")[1] * 100000).cast("long").alias("sqe"))
 
 
 @query("itemset_covariance", f"{_MOMENTS} SELECT itemset, round(sqe / (n - 1) - lq * le / (n * (n - 1.0)), 4) AS c FROM m WHERE n > 1")
