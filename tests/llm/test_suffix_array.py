@@ -47,3 +47,34 @@ def test_hard_rows(hard_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in hard_docs.select("doc_id", "text").collect()]
     assert covered(repeated_passages(hard_docs, 50)).keys() == brute(rows, 50).keys()
     assert repeated_passages(no_docs, 50).count() == 0
+
+
+def test_passage_many_times_in_one_document(spark):
+    passage = [f"p{i}" for i in range(55)]
+    for times in (4, 10, 20, 50):
+        many = [w for k in range(times) for w in [f"x{k}_{i}" for i in range(40)] + passage]
+        rows = [(1, " ".join([*many, *[f"e{i}" for i in range(40)]])), (2, " ".join(["a"] * 40 + passage + ["b"] * 40))]
+        got = covered(repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), 50))
+        assert got == brute(rows, 50)
+
+
+def test_slices_of_one_text(spark):
+    source = [f"s{i}" for i in range(400)]
+    rows = [(d, " ".join([f"a{d}_{i}" for i in range(40)] + source[d : d + 50 + d % 7] + [f"b{d}_{i}" for i in range(40)])) for d in range(300)]
+    got = covered(repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), 50))
+    assert got == brute(rows, 50)
+
+
+def test_large_documents(spark):
+    docs = spark.read.parquet(f"{SF.rsplit('/', 1)[0]}/sf0.1/documents.parquet")
+    owner, want = {}, {}
+    split = [(r.doc_id, WORDS.findall(r.text or "")) for r in docs.select("doc_id", "text").collect()]
+    hashed = lambda w: (hash(tuple(w[i : i + 50])) for i in range(len(w) - 49))
+    for d, w in split:
+        for h in hashed(w):
+            owner[h] = d if owner.get(h, d) == d else None
+    for d, w in split:
+        for i, h in enumerate(hashed(w)):
+            if owner[h] is None:
+                want.setdefault(d, set()).update(range(i, i + 50))
+    assert covered(repeated_passages(docs, 50)) == want

@@ -4,7 +4,9 @@ Suffixes are kept only where a minimiser of GRAM-word hashes lies, one in every
 They are sorted by their gram and the words after it, neighbours are compared, and each match is extended to the right
 and to the left; a second order, by the gram and the words before it, finds the partners that agree best on the left.
 What its neighbours prove for a suffix marks a span of its document; spans of at least the target length that
-neighbouring suffixes prove are joined.
+neighbouring suffixes prove are joined. Neighbours meet every pair only where a gram has at most NEAR + 1 different
+surroundings. Where it has more, every window of the target length that has the gram for its minimiser is grouped by
+(gram, offset, words) as well, so no repeat depends on what sorts between two partners.
 
 Equal surroundings are folded before sorting, so a passage of many copies is a few rows of the array. A match counts
 only between different documents. Words are compared by 32-bit hashes beyond the gram.
@@ -26,6 +28,8 @@ from . import text as T
 from .common import partitions, written
 
 GRAM = 16
+#: Neighbours on either side that a suffix is compared with.
+NEAR = 2
 _KEY = ["doc_id", "tid"]
 
 
@@ -63,7 +67,8 @@ def _suffixes(length: int):
 
 
 def _surroundings(length: int):
-    """The words around each suffix's gram as 32-bit hashes, outwards; 0 where the document ends."""
+    """The words around each suffix's gram as 32-bit hashes, outwards; 0 where the document ends. ``least`` to ``most``
+    are the gram's offsets in the windows that have it for their minimiser."""
     reach = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,6 +86,11 @@ def _surroundings(length: int):
                 steps = np.arange(reach)
                 after = (begin + at + GRAM)[:, None] + steps
                 before = (begin + at - 1)[:, None] - steps
+                windows = w.windows(length)
+                h = T.mix(T.Prefix(w.hash).of(every := np.arange(len(w.hash) - GRAM + 1), every + GRAM))
+                chosen = T.leftmost_minimum(h, reach + 1)[windows]  # ascending
+                most = begin + at - windows[np.searchsorted(chosen, begin + at, "left")]
+                least = begin + at - windows[np.searchsorted(chosen, begin + at, "right") - 1]
                 last = max(0, len(small) - 1)
                 right = np.where(after < end[:, None], small[np.minimum(after, last)], 0).astype(">u4")
                 left = np.where(before >= begin[:, None], small[np.maximum(before, 0)], 0).astype(">u4")
@@ -93,11 +103,41 @@ def _surroundings(length: int):
                         part.column("doc_id").take(take),
                         part.column("tid").take(take),
                         pa.array(at.astype(np.int32)),
+                        pa.array(least.astype(np.int32)),
+                        pa.array(most.astype(np.int32)),
                     ],
-                    ["gram", "left", "right", "doc_id", "tid", "at"],
+                    ["gram", "left", "right", "doc_id", "tid", "at", "least", "most"],
                 )
 
-    return run, "gram long, left binary, right binary, doc_id long, tid int, at int"
+    return run, "gram long, left binary, right binary, doc_id long, tid int, at int, least int, most int"
+
+
+def _windows(length: int):
+    """Every window of a suffix's gram at its offsets: the words left of the gram, ``lo``, and a key of gram, offset
+    and words."""
+    reach = length - GRAM
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            gram, least, most = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "least", "most"))
+            sums = []  # of the first words outwards, each hashed with its place
+            for c, place in (("left", 0), ("right", reach)):
+                w = np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u4").reshape(n, reach).astype(np.uint64)
+                salt = np.arange(place + 1, place + reach + 1, dtype=np.uint64) << np.uint64(32)
+                sums.append(np.zeros((n, reach + 1), np.uint64))
+                np.cumsum(T.mix(w | salt), axis=1, out=sums[-1][:, 1:])
+            count = (most - least + 1).astype(np.int64)
+            row, lo = np.repeat(np.arange(n), count), T.ranges(least.astype(np.int64), count)
+            key = T.mix(gram.view(np.uint64)[row] + T.mix(sums[0][row, lo] + sums[1][row, reach - lo] + lo.astype(np.uint64)))
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("ctx").take(take), pa.array(key.view(np.int64)), pa.array(lo.astype(np.int32))]
+                + [batch.column(c).take(take) for c in ("low", "high")],
+                ["ctx", "key", "lo", "low", "high"],
+            )
+
+    return run, "ctx long, key long, lo int, low long, high long"
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -109,7 +149,7 @@ def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _neighbours(length: int):
     """Spans that each suffix shares with its neighbours in sorted order. The first and last rows of a task's share of
     the array come out too (``edge``), for the comparison across tasks."""
-    reach, near = length - GRAM, 2
+    reach, near = length - GRAM, NEAR
 
     def compare(rows: dict[str, np.ndarray]) -> tuple[list, list, list, list]:
         n = len(rows["gram"])
@@ -170,6 +210,18 @@ def _proofs(array: DataFrame, order: list[str], length: int) -> DataFrame:
     return found.filter("not edge").unionByName(across).select("ctx", "lo", "ro", "other")
 
 
+def _crowded(array: DataFrame, length: int) -> DataFrame:
+    """(ctx, lo, ro, other, high) from equal windows, for grams with more surroundings than neighbours settle."""
+    grams = array.groupBy("gram").count().filter(F.col("count") > NEAR + 1).select("gram")
+    rows = array.join(grams, "gram", "left_semi").select("ctx", "gram", "left", "right", "least", "most", "low", "high")
+    windows = written(rows.mapInArrow(*_windows(length)), "op2-windows")
+    shared = windows.groupBy("key").agg(F.min("low").alias("other"), F.max("high").alias("high")).filter("other < high")
+    met = windows.select("ctx", "key", "lo").join(shared, "key")
+    # all windows of a context hold its gram, so their union is one span
+    spans = met.groupBy("ctx", "other", "high").agg(F.max("lo").alias("lo"), (length - GRAM - F.min("lo")).alias("ro"))
+    return spans.select("ctx", "lo", "ro", "other", "high")
+
+
 def repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, other_doc_id): passages of at least ``length`` words, end exclusive, that
     other documents share too; other_doc_id is the smallest document that a comparison met."""
@@ -182,7 +234,7 @@ def repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     around = written(around.withColumn("ctx", F.xxhash64("gram", "left", "right")), "op2-around")
     array = around.groupBy("ctx").agg(
         F.first("gram").alias("gram"), F.first("left").alias("left"), F.first("right").alias("right"),
-        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("least").alias("least"), F.first("most").alias("most"),
     )
     array = written(array, "op2-array")
     # surroundings that several documents share as a whole
@@ -191,7 +243,7 @@ def repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     own = own.filter(F.col("lo") + GRAM + F.col("ro") >= length)
     proofs = _proofs(array, ["gram", "right", "left"], length).unionByName(_proofs(array, ["gram", "left", "right"], length))
     best = proofs.groupBy("ctx", "lo", "ro").agg(F.min("other").alias("other")).withColumn("high", F.col("other"))
-    best = best.unionByName(own)
+    best = best.unionByName(own).unionByName(_crowded(array, length))
     spans = around.select("ctx", *_KEY, "at").join(best, "ctx")
     partner = F.when(F.col("other") != F.col("doc_id"), F.col("other")).when(F.col("high") != F.col("doc_id"), F.col("high"))
     spans = spans.select(*_KEY, (F.col("at") - F.col("lo")).alias("s"), (F.col("at") + GRAM + F.col("ro")).alias("e"), partner.alias("o"))
