@@ -55,3 +55,27 @@ def test_table_of_thresholds(spark):
     rules = [R.Rule("symbols", "symbols_per_word", None, 1.0)]
     got = {r.doc_id: r.broken for r in R.apply_rules(docs, rules).collect()}
     assert got == {1: [], 2: ["symbols"]} and R.apply_rules(docs, []).count() == 2
+
+
+def test_shares_of_stop_words_and_capitals(spark):
+    plain = [f"word{i}" for i in range(100)]
+    texts = {
+        1: ["de", *plain],  # one stop word in 101
+        2: ["THE", "of,", "And.", *plain],  # stop words in capitals and before marks
+        3: ["the", "of", "and"] + [f"WORD{i}" for i in range(3)] + ["lowercaseletters"] * 2,
+        4: ["the"] * 10 + ["NO"] * 11,
+    }
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    rules = [r for r in R.RULES if r.name in ("stop_words", "capitals")]
+    got = {r.doc_id: r for r in R.apply_rules(docs, rules).collect()}
+    assert {d: r.broken for d, r in got.items()} == {1: ["stop_words"], 2: [], 3: [], 4: ["capitals"]}
+    assert (got[2].n_stop, got[2].n_capital, got[3].n_capital, got[4].n_capital) == (3, 1, 3, 11)
+
+
+def test_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.execute(R.ORACLE).fetchall()
+    assert sorted(tuple(r) for r in R.judged(spark.read.parquet(f"{SF}/documents.parquet")).collect()) == sorted(want)

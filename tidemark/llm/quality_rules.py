@@ -18,9 +18,6 @@ STOP_WORDS = [
 ]
 
 
-_STOP_FORMS = sorted({form for w in STOP_WORDS for form in (w, w.capitalize())})
-
-
 @dataclass(frozen=True)
 class Rule:
     """``low <= measure <= high``; an open side is None."""
@@ -36,7 +33,7 @@ RULES = [
     Rule("words", "n_words", 20, None),
     Rule("word_length", "mean_word_chars", 2.0, 20.0),
     Rule("symbols", "symbols_per_word", None, 0.5),
-    Rule("stop_words", "n_stop", 1, None),
+    Rule("stop_words", "stop_share", 0.02, None),
     Rule("capitals", "capital_share", None, 0.5),
     Rule("letters", "letter_share", 0.6, None),
     Rule("duplicate_lines", "dup_line_share", None, 0.5),
@@ -101,20 +98,19 @@ def measures(docs: DataFrame) -> DataFrame:
         words_column("text").alias("words"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_capital"),
     )
-    stop = F.array(*[F.lit(w) for w in _STOP_FORMS])
+    stop = sorted(set(STOP_WORDS))
     counts = split.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
-        "n_capital",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _let(F.col("words"), _repeated).alias("n_repeat_words"),
-        F.size(F.array_intersect("words", stop)).cast("long").alias("n_stop"),
-        _count(F.col("words"), lambda w: w.rlike(r"\p{L}")).alias("n_letter"),
+        _count(F.col("words"), lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?")).isin(stop)).alias("n_stop"),
+        _count(F.col("words"), lambda w: (w == F.upper(w)) & (w != F.lower(w)) & (F.length(w) > 1)).alias("n_capital"),
+        _count(F.col("words"), lambda w: F.upper(w) != F.lower(w)).alias("n_letter"),
         _count(F.col("lines"), lambda x: x.rlike("^[-*•]")).alias("n_bullet"),
         _count(F.col("lines"), lambda x: x.rlike(r"(\.\.\.|…)\s*$")).alias("n_ellipsis"),
     )
@@ -122,7 +118,8 @@ def measures(docs: DataFrame) -> DataFrame:
         "*",
         _share("word_chars", "n_words").alias("mean_word_chars"),
         _share("n_symbols", "n_words").alias("symbols_per_word"),
-        _share("n_capital", "word_chars").alias("capital_share"),
+        _share("n_stop", "n_words").alias("stop_share"),
+        _share("n_capital", "n_words").alias("capital_share"),
         _share("n_letter", "n_words").alias("letter_share"),
         _share("n_dup_lines", "n_lines").alias("dup_line_share"),
         _share("n_bullet", "n_lines").alias("bullet_share"),
@@ -183,9 +180,9 @@ WITH d AS (
   SELECT w.*, len(words) AS n_words, len(lines) AS n_lines,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines,
          coalesce(cast(n_repeat AS BIGINT), 0) AS n_repeat_words,
-         len(list_intersect(words, [{stop}])) AS n_stop,
-         length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_capital,
-         len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter,
+         len(list_filter(words, lambda x: list_contains([{stop}], rtrim(lower(x), '.,;:!?')))) AS n_stop,
+         len(list_filter(words, lambda x: x = upper(x) AND x <> lower(x) AND length(x) > 1)) AS n_capital,
+         len(list_filter(words, lambda x: upper(x) <> lower(x))) AS n_letter,
          len(list_filter(lines, lambda x: regexp_matches(x, '^[-*•]'))) AS n_bullet,
          len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis
   FROM w LEFT JOIN cover USING (rid)
@@ -195,9 +192,9 @@ SELECT doc_id, cast(n_words AS BIGINT) AS n_words, cast(word_chars AS BIGINT) AS
        (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
          AND word_chars::DOUBLE / n_words BETWEEN 2.0 AND 20.0
-         AND n_symbols::DOUBLE / n_words <= 0.5 AND n_stop >= 1
-         AND n_capital::DOUBLE / word_chars <= 0.5 AND n_letter::DOUBLE / n_words >= 0.6
+         AND n_symbols::DOUBLE / n_words <= 0.5 AND n_stop::DOUBLE / n_words >= 0.02
+         AND n_capital::DOUBLE / n_words <= 0.5 AND n_letter::DOUBLE / n_words >= 0.6
          AND n_dup_lines::DOUBLE / n_lines <= 0.5 AND n_bullet::DOUBLE / n_lines <= 0.9
          AND n_ellipsis::DOUBLE / n_lines <= 0.5 AND n_repeat_words::DOUBLE / n_words <= 0.3 AS kept
 FROM c
-""".replace("{stop}", ", ".join(f"'{w}'" for w in _STOP_FORMS))
+""".replace("{stop}", ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS))))
