@@ -56,3 +56,20 @@ def test_hard_rows(hard_docs, no_docs, model):
 def test_native(docs, model):
     plan = S.redacted(docs, model)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_every_run_of_a_word(spark, model):
+    key = ["3f9a0c7be2d14588a1b0c9d8e7f60514233a9bcd", "b7d20e41c9f85a36d1e7304ab82c6f95e0d4713a", "91c4e8a7f02b6d35c8e91f47a0b3d26e5c7f814b"]
+    rows = [
+        (1, '{"service":"billing-service-production","api_key":"%s"}' % key[0]),
+        (2, "see https://host.example.com/long/path?token=%s now" % key[1]),
+        (3, '{"user":"somebody-of-the-house","service_account_private_token":"%s","again_api_key":"%s"}' % (key[2], key[0])),
+        (4, "read,https://www.example.com/the/other/page;https://www.example.com/about/words/today please"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = {(r.doc_id, r.finding) for r in S.candidates(docs).collect()}
+    assert runs == {(d, f) for d, t in rows for f in re.findall(S.RUN, t)}
+    found = {(r.doc_id, r.finding[-40:]) for r in S.findings(docs, model).collect()}
+    assert found == {(1, key[0]), (2, key[1]), (3, key[2]), (3, key[0])}
+    left = {r.doc_id: r.text for r in S.redacted(docs, model).collect()}
+    assert not any(k in t for k in key for t in left.values()) and left[4] == rows[3][1]

@@ -41,23 +41,45 @@ def _hits(text: Column | str, pattern: str) -> Column:
 
 
 def candidates(docs: DataFrame, *keep: str) -> DataFrame:
-    """One row per candidate: doc_id, ``keep`` columns, word_index, finding, before, word, after.
+    """One row per candidate: doc_id, ``keep`` columns, word_index, finding, before, word, lead, after.
 
-    Null and empty texts have none; a word gives its first candidate run; repeated words give a row each.
+    Null and empty texts have none; every run of a word is a candidate, repeated words and runs give a row each.
+    ``word`` is the run with what lies between it and the runs beside it, ``lead`` the part before it; where that part
+    has no letter, the run before may be a name (``"long_private_name":"..."``) and is put in front.
     """
     found = F.filter(
         F.transform(
             F.col("words"),
-            lambda w, i: F.struct(i.alias("word_index"), w.alias("word"), F.regexp_extract(w, RUN, 0).alias("finding")),
+            lambda w, i: F.struct(
+                i.alias("word_index"), w.alias("word"), F.regexp_extract_all(w, F.lit(RUN), F.lit(0)).alias("runs")
+            ),
         ),
-        lambda c: c["finding"] != "",
+        lambda c: F.size(c["runs"]) > 0,
     )
+    runs = F.col("w.runs")
+
+    def pieces(gaps: Column) -> Column:
+        def piece(r: Column, k: Column) -> Column:
+            gap = F.get(gaps, k)
+            named = (k > 0) & ~gap.rlike(r"\p{L}")
+            return F.struct(
+                F.col("w.word_index").alias("word_index"),
+                r.alias("finding"),
+                F.concat(gap, r, F.get(gaps, k + 1)).alias("word"),
+                F.when(named, F.concat(F.get(runs, k - 1), gap)).otherwise(gap).alias("lead"),
+            )
+
+        return F.transform(runs, piece)
+
     docs = docs.filter(F.col("text").rlike(RUN)).select("doc_id", *keep, words_column("text").alias("words"))
-    rows = docs.select("doc_id", *keep, "words", F.explode(found).alias("c"))
+    rows = docs.select("doc_id", *keep, "words", F.explode(found).alias("w"))
+    # a word is split once, however many runs it has
+    split = F.transform(F.array(F.split("w.word", RUN, -1)), pieces)
+    rows = rows.select("doc_id", *keep, "words", F.explode(F.flatten(split)).alias("c"))
     at = F.col("c.word_index")
     near = lambda d: F.coalesce(F.get("words", at + d), F.lit(""))
     return rows.select(
-        "doc_id", *keep, "c.word_index", "c.finding", "c.word",
+        "doc_id", *keep, "c.word_index", "c.finding", "c.word", "c.lead",
         F.concat_ws(" ", near(-3), near(-2), near(-1)).alias("before"), near(1).alias("after"),
     )
 
@@ -68,7 +90,8 @@ def with_features(found: DataFrame) -> DataFrame:
     digits, lowers, uppers = (_hits(s, p) for p in ("[0-9]", "[a-z]", "[A-Z]"))
     changes = _hits(s, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])")
     plain = F.length(F.regexp_replace(F.lower(s), FRAGMENTS, "")).cast("double")
-    lead = F.split_part(F.col("word"), s, F.lit(1))
+    # a run can begin with its own name, as in token=...
+    lead = F.concat("lead", F.regexp_extract(s, r"^[A-Za-z0-9_.\-]+=(?=[^=])", 0))
     flag = lambda c: c.cast("double")
     return found.select(
         "*",
