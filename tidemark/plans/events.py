@@ -31,7 +31,7 @@ def values(e: DataFrame) -> DataFrame:
 
 
 def barriers(e: DataFrame) -> DataFrame:
-    return e.filter("event_type = 'signup' and event_id % 50 = 0").select("ts")
+    return e.filter("event_type = 'signup'").select("ts")
 
 
 def every(spark: SparkSession, size: int, days: int = 30) -> DataFrame:
@@ -41,7 +41,7 @@ def every(spark: SparkSession, size: int, days: int = 30) -> DataFrame:
 
 BASE = """e AS (SELECT event_id, epoch_us(ts) AS ts, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS val,
   CAST(user_id % 4 AS INTEGER) AS source, props, value FROM events),
-b AS (SELECT ts FROM e WHERE event_type = 'signup' AND event_id % 50 = 0),
+b AS (SELECT DISTINCT ts FROM e WHERE event_type = 'signup'),
 v AS (SELECT * FROM e WHERE event_type <> 'signup'),
 line AS (SELECT ts AS marker, lag(ts) OVER (ORDER BY ts) AS previous FROM b),
 lp AS (SELECT v.*, l.marker, l.previous FROM v ASOF JOIN line l ON v.ts < l.marker),

@@ -399,7 +399,7 @@ def _(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = _stream(spark, sf)
     own = rows.filter("event_type <> 'signup'").select("ts", "val")
-    marks = _stream(spark, sf).filter("event_type = 'signup' and event_id % 50 = 0").select("ts")
+    marks = _stream(spark, sf).filter("event_type = 'signup'").select("ts")
     out = _drained(spark, stream.stream_barrier_sum(own, marks, 4), "barriers")
     return out.groupBy(F.col("marker_us").alias("marker")).agg(F.sum("total").alias("total"))
 
