@@ -386,9 +386,9 @@ def _(spark, sf):
     return load.load_by_hour(_loads(spark, sf), every(spark, HOURS6), "us")
 
 
-@query("load_averages", sql("SELECT marker, house, household, plug, round(slice_avg, 4) AS slice_avg, round(hour_avg, 4) AS hour_avg FROM a WHERE plug IS NULL", _LOAD))
+@query("load_averages", sql("SELECT marker, house, household, plug, round(slice_avg, 4) AS slice_avg, round(hour_avg, 4) AS hour_avg FROM a", _LOAD))
 def _(spark, sf):
-    rows = load.load_averages(_loads(spark, sf), every(spark, HOURS6), "us").filter("plug is null")
+    rows = load.load_averages(_loads(spark, sf), every(spark, HOURS6), "us")
     return rows.withColumns({c: F.round(c, 4) for c in ("slice_avg", "hour_avg")})
 
 
