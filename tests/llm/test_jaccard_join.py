@@ -5,7 +5,7 @@ import pytest
 
 from tests.conftest import SF
 from tidemark.llm.graph import components
-from tidemark.llm.jaccard_join import near_duplicates
+from tidemark.llm.jaccard_join import deduplicated, near_duplicates
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -73,6 +73,20 @@ def test_hard_rows(hard_docs, no_docs):
     assert near_duplicates(no_docs).count() == 0
 
 
+def test_deduplicated_rows(spark, hard_docs, no_docs):
+    """Unlike texts of one doc_id do not stand for each other; repeated rows count once; rows without words stay."""
+    base = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(base), " ".join([*base[:-1], "x"]), " ".join(reversed(base))
+    rows = [(1, text), (5, text), (5, other), (5, other), (7, near), (7, near + " y"), (8, None), (8, None), (9, ""), (None, text)]
+    rows += [(20, "rare words here"), (20, "rare words here"), (21, near + " z " + other)]
+    docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, n int, stays int")
+    out = deduplicated(docs)
+    assert out.columns == docs.columns
+    want = [(1, text), (5, other), (8, None), (8, None), (9, ""), (None, text), (20, "rare words here"), (21, near + " z " + other)]
+    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == sorted(want, key=str)
+    assert deduplicated(hard_docs).columns == hard_docs.columns and deduplicated(no_docs).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,17 +25,21 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (columns a, b); root is the smallest node it can reach.
 
     Contracts until the links stay the same, in about log(longest path) rounds of two shuffles over the links.
-    Each round is a written table, so a lost executor costs one round at most. Null ends are ignored.
+    Each round is a written table, so a lost executor costs one round at most. Null ends and links of a node with
+    itself are ignored, repeated links count once; no links give no rows.
     """
-    edges = written(links.select("a", "b").filter("a <> b").distinct(), "links")
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    tables = Scratch(links.sparkSession, "components")
+    edges = tables.table("star", links.select("a", "b").filter("a <> b").distinct())
+    nodes = tables.table("nodes", edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
     last = None
     while True:
-        edges = written(_small_star(_large_star(edges).filter("a <> b").distinct()).distinct(), "star")
+        edges = tables.table("star", _small_star(_large_star(edges).filter("a <> b").distinct()).distinct())
+        tables.drop("star", but_last=True)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             break
         last = state
-    return nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select(
-        "node", F.coalesce("root", "node").alias("root")
-    )
+    roots = nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
+    found = tables.table("roots", roots.select("node", F.coalesce("root", "node").alias("root")))
+    tables.drop("star", "nodes")
+    return found

@@ -7,9 +7,10 @@ symbols more than that limit: two linked sets agree in two symbols at least, and
 Empty symbols say little, so they only meet in pairs: two agreeing symbols are either not both empty or form such
 a pair. Links are verified on the whole shingle sets.
 
-Copies of one set are folded before the join. Sets that meet in a symbol are first linked to the smallest of them;
-after contraction only pairs that meet, are still apart and have enough shingles that anyone shares are verified,
-so no link between components is lost and no group of copies is expanded into pairs.
+Copies of one set are folded before the join. Of the sets that meet in a symbol only those take part that have enough
+shingles which any other shares. They are first linked to the smallest of each symbol; after contraction only pairs
+that meet and are still apart are verified, so no link between components is lost and no group of copies is expanded
+into pairs.
 """
 
 from __future__ import annotations
@@ -23,19 +24,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import written
+from .common import Scratch
 from .graph import components
 
 
 @cache
-def _bands(percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """First set size of each band, and its number of symbols; none where the bound allows no difference."""
+def _bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last set size of each band, and the symbols of sketches in it: two more than two linked sets can
+    differ in when the smaller is of the band. None where no difference is allowed."""
     low = [1]
     while low[-1] < 1 << 31:
         low.append(max(low[-1] + 1, low[-1] * 3 // 2))
     high = np.array(low[1:]) - 1
-    differ = 2 * high * (100 - percent) // (100 + percent)
-    return np.array(low[:-1]), np.where(differ > 0, differ + 2, 0)
+    differ = high * (100 - percent) // percent
+    return np.array(low[:-1]), high, np.where(differ > 0, differ + 2, 0)
 
 
 def shingles(w: T.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,35 +77,50 @@ def _sketch(h: np.ndarray, band: int, symbols: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def _sketches(size: int, percent: int):
-    low, symbols = _bands(percent)
+def _identified(size: int):
+    """The number of shingles and the set id of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch, "text"):
+                h, first = shingles(T.words(part.column("text"), lower=True), size)
+                n, sid = pa.array(np.diff(first).astype(np.int64)), pa.array(_totals(h, first).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("text_hash"), n, sid], ["doc_id", "text_hash", "n_shingles", "sid"]
+                )
+
+    return run, "doc_id long, text_hash long, n_shingles long, sid long"
+
+
+def _keys(size: int, percent: int):
+    """(key, sid) of each set's sketches. Of copies, a task gives the first one's only."""
+    low, high, symbols = _bands(percent)
 
     def keys(h: np.ndarray) -> np.ndarray:
         n, out = len(h), [np.zeros(0, np.uint64)]
-        band = int(np.searchsorted(low, n, "right")) - 1
-        for b in (band, band + 1):
-            if n and symbols[b] and (b == band or 100 * n >= percent * low[b]):
-                out.append(_sketch(h, b, int(symbols[b])))
+        # the bands that this set, or a smaller one linked with it, can be of
+        for band in np.flatnonzero((low <= n) & (100 * high >= percent * n)):
+            if symbols[band]:
+                out.append(_sketch(h, int(band), int(symbols[band])))
         return np.concatenate(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in T.slices(batch, "text"):
                 h, first = shingles(T.words(part.column("text"), lower=True), size)
-                per_doc = [keys(h[a:b]) for a, b in zip(first, first[1:], strict=False)]
-                offsets = np.concatenate([[0], np.cumsum([len(k) for k in per_doc])]).astype(np.int32)
-                flat = np.concatenate([np.zeros(0, np.uint64), *per_doc])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array(np.diff(first).astype(np.int64)),
-                        pa.array(_totals(h, first).view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
-                    ],
-                    ["doc_id", "n_shingles", "sid", "keys"],
-                )
+                sid = _totals(h, first).view(np.int64)
+                new = []
+                for i, s in enumerate(sid.tolist()):
+                    if s not in seen:
+                        seen.add(s)
+                        new.append(i)
+                found = [keys(h[first[i] : first[i + 1]]) for i in new]
+                flat = np.concatenate([np.zeros(0, np.uint64), *found])
+                owner = np.repeat(sid[new], [len(k) for k in found])
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(owner)], ["key", "sid"])
 
-    return run, "doc_id long, n_shingles long, sid long, keys array<long>"
+    return run, "key long, sid long"
 
 
 def _sets(size: int):
@@ -172,71 +189,114 @@ def _meet(live: DataFrame, others: DataFrame, percent: int, order: Column | bool
     return pairs.select(F.least("sid", "m.sid").alias("a"), F.greatest("sid", "m.sid").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per input row.
+def _rooted(live: DataFrame, links: DataFrame) -> DataFrame:
+    """``live`` with the root of each set after ``links``."""
+    roots = components(links).withColumnRenamed("node", "sid")
+    return live.drop("root").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
-    Texts are lower-cased (A-Z) and split at ASCII white space. Two documents are linked when
-    ``100 * |A & B| >= percent * |A | B|`` over their sets of ``size``-word shingles; component_id is the smallest
-    doc_id reachable by links. Null and empty texts have no shingles and are linked with nothing; a null doc_id
-    has a null component and links nothing; copies under any ids are linked. Extra columns are ignored. Sets are
-    told apart by 64-bit ids and shingles by 64-bit hashes.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = written(docs.mapInArrow(*_sketches(size, percent)), "op7-sketch")
-    one_each = F.min(F.struct("doc_id", "n_shingles", "keys")).alias("x")
-    reps = written(
-        sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(one_each).select("sid", "x.*"),
-        "op7-reps",
-    )
-    parts = reps.select("sid", F.explode("keys").alias("key"))
-    met = parts.groupBy("key").agg(F.min("sid").alias("pivot"), F.max("sid").alias("last")).filter("pivot < last")
-    members = written(parts.join(met.select("key", "pivot"), "key"), "op7-members")
 
-    wanted = reps.join(members.select("sid").distinct(), "sid", "left_semi").select("sid", "doc_id")
-    sets = written(
+def _open(live: DataFrame) -> DataFrame:
+    """``live`` at the keys where sets of several roots meet."""
+    several = live.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
+    return live.join(several, "key", "left_semi")
+
+
+def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id), one row per row of ``docs`` (doc_id, text, text_hash)."""
+    tables = Scratch(docs.sparkSession, "op7")
+    sized = tables.table("sized", docs.mapInArrow(*_identified(size)))
+    known = docs.filter("doc_id is not null").select("text")
+    parts = known.mapInArrow(*_keys(size, percent))  # computed twice rather than kept: it is larger than the texts
+    met = parts.groupBy("key").agg(F.min("sid").alias("pivot"), F.max("sid").alias("last")).filter("pivot < last")
+    met = tables.table("met", met.select("key", "pivot"))
+    members = tables.table("members", parts.join(met, "key").select("key", "sid").distinct())
+    tables.drop("met")
+
+    reps = sized.filter("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    reps = tables.table("reps", reps)
+    wanted = reps.join(members.select("sid").distinct(), "sid", "left_semi")
+    met_sets = tables.table(
+        "met-sets",
         docs.join(wanted.hint("shuffle_hash"), "doc_id")
         .mapInArrow(*_sets(size))
         .filter("sid = wanted")
         .dropDuplicates(["sid"])
         .drop("wanted"),
-        "op7-sets",
-    )
-
-    first_pairs = members.filter("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
-    links = written(_links(first_pairs, sets, percent), "op7-links")
-    roots = written(components(links), "op7-roots")
-
-    placed = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "key", "sid", F.coalesce("root", "sid").alias("root")
     )
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s")
-    apart = written(placed.join(open_keys.select("key"), "key", "left_semi"), "op7-apart")
-    able = _shareable(sets.join(apart.select("sid").distinct(), "sid", "left_semi"))
-    live = written(apart.join(able.filter(100 * F.col("c") >= percent * F.col("n")), "sid"), "op7-live")
+    able = tables.table("able", _shareable(met_sets).filter(100 * F.col("c") >= percent * F.col("n")))
+    sets = tables.table("sets", met_sets.join(able.select("sid"), "sid", "left_semi"))
+    live = tables.table("live", members.join(able, "sid").withColumn("root", F.col("sid")))
+    tables.drop("members", "met-sets", "able")
+
+    # the smallest member of each key is the centre that the others are held against
+    centre = live.groupBy("key").agg(F.min(F.struct("sid", "root", "n", "c")).alias("m"))
+    first = tables.table("first", _meet(live, centre, percent))
+    links = tables.table("links", _links(first, sets, percent))
+    live = tables.table("live", _open(_rooted(live, links)))
+    tables.drop("live", but_last=True)
 
     # the member with the fewest shingles of its own is the likeliest to be linked with the others
     middle = live.groupBy("key").agg(F.max_by(F.struct("sid", "root", "n", "c"), F.struct(F.col("c") - F.col("n"), "sid")).alias("m"))
-    near = written(_meet(live, middle, percent), "op7-near")
-    second = written(_links(near.join(first_pairs, ["a", "b"], "left_anti"), sets, percent), "op7-second")
+    near = tables.table("near", _meet(live, middle, percent))
+    second = tables.table("second", _links(near.join(first, ["a", "b"], "left_anti"), sets, percent))
     links = links.union(second)
-    roots = components(links).withColumnRenamed("node", "sid")
-    live = live.drop("root").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    keys = live.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("key")), 1, 64).alias("low"))  # of one set
-    live = written(live.join(keys, "sid"), "op7-live")
+    live = _open(_rooted(live, links))
+    low = live.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("key")), 1, 64).alias("low"))  # of one set
+    live = tables.table("live", live.join(low, "sid"))
+    tables.drop("live", but_last=True)
     # a pair comes out of the smallest key that both sets have among their lowest, or of each key where they have none
     lowest = F.array_min(F.array_intersect("low", "m.low"))
     once = (F.col("sid") < F.col("m.sid")) & (lowest.isNull() | (lowest == F.col("key")))
     rest = _meet(live, live.select("key", F.struct("sid", "root", "n", "c", "low").alias("m")), percent, once)
-    tested = first_pairs.union(near)
-    more = written(_links(rest.join(tested, ["a", "b"], "left_anti"), sets, percent), "op7-more")
+    tested = first.union(near)
+    more = tables.table("more", _links(rest.join(tested, ["a", "b"], "left_anti"), sets, percent))
+    tables.drop("live", "near", "first", "sets")
 
     classes = components(links.union(more)).withColumnRenamed("node", "sid")
+    tables.drop("links", "second", "more")
     smallest = reps.join(classes, "sid").groupBy("root").agg(F.min("doc_id").alias("least"))
     per_set = classes.join(smallest, "root").select("sid", "least")
-    own = reps.select("sid", F.col("doc_id").alias("rep")).join(per_set, "sid", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("least", "rep")).otherwise(F.col("doc_id"))
-    return (
-        sketched.drop("keys")
-        .join(own, "sid", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    # written, so that the last join has nothing but two shuffles below it and can be split where copies crowd a set
+    own = tables.table("own", reps.join(per_set, "sid", "left").select("sid", F.coalesce("least", "doc_id").alias("least")))
+    tables.drop("reps")
+    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return sized.join(own, "sid", "left").select(
+        "doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")
     )
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per input row.
+
+    Texts are lower-cased (A-Z) and split at ASCII white space. Two documents are linked when
+    ``100 * |A & B| >= percent * |A | B|`` over their sets of ``size``-word shingles; component_id is the smallest
+    doc_id reachable by links. Null and empty texts have no shingles and are linked with nothing; a null doc_id
+    has a null component and links nothing; copies under any ids are linked, ties go to the smaller id. Unlike texts
+    under one doc_id are sets of their own. Texts of any length are taken whole, an empty table gives no rows. Extra
+    columns are ignored. Sets are told apart by 64-bit ids and shingles by 64-bit hashes.
+    """
+    return _classes(_rows(docs), size, percent).drop("text_hash")
+
+
+def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that are not near duplicates of another row, with all their columns.
+
+    Of each group of linked texts the row of the smallest doc_id stays; where that id has several texts of the group,
+    one of them (the smallest text hash), and of repeated rows one. Rows without words or without doc_id stay all.
+    """
+    tables = Scratch(docs.sparkSession, "op7-kept")
+    classes = _classes(_rows(docs), size, percent).filter("n_shingles > 0 and doc_id is not null")
+    texts = classes.groupBy("doc_id", "text_hash", "component_id").agg(F.count("*").alias("n"))
+    texts = tables.table("texts", texts)
+    best = texts.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("best"))
+    judged = texts.join(best, "component_id").withColumn("stays", F.expr("doc_id = component_id and text_hash = best"))
+    verdicts = tables.table("verdicts", judged.filter("n > 1 or not stays").select("doc_id", "text_hash", "stays")).alias("v")
+    rows = docs.alias("d")
+    same = (F.col("d.doc_id").cast("long") == F.col("v.doc_id")) & (F.xxhash64("d.text") == F.col("v.text_hash"))
+    single = rows.join(verdicts, same, "left_anti")
+    repeated = rows.join(verdicts.filter("stays"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated)
