@@ -115,7 +115,7 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     return Words(data, start, end, first, mix(h + (end - start).astype(np.uint64)))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of text each (one row at least), to bound working memory."""
     _, offsets = text_bytes(batch.column(column))
     at = 0
