@@ -5,7 +5,7 @@ import pytest
 from tests.conftest import SF
 from tidemark.llm import secret_scan as S
 
-PLANTED = re.compile(r'token = "([0-9a-f]{40})"')
+PLANTED = re.compile(r'(?i)(token = ")([0-9a-f]{40})(?=")')
 
 
 @pytest.fixture(scope="module")
@@ -15,12 +15,12 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def model(docs):
-    return S.fit(S.labelled_findings(docs))
+    return S.fitted(docs)
 
 
 def test_planted_secrets_and_nothing_else(docs, model):
     got = {(r.doc_id, r.finding) for r in S.findings(docs, model).collect()}
-    want = {(r.doc_id, m) for r in docs.collect() for m in PLANTED.findall(r.text or "")}
+    want = {(r.doc_id, m[1]) for r in docs.collect() for m in PLANTED.findall(r.text or "")}
     assert want and got == want
     assert S.candidates(docs).count() > 3 * len(want)
 
@@ -40,17 +40,49 @@ def test_redaction(docs, model):
     out = {r.doc_id: r for r in S.redacted(docs, model).collect()}
     assert len(out) == docs.count()
     for r in docs.collect():
-        text = PLANTED.sub('token = "<secret>"', r.text or "")
+        text = PLANTED.sub(r"\1<secret>", r.text or "")
         assert out[r.doc_id].text == text
         assert out[r.doc_id].n_chars == (len(text) if text != r.text else r.n_chars)
 
 
-def test_hard_rows(hard_docs, no_docs, model):
+def test_held_out_findings_by_kind(spark, docs):
+    """Trained on three quarters of the labelled findings, judged on the rest: every kind on its own."""
+    words = S.dictionary(docs)
+    labelled = S.labelled_findings(spark, words)
+    held = "crc32(cast(doc_id as string)) % 4 = 0"
+    model = S.fit(labelled.filter(f"not {held}"), words)
+    best = S.scored(labelled.filter(held), model).groupBy("doc_id").agg({"score": "max"}).toDF("doc_id", "score")
+    rows = best.join(labelled, "doc_id").select("kind", "label", "score").collect()
+    for kind, label in {(r.kind, r.label) for r in rows}:
+        right = [(r.score >= S.ACCEPT) == (label == 1) for r in rows if (r.kind, r.label) == (kind, label)]
+        assert sum(right) >= 0.9 * len(right), (kind, label)
+    assert sum((r.score >= S.ACCEPT) == (r.label == 1) for r in rows) >= 0.98 * len(rows)
+
+
+def test_dictionary(spark, docs):
+    words = S.dictionary(docs)
+    assert 0 < len(words) <= 1 / S.DICTIONARY_SHARE
+    counts = {}
+    for r in docs.collect():
+        for w in re.findall(r"[^\W\d_]+", (r.text or "").lower()):
+            counts[w] = counts.get(w, 0) + 1
+    total = sum(counts.values())
+    assert {w for w in words if w.isascii()} == {
+        w for w, n in counts.items() if n >= total * S.DICTIONARY_SHARE and 3 <= len(w) <= 12 and w.isascii()
+    }
+
+
+def test_hard_rows(spark, hard_docs, no_docs, model):
     assert S.redacted(hard_docs, model).count() == hard_docs.count()
     assert S.redacted(hard_docs, model).columns == hard_docs.columns
-    assert S.findings(no_docs, model).count() == 0
-    assert S.fit(S.labelled_findings(no_docs)) is None
+    assert S.findings(no_docs, model).count() == 0 and S.redacted(no_docs, S.fitted(no_docs)).count() == 0
+    one_sided = S.labelled_findings(spark, []).filter("label = 1")
+    assert S.fit(one_sided, []) is None
     assert S.findings(hard_docs, None).filter("score is not null").count() == 0
+    key = "3f9a0c7be2d14588a1b0c9d8e7f60514233a9bcd"
+    clash = spark.createDataFrame([(1, f"token = {key}", 5, "k", 7)] * 2, "doc_id int, text string, length int, _key string, found int")
+    out = S.redacted(clash, model)
+    assert out.columns == clash.columns and out.distinct().collect() == [(1, "token = <secret>", 5, "k", 7)] and out.count() == 2
 
 
 def test_native(docs, model):

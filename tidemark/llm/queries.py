@@ -60,8 +60,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = secret_scan.fit(secret_scan.labelled_findings(docs))
-    return secret_scan.findings(docs, model)
+    return secret_scan.findings(docs, secret_scan.fitted(docs))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

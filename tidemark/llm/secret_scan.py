@@ -1,49 +1,83 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest (operator 6).
 
-Everything on the way is DataFrame functions: candidates are words with a long run of key characters; the features
-are length, character transitions, dictionary coverage, path marks and neighbouring words; Spark's random forest is
-trained on labelled findings and keeps what it takes for a secret.
+Everything on the way is DataFrame functions: candidates are long runs of key characters; the features are length,
+character transitions, coverage by a dictionary of the corpus's own frequent words, path marks and what labelled
+findings tell about the neighbouring words; Spark's random forest is trained on labelled findings and keeps what it
+takes for a secret.
+
+No public table of labelled findings is at hand, so ``labelled_findings`` writes a fixed number of them: every kind of
+VALUES behind every kind of name, in the ways that configuration, code, logs and prose write them. Their random parts
+come from hashes of the row number, so they are the same for every corpus; only filler words are the corpus's.
+
+Defined results: null and empty texts have no candidates; every run of a word is one, however long the text; repeated
+words and rows give a row each; a null doc_id is passed through; an empty table has no findings; extra columns of any
+name are ignored, or kept by ``redacted``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import words_column
+from .common import Scratch, words_column
 
 #: Characters of a candidate, and the fewest it has.
 RUN = r"[A-Za-z0-9_+/=.\-]{16,}"
-#: Documents whose words the labelled findings are built with, at most.
-LABELLED_DOCUMENTS = 2000
-TREES, DEPTH, SEED, ACCEPT = 20, 6, 17, 0.5
-
-# Fragments that words of natural language are made of, and names that stand before secrets.
-FRAGMENTS = (
-    "tion|ing|the|and|ent|ion|her|for|tha|nth|int|ere|ter|est|ers|ati|hat|ate|all|eth|hes|ver|his|oft|ith|fth|sth|oth|"
-    "res|ont|der|und|sch|ich|ein|die|den|cht|gen|ung|ver|ber|heit|keit|que|les|ment|eau|oux|our|ous|ien|eur|est|"
-    "ado|ente|con|cion|los|las|par|era|com|example|test|your|here|key"
-)
-NAMES = r"(?i)(token|secret|passw|pwd|api|auth|bearer|credential|private|access)"
-SAFE = r"(?i)(commit|sha|md5|digest|checksum|hash|uuid|guid|id|etag|rev|phone|card|isbn|integrity)"
+#: Labelled findings of one fit, and trees and depth of the forest.
+LABELLED, TREES, DEPTH, SEED, ACCEPT = 12000, 24, 8, 17, 0.5
+#: A dictionary word makes up this share of all words of the corpus, so there are 1 / DICTIONARY_SHARE words at most.
+DICTIONARY_SHARE, WORD_LETTERS = 1 / 5000, (3, 12)
+#: Variance of the labels beside a neighbouring word that it takes to tell anything.
+NEIGHBOUR_SPREAD = 2.0
 
 FEATURES = [
     "length", "digits", "lowers", "uppers", "others", "hex_share", "transitions", "distinct_share",
-    "dictionary", "path_marks", "dots", "name_before", "safe_before", "assigned", "quoted", "uuid",
+    "dictionary", "path_marks", "dots", "dashes", "neighbour_high", "neighbour_low", "assigned", "quoted",
 ]
 
+# Names that people put before keys, and before what is no key.
+KEY_NAMES = (
+    "token secret password passwd pwd api_key apikey auth bearer access_key private_key client_secret credential "
+    "auth_token access_token refresh_token session_key secret_key signing_key webhook_secret encryption_key"
+).split()
+OTHER_NAMES = (
+    "commit sha sha1 sha256 md5 digest checksum hash etag revision integrity uuid guid id request_id trace_id build "
+    "version order invoice phone card account isbn serial url path file module class author date ref parent tree"
+).split()
+
+
+@dataclass
+class Model:
+    """The forest, the corpus's frequent words, and the weights of neighbouring words."""
+
+    forest: RandomForestClassificationModel
+    words: list[str]
+    neighbours: dict[str, float]
+
+
+def dictionary(docs: DataFrame) -> list[str]:
+    """Lower-case words that make up DICTIONARY_SHARE of all words of ``docs`` each, most frequent first."""
+    letters = F.split(F.lower(F.col("text")), r"[^\p{L}]+")
+    counts = docs.filter("text is not null").select(F.explode(letters).alias("word")).filter("word <> ''")
+    counts = Scratch(docs.sparkSession, "op6").table("counts", counts.groupBy("word").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    frequent = counts.filter((F.col("n") >= total * DICTIONARY_SHARE) & F.length("word").between(*WORD_LETTERS))
+    return [r.word for r in frequent.orderBy(F.desc("n"), "word").collect()]  # 1 / DICTIONARY_SHARE words at most
+
 
 def _hits(text: Column | str, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
-def candidates(docs: DataFrame, *keep: str) -> DataFrame:
-    """One row per candidate: doc_id, ``keep`` columns, word_index, finding, before, word, lead, after.
+def candidates(docs: DataFrame) -> DataFrame:
+    """One row per candidate of ``docs`` (doc_id, text): doc_id, word_index, finding, before, word, lead, after.
 
-    Null and empty texts have none; every run of a word is a candidate, repeated words and runs give a row each.
     ``word`` is the run with what lies between it and the runs beside it, ``lead`` the part before it; where that part
     has no letter, the run before may be a name (``"long_private_name":"..."``) and is put in front.
     """
@@ -71,29 +105,39 @@ def candidates(docs: DataFrame, *keep: str) -> DataFrame:
 
         return F.transform(runs, piece)
 
-    docs = docs.filter(F.col("text").rlike(RUN)).select("doc_id", *keep, words_column("text").alias("words"))
-    rows = docs.select("doc_id", *keep, "words", F.explode(found).alias("w"))
+    docs = docs.filter(F.col("text").rlike(RUN)).select("doc_id", words_column("text").alias("words"))
+    rows = docs.select("doc_id", "words", F.explode(found).alias("w"))
     # a word is split once, however many runs it has
     split = F.transform(F.array(F.split("w.word", RUN, -1)), pieces)
-    rows = rows.select("doc_id", *keep, "words", F.explode(F.flatten(split)).alias("c"))
+    rows = rows.select("doc_id", "words", F.explode(F.flatten(split)).alias("c"))
     at = F.col("c.word_index")
     near = lambda d: F.coalesce(F.get("words", at + d), F.lit(""))
     return rows.select(
-        "doc_id", *keep, "c.word_index", "c.finding", "c.word", "c.lead",
+        "doc_id", "c.word_index", "c.finding", "c.word", "c.lead",
         F.concat_ws(" ", near(-3), near(-2), near(-1)).alias("before"), near(1).alias("after"),
     )
 
 
-def with_features(found: DataFrame) -> DataFrame:
+def _with_names(found: DataFrame) -> DataFrame:
+    """``found`` with its neighbouring words in lower case (``names``) and with the text right before it in ``lead``,
+    where a run may begin with its own name, as in token=..."""
+    lead = F.concat("lead", F.regexp_extract("finding", r"^[A-Za-z0-9_.\-]+=(?=[^=])", 0))
+    parts = F.regexp_replace(F.concat_ws(" ", "before", lead, "after"), "([a-z])([A-Z])", "$1 $2")
+    return found.withColumn("names", F.split(F.lower(parts), r"[^a-z0-9]+")).withColumn("lead", lead)
+
+
+def with_features(found: DataFrame, words: list[str], neighbours: dict[str, float]) -> DataFrame:
     """``candidates`` with the columns of FEATURES."""
     s, length = F.col("finding"), F.length("finding").cast("double")
     digits, lowers, uppers = (_hits(s, p) for p in ("[0-9]", "[a-z]", "[A-Z]"))
     changes = _hits(s, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])")
-    plain = F.length(F.regexp_replace(F.lower(s), FRAGMENTS, "")).cast("double")
-    # a run can begin with its own name, as in token=...
-    lead = F.concat("lead", F.regexp_extract(s, r"^[A-Za-z0-9_.\-]+=(?=[^=])", 0))
+    known = "|".join(sorted(words, key=lambda w: (-len(w), w)))  # letters only; longer words are taken first
+    plain = F.length(F.regexp_replace(F.lower(s), known, "")).cast("double") if known else length
     flag = lambda c: c.cast("double")
-    return found.select(
+    pairs = [x for w, v in sorted(neighbours.items()) for x in (F.lit(w), F.lit(v))]
+    weights = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,double>")
+    told = F.transform("names", lambda w: F.coalesce(F.try_element_at(weights, w), F.lit(0.0)))
+    return _with_names(found).select(
         "*",
         length.alias("length"),
         (digits / length).alias("digits"),
@@ -106,90 +150,170 @@ def with_features(found: DataFrame) -> DataFrame:
         (1 - plain / length).alias("dictionary"),
         _hits("word", r"[/\\]|://").alias("path_marks"),
         _hits(s, r"[.]").alias("dots"),
-        flag(F.concat("before", F.lit(" "), lead).rlike(NAMES)).alias("name_before"),
-        flag(F.concat("before", F.lit(" "), lead).rlike(SAFE)).alias("safe_before"),
-        flag(F.concat(F.substring_index("before", " ", -1), lead).rlike("[=:]")).alias("assigned"),
+        _hits(s, r"[-_]").alias("dashes"),
+        F.coalesce(F.array_max(told), F.lit(0.0)).alias("neighbour_high"),
+        F.coalesce(F.array_min(told), F.lit(0.0)).alias("neighbour_low"),
+        flag(F.concat(F.substring_index("before", " ", -1), "lead").rlike("[=:]")).alias("assigned"),
         flag(F.col("word").rlike("[\"'`]")).alias("quoted"),
-        flag(s.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-")).alias("uuid"),
     )
 
 
-def labelled_findings(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, label): findings of known kind among words of at most LABELLED_DOCUMENTS documents, chosen by a
-    hash of doc_id. Secrets (1) are random keys behind names; the others (0) are what scanners confuse with them."""
-    known = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    chosen = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_DOCUMENTS).distinct()
-    some = known.join(F.broadcast(chosen), "doc_id").select("doc_id", words_column("text").alias("w"))
-    r = lambda n: F.sha2(F.concat_ws("/", F.col("doc_id"), F.lit(n)), 512)
-    base = lambda n, size: F.substring(F.translate(F.base64(F.unhex(r(n))), "=", "x"), 1, size)
-    letters = F.regexp_replace(F.array_join(F.slice("w", 2, 5), ""), "[^A-Za-z]", "")
-    hex40, hex32 = F.substring(r(1), 1, 40), F.substring(r(2), 1, 32)
-    uuid = F.concat_ws("-", *[F.substring(r(3), a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    quote = lambda c, q='"': F.concat(F.lit(q), c, F.lit(q))
-    kinds = [
-        (1, F.concat(F.lit("token = "), quote(hex40))),
-        (1, F.concat(F.lit("api_key: "), quote(base(4, 40), "'"))),
-        (1, F.concat(F.lit("password="), base(5, 24))),
-        (1, F.concat(F.lit("secret "), quote(hex32))),
-        (1, F.concat(F.lit("AWS_ACCESS_KEY_ID=AKIA"), F.upper(F.substring(r(6), 1, 16)))),
-        (1, F.concat(F.lit("Authorization: Bearer "), base(7, 60))),
-        (0, F.concat(letters, F.lit("abouttheothers"))),
-        (0, F.concat(F.lit("commit "), hex40)),
-        (0, F.concat(F.lit("sha256: "), F.substring(r(8), 1, 64))),
-        (0, F.concat(F.lit("id "), uuid)),
-        (0, F.concat(F.lit("https://www.example.com/"), F.array_join(F.slice("w", 3, 4), "/"))),
-        (0, F.concat(F.lit("token = "), quote(F.concat(F.lit("your_"), F.substring(letters, 1, 12), F.lit("_token_here"))))),
-        (0, F.concat(F.lit("card "), F.translate(F.substring(r(9), 1, 16), "abcdef", "123456"))),
-        (0, F.concat(F.lit("password: "), F.repeat(F.lit("x"), 20))),
-        (0, F.concat(F.lit("token or "), F.translate(F.substring(r(10), 1, 16), "abcdef", "123456"))),
-        (0, F.concat(F.lit("secret = "), F.translate(F.substring(r(11), 1, 19), "abcdef", "123456"))),
-    ]
-    kind = F.explode(F.sequence(F.lit(0), F.lit(len(kinds) - 1))).alias("k")
-    text, label = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for k, (y, made) in enumerate(kinds):
-        text, label = F.when(F.col("k") == k, made).otherwise(text), F.when(F.col("k") == k, y).otherwise(label)
-    rows = some.filter(F.size("w") >= 8).select("doc_id", "w", kind)
-    return rows.select(
-        "doc_id",
-        F.concat_ws(" ", F.array_join(F.slice("w", 1, 3), " "), text, F.array_join(F.slice("w", 6, 2), " ")).alias("text"),
-        label.alias("label"),
+def _random(n: int, size: int, digits: str = "0123456789abcdef") -> Column:
+    """``size`` characters that depend on the row and ``n`` alone; of 16 digits, or of base 64."""
+    salted = lambda k: F.sha2(F.concat_ws("/", F.col("doc_id"), F.lit(n), F.lit(k)), 512)
+    if digits == "base64":
+        made = F.base64(F.unhex(F.concat(salted(0), salted(1))))
+        return F.substring(F.translate(made, "\r\n=", ""), 1, size)
+    return F.substring(F.translate(F.concat(salted(0), salted(1)), "0123456789abcdef", digits), 1, size)
+
+
+def _pick(n: int, options: list[str]) -> Column:
+    """One of ``options``, chosen by the row and ``n``."""
+    listed = F.split(F.lit("\n".join(options)), "\n")  # one literal, however many there are
+    return F.get(listed, F.pmod(F.xxhash64("doc_id", F.lit(n)), F.lit(len(options))).cast("int"))
+
+
+def labelled_findings(spark: SparkSession, words: list[str]) -> DataFrame:
+    """(doc_id, text, label, kind): LABELLED findings among ``words``, secrets (1) and what scanners take for them (0).
+
+    Every kind comes in every context. A random key counts as a secret where a name of keys stands before it, or where
+    its own form tells (``tells``); numbers, words, paths, placeholders and rules are none under any name."""
+    words = words or ["and", "the", "one"]
+    short = [w for w in words if w.isascii()] or words
+    joined = lambda n, k, sep="": F.concat_ws(sep, *[_pick(n + i, short) for i in range(k)])
+    numbers = "0123456789012345"
+    alnum = F.regexp_replace(_random(1, 80, "base64"), "[+/]", "")
+    uuid = F.concat_ws("-", *[_random(20 + n, n) for n in (8, 4, 4, 4)], _random(30, 12))
+    jwt = F.concat(F.lit("eyJ"), _random(2, 33, "base64"), F.lit(".eyJ"), _random(3, 61, "base64"), F.lit("."), _random(4, 43, "base64"))
+    # kind: (value, what it is without a name of keys, what it is behind one)
+    values = {
+        "hex32": (_random(5, 32), 0, 1),
+        "hex40": (_random(6, 40), 0, 1),
+        "hex64": (_random(7, 64), 0, 1),
+        "base64 key": (_random(8, 40, "base64"), 1, 1),
+        "password": (F.substring(alnum, 1, 22), 1, 1),
+        "long key": (_random(9, 60, "base64"), 1, 1),
+        "cloud key id": (F.concat(F.lit("AKIA"), F.upper(F.substring(alnum, 1, 16))), 1, 1),
+        "prefixed key": (F.concat(_pick(10, ["ghp_", "sk_live_", "xoxb-", "AIza", "npm_", "glpat-"]), F.substring(alnum, 1, 36)), 1, 1),
+        "web token": (jwt, 1, 1),
+        "uuid": (uuid, 0, 0),
+        "number16": (_random(11, 16, numbers), 0, 0),
+        "number20": (_random(12, 20, numbers), 0, 0),
+        "dotted number": (F.concat_ws(".", *[_random(60 + n, n, numbers) for n in (4, 2, 3, 6)]), 0, 0),
+        "words": (joined(100, 5), 0, 0),
+        "capital words": (F.initcap(joined(110, 5)), 0, 0),
+        "end of line": (F.concat(joined(115, 5), F.lit(".")), 0, 0),
+        "snake words": (joined(120, 4, "_"), 0, 0),
+        "camel words": (F.concat(_pick(125, short), *[F.initcap(_pick(126 + i, short)) for i in range(4)]), 0, 0),
+        "dashed words": (joined(130, 4, "-"), 0, 0),
+        "path": (F.concat(F.lit("/"), joined(140, 4, "/"), _pick(145, [".txt", ".py", "/", "", ".json"])), 0, 0),
+        "module": (joined(150, 4, "."), 0, 0),
+        "address": (F.concat(_pick(155, ["https://www.", "http://", "https://cdn."]), joined(156, 2), F.lit(".example.com/"), joined(158, 2, "/")), 0, 0),
+        "mail": (F.concat(_pick(160, short), F.lit("@"), _pick(161, ["mail", "post", "mx"]), _random(162, 1, numbers), F.lit(".example.com")), 0, 0),
+        "placeholder": (F.concat(_pick(165, ["your_", "my-", "insert_", "example_"]), joined(166, 2, "_"), _pick(168, ["_here", "_token_here", "-key"])), 0, 0),
+        "rule": (F.repeat(_pick(170, ["=", "-", ".", "x", "_", "0", "X"]), 24), 0, 0),
+    }
+    kinds, k, plain = list(values), F.col("k"), F.col("plain")
+    name = F.when(plain == 2, _pick(91, KEY_NAMES)).otherwise(_pick(92, OTHER_NAMES))
+    chosen = lambda of: reduce(lambda done, i: F.when(k == i, of(values[kinds[i]])).otherwise(done), range(len(kinds)), F.lit(None))
+    draw = lambda n, many: F.pmod(F.xxhash64("doc_id", F.lit(n)), F.lit(many)).cast("int")
+    rows = spark.range(LABELLED).select(
+        F.col("id").alias("doc_id"), (F.col("id") % len(kinds)).cast("int").alias("k")
     )
+    rows = rows.select("*", draw(90, 3).alias("plain"))  # 0: no name, 1: another name, 2: a name of keys
+    rows = rows.select(
+        "doc_id", "k", "plain", name.alias("name"), chosen(lambda v: v[0]).alias("v"),
+        chosen(lambda v: F.when(plain == 2, F.lit(v[2])).otherwise(F.lit(v[1]))).cast("int").alias("label"),
+    )
+    tables = Scratch(spark, "op6")  # written, so that Catalyst writes no expression out more than once
+    rows = tables.table("values", rows)
+    styles = ['%s = "%s"', "%s: %s", "%s=%s", '"%s":"%s"', "%s %s", "%s: '%s'", "%s = %s", "%s is %s"]
+    bare = F.when(draw(95, 2) == 0, F.col("v")).otherwise(F.format_string('"%s"', "v"))
+    named = reduce(lambda done, i: F.when(draw(94, len(styles)) == i, F.format_string(styles[i], "name", "v")).otherwise(done), range(len(styles)), F.lit(None))
+    middle = F.when(plain == 0, bare).otherwise(named)
+    text = F.concat_ws(" ", _pick(96, short), _pick(97, short), middle, _pick(98, short), _pick(99, short))
+    rows = rows.select("doc_id", "label", "k", text.alias("text"))
+    shouted = (draw(89, 10) == 0) & ((k <= 2) | (k >= 9))  # whole texts in capitals; base 64 would be another key then
+    kind = F.get(F.split(F.lit("\n".join(kinds)), "\n"), k).alias("kind")
+    text = F.when(shouted, F.upper("text")).otherwise(F.col("text")).alias("text")
+    return tables.table("findings", rows.select("doc_id", text, "label", kind))
 
 
 def _assembled(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
 
 
-def fit(labelled: DataFrame) -> RandomForestClassificationModel | None:
-    """A forest from labelled findings (doc_id, text, label); None without both labels."""
-    rows = with_features(candidates(labelled, "label"))
-    if rows.select("label").distinct().count() < 2:
+def _target(labelled: DataFrame) -> DataFrame:
+    """The longest candidate of each labelled text, with its label and kind."""
+    best = candidates(labelled).groupBy("doc_id").agg(F.max_by(F.struct("*"), F.struct(F.length("finding"), "finding")).alias("c"))
+    return best.select("c.*").join(labelled.select("doc_id", "label", "kind"), "doc_id")
+
+
+def _weights(rows: DataFrame) -> DataFrame:
+    """(name, weight): what a neighbouring word adds to the log-odds of a secret, by one regularised Newton step from
+    the rate of secrets among findings with the same kinds of characters. Words beside forms that are always or never
+    secrets add nothing; those with little to tell from are left out."""
+    kinds = ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]", "^[0-9a-fA-F]+$")
+    form = F.concat(*[F.col("finding").rlike(p).cast("int").cast("string") for p in kinds])
+    rows = rows.withColumn("form", form)
+    rates = rows.groupBy("form").agg(F.avg("label").alias("p"))
+    beside = _with_names(rows).select("form", "label", F.explode(F.array_distinct("names")).alias("name")).filter("name <> ''")
+    gain, spread = F.sum(F.col("label") - F.col("p")), F.sum(F.col("p") * (1 - F.col("p")))
+    told = beside.join(F.broadcast(rates), "form").groupBy("name").agg(gain.alias("g"), spread.alias("s"))  # a row a form
+    return told.filter(F.col("s") >= NEIGHBOUR_SPREAD).select("name", F.round(F.col("g") / (F.col("s") + 2), 2).alias("weight"))
+
+
+def fit(labelled: DataFrame, words: list[str]) -> Model | None:
+    """A model from labelled findings (doc_id, text, label, kind), a bounded table; None without both labels."""
+    tables = Scratch(labelled.sparkSession, "op6")
+    rows = tables.table("labelled", _target(labelled))
+    if rows.agg(F.count_distinct("label")).first()[0] < 2:
         return None
+    neighbours = {r.name: r.weight for r in _weights(rows).collect()}  # of at most LABELLED findings
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featuresCol="features")
-    return forest.fit(_assembled(rows))
+    # in one order and one partition (LABELLED rows), so that the forest is the same on every cluster
+    features = with_features(rows, words, neighbours).select("doc_id", "label", *FEATURES)
+    features = tables.table("features", features.coalesce(1).sortWithinPartitions("doc_id"))
+    return Model(forest.fit(_assembled(features)), words, neighbours)
+
+
+def fitted(docs: DataFrame) -> Model | None:
+    """A model for ``docs``: its dictionary from all of them, the forest from labelled findings."""
+    words = dictionary(docs)
+    return fit(labelled_findings(docs.sparkSession, words), words)
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, word_index, finding, score) of every candidate."""
+    rows = model.forest.transform(_assembled(with_features(candidates(docs), model.words, model.neighbours)))
+    return rows.select("doc_id", "word_index", "finding", vector_to_array("probability")[1].alias("score"))
 
 
-def findings(docs: DataFrame, model: RandomForestClassificationModel | None, *keep: str) -> DataFrame:
-    """(doc_id, ``keep``, word_index, finding, score) of candidates that the forest takes for secrets; without a
-    model every candidate stays, with a null score."""
-    rows = with_features(candidates(docs, *keep))
-    columns = ["doc_id", *keep, "word_index", "finding"]
+def findings(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, word_index, finding, score) of candidates that the forest takes for secrets; without a model every
+    candidate stays, with a null score."""
     if model is None:
-        return rows.select(*columns, F.lit(None).cast("double").alias("score"))
-    scored = model.transform(_assembled(rows)).withColumn("score", vector_to_array("probability")[1])
-    return scored.filter(F.col("score") >= ACCEPT).select(*columns, "score")
+        return candidates(docs).select("doc_id", "word_index", "finding", F.lit(None).cast("double").alias("score"))
+    return scored(docs, model).filter(F.col("score") >= ACCEPT)
 
 
-def redacted(docs: DataFrame, model: RandomForestClassificationModel | None, mark: str = "<secret>") -> DataFrame:
+def redacted(docs: DataFrame, model: Model | None, mark: str = "<secret>") -> DataFrame:
     """``docs`` with every accepted finding replaced in the text, and n_chars, if there, set to the new length."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = findings(keyed, model, "_key").groupBy("_key").agg(F.collect_set("finding").alias("_found"))  # of one text
-    # longer ones first, so that one inside another is not cut out of it
-    ordered = F.reverse(F.array_sort(F.transform("_found", lambda f: F.struct(F.length(f).alias("n"), f.alias("f")))))
-    text = F.aggregate(ordered, F.col("text"), lambda t, f: F.replace(t, f["f"], F.lit(mark)))
-    joined = keyed.join(found, "_key", "left")
-    out = joined.withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(text))
-    if "n_chars" in docs.columns:
-        cut = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(cut))
-    return out.select(*docs.columns)
+    key = lambda t: F.xxhash64(F.col(f"{t}.doc_id"), F.col(f"{t}.text"))
+    rows = docs.alias("d")
+    found = findings(rows.select(key("d").alias("doc_id"), "text"), model)
+    found = found.groupBy("doc_id").agg(F.collect_set("finding").alias("found")).alias("f")  # of one text
+    runs = F.regexp_extract_all("d.text", F.lit(RUN), F.lit(0))
+    gaps = F.split("d.text", RUN, -1)
+    put = lambda gap, run: F.concat(gap, F.when(F.array_contains("f.found", run), F.lit(mark)).otherwise(F.coalesce(run, F.lit(""))))
+    clean = F.array_join(F.zip_with(gaps, runs, put), "")
+    has = F.col("f.found").isNotNull()
+    kept = [F.col(f"d.`{c}`").alias(c) for c in docs.columns]
+    out = rows.join(found, key("d") == F.col("f.doc_id"), "left")
+    text = F.when(has, clean).otherwise(F.col("d.text"))
+    for i, c in enumerate(docs.columns):
+        if c == "text":
+            kept[i] = text.alias(c)
+        elif c == "n_chars":
+            kept[i] = F.when(has, F.length(clean).cast(docs.schema[c].dataType)).otherwise(F.col("d.n_chars")).alias(c)
+    return out.select(*kept)
