@@ -35,7 +35,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: secrets are replaced in the texts; no document goes."""
-    return secret_scan.redacted(docs, secret_scan.fit(secret_scan.labelled_findings(docs)))
+    return secret_scan.redacted(docs, secret_scan.fitted(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
