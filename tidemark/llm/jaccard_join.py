@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import Scratch
+from .common import Scratch, partitions
 from .graph import components
 
 
@@ -82,7 +82,7 @@ def _identified(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", 1 << 18):
                 h, first = shingles(T.words(part.column("text"), lower=True), size)
                 n, sid = pa.array(np.diff(first).astype(np.int64)), pa.array(_totals(h, first).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -92,8 +92,13 @@ def _identified(size: int):
     return run, "doc_id long, text_hash long, n_shingles long, sid long"
 
 
-def _keys(size: int, percent: int):
-    """(key, sid) of each set's sketches. Of copies, a task gives the first one's only."""
+#: Keys that a task gathers before it gives them on.
+GATHERED = 200_000
+
+
+def _keys(size: int, percent: int, ends: bool):
+    """(key, sid) of each set's sketches, or with ``ends`` (key, low, high): the least and greatest sid of each key
+    among those gathered, so that a key of many sets travels as few rows. Of copies, a task takes the first one's."""
     low, high, symbols = _bands(percent)
 
     def keys(h: np.ndarray) -> np.ndarray:
@@ -104,23 +109,35 @@ def _keys(size: int, percent: int):
                 out.append(_sketch(h, int(band), int(symbols[band])))
         return np.concatenate(out)
 
+    def given(found: list[np.ndarray], sids: list[int]) -> pa.RecordBatch:
+        owner = np.repeat(np.array(sids, np.int64), [len(k) for k in found])
+        key = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+        if not ends:
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner)], ["key", "sid"])
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        last = np.append(new[1:], len(key)) - 1 if len(key) else new
+        return pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(owner[new]), pa.array(owner[last])], ["key", "low", "high"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        found, sids, many = [], [], 0
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", 1 << 18):
                 h, first = shingles(T.words(part.column("text"), lower=True), size)
-                sid = _totals(h, first).view(np.int64)
-                new = []
-                for i, s in enumerate(sid.tolist()):
+                for i, s in enumerate(_totals(h, first).view(np.int64).tolist()):
                     if s not in seen:
                         seen.add(s)
-                        new.append(i)
-                found = [keys(h[first[i] : first[i + 1]]) for i in new]
-                flat = np.concatenate([np.zeros(0, np.uint64), *found])
-                owner = np.repeat(sid[new], [len(k) for k in found])
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(owner)], ["key", "sid"])
+                        found.append(keys(h[first[i] : first[i + 1]]))
+                        sids.append(s)
+                        many += len(found[-1])
+                if many >= GATHERED:
+                    yield given(found, sids)
+                    found, sids, many = [], [], 0
+        yield given(found, sids)
 
-    return run, "key long, sid long"
+    return run, "key long, low long, high long" if ends else "key long, sid long"
 
 
 def _sets(size: int):
@@ -128,7 +145,7 @@ def _sets(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", 1 << 18):
                 h, first = shingles(T.words(part.column("text"), lower=True), size)
                 grams = [h[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
@@ -206,10 +223,12 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     tables = Scratch(docs.sparkSession, "op7")
     sized = tables.table("sized", docs.mapInArrow(*_identified(size)))
     known = docs.filter("doc_id is not null").select("text")
-    parts = known.mapInArrow(*_keys(size, percent))  # computed twice rather than kept: it is larger than the texts
-    met = parts.groupBy("key").agg(F.min("sid").alias("pivot"), F.max("sid").alias("last")).filter("pivot < last")
-    met = tables.table("met", met.select("key", "pivot"))
-    members = tables.table("members", parts.join(met, "key").select("key", "sid").distinct())
+    # keys are computed twice rather than kept: they are larger than the texts. The tasks have added them up already, so
+    # they are dealt by key before they are grouped: hash tables of Spark need no room beside the Python workers
+    met = known.mapInArrow(*_keys(size, percent, True)).repartition(partitions(docs.sparkSession), "key")
+    met = met.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
+    met = tables.table("met", met.select("key"))
+    members = tables.table("members", known.mapInArrow(*_keys(size, percent, False)).join(met, "key"))
     tables.drop("met")
 
     reps = sized.filter("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
@@ -225,7 +244,7 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     )
     able = tables.table("able", _shareable(met_sets).filter(100 * F.col("c") >= percent * F.col("n")))
     sets = tables.table("sets", met_sets.join(able.select("sid"), "sid", "left_semi"))
-    live = tables.table("live", members.join(able, "sid").withColumn("root", F.col("sid")))
+    live = tables.table("live", members.join(able, "sid").distinct().withColumn("root", F.col("sid")))
     tables.drop("members", "met-sets", "able")
 
     # the smallest member of each key is the centre that the others are held against
