@@ -30,11 +30,11 @@ from .common import Scratch, words_column
 #: Characters of a candidate, and the fewest it has.
 RUN = r"[A-Za-z0-9_+/=.\-]{16,}"
 #: Labelled findings of one fit, and trees and depth of the forest.
-LABELLED, TREES, DEPTH, SEED, ACCEPT = 12000, 24, 8, 17, 0.5
+LABELLED, TREES, DEPTH, SEED, ACCEPT = 13000, 24, 8, 17, 0.5
 #: A dictionary word makes up this share of all words of the corpus, so there are 1 / DICTIONARY_SHARE words at most.
 DICTIONARY_SHARE, WORD_LETTERS = 1 / 5000, (3, 12)
-#: Variance of the labels beside a neighbouring word that it takes to tell anything.
-NEIGHBOUR_SPREAD = 2.0
+#: Standard deviations from the usual rate of secrets that it takes for a neighbouring word to tell anything.
+NEIGHBOUR_DEVIATIONS = 2.5
 
 FEATURES = [
     "length", "digits", "lowers", "uppers", "others", "hex_share", "transitions", "distinct_share",
@@ -187,7 +187,8 @@ def labelled_findings(spark: SparkSession, words: list[str]) -> DataFrame:
     jwt = F.concat(F.lit("eyJ"), _random(2, 33, "base64"), F.lit(".eyJ"), _random(3, 61, "base64"), F.lit("."), _random(4, 43, "base64"))
     # kind: (value, what it is without a name of keys, what it is behind one)
     values = {
-        "hex32": (_random(5, 32), 0, 1),
+        "short hex": (F.substr(_random(5, 28), F.lit(1), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(13)).cast("int") + 16), 0, 1),
+        "hex32": (_random(13, 32), 0, 1),
         "hex40": (_random(6, 40), 0, 1),
         "hex64": (_random(7, 64), 0, 1),
         "base64 key": (_random(8, 40, "base64"), 1, 1),
@@ -233,7 +234,7 @@ def labelled_findings(spark: SparkSession, words: list[str]) -> DataFrame:
     middle = F.when(plain == 0, bare).otherwise(named)
     text = F.concat_ws(" ", _pick(96, short), _pick(97, short), middle, _pick(98, short), _pick(99, short))
     rows = rows.select("doc_id", "label", "k", text.alias("text"))
-    shouted = (draw(89, 10) == 0) & ((k <= 2) | (k >= 9))  # whole texts in capitals; base 64 would be another key then
+    shouted = (draw(89, 10) == 0) & ((k <= 3) | (k >= 10))  # whole texts in capitals; base 64 would be another key then
     kind = F.get(F.split(F.lit("\n".join(kinds)), "\n"), k).alias("kind")
     text = F.when(shouted, F.upper("text")).otherwise(F.col("text")).alias("text")
     return tables.table("findings", rows.select("doc_id", text, "label", kind))
@@ -252,7 +253,7 @@ def _target(labelled: DataFrame) -> DataFrame:
 def _weights(rows: DataFrame) -> DataFrame:
     """(name, weight): what a neighbouring word adds to the log-odds of a secret, by one regularised Newton step from
     the rate of secrets among findings with the same kinds of characters. Words beside forms that are always or never
-    secrets add nothing; those with little to tell from are left out."""
+    secrets add nothing; those whose findings are as often secrets as others are left out."""
     kinds = ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]", "^[0-9a-fA-F]+$")
     form = F.concat(*[F.col("finding").rlike(p).cast("int").cast("string") for p in kinds])
     rows = rows.withColumn("form", form)
@@ -260,7 +261,7 @@ def _weights(rows: DataFrame) -> DataFrame:
     beside = _with_names(rows).select("form", "label", F.explode(F.array_distinct("names")).alias("name")).filter("name <> ''")
     gain, spread = F.sum(F.col("label") - F.col("p")), F.sum(F.col("p") * (1 - F.col("p")))
     told = beside.join(F.broadcast(rates), "form").groupBy("name").agg(gain.alias("g"), spread.alias("s"))  # a row a form
-    return told.filter(F.col("s") >= NEIGHBOUR_SPREAD).select("name", F.round(F.col("g") / (F.col("s") + 2), 2).alias("weight"))
+    return told.filter(F.abs("g") > NEIGHBOUR_DEVIATIONS * F.sqrt("s")).select("name", F.round(F.col("g") / (F.col("s") + 2), 2).alias("weight"))
 
 
 def fit(labelled: DataFrame, words: list[str]) -> Model | None:
