@@ -15,7 +15,7 @@ into pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -141,19 +141,20 @@ def _keys(size: int, percent: int, ends: bool):
 
 
 def _sets(size: int):
-    """The sorted shingle hashes of each document, as bytes."""
+    """(sid, grams): the sorted shingle hashes, as bytes, of the texts whose set is the one ``wanted`` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text", 1 << 18):
                 h, first = shingles(T.words(part.column("text"), lower=True), size)
                 grams = [h[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
+                sid = _totals(h, first).view(np.int64)
+                same = np.flatnonzero(sid == part.column("wanted").to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_totals(h, first).view(np.int64)), part.column("sid"), pa.array(grams, pa.binary())],
-                    ["sid", "wanted", "grams"],
+                    [pa.array(sid[same]), pa.array([grams[i] for i in same], pa.binary())], ["sid", "grams"]
                 )
 
-    return run, "sid long, wanted long, grams binary"
+    return run, "sid long, grams binary"
 
 
 def _verified(percent: int):
@@ -181,21 +182,43 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b", "ga", "gb").mapInArrow(*_verified(percent))
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grams(batches: Iterator[pa.RecordBatch], half: bool) -> Iterator[pa.RecordBatch]:
+    """(gram, k, sid): shingles of sets, or of one half of all hashes, with the number of the gathered sets that have
+    each, and one of them."""
+    found, sids, many = [], [], 0
+
+    def given() -> pa.RecordBatch:
+        gram = np.concatenate([np.zeros(0, np.int64), *found])
+        sid = np.repeat(np.array(sids, np.int64), [len(h) for h in found])
+        gram, first, k = np.unique(gram, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(k.astype(np.int64)), pa.array(sid[first])], ["gram", "k", "sid"])
+
     for batch in batches:
         for sid, grams in zip(batch.column("sid").to_pylist(), batch.column("grams"), strict=True):
             h = np.frombuffer(grams.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), sid)), pa.array(h)], ["sid", "gram"])
-
-
-def _shareable(sets: DataFrame) -> DataFrame:
-    """(sid, n, c): each set's size, and how many of its shingles any other of ``sets`` has. No two of them can have
-    more shingles in common than the smaller c, which rules most members of a drifting group out unpaired."""
-    each = sets.select("sid", "grams").mapInArrow(_exploded, "sid long, gram long")
-    alone = each.groupBy("gram").agg(F.count("*").alias("k"), F.min("sid").alias("sid")).filter("k = 1")
-    sizes = sets.select("sid", (F.length("grams") / 8).cast("long").alias("n"))
+            found.append(h[h >= 0] if half else h)
+            sids.append(sid)
+            many += len(found[-1])
+            if many >= GATHERED:
+                yield given()
+                found, sids, many = [], [], 0
+    yield given()
+
+
+def _own(sets: Callable, half: bool):
+    """``_grams`` of the sets that ``sets`` makes of a batch."""
+    return lambda batches: _grams(sets(batches), half), "gram long, k long, sid long"
+
+
+def _shareable(grams: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(sid, n, c) of the ``sizes`` (sid, n) that can be linked with any other: c is n without the shingles that no other
+    set has, as far as ``grams`` tells. A link needs ``percent`` of n in c; and no two sets can have more shingles in
+    common than the smaller c."""
+    dealt = grams.repartition(partitions(grams.sparkSession), "gram")  # tasks have added them up
+    alone = dealt.groupBy("gram").agg(F.sum("k").alias("k"), F.min("sid").alias("sid")).filter("k = 1")
     own = alone.groupBy("sid").agg(F.count("*").alias("own"))
-    return sizes.join(own, "sid", "left").select("sid", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c"))
+    both = sizes.join(own, "sid", "left").select("sid", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c"))
+    return both.filter(100 * F.col("c") >= percent * F.col("n"))
 
 
 def _meet(live: DataFrame, others: DataFrame, percent: int, order: Column | bool = True) -> DataFrame:
@@ -231,21 +254,21 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     members = tables.table("members", known.mapInArrow(*_keys(size, percent, False)).join(met, "key"))
     tables.drop("met")
 
-    reps = sized.filter("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    reps = tables.table("reps", reps)
-    wanted = reps.join(members.select("sid").distinct(), "sid", "left_semi")
-    met_sets = tables.table(
-        "met-sets",
-        docs.join(wanted.hint("shuffle_hash"), "doc_id")
-        .mapInArrow(*_sets(size))
-        .filter("sid = wanted")
-        .dropDuplicates(["sid"])
-        .drop("wanted"),
-    )
-    able = tables.table("able", _shareable(met_sets).filter(100 * F.col("c") >= percent * F.col("n")))
-    sets = tables.table("sets", met_sets.join(able.select("sid"), "sid", "left_semi"))
-    live = tables.table("live", members.join(able, "sid").distinct().withColumn("root", F.col("sid")))
-    tables.drop("members", "met-sets", "able")
+    reps = sized.filter("n_shingles > 0 and doc_id is not null").groupBy("sid")
+    reps = tables.table("reps", reps.agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
+    wanted = reps.join(members.select("sid").distinct(), "sid", "left_semi").select("doc_id", F.col("sid").alias("wanted"))
+    texts = tables.table("texts", docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id"))
+    # half of all shingles rules most sets out: one that can be linked has few of its own in either half
+    sets_of, kind = _sets(size)
+    able = _shareable(texts.mapInArrow(*_own(sets_of, True)), reps.select("sid", "n"), percent)
+    able = tables.table("able", able.join(members.select("sid").distinct(), "sid", "left_semi"))
+    sets = texts.join(able.select(F.col("sid").alias("wanted")), "wanted", "left_semi").mapInArrow(sets_of, kind)
+    sets = tables.table("sets", sets.dropDuplicates(["sid"]))
+    tables.drop("texts")
+    full = _shareable(sets.mapInArrow(*_own(lambda batches: batches, False)), able.select("sid", "n"), percent)
+    full = tables.table("full", full)
+    live = tables.table("live", members.join(full, "sid").distinct().withColumn("root", F.col("sid")))
+    tables.drop("members", "able", "full")
 
     # the smallest member of each key is the centre that the others are held against
     centre = live.groupBy("key").agg(F.min(F.struct("sid", "root", "n", "c")).alias("m"))
