@@ -9,15 +9,24 @@ from .clock import assign_marker, marker_line
 
 
 def dense(sums: DataFrame, markers: DataFrame, keys: DataFrame) -> DataFrame:
-    """``sums`` (marker, key, ...) with a row for every marker and key; ``keys`` times markers is the output's size."""
-    spine = marker_line(markers).select("marker").crossJoin(keys)
-    return spine.join(sums, ["marker", *keys.columns], "left")
-
-
-def tumbling_sum(events: DataFrame, markers: DataFrame, key: str, value: str = "val", closed: str = "left") -> DataFrame:
-    """(marker, key, total): every key at every marker, zeros kept."""
+    """``sums`` (marker, key, ...) with a row for every marker and key, the null key too; ``keys`` times markers is the
+    output's size."""
+    spine = marker_line(markers).select("marker").crossJoin(keys).alias("a")
+    same = F.col("a.marker") == F.col("b.marker")
+    for k in keys.columns:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    rest = [c for c in sums.columns if c not in ("marker", *keys.columns)]
+    return spine.join(sums.alias("b"), same, "left").select("a.*", *[f"b.{c}" for c in rest])
+
+
+def tumbling_sum(
+    events: DataFrame, markers: DataFrame, key: str, value: str = "val", closed: str = "left", every_key: bool = True
+) -> DataFrame:
+    """(marker, key, total): every key at every marker, zeros kept; without ``every_key`` only keys with events."""
     placed = assign_marker(events, markers, closed=closed).filter("marker is not null")
     sums = placed.groupBy("marker", key).agg(F.sum(value).alias("total"))
+    if not every_key:
+        return sums
     return dense(sums, markers, events.select(key).distinct()).fillna(0, ["total"])
 
 
@@ -31,8 +40,9 @@ def sliding_sum(events: DataFrame, markers: DataFrame, key: str, panes: int = 3,
 
 
 def distance_per_window(positions: DataFrame, markers: DataFrame, key: str, digits: int = 0) -> DataFrame:
-    """(marker, key, distance): way between consecutive points, in the later point's window; the first point adds 0."""
-    per = Window.partitionBy(key).orderBy("ts")
+    """(marker, key, distance): way between consecutive points, in the later point's window; the first point adds 0.
+    Points of one time follow each other by x, then y."""
+    per = Window.partitionBy(key).orderBy("ts", "x", "y")
     step = F.hypot(F.col("x") - F.lag("x").over(per), F.col("y") - F.lag("y").over(per))
     steps = positions.withColumn("val", F.coalesce(step, F.lit(0.0)))
     sums = tumbling_sum(steps, markers, key)
@@ -43,12 +53,13 @@ def spike_alerts(pressure: DataFrame, temps: DataFrame, markers: DataFrame, spik
     """(marker, spike, heat) where the largest rise between consecutive pressures (the first rises from 0) and the
     least of the thermometers' highest temperatures both pass their bounds. Pressure windows are ``(previous, marker]``,
     temperature windows ``[previous, marker)``. Consecutive pressures cross windows: each window's first is measured
-    from the last of the windows before it, which comes from the table of windows."""
+    from the last of the windows before it, which comes from the table of windows. Readings of one time follow each other
+    from the lower to the higher."""
     placed = assign_marker(pressure, markers, closed="right").filter("marker is not null")
-    per = Window.partitionBy("marker").orderBy("ts")
+    per = Window.partitionBy("marker").orderBy("ts", "pressure")
     rises = placed.withColumn("rise", F.col("pressure") - F.lag("pressure").over(per))
     windows = rises.groupBy("marker").agg(
-        F.max("rise").alias("inner"), F.min_by("pressure", "ts").alias("first"), F.max_by("pressure", "ts").alias("last")
+        F.max("rise").alias("inner"), F.min_by("pressure", F.struct("ts", "pressure")).alias("first"), F.max_by("pressure", F.struct("ts", "pressure")).alias("last")
     )
     earlier = F.coalesce(F.lag("last").over(Window.orderBy("marker")), F.lit(0))  # one row a window
     spikes = windows.select("marker", F.greatest("inner", F.col("first") - earlier).alias("spike"))
@@ -63,8 +74,12 @@ def net_running_max(events: DataFrame, markers: DataFrame, chunks: int = 64) ->
     A period is cut into ``chunks`` by time; sums and prefix maxima of chunks combine, so that a long one is no one
     task's work. Ties are ordered by ``seq``."""
     placed = assign_marker(events, markers).filter("marker is not null")
-    begin = F.coalesce("previous", F.lit(0))
-    part = F.floor((F.col("ts") - begin) * chunks / (F.col("marker") - begin)).alias("chunk")
+    start = placed.filter("previous is null").agg(F.min("ts").alias("start"))  # the first period has no marker before it
+    placed = placed.join(F.broadcast(start))
+    begin = F.coalesce("previous", "start")
+    # a double keeps the order of times, and nanoseconds times chunks within range
+    share = (F.col("ts") - begin).cast("double") / (F.col("marker") - begin + 1)
+    part = F.floor(share * chunks).alias("chunk")
     placed = placed.select("marker", part, "ts", "seq", "delta")
     run = F.sum("delta").over(Window.partitionBy("marker", "chunk").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0))
     tops = placed.withColumn("run", run).groupBy("marker", "chunk").agg(F.max("run").alias("top"), F.sum("delta").alias("sum"))

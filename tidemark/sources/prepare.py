@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 
 def split_by(df: DataFrame, path: str, *columns: str) -> None:
     """One folder per combination of ``columns``; readers prune by them."""
@@ -15,14 +15,16 @@ def split_by(df: DataFrame, path: str, *columns: str) -> None:
 
 def with_row_index(df: DataFrame, *order: str, name: str = "row_index") -> DataFrame:
     """``df`` with its 0-based place in the order, without sorting in one task: rows are range-partitioned, numbered in
-    their partition, and moved by the counts of the partitions before. ``order`` must settle all ties. The partition is
-    taken again by value ranges, so that a lost task changes nothing."""
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    bounds = ranged.groupBy("_p").agg(F.count("*").alias("_n"))  # a row a partition
-    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = bounds.select("_p", F.coalesce(before, F.lit(0)).alias("_o"))
-    inner = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return ranged.withColumn("_i", inner).join(F.broadcast(offsets), "_p").select(*df.columns, (F.col("_i") + F.col("_o")).alias(name))
+    their partition, and moved by the counts of the partitions before. ``order`` must settle all ties but those of equal
+    rows. The numbered partitions are written once, since another run could choose other ranges."""
+    # rows travel whole, so that no column of theirs can clash with the place
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    inner = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("i")
+    kept = written(ranged.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r"), F.spark_partition_id().alias("p"), inner), "row-index")
+    counts = kept.groupBy("p").agg(F.count("*").alias("n"))  # a row a partition
+    before = F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("p", F.coalesce(before, F.lit(0)).alias("o"))
+    return kept.join(F.broadcast(offsets), "p").select("r.*", (F.col("i") + F.col("o")).alias(name))
 
 
 def split_round_robin(df: DataFrame, n: int, *order: str) -> DataFrame:
@@ -34,7 +36,7 @@ def split_round_robin(df: DataFrame, n: int, *order: str) -> DataFrame:
 def split_contiguous(df: DataFrame, n: int, *order: str) -> DataFrame:
     """``df`` with ``part``: blocks of equal size, the last may be shorter."""
     rows = with_row_index(df, *order, name="_row")
-    block = df.agg(F.ceil(F.count("*") / F.lit(n)).alias("_block"))
+    block = rows.agg(F.ceil(F.count("*") / F.lit(n)).alias("_block"))
     return rows.join(F.broadcast(block)).select(*df.columns, F.floor(F.col("_row") / F.col("_block")).cast("int").alias("part"))
 
 
@@ -56,7 +58,3 @@ def column_domains(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
     rows = df.select(F.col(row_id).alias("_r"), F.explode(pairs).alias("p"))
     return rows.groupBy("p.column", "p.value").agg(F.count("*").alias("n"), F.min("_r").alias("first_row"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
