@@ -19,55 +19,97 @@ def rows(n, seed=1):
     ]
 
 
-def plain(data):
-    state, out = {}, {}
-    for row, _, cats, x in data:
-        x = np.array(x)
-        sets = list(dict.fromkeys(c for k in (1, 2) for c in combinations(cats, k)))
-        score = 0.0
-        for g in sets:
-            n, low, s, vs, vl = state.get(g, (0, 0 * x, np.zeros((3, 3)), np.zeros((3, 3)), np.zeros((3, 3))))
+class Plain:
+    """The published scan, one row after the other."""
+
+    def __init__(self):
+        self.state = {}
+
+    def score(self, cats, x, keep=True, tau=O.TAU):
+        x, score = np.array(x), 0.0
+        for g in dict.fromkeys(c for k in (1, 2) for c in combinations(cats, k)):
+            zero = np.zeros((DIMENSIONS, DIMENSIONS))
+            n, low, s, vs, vl = self.state.get(g, (0, 0 * x, zero, zero, zero))
             n, low, s = n + 1, low + x, s + np.outer(x, x)
             p = np.outer(x - low / n, x - low / n)
             c = s + np.outer(low, low) if n <= 1 else s / (n - 1) + np.outer(low, low) / (n * (n - 1))
             vs, vl = vs + p * p, vl + p
             q = vs + 2 * c * vl + n * c * c
             sigma = np.sqrt(np.maximum(q if n <= 1 else q / (n - 1), 0))
-            v = int(((np.abs(p - c) > O.TAU * sigma) & (sigma > 0)).sum())
-            state[g] = (n, low, s, vs, vl)
+            v = int(((np.abs(p - c) > tau * sigma) & (sigma > 0)).sum())
+            if keep:
+                self.state[g] = (n, low, s, vs, vl)
             score += 1 / len(g) if n < O.SUPPORT or v > O.DELTA * 9 else 0.0
-        out[row] = score
-    return out
+        return score
+
+    def __add__(self, other):
+        both = Plain()
+        for g in {**self.state, **other.state}:
+            have = [m.state[g] for m in (self, other) if g in m.state]
+            both.state[g] = tuple(sum(parts) for parts in zip(*have, strict=True))
+        return both
+
+
+def mean_bound(normal):
+    return 10 * sum(normal) / len(normal) if normal else 0.0
 
 
-@pytest.mark.parametrize("chunk", [2048, 37])
-def test_scores(spark, monkeypatch, chunk):
+SCHEMA = "row long, source int, cats array<string>, x array<double>"
+
+
+@pytest.mark.parametrize(("chunk", "step"), [(8192, 256), (37, 5)])
+def test_scores(spark, monkeypatch, chunk, step):
     monkeypatch.setattr(O, "CHUNK", chunk)
-    data = rows(400)
-    df = spark.createDataFrame(data, "row long, source int, cats array<string>, x array<double>").repartition(3)
+    monkeypatch.setattr(O, "STEP", step)
+    data, model = rows(400), Plain()
+    want = {row: model.score(cats, x) for row, _, cats, x in data}
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
     got = {r.row: r.score for r in O.anomaly_score(O.violation_scores(df, 4)).collect()}
-    want = plain(data)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
-def test_flags_and_confirmation(spark):
-    scores = [1.0] * 5 + [20.0, 1.0, 9.0, 25.0, 1.0]
-    data = [(s, i * 2 + s, v) for s in (0, 1) for i, v in enumerate(scores)]
-    flags = O.flag_outliers(spark.createDataFrame(data, "source int, row long, score double"))
-    normal, want = [], {}
-    for i, v in enumerate(scores):
-        bound = 10 * sum(normal) / len(normal) if normal else 0.0
-        want[i * 2] = v > bound
-        if not v > bound:
-            normal.append(v)
-    assert {r.row: r.outlier for r in flags.collect() if r.source == 0} == want
-    merged = spark.createDataFrame([(i, 30.0 if i == 10 else 0.5) for i in range(20)], "row long, score double")
-    got = O.confirm_outliers(flags, merged, spark.createDataFrame([(50,)], "ts long")).collect()
-    assert {r.row for r in got} <= {r.row for r in flags.collect() if r.outlier}
+def test_itemsets_of_odd_values(spark):
+    """Null values, equal values of different features, rows without rows beside them, no rows at all."""
+    data = [(0, 0, ["a", None, "a"], [1.0, 2.0, 3.0]), (1, 0, ["b", "a", None], [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(data, SCHEMA)
+    want = {(tuple(r.itemset), r["count"]) for r in O.match_itemsets(df, 3).groupBy("itemset").count().collect()}
+    assert {(tuple(r.itemset), r.n) for r in O.itemset_moments(df, 3).collect()} == want
+    assert {tuple(r.itemset) for r in O.violation_scores(df, 3).collect()} == {g for g, _ in want}
+    assert O.violation_scores(df.limit(0), 3).count() == 0 == O.itemset_moments(df.limit(0), 3).count()
+
+
+def test_flags_and_confirmation(spark, monkeypatch):
+    """Local models per source, checks at markers against the sum of the models."""
+    monkeypatch.setattr(O, "CHUNK", 50)
+    data, marks = rows(600, seed=3), [151, 152, 400, 580]
+    data = [(r, s, c, x if r % 41 else [v * 60 for v in x]) for r, s, c, x in data]
+    models, normal, waiting = {0: Plain(), 1: Plain()}, {0: [], 1: []}, []
+    flags, confirmed = {}, {}
+    for row, source, cats, x in data:
+        for m in [m for m in marks if m == row]:  # a marker comes before the row of its own place
+            merged, bound = models[0] + models[1], mean_bound(normal[0])
+            for r, c, y in waiting:
+                if (score := merged.score(c, y, keep=False)) > bound:
+                    confirmed[r] = (m, score, bound)
+            waiting = []
+        score = models[source].score(cats, x)
+        flags[row] = (score, mean_bound(normal[source]), score > mean_bound(normal[source]))
+        if flags[row][2]:
+            waiting.append((row, cats, x))
+        else:
+            normal[source] = [*normal[source], score][-40:]
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    scores = O.anomaly_score(O.violation_scores(df, 4, by="source")).join(df.select("row", "source"), "row")
+    local = O.flag_outliers(scores)
+    got = {r.row: (r.score, r.bound, r.outlier) for r in local.collect()}
+    assert got.keys() == flags.keys() and all(np.allclose(got[k], flags[k]) for k in flags)
+    out = O.confirm_outliers(local, df, spark.createDataFrame([(m,) for m in marks], "ts long"), 4).collect()
+    assert confirmed and {r.row for r in out} == confirmed.keys()
+    assert all(np.allclose((r.marker, r.score, r.bound), confirmed[r.row]) for r in out)
 
 
 def test_merged_moments_are_the_whole(spark):
-    df = spark.createDataFrame(rows(200), "row long, source int, cats array<string>, x array<double>")
+    df = spark.createDataFrame(rows(200), SCHEMA)
     whole = {tuple(r.itemset): r for r in O.itemset_moments(df, 4).collect()}
     parts = O.merge_moments(*[O.itemset_moments(df.filter(f"source = {s}"), 4) for s in (0, 1)])
     for r in parts.collect():

@@ -21,9 +21,9 @@ def test_every_signup_is_a_marker(spark):
 
 
 def test_itemsets_of_every_row(spark):
-    items = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_orderkey", "l_linenumber").collect()
+    items = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
     got = {r.row for r in registry.QUERIES["match_itemsets"](spark, SMALL).select("row").distinct().collect()}
-    assert got == {r.l_orderkey * 10 + r.l_linenumber for r in items}
+    assert got == set(range(items))
 
 
 def test_averages_of_every_level(spark):

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+#: Updates of at most so many rows (24 MB) are sent to every task by ``asof_join_small``; more are joined by bucket.
+BROADCAST_UPDATES = 1_000_000
 
 
 def asof_join(
@@ -33,19 +41,64 @@ def asof_join(
     return found.select(*left.columns, out.alias(value))
 
 
+def asof_join_small(left: DataFrame, right: DataFrame, key: str, value: str, closed: str = "left", bucket: int = 3_600_000) -> DataFrame:
+    """``asof_join`` of whole-number keys and values for few updates: they are sent to every task and ``left`` stays where
+    it is. More than BROADCAST_UPDATES of them are joined by ``bucket`` instead, with equal results. Rows of ``left``
+    without key or time find nothing."""
+    updates = right.filter(F.col(key).isNotNull() & F.col("ts").isNotNull()).groupBy(key, "ts").agg(F.max(value).alias("v"))
+    found = updates.filter("v is not null").select(F.col(key).cast("long").alias("k"), F.col("ts").cast("long").alias("t"), F.col("v").cast("long").alias("v"))
+    rows = found.limit(BROADCAST_UPDATES + 1).toPandas()
+    if len(rows) > BROADCAST_UPDATES:
+        return asof_join(left, right, key, value, closed, bucket=bucket).withColumn(value, F.col(value).cast("long"))
+    rows = rows.sort_values(["k", "t"])
+    keys, times = np.unique(rows["k"].to_numpy(np.int64)), np.unique(rows["t"].to_numpy(np.int64))
+    # one number a (key, time), in their order
+    place = np.searchsorted(keys, rows["k"]) * (len(times) + 1) + np.searchsorted(times, rows["t"]) + 1
+    shared = left.sparkSession.sparkContext.broadcast((keys, times, place.astype(np.int64), rows["v"].to_numpy(np.int64)))
+    side = "left" if closed == "left" else "right"
+    names = [*left.columns, value]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, times, place, values = shared.value
+        for batch in batches:
+            k, t = batch.column(key), batch.column("ts")
+            known = np.asarray(k.is_valid()) & np.asarray(t.is_valid())
+            k, t = (np.asarray(c.fill_null(0)).astype(np.int64) for c in (k, t))
+            at = np.searchsorted(keys, k)
+            known &= np.append(keys, 0)[at] == k
+            base = at * (len(times) + 1)
+            last = np.searchsorted(place, base + np.searchsorted(times, t, side), "right") - 1
+            known &= (at < len(keys)) & (last >= 0) & (np.append(place, 0)[last] > base)
+            out = pa.array(np.append(values, 0)[last], pa.int64(), mask=~known)
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], names)
+
+    return left.mapInArrow(run, StructType([*left.schema.fields, StructField(value, LongType())]))
+
+
 def lookup(gets: DataFrame, updates: DataFrame, key: str, value: str, default=None) -> DataFrame:
     """Reads of the table as it was before each get."""
     return asof_join(gets, updates, key, value, "left", default)
 
 
-def forward_asof_join(views: DataFrame, updates: DataFrame, key: str, value: str) -> DataFrame:
-    """Each view with the key's next updates at or after it (all of one time); views after the last go."""
-    times = updates.select(key, "ts").distinct().withColumns({"_r": F.lit(1), "_u": F.col("ts")})
-    both = views.withColumns({"_r": F.lit(0), "_l": F.lit(True)}).unionByName(times, allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy(F.col("ts").desc(), F.col("_r").desc())
-    nexts = both.withColumn("update_ts", F.last("_u", ignorenulls=True).over(order)).filter("_l and update_ts is not null")
+def forward_asof_join(views: DataFrame, updates: DataFrame, key: str, value: str, bucket: int | None = None) -> DataFrame:
+    """Each view with the key's next updates at or after it (all of one time); views after the last go.
+
+    With ``bucket`` a key's rows are dealt by time as well, and each bucket ends with the first update of those after."""
+    part = F.floor(F.col("ts") / F.lit(bucket)) if bucket else F.lit(0)
+    times = updates.select(key, "ts").distinct().withColumns({"_b": part, "_r": F.lit(1), "_u": F.col("ts")})
+    rows = views.withColumns({"_b": part, "_r": F.lit(0), "_l": F.lit(True)})
+    both = rows.unionByName(times, allowMissingColumns=True)
+    order = Window.partitionBy(key, "_b").orderBy(F.col("ts").desc(), F.col("_r").desc())
+    nexts = both.withColumn("update_ts", F.last("_u", ignorenulls=True).over(order)).filter("_l")
+    if bucket:
+        firsts = times.groupBy(key, "_b").agg(F.min("ts").alias("_first"))
+        firsts = firsts.unionByName(rows.select(key, "_b").distinct(), allowMissingColumns=True)
+        firsts = firsts.groupBy(key, "_b").agg(F.min("_first").alias("_first"))
+        later = Window.partitionBy(key).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+        carried = firsts.select(key, "_b", F.first("_first", ignorenulls=True).over(later).alias("_carry"))
+        nexts = nexts.join(carried, [key, "_b"], "left").withColumn("update_ts", F.coalesce("update_ts", "_carry"))
     right = updates.select(key, F.col("ts").alias("update_ts"), value)
-    return nexts.select(*views.columns, "update_ts").join(right, [key, "update_ts"])
+    return nexts.filter("update_ts is not null").select(*views.columns, "update_ts").join(right, [key, "update_ts"])
 
 
 def join_by_timestamp(a: DataFrame, b: DataFrame, *also: str) -> DataFrame:

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .clock import assign_marker, hour_of_day, marker_line
 
 LEVELS = ["house", "household", "plug"]
@@ -45,7 +46,7 @@ def load_summaries(load: DataFrame, slices: DataFrame, unit: str = "ms") -> Data
     sums = _levels(_finest(load, slices, unit), "marker")
     # null keys name levels, so the spine meets the sums in a union, which takes null as a key
     seen = sums.groupBy(*LEVELS).agg(F.min("marker").alias("since"))
-    spine = seen.join(F.broadcast(marker_line(slices).select("marker")), F.col("marker") >= F.col("since"))
+    spine = seen.join(marker_line(slices).select("marker"), F.col("marker") >= F.col("since"))
     rows = sums.unionByName(spine.drop("since"), allowMissingColumns=True).groupBy("marker", *LEVELS)
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     return rows.agg(zero("total"), zero("n"))
@@ -77,7 +78,9 @@ def load_averages(load: DataFrame, slices: DataFrame, unit: str = "ms") -> DataF
 
 
 def _predict(averages: DataFrame, depths: list[int], weights: list[float]) -> DataFrame:
-    """Dot product of both averages at each depth of ``depths`` (last: the predicted one) with ``weights``."""
+    """Dot product of both averages at each depth of ``depths`` (last: the predicted one) with ``weights``. The averages
+    are written once and read once a level."""
+    averages = written(averages, "load-averages")
 
     def level(depth: int) -> DataFrame:
         own = averages

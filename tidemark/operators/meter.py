@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.prepare import with_row_index
+
 
 def event_latency(produced: DataFrame, consumed: DataFrame, key: str = "message") -> DataFrame:
     """(key, ts, latency, elapsed): from each message's last producer record to its last sink record, in
@@ -81,10 +83,11 @@ def speedup(best: DataFrame, base, config: str = "config") -> DataFrame:
 
 
 def latency_cdf(latency: DataFrame, group: str, value: str = "latency") -> DataFrame:
-    """(group, value, share): rank from 0 over the group's count."""
-    per = Window.partitionBy(group)
-    rank = F.row_number().over(per.orderBy(value)) - 1
-    return latency.select(group, value, (rank / F.count("*").over(per)).alias("share"))
+    """(group, value, share): rank from 0 over the group's count. A group of any size is ranked by ranges of values."""
+    placed = with_row_index(latency.select(group, value), group, value, name="_i").alias("a")
+    groups = placed.groupBy(group).agg(F.min("_i").alias("start"), F.count("*").alias("n")).alias("b")
+    rows = placed.join(groups, F.col(f"a.{group}").eqNullSafe(F.col(f"b.{group}")))
+    return rows.select(f"a.{group}", f"a.{value}", ((F.col("_i") - F.col("start")) / F.col("n")).alias("share"))
 
 
 def run_meter(sent: DataFrame, received: DataFrame) -> DataFrame:

@@ -13,15 +13,18 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.prepare import with_row_index
+from ..sources.shared import Scratch
 from .clock import assign_marker
 
 # Fixed values of the published method.
 SUPPORT, TAU, DELTA, FACTOR, SCORES, LEVEL = 10, 1.96, 0.3, 10.0, 40, 2
-#: Rows of one itemset that one task scans at a time.
-CHUNK = 2048
+#: Consecutive rows of one block; a block's itemsets are scanned by one task, STEP rows of an itemset at a time.
+CHUNK, STEP = 8192, 256
 
 
 def itemset_lattice(domains: DataFrame, max_level: int = LEVEL) -> DataFrame:
@@ -72,19 +75,73 @@ def _added(parts: DataFrame, keys: list[str], arrays: list[str], over: str | Non
     return whole.select(*keys, *out)
 
 
-def itemset_moments(conn: DataFrame, features: int, max_level: int = LEVEL) -> DataFrame:
-    """(itemset, n, l, s): count, sums and sums of products (row-major). Tasks add their rows up before the shuffle."""
+def _itemsets(cats: list[list], max_level: int, qualified: bool = False) -> tuple[list[list], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct itemsets of some rows, and (itemset, row) places sorted by itemset and row, with where each itemset's
+    begin. A row has an itemset once, in however many of its features."""
+    n, features = len(cats), len(cats[0]) if cats else 0
+    flat = [f"{j}={v}" for row in cats for j, v in enumerate(row)] if qualified else [v for row in cats for v in row]
+    codes, values = pd.factorize(np.array([*flat, None], object)[:-1], use_na_sentinel=False)
+    codes, values = codes.reshape(n, features).astype(np.int64), [None if v is None or v != v else v for v in values]
+    base = max(1, len(values))
+    if base**max_level >= 1 << 62:
+        raise ValueError("too many values for itemsets of this size")
+    sets: list[list] = []
+    ids, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for level in range(1, max_level + 1):
+        chosen = list(combinations(range(features), level))
+        if not chosen or not n:
+            continue
+        code = np.zeros((n, len(chosen)), np.int64)
+        for k in range(level):
+            code = code * base + codes[:, [c[k] for c in chosen]]
+        code.sort(axis=1)
+        new = np.ones(code.shape, bool)
+        new[:, 1:] = code[:, 1:] != code[:, :-1]
+        row, column = np.nonzero(new)
+        own, at = np.unique(code[row, column], return_inverse=True)
+        ids.append(at + len(sets))
+        rows.append(row)
+        for x in own.tolist():
+            digits = []
+            for _ in range(level):
+                x, d = divmod(x, base)
+                digits.append(values[d])
+            sets.append(digits[::-1])
+    ids, rows = np.concatenate(ids), np.concatenate(rows)
+    order = np.lexsort((rows, ids))
+    return sets, rows[order], np.searchsorted(ids[order], np.arange(len(sets) + 1)), ids[order]
+
+
+def _numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long lists as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = len(column)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1) if n else np.zeros((0, 0))
+
+
+def _sums(x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    return len(x), x.sum(0), (x.T @ x).ravel()
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for key, group in b.groupby(b["itemset"].map(tuple)):
-                x = np.stack(group["x"].to_numpy())
-                out.append((list(key), len(x), x.sum(0), (x.T @ x).ravel()))
-            yield pd.DataFrame(out, columns=["itemset", "n", "l", "s"])
 
-    rows = match_itemsets(conn, features, max_level).select("itemset", "x")
-    parts = rows.mapInPandas(partial, "itemset array<string>, n long, l array<double>, s array<double>")
+def itemset_moments(conn: DataFrame, features: int, max_level: int = LEVEL) -> DataFrame:
+    """(itemset, n, l, s): count, sums and sums of products (row-major). Tasks add their rows up before the shuffle;
+    rows are not copied for each itemset, their places are."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                x = _numbers(part.column("x"))
+                sets, rows, first, _ = _itemsets(part.column("cats").to_pylist(), max_level)
+                out = [_sums(x[rows[a:b]]) for a, b in zip(first, first[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sets, pa.list_(pa.string())), pa.array([o[0] for o in out], pa.int64())]
+                    + [pa.array([o[k] for o in out], pa.list_(pa.float64())) for k in (1, 2)],
+                    ["itemset", "n", "l", "s"],
+                )
+
+    rows = conn.select(F.slice("cats", 1, features).alias("cats"), "x")
+    parts = rows.mapInArrow(partial, "itemset array<string>, n long, l array<double>, s array<double>")
     return _added(parts, ["itemset"], ["l", "s"])
 
 
@@ -121,56 +178,150 @@ def _running(x: np.ndarray, n0: int, l0: np.ndarray, s0: np.ndarray) -> tuple[np
     return n, cov_p, c
 
 
+def _steps(x: np.ndarray, n: int, low: np.ndarray, s: np.ndarray) -> Iterator[tuple]:
+    """``_running`` over STEP rows at a time, carrying the sums on."""
+    low, s = low.copy(), s.copy()
+    for at in range(0, len(x), STEP):
+        part = x[at : at + STEP]
+        yield _running(part, n, low, s)
+        n, low, s = n + len(part), low + part.sum(0), s + (part.T @ part).ravel()
+
+
+_KEYS = ["_s", "_m", "_b"]
+_KEY_KINDS = "_s string, _m long, _b long"
+_NEVER = (1 << 63) - 1
+
+
+class _Scan:
+    """Statistics of itemsets along rows, in blocks of consecutive rows that are scanned in parallel.
+
+    Blocks give their sums first, then, with the sums of the blocks before them, their CovP; both are small tables of
+    one row an itemset and block. With ``by``, each of its values has statistics of its own; with ``markers``, blocks end
+    at markers of ``row``."""
+
+    def __init__(self, conn: DataFrame, features: int, max_level: int, by: str | None, markers: DataFrame | None):
+        self.tables = Scratch(conn.sparkSession, "outliers")
+        own = F.col(by).cast("string") if by else F.lit("")
+        rows = conn.select("row", F.coalesce(own, F.lit("")).alias("_s"), F.slice("cats", 1, features).alias("cats"), "x")
+        rows = rows.withColumn("_m", F.lit(0).cast("long"))
+        if markers is not None:
+            rows = assign_marker(rows.drop("_m"), markers, ts="row").withColumn("_m", F.coalesce("marker", F.lit(_NEVER)))
+        placed = with_row_index(rows.select("row", "_s", "_m", "cats", "x"), "row", name="_i")
+        self.rows = placed.withColumn("_b", F.floor(F.col("_i") / CHUNK)).drop("_i")
+        self.level, self.blocks = max_level, self.rows.groupBy(*_KEYS)
+        kind = f"{_KEY_KINDS}, itemset array<string>, n long, l array<double>, s array<double>"
+        self.sums = self.tables.table("sums", self.blocks.applyInArrow(self._first, kind))
+        self.carry = self.tables.table("carry", self._before(self.sums, ["l", "s"]))
+        kind = f"{_KEY_KINDS}, itemset array<string>, n long, vs array<double>, vl array<double>"
+        self.spreads = self.tables.table("spreads", self.blocks.cogroup(self.carry.groupBy(*_KEYS)).applyInArrow(self._second, kind))
+
+    def _before(self, parts: DataFrame, arrays: list[str]) -> DataFrame:
+        """Sums over the blocks before each block."""
+        ordered = parts.withColumn("_o", F.struct("_m", "_b"))
+        return _added(ordered, ["_s", "itemset"], arrays, over="_o").select("*", "_o.*").drop("_o")
+
+    @property
+    def _first(self):
+        level = self.level
+
+        def run(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("row")
+            x = _numbers(rows.column("x"))
+            sets, at, first, _ = _itemsets(rows.column("cats").to_pylist(), level)
+            out = [_sums(x[at[a:b]]) for a, b in zip(first, first[1:], strict=False)]
+            return _table(rows, sets, [o[0] for o in out], l=[o[1] for o in out], s=[o[2] for o in out])
+
+        return run
+
+    @property
+    def _second(self):
+        level = self.level
+
+        def run(rows: pa.Table, before: pa.Table) -> pa.Table:
+            rows = rows.sort_by("row")
+            x = _numbers(rows.column("x"))
+            sets, at, first, _ = _itemsets(rows.column("cats").to_pylist(), level)
+            state, out = _states(before, "l", "s"), []
+            for g, a, b in zip(sets, first, first[1:], strict=False):
+                vs = vl = 0.0
+                for _, cov_p, _ in _steps(x[at[a:b]], *state[tuple(g)]):
+                    vs, vl = vs + (cov_p**2).sum(0).ravel(), vl + cov_p.sum(0).ravel()
+                out.append((vs, vl))
+            return _table(rows, sets, np.diff(first).tolist(), vs=[o[0] for o in out], vl=[o[1] for o in out])
+
+        return run
+
+    def contributions(self, support: int, tau: float, delta: float) -> DataFrame:
+        """(_s, row, itemset, contribution) of every row and itemset."""
+        level = self.level
+        more = self._before(self.spreads, ["vs", "vl"]).drop("n")
+        both = self.tables.table("both", self.carry.join(more, [*_KEYS, "itemset"]))
+        row = self.rows.schema["row"].dataType.simpleString()
+
+        def run(rows: pa.Table, before: pa.Table) -> pa.Table:
+            rows = rows.sort_by("row")
+            x = _numbers(rows.column("x"))
+            sets, at, first, ids = _itemsets(rows.column("cats").to_pylist(), level)
+            sums, spreads, out = _states(before, "l", "s"), _states(before, "vs", "vl"), [np.zeros(0)]
+            for g, a, b in zip(sets, first, first[1:], strict=False):
+                _, vs, vl = spreads[tuple(g)]
+                for n, cov_p, c in _steps(x[at[a:b]], *sums[tuple(g)]):
+                    hit, vs, vl = _violates(n, cov_p, c, vs, vl, support, tau, delta)
+                    out.append(np.where(hit, 1 / len(g), 0.0))
+            take = pa.array(at)
+            return pa.table(
+                {
+                    "_s": rows.column("_s").take(take),
+                    "row": rows.column("row").take(take),
+                    "itemset": pa.array(sets, pa.list_(pa.string())).take(pa.array(ids)),
+                    "contribution": pa.array(np.concatenate(out)),
+                }
+            )
+
+        kind = f"_s string, row {row}, itemset array<string>, contribution double"
+        return self.blocks.cogroup(both.groupBy(*_KEYS)).applyInArrow(run, kind)
+
+
+def _table(rows: pa.Table, sets: list[list], n: list[int], **arrays: list) -> pa.Table:
+    """One row an itemset, with the block of ``rows``."""
+    key = {k: pa.array([rows.column(k)[0].as_py()] * len(sets), rows.schema.field(k).type) for k in _KEYS}
+    columns = {k: pa.array(v, pa.list_(pa.float64())) for k, v in arrays.items()}
+    return pa.table(key | {"itemset": pa.array(sets, pa.list_(pa.string())), "n": pa.array(n, pa.int64())} | columns)
+
+
+def _states(table: pa.Table, a: str, b: str) -> dict[tuple, tuple[int, np.ndarray, np.ndarray]]:
+    """n and two arrays of each itemset."""
+    columns = (table.column("itemset").to_pylist(), table.column("n").to_pylist(), _numbers(table.column(a)), _numbers(table.column(b)))
+    return {tuple(g): (n, x, y) for g, n, x, y in zip(*columns, strict=True)}
+
+
+def _violates(n, cov_p, c, vs, vl, support: int, tau: float, delta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each of some consecutive rows violates its itemset, and VS and VL after them."""
+    d = cov_p.shape[1]
+    all_vs = vs.reshape(d, d) + np.cumsum(cov_p**2, 0)
+    all_vl = vl.reshape(d, d) + np.cumsum(cov_p, 0)
+    m = n[:, None, None]
+    spread2 = (all_vs + 2 * c * all_vl + m * c * c) / np.where(m > 1, m - 1, 1)
+    sigma = np.sqrt(np.maximum(spread2, 0))
+    far = np.abs(cov_p - c) > tau * sigma
+    v = (far & (sigma > 0)).sum((1, 2))
+    return (n < support) | (v > delta * d * d), all_vs[-1].ravel(), all_vl[-1].ravel()
+
+
 def violation_scores(
-    conn: DataFrame, features: int, max_level: int = LEVEL, support: int = SUPPORT, tau: float = TAU, delta: float = DELTA
+    conn: DataFrame,
+    features: int,
+    max_level: int = LEVEL,
+    support: int = SUPPORT,
+    tau: float = TAU,
+    delta: float = DELTA,
+    by: str | None = None,
 ) -> DataFrame:
     """(row, itemset, contribution): 1 / size of the itemset where it is rare so far, or where over ``delta`` of the
     cells lie more than ``tau`` deviations from the covariance; running statistics include the row itself.
 
-    Chunks of an itemset's rows are scanned in parallel from prefix sums: first of moments, then of CovP."""
-    items = match_itemsets(conn, features, max_level).select("itemset", "row", "x")
-    place = F.row_number().over(Window.partitionBy("itemset").orderBy("row")) - 1
-    items = items.withColumn("chunk", F.floor(place / CHUNK).cast("int"))
-    keys = ["itemset", "chunk"]
-
-    def moments(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(g["x"].to_numpy())
-        return pd.DataFrame([(g["itemset"].iloc[0], g["chunk"].iloc[0], len(x), x.sum(0), (x.T @ x).ravel())], columns=["itemset", "chunk", "n", "l", "s"])
-
-    first = items.groupBy(*keys).applyInPandas(moments, "itemset array<string>, chunk int, n long, l array<double>, s array<double>")
-    carry = _added(first, ["itemset"], ["l", "s"], over="chunk")
-
-    def chunk(g: pd.DataFrame):
-        g = g.sort_values("row")
-        h = g.iloc[0]
-        return g, _running(np.stack(g["x"].to_numpy()), int(h["n"]), np.asarray(h["l"], float), np.asarray(h["s"], float))
-
-    def spread(g: pd.DataFrame) -> pd.DataFrame:
-        g, (_, cov_p, _) = chunk(g)
-        return pd.DataFrame(
-            [(g["itemset"].iloc[0], g["chunk"].iloc[0], len(g), (cov_p**2).sum(0).ravel(), cov_p.sum(0).ravel())],
-            columns=["itemset", "chunk", "n", "vs", "vl"],
-        )
-
-    scans = items.join(carry, keys)
-    second = scans.groupBy(*keys).applyInPandas(spread, "itemset array<string>, chunk int, n long, vs array<double>, vl array<double>")
-    more = _added(second, ["itemset"], ["vs", "vl"], over="chunk").drop("n")
-
-    def score(g: pd.DataFrame) -> pd.DataFrame:
-        g, (n, cov_p, c) = chunk(g)
-        h, d = g.iloc[0], cov_p.shape[1]
-        vs = np.asarray(h["vs"], float).reshape(d, d) + np.cumsum(cov_p**2, 0)
-        vl = np.asarray(h["vl"], float).reshape(d, d) + np.cumsum(cov_p, 0)
-        m = n[:, None, None]
-        spread2 = (vs + 2 * c * vl + m * c * c) / np.where(m > 1, m - 1, 1)
-        sigma = np.sqrt(np.maximum(spread2, 0))
-        far = np.abs(cov_p - c) > tau * sigma
-        v = (far & (sigma > 0)).sum((1, 2))
-        hit = (n < support) | (v > delta * d * d)
-        return pd.DataFrame({"row": g["row"], "itemset": g["itemset"], "contribution": np.where(hit, 1 / len(h["itemset"]), 0.0)})
-
-    row = conn.schema["row"].dataType.simpleString()
-    return scans.join(more, keys).groupBy(*keys).applyInPandas(score, f"row {row}, itemset array<string>, contribution double")
+    ``row`` is unique. With ``by``, each of its values has a model of its own (local scores)."""
+    return _Scan(conn, features, max_level, by, None).contributions(support, tau, delta).drop("_s")
 
 
 def anomaly_score(violations: DataFrame) -> DataFrame:
@@ -179,34 +330,86 @@ def anomaly_score(violations: DataFrame) -> DataFrame:
 
 
 def flag_outliers(scores: DataFrame, factor: float = FACTOR, window: int = SCORES) -> DataFrame:
-    """(source, row, score, bound, outlier): in row order per source, an outlier scores above ``factor`` times the mean
-    of the last ``window`` normal scores (0 where there are none) and does not enter that mean.
+    """(source, row, score, bound, outlier, after): in row order per source, an outlier scores above ``factor`` times the
+    mean of the last ``window`` normal scores (0 where there are none) and does not enter that mean. ``after`` is the
+    bound that the next row meets.
 
     Each source is one scan by nature; it streams through its task and keeps ``window`` numbers."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, normal = object(), deque(maxlen=window)
         for b in batches:
-            bounds, flags = [], []
+            bounds, flags, after = [], [], []
+            bound = lambda: factor * (sum(normal) / len(normal) if normal else 0.0)
             for source, score in zip(b["source"], b["score"], strict=True):
                 if source != now:
                     now, normal = source, deque(maxlen=window)
-                bounds.append(factor * (sum(normal) / len(normal) if normal else 0.0))
+                bounds.append(bound())
                 flags.append(score > bounds[-1])
                 if not flags[-1]:
                     normal.append(score)
-            yield b.assign(bound=bounds, outlier=flags)
+                after.append(bound())
+            yield b.assign(bound=bounds, outlier=flags, after=after)
 
     rows = scores.select("source", "row", "score")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.repartition("source").sortWithinPartitions("source", "row").mapInPandas(scan, f"{kinds}, bound double, outlier boolean")
+    return rows.repartition("source").sortWithinPartitions("source", "row").mapInPandas(scan, f"{kinds}, bound double, outlier boolean, after double")
+
 
+def _judged(rows: DataFrame, support: int, tau: float, delta: float) -> DataFrame:
+    """(marker, row, contribution) of rows (marker, row, itemset, x) scored once against n, l, s, vs, vl."""
 
-def confirm_outliers(local: DataFrame, scores: DataFrame, markers: DataFrame) -> DataFrame:
-    """(marker, row, score, bound): outliers of single sources, in the check window of a marker, whose score in the
-    merged model (``scores``: row, score) still passes the bound of the least source at that check."""
-    placed = assign_marker(local, markers, ts="row").filter("marker is not null")
-    least = placed.groupBy("marker").agg(F.min_by("bound", F.struct("source", -F.col("row"))).alias("bound"))
-    candidates = placed.filter("outlier").select("marker", "row")
-    found = candidates.join(scores.select("row", "score"), "row").join(least, "marker")
-    return found.filter("score > bound").select("marker", "row", "score", "bound")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, sizes, n = _numbers(batch.column("x")), batch.column("itemset").to_pylist(), batch.column("n").to_pylist()
+            low, s, vs, vl = (_numbers(batch.column(c)) for c in ("l", "s", "vs", "vl"))
+            out = []
+            for i, g in enumerate(sizes):
+                count, cov_p, c = _running(x[i : i + 1], n[i], low[i], s[i])
+                hit, _, _ = _violates(count, cov_p, c, vs[i], vl[i], support, tau, delta)
+                out.append(1 / len(g) if hit[0] else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("marker"), batch.column("row"), pa.array(out)], ["marker", "row", "contribution"])
+
+    return rows.mapInArrow(run, f"marker long, row {rows.schema['row'].dataType.simpleString()}, contribution double")
+
+
+def confirm_outliers(
+    flags: DataFrame,
+    conn: DataFrame,
+    markers: DataFrame,
+    features: int,
+    max_level: int = LEVEL,
+    factor: float = FACTOR,
+    support: int = SUPPORT,
+    tau: float = TAU,
+    delta: float = DELTA,
+    by: str = "source",
+) -> DataFrame:
+    """(marker, row, score, bound): local outliers that the merged model confirms at the next check marker.
+
+    ``flags`` comes from ``flag_outliers`` over local scores. At each marker the models of all values of ``by`` are
+    added up; every local outlier of the check window is scored against that sum, itself counted once more, and stays
+    if it passes ``factor`` times the mean normal score of the least source at that check. Nothing of a check enters the
+    models. Outliers after the last marker are not confirmed."""
+    scan = _Scan(conn, features, max_level, by, markers)
+    tables = scan.tables
+    placed = assign_marker(flags, markers, ts="row").filter("marker is not null")
+    bounds = placed.groupBy("marker").agg(F.min_by("after", F.struct("source", -F.col("row"))).alias("bound"))
+    found = placed.filter("outlier").select("marker", "row").join(conn.select("row", "cats", "x"), "row")
+    found = tables.table("found", match_itemsets(found, features, max_level).select("marker", "row", "itemset", "x"))
+    # increments of all sources at each marker, and a tick after them wherever a model is asked for
+    parts = scan.sums.join(scan.spreads.drop("n"), [*_KEYS, "itemset"]).withColumn("_o", F.struct(F.col("_m").alias("m"), F.lit(0).alias("t")))
+    parts = _added(parts.join(found.select("itemset").distinct(), "itemset", "left_semi"), ["itemset", "_o"], ["l", "s", "vs", "vl"])
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    d = F.size("x")
+    ticks = found.select(
+        "itemset", F.struct(F.col("marker").alias("m"), F.lit(1).alias("t")).alias("_o"), F.lit(0).cast("long").alias("n"),
+        zeros(d).alias("l"), zeros(d * d).alias("s"), zeros(d * d).alias("vs"), zeros(d * d).alias("vl"),
+    )
+    model = _added(parts.unionByName(ticks.dropDuplicates(["itemset", "_o"])), ["itemset"], ["l", "s", "vs", "vl"], over="_o")
+    model = model.filter("_o.t = 1").withColumn("marker", F.col("_o.m")).drop("_o")
+    scores = _judged(found.join(model, ["itemset", "marker"]), support, tau, delta)
+    scores = scores.groupBy("marker", "row").agg(F.sum("contribution").alias("score"))
+    return scores.join(bounds, "marker").filter("score > bound").select("marker", "row", "score", "bound")

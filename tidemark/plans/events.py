@@ -77,13 +77,14 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-@query("merge_ordered", sql("SELECT event_id, ts, source, row_number() OVER (ORDER BY ts, event_type, source) AS place FROM e"))
+@query("merge_ordered", sql("SELECT *, row_number() OVER (ORDER BY ts, event_type, source) AS place FROM e"))
 def _(spark, sf):
     from ..sources.prepare import with_row_index
 
     e = events(spark, sf).withColumnRenamed("event_type", "tag")
     merged = clock.merge_ordered(*[e.filter(F.col("source") == s) for s in range(4)])
-    return with_row_index(merged, "ts", "tag", "source", name="i").select("event_id", "ts", "source", (F.col("i") + 1).alias("place"))
+    rows = with_row_index(merged, "ts", "tag", "source", name="i").withColumn("place", F.col("i") + 1)
+    return rows.drop("i").withColumnRenamed("tag", "event_type")
 
 
 @query(
@@ -314,6 +315,12 @@ def _(spark, sf):
     return asof.asof_join(views, updates, "user_id", "zip", "right", bucket=24).select("event_id", "zip")
 
 
+@query("asof_join_small", _asof("view", ">", "NULL"))
+def _(spark, sf):
+    views, _, updates = _kinds(spark, sf, 3_600_000_000)
+    return asof.asof_join_small(views, updates, "user_id", "zip").select("event_id", "zip")
+
+
 @query("lookup", _asof("click", ">", "10000"))
 def _(spark, sf):
     _, gets, updates = _kinds(spark, sf, 3_600_000_000)
@@ -323,15 +330,22 @@ def _(spark, sf):
 _UP = "u AS (SELECT user_id, ts // 3600000000 AS ts, val AS zip FROM e WHERE event_type = 'signup'), l AS (SELECT event_id, user_id, ts // 3600000000 AS ts, val FROM e WHERE event_type = 'view')"
 
 
-@query(
-    "forward_asof_join",
-    sql("SELECT n.event_id, n.ts, n.update_ts, u.zip FROM (SELECT l.*, (SELECT min(u.ts) FROM u WHERE u.user_id = l.user_id AND u.ts >= l.ts) AS update_ts FROM l) n JOIN u ON u.user_id = n.user_id AND u.ts = n.update_ts", _UP),
-)
+_NEXT = sql("SELECT n.event_id, n.ts, n.update_ts, u.zip FROM (SELECT l.*, (SELECT min(u.ts) FROM u WHERE u.user_id = l.user_id AND u.ts >= l.ts) AS update_ts FROM l) n JOIN u ON u.user_id = n.user_id AND u.ts = n.update_ts", _UP)
+
+
+@query("forward_asof_join", _NEXT)
 def _(spark, sf):
     views, _, updates = _kinds(spark, sf, 3_600_000_000)
     return asof.forward_asof_join(views, updates.select("user_id", "ts", "zip"), "user_id", "zip").select("event_id", "ts", "update_ts", "zip")
 
 
+@query("forward_asof_join_by_bucket", _NEXT)
+def _(spark, sf):
+    views, _, updates = _kinds(spark, sf, 3_600_000_000)
+    found = asof.forward_asof_join(views, updates.select("user_id", "ts", "zip"), "user_id", "zip", bucket=24)
+    return found.select("event_id", "ts", "update_ts", "zip")
+
+
 @query("join_by_timestamp", sql("SELECT l.event_id, ts, zip FROM l JOIN u USING (ts, user_id)", _UP))
 def _(spark, sf):
     views, _, updates = _kinds(spark, sf, 3_600_000_000)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import meter, outlier
 from ..sources import generate, io, prepare
+from ..sources.shared import shared_dir
 from ..streaming import stream
 from . import events as ev
 
@@ -26,31 +25,29 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, or in a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_LINE = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+
+
 def connections(spark, sf):
-    """Line items as rows of three categories and four numbers."""
-    rows = table(spark, sf, "lineitem")
-    number = lambda c, k: (F.col(c) * k).alias(c)
+    """Line items, numbered in the order of all their columns, as rows of three categories and four whole numbers."""
+    rows = prepare.with_row_index(table(spark, sf, "lineitem").select(*_LINE), *_LINE, name="row")
     return rows.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"),
+        "row",
         F.pmod("l_orderkey", F.lit(4)).cast("int").alias("source"),
         F.array("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("cats"),
-        F.array(F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.col("l_discount") * 100, F.col("l_tax") * 100).alias("x"),
+        F.array("l_quantity", F.round("l_extendedprice"), F.round(F.col("l_discount") * 100), F.round(F.col("l_tax") * 100)).alias("x"),
     )
 
 
-_C = """c AS (SELECT l_orderkey * 10 + l_linenumber AS row, l_returnflag AS f1, l_linestatus AS f2, CAST(l_linenumber AS VARCHAR) AS f3,
-  l_quantity AS q, l_extendedprice / 1000 AS e FROM lineitem),
-i AS (SELECT row, q, e, unnest(list_distinct([[f1], [f2], [f3], [f1, f2], [f1, f3], [f2, f3]])) AS itemset FROM c)"""
+_C = f"""c AS (SELECT row_number() OVER (ORDER BY {", ".join(_LINE)}) - 1 AS row, CAST(l_orderkey % 4 AS INTEGER) AS source,
+  l_returnflag AS f1, l_linestatus AS f2, CAST(l_linenumber AS VARCHAR) AS f3,
+  l_quantity AS x0, round(l_extendedprice) AS x1, round(l_discount * 100) AS x2, round(l_tax * 100) AS x3 FROM lineitem),
+i AS (SELECT row, source, x0, x1, x2, x3, unnest(list_distinct([[f1], [f2], [f3], [f1, f2], [f1, f3], [f2, f3]])) AS itemset FROM c)"""
+_CELLS = [(i, j) for i in range(4) for j in range(i, 4)]
 
 
 @query("itemset_lattice", f"WITH {_C}, d AS (SELECT DISTINCT 0 AS f, f1 AS v FROM c UNION SELECT DISTINCT 1, f2 FROM c UNION SELECT DISTINCT 2, f3 FROM c) SELECT DISTINCT array_to_string(itemset, ',') AS itemset FROM (SELECT [v] AS itemset FROM d UNION ALL SELECT [a.v, b.v] FROM d a JOIN d b ON a.f < b.f)")
@@ -70,58 +67,105 @@ def _(spark, sf):
     return outlier.itemset_support(connections(spark, sf), 3).select(F.array_join("itemset", ",").alias("itemset"), "n")
 
 
-_MOMENTS = f"WITH {_C}, m AS (SELECT array_to_string(itemset, ',') AS itemset, count(*) AS n, sum(q) AS lq, sum(e) AS le, sum(q * e) AS sqe FROM i GROUP BY 1)"
+def _listed(cell) -> str:
+    return "[" + ", ".join(cell(min(i, j), max(i, j)) for i in range(4) for j in range(4)) + "]"
+
+
+_MOMENTS = f"""WITH {_C}, m AS (SELECT array_to_string(itemset, ',') AS itemset, count(*) AS n,
+  {", ".join(f"CAST(sum(x{i}) AS BIGINT) AS l{i}" for i in range(4))}, {", ".join(f"CAST(sum(x{i} * x{j}) AS BIGINT) AS s{i}{j}" for i, j in _CELLS)}
+  FROM i GROUP BY 1)"""
+_WHOLE = f"SELECT itemset, n, array_to_string([l0, l1, l2, l3], ' ') AS l, array_to_string({_listed(lambda i, j: f's{i}{j}')}, ' ') AS s FROM m"
+
+
+def _all_sums(moments):
+    whole = lambda c: F.array_join(F.transform(c, lambda v: F.round(v).cast("long").cast("string")), " ").alias(c)
+    return moments.select(F.array_join("itemset", ",").alias("itemset"), "n", whole("l"), whole("s"))
 
 
-@query("itemset_moments", f"{_MOMENTS} SELECT itemset, n, round(lq, 2) AS lq, CAST(round(le * 100000) AS BIGINT) AS le, CAST(round(sqe * 100000) AS BIGINT) AS sqe FROM m")
+@query("itemset_moments", f"{_MOMENTS} {_WHOLE}")
 def _(spark, sf):
-    m = outlier.itemset_moments(connections(spark, sf), 3)
-    return m.select(F.array_join("itemset", ",").alias("itemset"), "n", F.round(F.col("l")[0], 2).alias("lq"), F.round(F.col("l")[1] * 100000).cast("long").alias("le"), F.round(F.col("s")[1] * 100000).cast("long").alias("sqe"))
+    return _all_sums(outlier.itemset_moments(connections(spark, sf), 3))
 
 
-@query("itemset_covariance", f"{_MOMENTS} SELECT itemset, round(sqe / (n - 1) - lq * le / (n * (n - 1.0)), 4) AS c FROM m WHERE n > 1")
+def _covariances(spark, sf, textbook):
+    m = outlier.itemset_covariance(outlier.itemset_moments(connections(spark, sf), 3), textbook=textbook)
+    cells = m.select(F.array_join("itemset", ",").alias("itemset"), F.posexplode("c").alias("cell", "value"))
+    return cells.select("itemset", "cell", F.round("value", 3).alias("value"))
+
+
+def _covariance_sql(sign: str) -> str:
+    one = f"CASE WHEN n <= 1 THEN s::DOUBLE {sign} la::DOUBLE * lb ELSE s / (n - 1.0) {sign} la::DOUBLE * lb / (n * (n - 1.0)) END"
+    cells = " UNION ALL ".join(f"SELECT itemset, n, {4 * i + j} AS cell, s{min(i, j)}{max(i, j)} AS s, l{i} AS la, l{j} AS lb FROM m" for i in range(4) for j in range(4))
+    return f"{_MOMENTS} SELECT itemset, CAST(cell AS INTEGER) AS cell, round({one}, 3) AS value FROM ({cells})"
+
+
+@query("itemset_covariance", _covariance_sql("+"))
 def _(spark, sf):
-    m = outlier.itemset_covariance(outlier.itemset_moments(connections(spark, sf), 3), textbook=True).filter("n > 1")
-    return m.select(F.array_join("itemset", ",").alias("itemset"), F.round(F.col("c")[1], 4).alias("c"))
+    return _covariances(spark, sf, False)
 
 
-@query("merge_moments", f"{_MOMENTS} SELECT itemset, n, round(lq, 2) AS lq FROM m")
+@query("itemset_covariance_textbook", _covariance_sql("-"))
+def _(spark, sf):
+    return _covariances(spark, sf, True)
+
+
+@query("merge_moments", f"{_MOMENTS} {_WHOLE}")
 def _(spark, sf):
     rows = connections(spark, sf)
-    parts = [outlier.itemset_moments(rows.filter(F.col("source") == s), 3) for s in range(4)]
-    return outlier.merge_moments(*parts).select(F.array_join("itemset", ",").alias("itemset"), "n", F.round(F.col("l")[0], 2).alias("lq"))
+    return _all_sums(outlier.merge_moments(*[outlier.itemset_moments(rows.filter(F.col("source") == s), 3) for s in range(4)]))
 
 
-def _scores(spark, sf):
-    return outlier.anomaly_score(outlier.violation_scores(connections(spark, sf), 3))
+def _scored_sql(per: str) -> str:
+    """Violations along rows with statistics per itemset, and per source where ``per`` says so."""
+    w = f"OVER (PARTITION BY {per}itemset ORDER BY row ROWS UNBOUNDED PRECEDING)"
+    sums = ", ".join([f"sum(x{i}) {w} AS l{i}" for i in range(4)] + [f"sum(x{i} * x{j}) {w} AS s{i}{j}" for i, j in _CELLS])
+    cov = ", ".join(
+        f"(x{i} - l{i} / n) * (x{j} - l{j} / n) AS p{i}{j}, CASE WHEN n <= 1 THEN s{i}{j} + l{i} * l{j} ELSE s{i}{j} / (n - 1) + l{i} * l{j} / (n * (n - 1)) END AS c{i}{j}"
+        for i, j in _CELLS
+    )
+    spread = ", ".join(f"sum(p{i}{j} * p{i}{j}) {w} AS vs{i}{j}, sum(p{i}{j}) {w} AS vl{i}{j}" for i, j in _CELLS)
+    sigma = ", ".join(
+        f"sqrt(greatest((vs{i}{j} + 2 * c{i}{j} * vl{i}{j} + n * c{i}{j} * c{i}{j}) / greatest(n - 1, 1), 0)) AS g{i}{j}" for i, j in _CELLS
+    )
+    v = " + ".join(f"CASE WHEN abs(p{i}{j} - c{i}{j}) > 1.96 * g{i}{j} AND g{i}{j} > 0 THEN {1 if i == j else 2} ELSE 0 END" for i, j in _CELLS)
+    return f"""{_C}, k AS (SELECT *, count(*) {w}::DOUBLE AS n, {sums} FROM i), q AS (SELECT *, {cov} FROM k), t AS (SELECT *, {spread} FROM q),
+u AS (SELECT *, {sigma} FROM t), scored AS (SELECT row, source, itemset, CASE WHEN n < 10 OR {v} > 4.8 THEN 1.0::DOUBLE / len(itemset) ELSE 0.0::DOUBLE END AS contribution FROM u)"""
 
 
-@query("violation_scores")
+@query("violation_scores", f"WITH {_scored_sql('')} SELECT row, array_to_string(itemset, ',') AS itemset, contribution FROM scored")
 def _(spark, sf):
     v = outlier.violation_scores(connections(spark, sf), 3)
     return v.select("row", F.array_join("itemset", ",").alias("itemset"), "contribution")
 
 
-@query("anomaly_score")
+@query("anomaly_score", f"WITH {_scored_sql('')} SELECT row, sum(contribution) AS score FROM scored GROUP BY row")
 def _(spark, sf):
-    return _scores(spark, sf)
+    return outlier.anomaly_score(outlier.violation_scores(connections(spark, sf), 3))
 
 
-def _sourced(spark, sf):
-    return _scores(spark, sf).join(connections(spark, sf).select("row", "source"), "row")
+def _flags(rows):
+    """Local scores: every source has a model of its own."""
+    scores = outlier.anomaly_score(outlier.violation_scores(rows, 3, by="source"))
+    return outlier.flag_outliers(scores.join(rows.select("row", "source"), "row"))
 
 
-@query("flag_outliers")
+@query(
+    "flag_outliers",
+    f"""WITH RECURSIVE {_scored_sql("source, ")}, sc AS (SELECT source, row, sum(contribution) AS score, row_number() OVER (PARTITION BY source ORDER BY row) AS k FROM scored GROUP BY source, row),
+f AS (SELECT source, k, row, score, 0.0::DOUBLE AS bound, score > 0 AS outlier, CASE WHEN score > 0 THEN []::DOUBLE[] ELSE [score] END AS normal FROM sc WHERE k = 1
+UNION ALL SELECT source, k, row, score, bound, score > bound, CASE WHEN score > bound THEN normal ELSE list_append(normal, score)[-40:] END
+FROM (SELECT sc.source, sc.k, sc.row, sc.score, f.normal, coalesce(10 * (list_sum(f.normal) / len(f.normal)), 0.0) AS bound FROM f JOIN sc ON sc.source = f.source AND sc.k = f.k + 1))
+SELECT source, row, score, bound, outlier FROM f""",
+)
 def _(spark, sf):
-    return outlier.flag_outliers(_sourced(spark, sf))
+    return _flags(connections(spark, sf)).drop("after")
 
 
 @query("confirm_outliers")
 def _(spark, sf):
-    scores = _sourced(spark, sf)
-    top = scores.agg(F.max("row").alias("m"))
-    markers = spark.range(1, 21).join(F.broadcast(top)).select((F.col("id") * F.ceil(F.col("m") / 20)).alias("ts"))
-    return outlier.confirm_outliers(outlier.flag_outliers(scores), scores, markers)
+    rows = connections(spark, sf)
+    markers = rows.filter("source = 0 and row % 997 = 0").select((F.col("row") + 1).alias("ts"))
+    return outlier.confirm_outliers(_flags(rows), rows, markers, 3)
 
 
 def _logs(spark, sf):
@@ -191,10 +235,19 @@ def _(spark, sf):
     return meter.speedup(best, 0, "source").select("source", F.round("ratio", 6).alias("ratio"))
 
 
-@query("throughput_series")
+_S = f"""WITH {ev.BASE}, per AS (SELECT ts // 3600000000 * 3600000000000 AS ts, count(*) AS n FROM e GROUP BY 1),
+steps AS (SELECT * FROM (SELECT ts, n / ((ts - lag(ts) OVER (ORDER BY ts)) / 1e6) AS rate FROM per) WHERE rate IS NOT NULL),
+z AS (SELECT min(ts) AS a, max(ts) AS b, count(*) * 3 AS k FROM per),
+g AS (SELECT a + i * ((b - a) / (k - 1)) AS ts FROM z, range((SELECT k FROM z)) r(i)),
+near AS (SELECT g.ts, s.ts::DOUBLE AS t0, s.rate AS r0, u.ts::DOUBLE AS t1, u.rate AS r1 FROM g
+  ASOF LEFT JOIN steps s ON g.ts >= s.ts::DOUBLE ASOF LEFT JOIN steps u ON g.ts <= u.ts::DOUBLE)"""
+
+
+@query("throughput_series", f"{_S} SELECT CAST(round(ts / 1e6) AS BIGINT) AS ts_ms, round(CASE WHEN t0 IS NULL THEN r1 WHEN t1 IS NULL OR t1 = t0 THEN r0 ELSE r0 + (ts - t0) / (t1 - t0) * (r1 - r0) END * 1e9, 3) AS rate FROM near")
 def _(spark, sf):
     e = ev.events(spark, sf).withColumn("ts_ns", F.floor(F.col("ts") / 3_600_000_000) * 3_600_000_000_000)
-    return meter.throughput_series(e.groupBy("ts_ns").agg(F.count("*").alias("n")))
+    rows = meter.throughput_series(e.groupBy("ts_ns").agg(F.count("*").alias("n")))
+    return rows.select(F.round(F.col("ts") / 1e6).cast("long").alias("ts_ms"), F.round(F.col("rate") * 1e9, 3).alias("rate"))
 
 
 @query("run_meter", f"WITH {_L} SELECT count(*) AS volume, round(avg(latency), 3)::DOUBLE AS mean_latency, ((max(ts) - (SELECT min(p) FROM pr)) // 1000)::BIGINT AS completion FROM l")
@@ -255,7 +308,7 @@ def _(spark, sf):
 
 @query("split_by", "SELECT user_id % 4 AS house, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(spark, sf):
-    path = scratch(spark, "split-by")
+    path = shared_dir(spark, "split-by")
     prepare.split_by(table(spark, sf, "events").withColumn("house", F.col("user_id") % 4), path, "house", "event_type")
     back = spark.read.parquet(path).groupBy(F.col("house").cast("long").alias("house"), "event_type")
     return back.agg(F.count("*").alias("n"))
@@ -264,19 +317,19 @@ def _(spark, sf):
 _ROW = "(row_number() OVER (ORDER BY o_orderkey) - 1)"
 
 
-@query("split_round_robin", f"SELECT o_orderkey, CAST({_ROW} % 7 AS INTEGER) AS part FROM orders")
+@query("split_round_robin", f"SELECT *, CAST({_ROW} % 7 AS INTEGER) AS part FROM orders")
 def _(spark, sf):
-    return prepare.split_round_robin(table(spark, sf, "orders").select("o_orderkey"), 7, "o_orderkey")
+    return prepare.split_round_robin(table(spark, sf, "orders"), 7, "o_orderkey")
 
 
-@query("split_contiguous", f"SELECT o_orderkey, CAST({_ROW} // (SELECT CAST(ceil(count(*) / 7.0) AS BIGINT) FROM orders) AS INTEGER) AS part FROM orders")
+@query("split_contiguous", f"SELECT *, CAST({_ROW} // (SELECT CAST(ceil(count(*) / 7.0) AS BIGINT) FROM orders) AS INTEGER) AS part FROM orders")
 def _(spark, sf):
-    return prepare.split_contiguous(table(spark, sf, "orders").select("o_orderkey"), 7, "o_orderkey")
+    return prepare.split_contiguous(table(spark, sf, "orders"), 7, "o_orderkey")
 
 
-@query("add_timestamps", f"SELECT o_orderkey, {_ROW} * 1000 AS ts FROM orders")
+@query("add_timestamps", f"SELECT *, {_ROW} * 1000 AS ts FROM orders")
 def _(spark, sf):
-    return prepare.add_timestamps(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+    return prepare.add_timestamps(table(spark, sf, "orders"), "o_orderkey")
 
 
 @query("cut_before", "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-10'")
@@ -298,7 +351,7 @@ def _(spark, sf):
 
 @query("read_measurements", f"WITH {ev.BASE} SELECT event_id AS id, ts // 1000000 * 1000 AS ts, value AS val, CASE WHEN event_type = 'click' THEN 'load' ELSE 'work' END AS kind, CAST(user_id AS INTEGER) AS plug, CAST(user_id // 3 AS INTEGER) AS household, CAST(user_id // 15 AS INTEGER) AS house FROM e")
 def _(spark, sf):
-    path, e = scratch(spark, "measurements"), ev.events(spark, sf)
+    path, e = shared_dir(spark, "measurements"), ev.events(spark, sf)
     flag = F.when(F.col("event_type") == "click", 1).otherwise(0)
     e.select("event_id", F.floor(F.col("ts") / 1_000_000), "value", flag, "user_id", F.floor(F.col("user_id") / 3), F.floor(F.col("user_id") / 15)).write.csv(path)
     return io.read_measurements(spark, path)
@@ -306,7 +359,7 @@ def _(spark, sf):
 
 @query("read_connections", "SELECT l_orderkey AS ts, l_returnflag || ',' || l_linestatus AS cats, l_quantity + 36 AS total, 'normal' AS label FROM lineitem")
 def _(spark, sf):
-    path, rows = scratch(spark, "connections"), table(spark, sf, "lineitem")
+    path, rows = shared_dir(spark, "connections"), table(spark, sf, "lineitem")
     columns = [F.lit(1.0 if c != "duration" else 0.0) if c not in io.CATEGORIES else F.lit("0") for c in io.CONNECTION]
     fill = {"duration": F.col("l_quantity"), "protocol": F.col("l_returnflag"), "service": F.col("l_linestatus"), "dst_bytes": F.lit(4.0)}
     columns = [fill.get(c, v).alias(f"c{i}") for i, (c, v) in enumerate(zip(io.CONNECTION, columns, strict=True))]
@@ -318,7 +371,7 @@ def _(spark, sf):
 
 @query("result_lines", "SELECT '1.5 vals/ms, w' || (event_id % 3) AS config, round(value, 2) AS latency_ms, round(value * 2, 2) AS throughput FROM events")
 def _(spark, sf):
-    path = scratch(spark, "lines")
+    path = shared_dir(spark, "lines")
     line = F.format_string("1.5 vals/ms, w%d, %.2f ms, %.2f events/ms", F.col("event_id") % 3, F.col("value"), F.col("value") * 2)
     table(spark, sf, "events").select(line.alias("value")).write.text(path)
     return io.parse_result_lines(spark.read.text(path))
@@ -326,7 +379,7 @@ def _(spark, sf):
 
 @query("write_result_lines", "SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(millisecond(ts) % 1000 AS VARCHAR), 3, '0') || ' ' || event_id || ' @ ' || user_id || ' [latency: ' || (event_id % 9) || ' ms]' AS value FROM events")
 def _(spark, sf):
-    path, e = scratch(spark, "results"), table(spark, sf, "events")
+    path, e = shared_dir(spark, "results"), table(spark, sf, "events")
     rows = e.select(F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("value"), F.col("user_id").alias("ts"), (F.col("event_id") % 9).alias("latency"))
     io.write_result_lines(rows, path)
     return spark.read.text(path)
@@ -347,12 +400,40 @@ def _stream(spark, sf):
     return rows.withColumn("val", F.round(F.col("value") * 100).cast("long"))
 
 
+@contextmanager
+def _setting(spark, key, value):
+    """A session setting for the time of one stream."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _drained(spark, df, name):
-    path = scratch(spark, name)
-    stream.drain(df, f"{path}/out", f"{path}/state")
+    path = shared_dir(spark, name)
+    with _setting(spark, "spark.sql.streaming.multipleWatermarkPolicy", "min"), _setting(spark, *_ROCKS):
+        stream.drain(df, f"{path}/out", f"{path}/state")
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
+_ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@query("late_rows", "SELECT count(*) AS late FROM events WHERE ts < TIMESTAMP '2024-01-10'")
+def _(spark, sf):
+    """The events of the month's end come first, so that all of its beginning is behind the watermark. The batch between
+    them is there because rows are late by the watermark that the batch before them had."""
+    path, e = shared_dir(spark, "late"), table(spark, sf, "events")
+    e.filter("ts >= '2024-01-20'").coalesce(1).write.parquet(f"{path}/in")
+    e.filter("ts between '2024-01-10' and '2024-01-20'").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    e.filter("ts < '2024-01-10'").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    rows = io.replay(spark, f"{path}/in", EVENT_SCHEMA).select("ts", "event_id").dropDuplicates(["event_id", "ts"])
+    done = stream.drain(rows, f"{path}/out", f"{path}/state")
+    return spark.createDataFrame([(stream.late_rows(done),)], "late long")
+
+
 _MAX = "(SELECT max(ts) FROM events)"
 
 
@@ -396,7 +477,6 @@ def _stream_raw(spark, sf):
 
 @query("stream_barrier_sum", ev.sql("SELECT marker, total FROM w WHERE marker // 1000 < (SELECT max(ts) // 1000 FROM b)"))
 def _(spark, sf):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = _stream(spark, sf)
     own = rows.filter("event_type <> 'signup'").select("ts", "val")
     marks = _stream(spark, sf).filter("event_type = 'signup'").select("ts")
@@ -406,7 +486,6 @@ def _(spark, sf):
 
 @query("stream_asof_join", ev.sql("SELECT l.event_id, u.val AS zip FROM (SELECT * FROM e WHERE event_type = 'view') l ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'signup') u ON l.user_id = u.user_id AND l.ts > u.ts WHERE l.ts // 1000 < (SELECT min(m) FROM (SELECT max(ts) // 1000 AS m FROM e WHERE event_type IN ('view', 'signup') GROUP BY event_type))"))
 def _(spark, sf):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     views = _stream(spark, sf).filter("event_type = 'view'").select("ts", "user_id", F.col("event_id").alias("id"))
     updates = _stream(spark, sf).filter("event_type = 'signup'").select("ts", "user_id", "val")
     out = _drained(spark, stream.stream_asof_join(views, updates, "user_id", "val"), "asof")

@@ -15,9 +15,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 
 def watermarked(*sources: DataFrame, ts: str = "ts", delay: str = "0 seconds") -> DataFrame:
-    """Union of streams, each with its own watermark; the union's is the least of them."""
-    for s in sources:
-        s.sparkSession.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "min")
+    """Union of streams, each with its own watermark; the union's is the least of them (the session's policy "min")."""
     marked = [s.withWatermark(ts, delay) for s in sources]
     out = marked[0]
     for m in marked[1:]:
