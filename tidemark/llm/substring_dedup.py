@@ -1,14 +1,18 @@
 """Removal of repeated word windows by level-wise doubling (operator 3).
 
-Level 1 looks at windows of half the target length, at content-selected positions only: every target-length
-window contains the leftmost minimum of its half-length window hashes, so equal windows select equal halves.
-Halves that occur in one document alone end there. Survivors are extended to twice the length; runs of windows
-that several documents share as a whole are settled once, by the run's own hash, and only the first document
-of each run is looked at window by window, where its half has other runs too. Windows repeated at the target
-length decide what is removed.
+Levels are window lengths that double up to the target: 7, 13, 25 and 50 words for 50. At each level below the target
+a window of the target length is looked at through the leftmost minimum of the hashes of its windows of that level, so
+that equal windows show equal parts, and few positions are kept. Windows whose part occurs in one document alone end
+there; only those that repeat go to the next level, of twice the length, until the target decides or none is left. At
+the last level below the target, runs of windows that several documents share as a whole are settled once, by the run's
+own hash, and only the first document of each run is looked at window by window, where its part has other runs too.
+
+Counts of a level are written before they meet its rows again, so that the join of a part that very many documents
+share can be split.
 
 Defined results: null or empty text has no words; a null ``doc_id`` neither removes nor is removed from;
-repeated rows of one ``doc_id`` share one fate, since only a smaller ``doc_id`` removes; extra columns are ignored.
+repeated rows of one ``doc_id`` share one fate, since only a smaller ``doc_id`` removes; texts under one id are judged
+one by one; a text of any length is one row of a batch; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import written
+from .common import Scratch
 
 _KEY = ["kid", "tid"]
 
@@ -37,35 +41,47 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _half_windows(length: int):
-    """Content-selected half-length windows, with the run of target-length windows that select each."""
-    half = (length + 1) // 2
+def levels(length: int) -> list[int]:
+    """Window lengths that double, rounded up, to ``length``: one below it at least."""
+    out = [length]
+    while out[0] > 7 or len(out) < 2:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
+def _parts(width: int, length: int, spanned: bool):
+    """The ``width``-word part of each target-length window (with ``spanned`` of those in the spans only), one row for a
+    run of windows that show the same part, with a hash of the run's words."""
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch | None:
         w = T.words(part.column("text"))
-        at = w.windows(length)
+        if spanned:
+            row, lo, hi = _spans(part)
+            at = np.unique(T.ranges(w.first[row] + lo, hi - lo + 1))
+        else:
+            at = w.windows(length)
         if not len(at):
             return None
         sums, n = T.Prefix(w.hash), len(w.hash)
-        every = np.arange(n - half + 1)
-        chosen = T.leftmost_minimum(T.mix(sums.of(every, every + half)), length - half + 1)[at]
+        every = np.arange(n - width + 1)
+        chosen = T.leftmost_minimum(T.mix(sums.of(every, every + width)), length - width + 1)[at]
         doc = np.searchsorted(w.first, at, "right") - 1
         new = np.ones(len(at), bool)
-        new[1:] = (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1])
+        new[1:] = (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
         begin = np.flatnonzero(new)
         last = np.append(begin[1:], len(at)) - 1
         lo, hi, q, doc = at[begin], at[last], chosen[begin], doc[begin]
         zero = w.first[doc]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(T.mix(sums.of(q, q + half)).view(np.int64)),
+                pa.array(T.mix(sums.of(q, q + width)).view(np.int64)),
                 pa.array(T.mix(sums.of(lo, hi + length), 7).view(np.int64)),
                 part.column("kid").take(pa.array(doc)),
                 part.column("tid").take(pa.array(doc)),
                 pa.array((lo - zero).astype(np.int32)),
                 pa.array((hi - zero).astype(np.int32)),
             ],
-            ["half", "run", "kid", "tid", "lo", "hi"],
+            ["part", "run", "kid", "tid", "lo", "hi"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +90,7 @@ def _half_windows(length: int):
                 if (out := one(part)) is not None:
                     yield out
 
-    return run, "half long, run long, kid long, tid int, lo int, hi int"
+    return run, "part long, run long, kid long, tid int, lo int, hi int"
 
 
 def _spans(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,25 +166,41 @@ def _cut(length: int):
     return run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
+def _listed(spans: DataFrame) -> DataFrame:
+    return spans.groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # of one document
+
+
 def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     """Spans ``[lo, hi]`` of window starts whose window also starts in a document of smaller doc_id.
 
     ``docs`` comes from ``_keyed``; returns kid, tid, lo, hi.
     """
-    level = written(docs.filter(F.col("doc_id").isNotNull()).mapInArrow(*_half_windows(length)), "op3-half")
+    tables = Scratch(docs.sparkSession, "op3")
+    known = docs.filter(F.col("doc_id").isNotNull())
     least, most = F.min("kid").alias("a"), F.max("kid").alias("b")
-    repeated = level.groupBy("half").agg(least, most, F.min("run").alias("r"), F.max("run").alias("s"))
-    repeated = repeated.filter("a < b").select("half", (F.col("r") < F.col("s")).alias("varies"))
-    survivors = written(level.join(repeated, "half").drop("half"), "op3-repeated")
-
-    runs = survivors.join(survivors.groupBy("run").agg(F.min("kid").alias("first_doc")), "run")
-    leaders = runs.filter("varies and kid = first_doc").select(*_KEY, "lo", "hi").distinct()
-    leaders = leaders.groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    full = docs.join(leaders.hint("shuffle_hash"), _KEY).mapInArrow(*_full_windows(length))
-    first = full.groupBy("window", "check").agg(least, most).filter("a < b").drop("b")
+    alive = None
+    for width in levels(length)[:-1]:
+        texts = known if alive is None else known.join(_listed(alive).hint("shuffle_hash"), _KEY)
+        rows = tables.table("rows", texts.mapInArrow(*_parts(width, length, alive is not None)))
+        counts = rows.groupBy("part").agg(least, most, F.min("run").alias("r"), F.max("run").alias("s"))
+        counts = counts.filter("a < b").select("part", (F.col("r") < F.col("s")).alias("varies"))
+        counts = tables.table("counts", counts)
+        alive = tables.table("alive", rows.join(counts, "part").drop("part"))
+        tables.drop("rows", "counts")
+        tables.drop("alive", but_last=True)
+
+    firsts = tables.table("firsts", alive.groupBy("run").agg(F.min("kid").alias("first_doc")))
+    runs = tables.table("runs", alive.join(firsts, "run").drop("run"))
+    tables.drop("alive", "firsts")
+    leaders = _listed(runs.filter("varies and kid = first_doc").select(*_KEY, "lo", "hi").distinct())
+    full = tables.table("full", known.join(leaders.hint("shuffle_hash"), _KEY).mapInArrow(*_full_windows(length)))
+    first = tables.table("first", full.groupBy("window", "check").agg(least, most).filter("a < b").drop("b"))
     late = full.join(first, ["window", "check"]).filter("kid > a")
     whole = runs.filter("kid > first_doc").select(*_KEY, "lo", "hi")
-    return whole.unionByName(late.select(*_KEY, F.col("at").alias("lo"), F.col("at").alias("hi")))
+    spans = whole.unionByName(late.select(*_KEY, F.col("at").alias("lo"), F.col("at").alias("hi")))
+    spans = tables.table("spans", spans)
+    tables.drop("runs", "full", "first")
+    return spans
 
 
 def remove_repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -178,5 +210,5 @@ def remove_repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
     input row. Windows are judged on the input, not on what is left.
     """
     docs = _keyed(docs)
-    spans = repeated_spans(docs, length).groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = _listed(repeated_spans(docs, length))
     return docs.join(spans.hint("shuffle_hash"), _KEY, "left").mapInArrow(*_cut(length))
