@@ -3,8 +3,8 @@
 Suffixes are kept only where a minimiser of GRAM-word hashes lies, one in every passage of the target length at least.
 They are sorted by their gram and the words after it, neighbours are compared, and each match is extended to the right
 and to the left; a second order, by the gram and the words before it, finds the partners that agree best on the left.
-What its neighbours prove for a suffix marks a span of its document; spans of at least the target length that
-neighbouring suffixes prove are joined. Neighbours meet every pair only where a gram has at most NEAR + 1 different
+What its neighbours prove for a suffix marks a span of its document with one partner; spans of one partner are joined
+where they overlap by all but one word of a window. Neighbours meet every pair only where a gram has at most NEAR + 1 different
 surroundings. Where it has more, every window of the target length that has the gram for its minimiser is grouped by
 (gram, offset, words) as well, so no repeat depends on what sorts between two partners.
 
@@ -12,7 +12,8 @@ Equal surroundings are folded before sorting, so a passage of many copies is a f
 only between different documents. Words are compared by 32-bit hashes beyond the gram.
 
 Defined results: null and empty texts and null ids have no spans; repeated rows of one doc_id prove nothing for each
-other; extra columns are ignored.
+other and give the same rows once; among equal partners the smaller id counts; texts of any length are taken whole; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import partitions, written
+from .common import Scratch, partitions
 
 GRAM = 16
 #: Neighbours on either side that a suffix is compared with.
@@ -198,74 +199,78 @@ def _neighbours(length: int):
     return run, schema
 
 
-def _proofs(array: DataFrame, order: list[str], length: int) -> DataFrame:
+def _proofs(tables: Scratch, array: DataFrame, order: list[str], length: int) -> DataFrame:
     """(ctx, lo, ro, other) from neighbours in one order of the array, across tasks as well."""
     columns = ["ctx", "gram", "left", "right", "low", "high"]
     spark = array.sparkSession
     ranged = array.select(*columns).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    found = written(ranged.mapInArrow(*_neighbours(length)), "op2-neighbours")
+    found = tables.table("neighbours", ranged.mapInArrow(*_neighbours(length)))
     # two rows at either end of each task: a table of the number of tasks
     edges = found.filter("edge").select(*columns).distinct().coalesce(1).sortWithinPartitions(*order)
     across = edges.mapInArrow(*_neighbours(length)).filter("not edge")
     return found.filter("not edge").unionByName(across).select("ctx", "lo", "ro", "other")
 
 
-def _crowded(array: DataFrame, length: int) -> DataFrame:
+def _crowded(tables: Scratch, array: DataFrame, length: int) -> DataFrame:
     """(ctx, lo, ro, other, high) from equal windows, for grams with more surroundings than neighbours settle."""
     grams = array.groupBy("gram").count().filter(F.col("count") > NEAR + 1).select("gram")
     rows = array.join(grams, "gram", "left_semi").select("ctx", "gram", "left", "right", "least", "most", "low", "high")
-    windows = written(rows.mapInArrow(*_windows(length)), "op2-windows")
+    windows = tables.table("windows", rows.mapInArrow(*_windows(length)))
     shared = windows.groupBy("key").agg(F.min("low").alias("other"), F.max("high").alias("high")).filter("other < high")
-    met = windows.select("ctx", "key", "lo").join(shared, "key")
-    # all windows of a context hold its gram, so their union is one span
-    spans = met.groupBy("ctx", "other", "high").agg(F.max("lo").alias("lo"), (length - GRAM - F.min("lo")).alias("ro"))
+    shared = tables.table("shared", shared)
+    met = windows.select("ctx", "key", "lo").join(shared, "key").select("ctx", "other", "high", "lo").distinct()
+    # windows at consecutive offsets are one span
+    per = Window.partitionBy("ctx", "other", "high").orderBy("lo")
+    met = met.withColumn("run", F.col("lo") - F.row_number().over(per))
+    spans = met.groupBy("ctx", "other", "high", "run").agg(F.max("lo").alias("lo"), (length - GRAM - F.min("lo")).alias("ro"))
     return spans.select("ctx", "lo", "ro", "other", "high")
 
 
 def repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words, other_doc_id): passages of at least ``length`` words, end exclusive, that
-    other documents share too; other_doc_id is the smallest document that a comparison met."""
+    """(doc_id, start_word, end_word, n_words, other_doc_id): passages of at least ``length`` words, end exclusive, whose
+    windows of ``length`` words all occur in other_doc_id too; that is the smallest document that a comparison met.
+
+    A document has one row for each such partner and stretch, so passages of different partners may overlap."""
+    tables = Scratch(docs.sparkSession, "op2")
     docs = _keyed(docs)
-    suffixes = written(docs.mapInArrow(*_suffixes(length)), "op2-suffixes")
-    twice = suffixes.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
-    kept = suffixes.join(twice.select("gram"), "gram", "left_semi")
+    suffixes = tables.table("suffixes", docs.mapInArrow(*_suffixes(length)))
+    twice = suffixes.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram")
+    twice = tables.table("twice", twice)  # written, so that the join can be split at a gram that very many documents have
+    kept = suffixes.join(twice, "gram")
     places = kept.groupBy(*_KEY).agg(F.collect_list(F.struct("gram", "at")).alias("at"))  # of one document
     around = docs.join(places.hint("shuffle_hash"), _KEY).mapInArrow(*_surroundings(length))
-    around = written(around.withColumn("ctx", F.xxhash64("gram", "left", "right")), "op2-around")
+    around = tables.table("around", around.withColumn("ctx", F.xxhash64("gram", "left", "right")))
+    tables.drop("suffixes", "twice")
     array = around.groupBy("ctx").agg(
         F.first("gram").alias("gram"), F.first("left").alias("left"), F.first("right").alias("right"),
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("least").alias("least"), F.first("most").alias("most"),
     )
-    array = written(array, "op2-array")
+    array = tables.table("array", array)
     # surroundings that several documents share as a whole
     words = lambda c: sum((F.substring(c, 4 * i + 1, 4) != F.lit(bytes(4))).cast("int") for i in range(length - GRAM))
     own = array.filter("low < high").select("ctx", words("left").alias("lo"), words("right").alias("ro"), F.col("low").alias("other"), "high")
     own = own.filter(F.col("lo") + GRAM + F.col("ro") >= length)
-    proofs = _proofs(array, ["gram", "right", "left"], length).unionByName(_proofs(array, ["gram", "left", "right"], length))
+    orders = (["gram", "right", "left"], ["gram", "left", "right"])
+    proofs = _proofs(tables, array, orders[0], length).unionByName(_proofs(tables, array, orders[1], length))
     best = proofs.groupBy("ctx", "lo", "ro").agg(F.min("other").alias("other")).withColumn("high", F.col("other"))
-    best = best.unionByName(own).unionByName(_crowded(array, length))
+    best = tables.table("best", best.unionByName(own).unionByName(_crowded(tables, array, length)))
+    tables.drop("array", "neighbours", "windows")
     spans = around.select("ctx", *_KEY, "at").join(best, "ctx")
     partner = F.when(F.col("other") != F.col("doc_id"), F.col("other")).when(F.col("high") != F.col("doc_id"), F.col("high"))
     spans = spans.select(*_KEY, (F.col("at") - F.col("lo")).alias("s"), (F.col("at") + GRAM + F.col("ro")).alias("e"), partner.alias("o"))
-    spans = spans.filter("o is not null").groupBy(*_KEY, "s").agg(F.max("e").alias("e"), F.min("o").alias("o"))
-    return _joined(spans)
-
-
-def _joined(spans: DataFrame) -> DataFrame:
-    """Overlapping spans of a document as one."""
-    lists = spans.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("s", "e", "o"))).alias("spans"))  # of one document
-    empty = F.array().cast("array<struct<s:int,e:int,o:bigint>>")
-
-    def step(done, x):
-        last = F.element_at(done, -1)
-        grown = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), F.least(last["o"], x["o"]).alias("o"))
-        head = F.slice(done, 1, F.size(done) - 1)
-        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["e"] > x["s"]), F.concat(head, F.array(grown))).otherwise(
-            F.concat(done, F.array(x))
-        )
-
-    merged = lists.select("doc_id", F.explode(F.aggregate("spans", empty, step)).alias("p"))
-    return merged.select(
-        "doc_id", F.col("p.s").alias("start_word"), F.col("p.e").alias("end_word"),
-        (F.col("p.e") - F.col("p.s")).alias("n_words"), F.col("p.o").alias("other_doc_id"),
+    spans = tables.table("spans", spans.filter("o is not null").groupBy(*_KEY, "o", "s").agg(F.max("e").alias("e")))
+    tables.drop("around", "best")
+    return _joined(spans, length)
+
+
+def _joined(spans: DataFrame, length: int) -> DataFrame:
+    """Spans of a document and partner as one where every window of both together lies in one of them."""
+    per = Window.partitionBy(*_KEY, "o").orderBy("s")
+    reach = F.max("e").over(per.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.col("s") <= reach - length + 1, 0).otherwise(1)
+    rows = spans.withColumn("begins", begins).withColumn("part", F.sum("begins").over(per))
+    parts = rows.groupBy(*_KEY, "o", "part").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return parts.select(
+        "doc_id", F.col("s").alias("start_word"), F.col("e").alias("end_word"),
+        (F.col("e") - F.col("s")).alias("n_words"), F.col("o").alias("other_doc_id"),
     )
