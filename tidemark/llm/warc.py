@@ -13,11 +13,13 @@ import gzip
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .token_store import _put
 
 SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 16 << 10, 4096, 16 << 20
@@ -76,6 +78,7 @@ def page_records(page: str, occurrence: int, url: str | None, payload: bytes, re
     sha = digest(payload)
     origin = f"<urn:page:{page}:{sha}:{occurrence}>"
     common = {"WARC-Target-URI": url or "", "WARC-Date": _DATE, "WARC-Payload-Digest": f"sha1:{sha}"}
+    common["Content-Type"] = "application/http; msgtype=response"
     if refers_to is not None:
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -108,7 +111,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
     repeated rows of that page_id one is the response. Smaller payloads are responses all. Other columns are dropped.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    pages = pages.select(_id(F.col("page_id")).alias("kid"), "url", html.alias("html"), F.sha1(html).alias("sha"))
+    pages = small_batches(pages).select(_id(F.col("page_id")).alias("kid"), "url", html.alias("html"), F.sha1(html).alias("sha"))
     best = pages.groupBy("sha").agg(F.max("kid").alias("best"))
     verdicts = pages.select("kid", "sha").distinct().join(best, "sha")
     ordered = pages.join(verdicts, ["kid", "sha"]).sortWithinPartitions("kid", "sha", "url")
@@ -121,7 +124,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
 
         def close() -> pa.RecordBatch:
             name = f"pages-{task.partitionId():07d}-{made:05d}.warc.gz"
-            _put(folder, name, gzip.compress(b"".join(parts), 1, mtime=0), str(task.taskAttemptId()))
+            _put(folder, name, b"".join(parts), str(task.taskAttemptId()))
             return pa.RecordBatch.from_pydict({"archive": [name], "bytes": [size]})
 
         for batch in batches:
@@ -132,7 +135,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
                 first = len(payload) < least_bytes or (row["kid"] == row["best"] and occurrence == 0)
                 name = ["" if x == _NULL_ID else str(x) for x in (row["kid"], row["best"])]
                 for r in page_records(name[0], occurrence, row["url"], payload, None if first else name[1]):
-                    parts.append(r)
+                    parts.append(gzip.compress(r, 1, mtime=0))  # a member a record, so that each can be read alone
                     size += len(r)
                     if size >= ARCHIVE_BYTES:
                         yield close()
@@ -178,11 +181,15 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Payloads of responses, verified; the length that a revisit's header tells."""
+_PAGE = ["origin", "record_type", "refers_to", "digest", "url", "payload", "payload_bytes"]
+_PAGE_SCHEMA = "origin string, record_type string, refers_to string, digest string, url string, payload binary, payload_bytes long"
+
+
+def _payloads(blocks, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads of responses, verified; the length that a revisit's header tells. ``blocks`` takes the blocks of a batch."""
     for batch in batches:
         out, sizes = [], []
-        for block, kind, sha in zip(*(batch.column(c).to_pylist() for c in ("block", "record_type", "digest")), strict=True):
+        for block, kind, sha in zip(blocks(batch), batch.column("record_type").to_pylist(), batch.column("digest").to_pylist(), strict=True):
             head, _, body = block.partition(b"\r\n\r\n")
             payload, size = None, re.search(rb"(?i)\r\ncontent-length: *(\d+)", head)
             if kind == "response":
@@ -191,9 +198,22 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raise ValueError("a payload differs from its digest")
             out.append(payload)
             sizes.append(len(payload) if payload is not None else int(size[1]) if size else None)
-        kept = [batch.column(c) for c in ("origin", "record_type", "refers_to", "digest", "url")]
-        names = ["origin", "record_type", "refers_to", "digest", "url", "payload", "payload_bytes"]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.binary()), pa.array(sizes, pa.int64())], names)
+        kept = [batch.column(c) for c in _PAGE[:5]]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.binary()), pa.array(sizes, pa.int64())], _PAGE)
+
+
+def _whole(batch: pa.RecordBatch) -> list[bytes]:
+    return batch.column("block").to_pylist()
+
+
+def _reassembled(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """The segments of each origin, by number and joined once; they must be complete and as long as the last one says."""
+    for origin, total, segments in zip(*(batch.column(c).to_pylist() for c in ("origin", "total", "segments")), strict=True):
+        segments = sorted(segments, key=lambda s: s["segment"])
+        block = b"".join([s["block"] for s in segments])
+        if [s["segment"] for s in segments] != list(range(1, len(segments) + 1)) or len(block) != total:
+            raise ValueError(f"segments of {origin} are missing")
+        yield block
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -208,21 +228,12 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     parsed = files.mapInArrow(_parsed, schema)
     parts = parsed.filter("segmented").groupBy("origin").agg(
         *[F.max(c).alias(c) for c in ("record_type", "refers_to", "digest", "url", "total")],
-        F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("segments"),  # one page's segments
+        F.collect_list(F.struct("segment", "block")).alias("segments"),  # one page's segments
     )
-    block = F.aggregate("segments", F.lit(b""), lambda a, s: F.concat(a, s["block"]))
-    joined = parts.withColumn("block", block)
-    complete = F.col("total").isNotNull() & (F.octet_length("block") == F.col("total"))
-    last = F.element_at("segments", -1)["segment"] == F.size("segments")
-    broken = F.raise_error(F.concat(F.lit("segments of "), F.col("origin"), F.lit(" are missing"))).cast("binary")
-    checked = joined.withColumn("block", F.when(complete & last, F.col("block")).otherwise(broken))
-    columns = ["origin", "record_type", "refers_to", "digest", "url", "block"]
     # whole records need no partner and stay where they are read
-    whole = parsed.filter("not segmented").select(*columns).unionByName(checked.select(*columns))
-    pages = whole.mapInArrow(
-        _payloads,
-        "origin string, record_type string, refers_to string, digest string, url string, payload binary, payload_bytes long",
-    )
+    whole = parsed.filter("not segmented").select(*_PAGE[:5], "block").mapInArrow(partial(_payloads, _whole), _PAGE_SCHEMA)
+    joined = parts.select(*_PAGE[:5], "total", "segments").mapInArrow(partial(_payloads, _reassembled), _PAGE_SCHEMA)
+    pages = whole.unionByName(joined)
 
     def page(name: str) -> Column:
         found = F.regexp_extract(name, r"^<urn:page:(-?\d+):", 1)
