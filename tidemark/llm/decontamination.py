@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .common import small_batches
 
 MIN_TILE, COVERAGE = 5, 0.5
 #: Benchmarks of at most so many bytes of text are sent to every task; larger ones meet the documents in joins.
@@ -40,12 +41,12 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int = MIN_TILE) -> list[tuple
         return bool(np.isin(windows(sums_i, free_i, n)[1], windows(sums_d, free_d, n)[1]).any())
 
     longest = min(len(doc), len(item))
-    while common(least):
+    while longest >= least and common(least):
         low, high = least, longest  # a common run of n words holds one of n - 1
         while low < high:
             middle = (low + high + 1) // 2
             low, high = (middle, high) if common(middle) else (low, middle - 1)
-        longest = low
+        longest, placed = low, len(tiles)
         at_i, h_i = windows(sums_i, free_i, low)
         at_d, h_d = windows(sums_d, free_d, low)
         places: dict[int, list[int]] = {}
@@ -55,10 +56,12 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int = MIN_TILE) -> list[tuple
             if h not in places or not free_i[a : a + low].all():
                 continue
             for b in places[h]:
-                if free_d[b : b + low].all():
+                # equal hashes count for equal words only where each word agrees
+                if free_d[b : b + low].all() and np.array_equal(doc[b : b + low], item[a : a + low]):
                     free_i[a : a + low] = free_d[b : b + low] = False
                     tiles.append((b, a, low))
                     break
+        longest -= placed == len(tiles)
     return tiles
 
 
@@ -77,6 +80,16 @@ def _output(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _judge(doc_id, item_id, doc: np.ndarray, item: np.ndarray, least: int, coverage: float) -> tuple | None:
+    if len(doc) < least or len(item) < least:
+        return None
+    starts = [np.arange(len(x) - least + 1) for x in (doc, item)]
+    seeds = [T.Prefix(x).of(s, s + least) for x, s in zip((doc, item), starts, strict=True)]
+    under = np.zeros(len(item) + 1, np.int64)  # tiles lie under seeds that both have
+    met = starts[1][np.isin(seeds[1], seeds[0])]
+    np.add.at(under, met, 1)
+    np.add.at(under, met + least, -1)
+    if (np.cumsum(under)[:-1] > 0).sum() < coverage * len(item):
+        return None
     tiles = tile(doc, item, least)
     share = sum(t[2] for t in tiles) / max(1, len(item))
     if not tiles or share < coverage:
@@ -88,9 +101,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_TILE, c
     """(doc_id, item_id, coverage, n_tiles, tiles) of every pair whose tiles cover at least that share of the item.
 
     Words are compared with A-Z in lower case. Null and empty texts, and items of fewer than ``least`` words, match
-    nothing; null and repeated ids are passed through; other columns are dropped.
+    nothing; null and repeated ids are passed through, a row for every pair of rows; texts of any length are tiled whole;
+    of equally long matches the leftmost counts; an empty table on either side gives no rows; other columns are dropped.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size <= BROADCAST_BYTES:
