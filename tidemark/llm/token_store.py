@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import WORD, partitions
+from .common import WORD, partitions, small_batches
 
 MAGIC = b"TMTOK1\r\n"
 #: Documents that the dictionary is trained on, at most, and its size in bytes.
 DICTIONARY_SAMPLE, DICTIONARY_BYTES = 1000, 64 << 10
 #: A task starts another shard when one has this many compressed bytes.
 SHARD_BYTES = 32 << 20
+#: Ids that a reading task holds decompressed at a time.
+READ_TOKENS = 1 << 20
 #: Words that a worker remembers before it starts anew.
 REMEMBERED = 800_000
 
@@ -40,6 +42,8 @@ class WordTokenizer:
     what holds an apostrophe stays whole. Other texts, and those that may hold a special token, are cut into words.
     """
 
+    # Fixed value: what the tokenizer takes for pieces.
+    _pieces = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     _word = re.compile(WORD)
     _letters, _gap = "a-zªµºß-öø-ÿ", r"\x20\x09-\x0D"
     _run = re.compile(f"[{_letters}]+|[^{_gap}{_letters}']++(?!')|[^{_gap}]+")
@@ -51,9 +55,18 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self._check()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._forget()
 
+    def _check(self) -> None:
+        """Refuses a tokenizer whose settings are not those that the cutting relies on."""
+        spec = json.loads(self.tokenizer.to_str())
+        folds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        cuts = [(p["type"], p.get("pattern", {}).get("Regex"), p.get("invert")) for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if folds != ["NFC", "Replace", "Lowercase"] or cuts[:1] != [("Split", self._pieces, True)] or spec["model"].get("dropout"):
+            raise ValueError("this tokenizer may join what the store cuts apart")
+
     def _forget(self) -> None:
         self.code: dict[str, int] = {}
         self.ids, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -197,7 +210,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end: int) ->
     import zstandard
 
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dictionary = train_dictionary(docs, tokenizer_path, end)
     _put(folder, "dictionary.zdict", dictionary, "driver")
     shared = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
@@ -233,7 +246,9 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end: int) ->
         if frames:
             yield close()
 
-    ordered = docs.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    # rows of one doc_id have an order too, so that every attempt at a task writes the same bytes
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ordered = docs.repartitionByRange(partitions(spark), *order[:2]).sortWithinPartitions(*order)
     done = ordered.mapInArrow(run, "shard string, first_doc long, documents long, tokens long")
     done.write.parquet(f"{folder}/manifest")
 
@@ -250,8 +265,9 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
             for name, data in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
                 shard = Shard(data.as_py(), shared.value)
                 before = np.concatenate([[0], np.cumsum(shard.counts)])
-                for at in range(0, len(shard.counts), 2000):
-                    to = min(at + 2000, len(shard.counts))
+                at = 0
+                while at < len(shard.counts):  # READ_TOKENS at a time, one document at least
+                    to = max(at + 1, int(np.searchsorted(before, before[at] + READ_TOKENS, "right")) - 1)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([name] * (to - at), pa.string()),
@@ -262,6 +278,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
                         ],
                         ["shard", "doc_id", "inner", "n_tokens", "ids"],
                     )
+                    at = to
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     files = files.option("pathGlobFilter", "part-*.tok").load(folder)
