@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -18,23 +19,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import text as T
+from .common import Scratch, small_batches
 
-#: Labelled documents that one fit uses at most, chosen by a hash of doc_id.
-TRAIN_DOCUMENTS = 4000
+#: Labelled documents that one fit uses at most, chosen by a hash of doc_id, and their bytes of text.
+TRAIN_DOCUMENTS, TRAIN_BYTES = 4000, 64 << 20
 BUCKETS, DIMENSIONS, NGRAMS = 1 << 16, 8, (1, 2, 3, 4)
 EPOCHS, RATE, SEED = 8, 0.5, 7
 
 
 def _grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For words, word pairs, repeats and each length of character n-gram inside words: the hash buckets, and where
-    each text's begin. A repeat is a word beside its like, whatever the word."""
+    """For words, word pairs and each length of character n-gram inside words: the hash buckets, and where each text's
+    begin."""
     mask = np.uint64(BUCKETS - 1)
     w = T.words(pa.array([t or "" for t in texts], pa.string()))
     yield (T.mix(w.hash, 1) & mask).astype(np.int64), w.first
     pairs = w.windows(2)
     first = np.searchsorted(pairs, w.first)
     yield (T.mix(T.Prefix(w.hash).of(pairs, pairs + 2), 2) & mask).astype(np.int64), first
-    yield (w.hash[pairs] == w.hash[pairs + 1]).astype(np.int64), first
     points = np.frombuffer("\n".join([*(t or "" for t in texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.concatenate([[0], np.cumsum([len(t or "") + 1 for t in texts])])
     gap = (points == 0x20) | ((points >= 0x09) & (points <= 0x0D))
@@ -106,23 +107,29 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """A model from at most TRAIN_DOCUMENTS labelled documents outside the held-out fold.
+    """A model from at most TRAIN_DOCUMENTS labelled documents outside the held-out fold, whose texts have TRAIN_BYTES at
+    most together; the texts are whole.
 
-    Null labels and ids are left out; of several labels of one doc_id the largest counts."""
+    Null labels and ids are left out; of several labels of one doc_id the largest counts, of several texts the one with
+    the smallest hash; a null text is an empty one."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCUMENTS)
     pairs = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # TRAIN_DOCUMENTS rows at most
-    rows = pairs.select(F.xxhash64("doc_id").alias("h"), "text", "y").collect()
-    rows.sort(key=lambda r: (r.h, r.text or ""))
-    return train([r.text for r in rows[:TRAIN_DOCUMENTS]], [r.y for r in rows[:TRAIN_DOCUMENTS]])
+    one_text = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    rows = pairs.groupBy(F.xxhash64("doc_id").alias("h"), "doc_id").agg(one_text, F.first("y").alias("y"))
+    rows = Scratch(docs.sparkSession, "op1").table("labelled", rows)
+    sizes = sorted((r.h, r.doc_id, r.n or 0) for r in rows.select("h", "doc_id", F.octet_length("text").alias("n")).collect())
+    within = [h for h, total in zip((s[0] for s in sizes), accumulate(s[2] for s in sizes), strict=True) if total <= TRAIN_BYTES]
+    known = sorted(rows.filter(F.col("h") <= (within[-1] if within else -(1 << 63))).collect(), key=lambda r: (r.h, r.doc_id))
+    return train([r.text for r in known], [r.y for r in known])
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with a column ``score`` (0 to 1, higher: class 1 likelier), replacing any column of that name.
 
     Null text scores as empty text. Nothing but the text enters the score."""
-    docs = docs.drop("score")
+    docs = small_batches(docs.drop("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one float a bucket
     names = docs.columns
 
