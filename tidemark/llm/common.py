@@ -1,80 +1,31 @@
-"""Session helpers shared by the training-data operators."""
+"""Helpers shared by the training-data operators."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import Scratch, shared_dir, written
+
+__all__ = ["Scratch", "partitions", "shared_dir", "small_batches", "table", "words_column", "written"]
+
 #: Words are maximal runs of characters other than ASCII white space (Java and Python syntax alike).
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_GAP = r"[\x20\x09-\x0D]+"
+#: Rows of whole texts that go to a Python task at a time.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession, kind: str) -> str:
-    """A new folder below the cluster's ``spark.checkpoint.dir``.
-
-    Where that is unset, a session on one machine (tests) gets a temporary folder; on a cluster it is an error, since
-    executors would each write to a disk of their own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
-@contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is run inside go as soon as it has ended."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-
-
-class Scratch:
-    """Tables of one job in a shared folder; each can be dropped when nothing reads it any more."""
-
-    def __init__(self, spark: SparkSession, kind: str):
-        self.spark, self.root, self.paths = spark, shared_dir(spark, kind), {}
-
-    def table(self, name: str, df: DataFrame) -> DataFrame:
-        """``df`` as a Parquet table: cuts lineage, survives lost executors and frees the shuffles before it. A table
-        of the same name written before stays until it is dropped."""
-        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        with _shuffles_dropped(self.spark):
-            df.write.parquet(path)
-        self.paths.setdefault(name, []).append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str, but_last: bool = False) -> None:
-        """Removes the tables of these names, or all of each but the last written."""
-        for name in names:
-            paths = self.paths.get(name, [])
-            gone = paths[: len(paths) - but_last]
-            self.paths[name] = paths[len(gone) :]
-            for path in gone:
-                place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, whose texts go to Python tasks BATCH_ROWS at a time, from here on in the session.
 
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    return Scratch(df.sparkSession, kind).table("all", df)
+    Spark's 10,000 whole texts fill the memory of both sides. The setting stays, since frames are run later than they
+    are made; it never changes a result, and a smaller one is left alone."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return docs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import Scratch, partitions
+from .common import Scratch, partitions, small_batches
 from .graph import components
 
 
@@ -308,7 +308,7 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .common import small_batches
 
 SPACE = "▁"
 _CHAR = 1 << 20  # symbols of single characters outside the vocabulary: _CHAR + code point
@@ -220,7 +221,7 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for batch in batches:
-            for part in T.slices(batch, "text", 2 << 20):
+            for part in T.slices(batch, "text"):
                 ids, first = c.encode(part.column("text").to_pylist())
                 listed, packed = ids.tolist(), ids.astype("<u4").tobytes()
                 spans = list(zip(first.tolist(), first[1:].tolist(), strict=False))
@@ -234,5 +235,5 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids", "decoded"],
                 )
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return source.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")

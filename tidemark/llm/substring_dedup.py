@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import Scratch
+from .common import Scratch, small_batches
 
 _KEY = ["kid", "tid"]
 
@@ -36,7 +36,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     id. Both text joins of a plan then read one shuffle of the texts."""
     text = F.coalesce("text", F.lit(""))
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(
+    return small_batches(docs).select(
         doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("kid"), F.hash(text).alias("tid")
     )
 

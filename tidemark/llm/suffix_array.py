@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import Scratch, partitions
+from .common import Scratch, partitions, small_batches
 
 GRAM = 16
 #: Neighbours on either side that a suffix is compared with.
@@ -35,7 +35,7 @@ _KEY = ["doc_id", "tid"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    rows = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    rows = small_batches(docs).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("tid"))
 
 
