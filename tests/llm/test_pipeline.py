@@ -32,6 +32,21 @@ def test_every_stage_against_brute_force(spark):
         assert r.n_tokens == len(library.encode(kept[3][r.doc_id].text)) + 2
 
 
+def test_unlike_texts_of_one_id(spark):
+    """A leak, a copy and a clean text under one doc_id: each is judged by itself."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    clean = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = docs.filter("doc_id is null").unionByName(
+        spark.createDataFrame([(1, clean[0]), (5, clean[0]), (5, clean[1]), (5, item), (7, clean[2])], "doc_id long, text string"),
+        allowMissingColumns=True,
+    )
+    left = corpus_pipeline.near_duplicates(spark, rows, SF)
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(1, clean[0]), (5, clean[1]), (5, item), (7, clean[2])])
+    left = corpus_pipeline.decontaminate(spark, left, SF)
+    assert {(r.doc_id, r.text) for r in left.collect()} == {(1, clean[0]), (5, clean[1]), (7, clean[2])} and left.columns == docs.columns
+
+
 def test_hard_rows(spark, hard_docs, no_docs):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     for docs in (hard_docs.select(*columns, "score", "spans"), no_docs.select(*columns)):

@@ -242,7 +242,8 @@ def _open(live: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id), one row per row of ``docs`` (doc_id, text, text_hash)."""
+    """(doc_id, text_hash, n_shingles, component_id, root), one row per row of ``docs`` (doc_id, text, text_hash); root is
+    the id of one set of the component, which tells components of one smallest doc_id apart."""
     tables = Scratch(docs.sparkSession, "op7")
     sized = tables.table("sized", docs.mapInArrow(*_identified(size)))
     known = docs.filter("doc_id is not null").select("text")
@@ -297,13 +298,13 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     classes = components(links.union(more)).withColumnRenamed("node", "sid")
     tables.drop("links", "second", "more")
     smallest = reps.join(classes, "sid").groupBy("root").agg(F.min("doc_id").alias("least"))
-    per_set = classes.join(smallest, "root").select("sid", "least")
+    per_set = classes.join(smallest, "root").select("sid", "root", "least")
     # written, so that the last join has nothing but two shuffles below it and can be split where copies crowd a set
-    own = tables.table("own", reps.join(per_set, "sid", "left").select("sid", F.coalesce("least", "doc_id").alias("least")))
+    own = tables.table("own", reps.join(per_set, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), F.coalesce("least", "doc_id").alias("least")))
     tables.drop("reps")
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return sized.join(own, "sid", "left").select(
-        "doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")
+        "doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), "root"
     )
 
 
@@ -321,7 +322,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     under one doc_id are sets of their own. Texts of any length are taken whole, an empty table gives no rows. Extra
     columns are ignored. Sets are told apart by 64-bit ids and shingles by 64-bit hashes.
     """
-    return _classes(_rows(docs), size, percent).drop("text_hash")
+    return _classes(_rows(docs), size, percent).drop("text_hash", "root")
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -332,10 +333,10 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     """
     tables = Scratch(docs.sparkSession, "op7-kept")
     classes = _classes(_rows(docs), size, percent).filter("n_shingles > 0 and doc_id is not null")
-    texts = classes.groupBy("doc_id", "text_hash", "component_id").agg(F.count("*").alias("n"))
+    texts = classes.groupBy("doc_id", "text_hash", "component_id", "root").agg(F.count("*").alias("n"))
     texts = tables.table("texts", texts)
-    best = texts.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("best"))
-    judged = texts.join(best, "component_id").withColumn("stays", F.expr("doc_id = component_id and text_hash = best"))
+    best = texts.filter("doc_id = component_id").groupBy("root").agg(F.min("text_hash").alias("best"))
+    judged = texts.join(best, "root").withColumn("stays", F.expr("doc_id = component_id and text_hash = best"))
     verdicts = tables.table("verdicts", judged.filter("n > 1 or not stays").select("doc_id", "text_hash", "stays")).alias("v")
     rows = docs.alias("d")
     same = (F.col("d.doc_id").cast("long") == F.col("v.doc_id")) & (F.xxhash64("d.text") == F.col("v.text_hash"))
