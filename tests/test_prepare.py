@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidemark.operators import asof, barrier, clock, keyed, meter
-from tidemark.sources import prepare
+from tidemark.sources import io, prepare
 
 
 @pytest.fixture
@@ -102,3 +102,25 @@ def test_partitions_and_order_do_not_matter(spark, parts):
 def test_optimal_throughput():
     """A published formula: each source's values, and one barrier in ``ratio`` values of one source."""
     assert meter.optimal_throughput(100.0, 4, 50.0) == 402.0
+
+
+def test_result_lines_are_appended(spark, tmp_path):
+    rows = spark.createDataFrame([("2024-01-02 03:04:05", 7, 11, 3)], "at string, value long, ts long, latency long")
+    rows, path = rows.withColumn("at", F.col("at").cast("timestamp")), f"file://{tmp_path}/lines"
+    io.write_result_lines(rows, path)
+    io.write_result_lines(rows, path, mode="append")
+    assert [r.value for r in spark.read.text(path).collect()] == ["2024-01-02T03:04:05.000 7 @ 11 [latency: 3 ms]"] * 2
+    io.write_result_lines(rows, path)
+    assert spark.read.text(path).count() == 1
+
+
+def test_fold_in_many_parts(spark):
+    """The same states for any number of partitions; a null state where a window is empty."""
+    rows = [(t, t % 7) for t in range(300)]
+    marks = spark.createDataFrame([(100,), (150,), (150,), (400,), (500,)], "ts long")
+    want = {100: (0, 6), 150: (0, 6), 400: (0, 6), 500: (None, None)}
+    for parts in (1, 9):
+        df = spark.createDataFrame(rows, "ts long, val long").repartition(parts)
+        ends = lambda a, b: {"low": int(a.min()), "high": int(b.max())}
+        out = barrier.sync_fold(df, marks, lambda r: ends(r["val"], r["val"]), lambda s: ends(s["low"], s["high"]), "low long, high long")
+        assert {r.marker: (r.low, r.high) for r in out.collect()} == want

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,36 @@ def sync_aggregate(
     return out.withColumns(finish) if finish else out
 
 
+def sync_fold(
+    events: DataFrame,
+    markers: DataFrame,
+    update: Callable[[pd.DataFrame], dict],
+    merge: Callable[[pd.DataFrame], dict],
+    state: str,
+    closed: str = "left",
+) -> DataFrame:
+    """(marker, state columns) of an aggregate that built-in functions cannot say; nulls where a window is empty.
+
+    ``update`` folds some rows of a window into a state (a dictionary with the columns of ``state``), ``merge`` folds
+    some states into one; both must not depend on order or grouping. Batches are folded where they lie, states of a task
+    next, so that a window of any size sends a row a task."""
+
+    def folded(rows: pd.DataFrame, fold: Callable[[pd.DataFrame], dict]) -> pd.DataFrame:
+        return pd.DataFrame([{"marker": m} | fold(g.drop(columns="marker")) for m, g in rows.groupby("marker")])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield folded(batch, update)
+
+    kind = f"marker long, {state}"
+    placed = assign_marker(events, markers, closed=closed).filter("marker is not null").drop("previous")
+    parts = placed.mapInPandas(partial, kind).withColumn("_task", F.spark_partition_id())
+    near = parts.groupBy("marker", "_task").applyInPandas(lambda g: folded(g.drop(columns="_task"), merge), kind)
+    whole = near.groupBy("marker").applyInPandas(lambda g: folded(g, merge), kind)
+    return marker_line(markers).select("marker").join(whole, "marker", "left")
+
+
 def barrier_window_sum(values: DataFrame, barriers: DataFrame, closed: str = "left") -> DataFrame:
     """(marker, total): the sum of val since the previous barrier."""
     return sync_aggregate(values, barriers, {"p": F.sum("val")}, {"total": F.sum("p")}, closed=closed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -238,6 +239,20 @@ def _(spark, sf):
     return out.drop("s")
 
 
+@query("sync_fold", sql("SELECT line.marker, bit_xor(val) AS bits, count(val) AS n FROM line LEFT JOIN p USING (marker) GROUP BY 1"))
+def _(spark, sf):
+    e = events(spark, sf)
+    xor = lambda c: int(np.bitwise_xor.reduce(c.to_numpy()))
+    out = barrier.sync_fold(
+        values(e).select("ts", "val"),
+        barriers(e),
+        lambda rows: {"bits": xor(rows["val"]), "n": len(rows)},
+        lambda states: {"bits": xor(states["bits"]), "n": int(states["n"].sum())},
+        "bits long, n long",
+    )
+    return out.fillna(0, ["n"])
+
+
 @query("tumbling_sum", sql("SELECT marker, user_id, total FROM d", _tumble(DAY)))
 def _(spark, sf):
     return keyed.tumbling_sum(values(events(spark, sf)), every(spark, DAY), "user_id")
