@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .token_store import _put
 
-SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 16 << 10, 4096, 16 << 20
+SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 4096, 1000, 16 << 20
 _NULL_ID = -(1 << 63)
 _DATE = "2024-01-01T00:00:00Z"
 
