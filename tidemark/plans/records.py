@@ -37,6 +37,7 @@ def connections(spark, sf):
     rows = prepare.with_row_index(table(spark, sf, "lineitem").select(*_LINE), *_LINE, name="row")
     return rows.select(
         "row",
+        F.floor(F.log2(F.col("l_orderkey") + 1)).alias("batch"),
         F.pmod("l_orderkey", F.lit(4)).cast("int").alias("source"),
         F.array("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("cats"),
         F.array("l_quantity", F.round("l_extendedprice"), F.round(F.col("l_discount") * 100), F.round(F.col("l_tax") * 100)).alias("x"),
@@ -164,7 +165,7 @@ def _(spark, sf):
 @query("confirm_outliers")
 def _(spark, sf):
     rows = connections(spark, sf)
-    markers = rows.filter("source = 0 and row % 997 = 0").select((F.col("row") + 1).alias("ts"))
+    markers = rows.groupBy("batch").agg((F.max("row") + 1).alias("ts")).select("ts")  # checks at orders that double
     return outlier.confirm_outliers(_flags(rows), rows, markers, 3)
 
 
@@ -266,34 +267,40 @@ def _(spark, sf):
     return meter.messages_per_interval(log, "6 hours").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-# Generators make as many rows as a table has, so that their work follows the data.
-def _count(spark, sf, name="events"):
-    return table(spark, sf, name).count()
+# Generated streams take their steps from the places of the events.
+def _places(spark, sf):
+    rows = prepare.with_row_index(table(spark, sf, "events").select("event_id"), "event_id", name="id")
+    return {"n": rows.count(), "ids": rows}
 
 
-@query("gen_values", "SELECT CAST(s AS INTEGER) AS source, t AS ts, t + 1 AS val FROM range(4) a(s), range((SELECT count(*) // 4 FROM events)) b(t)")
+_PLACES = "(SELECT row_number() OVER (ORDER BY event_id) - 1 AS t FROM events)"
+
+
+@query("gen_values", f"SELECT CAST(s AS INTEGER) AS source, t AS ts, t + 1 AS val FROM range(4) a(s), {_PLACES}")
 def _(spark, sf):
-    return generate.gen_values(spark, _count(spark, sf) // 4, 4)
+    return generate.gen_values(spark, sources=4, **_places(spark, sf))
 
 
-@query("gen_barriers", "SELECT i * 10 // 5 - 1 AS ts, i % 5 <> 0 AS is_heartbeat FROM range(1, (SELECT count(*) // 10 * 5 FROM events) + 1) t(i) UNION ALL SELECT count(*), true FROM events")
+@query("gen_barriers", f"SELECT (t + 1) * 10 // 5 - 1 AS ts, (t + 1) % 5 <> 0 AS is_heartbeat FROM {_PLACES} WHERE t < (SELECT count(*) // 10 * 5 FROM events) UNION ALL SELECT count(*), true FROM events")
 def _(spark, sf):
-    return generate.gen_barriers(spark, _count(spark, sf), 10, 5)
+    return generate.gen_barriers(spark, ratio=10, heartbeats=5, **_places(spark, sf))
 
 
-@query("gen_page_views", "SELECT u AS user_id, t AS ts, 'view' AS kind FROM range(2) a(u), range((SELECT count(*) FROM events)) b(t) UNION ALL SELECT NULL, t * 100, 'heartbeat' FROM range((SELECT (count(*) + 99) // 100 FROM events)) b(t)")
+@query("gen_page_views", f"SELECT u AS user_id, t AS ts, 'view' AS kind FROM range(2) a(u), {_PLACES} UNION ALL SELECT NULL, t, 'heartbeat' FROM {_PLACES} WHERE t % 100 = 0")
 def _(spark, sf):
-    return generate.gen_page_views(spark, _count(spark, sf), 2)
+    return generate.gen_page_views(spark, users=2, **_places(spark, sf))
 
 
-@query("gen_get_update", "SELECT u AS user_id, t + CASE WHEN t % 1000 = 0 THEN 1 ELSE 99 END AS ts, CASE WHEN t % 1000 = 0 THEN 'get' ELSE 'update' END AS kind FROM range(2) a(u), range((SELECT count(*) FROM events)) b(t) WHERE t % 1000 = 0 OR t % 10000 = 9900")
+@query("gen_get_update", f"SELECT u AS user_id, t + CASE WHEN t % 1000 = 0 THEN 1 ELSE 99 END AS ts, CASE WHEN t % 1000 = 0 THEN 'get' ELSE 'update' END AS kind, t % 1000 <> 0 AS has_zip FROM range(2) a(u), {_PLACES} WHERE t % 1000 = 0 OR t % 10000 = 9900")
 def _(spark, sf):
-    return generate.gen_get_update(spark, _count(spark, sf), 2).drop("zip")
+    made = generate.gen_get_update(spark, users=2, **_places(spark, sf))
+    return made.select("user_id", "ts", "kind", F.coalesce(F.col("zip").between(10000, 99999), F.lit(False)).alias("has_zip"))
 
 
-@query("gen_rate", "SELECT i AS seq, (i + 1) / (1 / 2.0) AS ts FROM range((SELECT count(*) // 2 FROM events)) t(i)")
+@query("gen_rate", f"SELECT t AS seq, (t + 1) / (1 / 2.0) AS ts FROM {_PLACES} WHERE t < (SELECT count(*) // 2 FROM events)")
 def _(spark, sf):
-    return generate.gen_rate(spark, _count(spark, sf), 2.0)
+    places = _places(spark, sf)
+    return generate.gen_rate(spark, places["n"], 2.0, ids=places["ids"])
 
 
 @query(
