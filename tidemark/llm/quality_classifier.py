@@ -28,14 +28,16 @@ EPOCHS, RATE, SEED = 8, 0.5, 7
 
 
 def _grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For words, word pairs and each length of character n-gram inside words: the hash buckets, and where each text's
-    begin."""
+    """For words, word pairs, the same pairs by their form alone, and each length of character n-gram inside words: the
+    buckets, and where each text's begin. The form of a pair is whether it is one word twice; it has two buckets of its
+    own, since no hash of the words tells that of words that were never seen."""
     mask = np.uint64(BUCKETS - 1)
     w = T.words(pa.array([t or "" for t in texts], pa.string()))
     yield (T.mix(w.hash, 1) & mask).astype(np.int64), w.first
     pairs = w.windows(2)
     first = np.searchsorted(pairs, w.first)
     yield (T.mix(T.Prefix(w.hash).of(pairs, pairs + 2), 2) & mask).astype(np.int64), first
+    yield BUCKETS + (w.hash[pairs] == w.hash[pairs + 1]).astype(np.int64), first
     points = np.frombuffer("\n".join([*(t or "" for t in texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.concatenate([[0], np.cumsum([len(t or "") + 1 for t in texts])])
     gap = (points == 0x20) | ((points >= 0x09) & (points <= 0x0D))
@@ -70,7 +72,7 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
     Without both classes in ``labels`` the model scores every text by its bias."""
     y = np.array(labels, np.int64)
     if len(y) == 0 or y.min() == y.max():
-        return Model(np.zeros(BUCKETS, np.float32), 0.0 if len(y) == 0 else 4.0 * (2 * y[0] - 1))
+        return Model(np.zeros(BUCKETS + 2, np.float32), 0.0 if len(y) == 0 else 4.0 * (2 * y[0] - 1))
     rng = np.random.default_rng(SEED)
     items = []
     for at in range(0, len(texts), 64):
@@ -79,7 +81,7 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
             bucket = np.concatenate([found[first[i] : first[i + 1]] for found, first in grams])
             ids, counts = np.unique(bucket, return_counts=True)
             items.append((ids.astype(np.int32), (counts / max(1, len(bucket))).astype(np.float32)))
-    embedding = (rng.random((BUCKETS, DIMENSIONS), np.float32) - 0.5) / DIMENSIONS
+    embedding = (rng.random((BUCKETS + 2, DIMENSIONS), np.float32) - 0.5) / DIMENSIONS
     softmax, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
     step, steps = 0, EPOCHS * len(y)
     for _ in range(EPOCHS):
