@@ -1,9 +1,10 @@
 import random
+import re
 
 import numpy as np
 import pytest
 
-from tests.conftest import SF
+from tests.conftest import SF, SMALL
 from tidemark.llm import decontamination as D
 
 
@@ -46,6 +47,33 @@ def test_tiles_cover_as_much_as_the_plain_algorithm():
         assert all(doc[s : s + n] == item[t : t + n] for s, t, n in tiles)
 
 
+def test_equal_hashes_of_unlike_words_are_no_tile(monkeypatch):
+    """Every window hashes alike here: only words that agree may be marked, and the search must end."""
+    monkeypatch.setattr(D.T, "mix", lambda h, salt=0: np.zeros_like(h))
+    item, doc = np.arange(1, 13, dtype=np.uint64), np.arange(101, 121, dtype=np.uint64)
+    assert D.tile(doc, item, 4) == []
+    doc[3:9] = item[2:8]
+    assert all((doc[a : a + n] == item[b : b + n]).all() for a, b, n in D.tile(doc, item, 4))
+
+
+@pytest.mark.parametrize("limit", [16 << 20, 0])
+def test_pairs_against_brute_force(spark, monkeypatch, limit):
+    """Pairs and coverages of whole tables, tiled by dynamic programming."""
+    monkeypatch.setattr(D, "BROADCAST_BYTES", limit)
+    docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    low = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    seeds = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    wanted, want = [(r.item_id, low(r.text)) for r in items.collect()], {}
+    for r in docs.collect():
+        words = low(r.text)
+        own = seeds(words)
+        for i, item in wanted:
+            if own & seeds(item) and (total := slow_tiles(words, item, 5)) >= 0.5 * len(item):
+                want[r.doc_id, i] = total / len(item)
+    got = {(r.doc_id, r.item_id): r.coverage for r in D.contaminated(docs, items).collect()}
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def planted(rows, items):
     low = [(i, t.lower()) for i, t in items]
     return {(d, i) for d, text in rows for i, t in low if t in (text or "").lower()}
