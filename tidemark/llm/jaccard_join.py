@@ -8,7 +8,8 @@ Empty symbols say little, so they only meet in pairs: two agreeing symbols are e
 a pair. Links are verified on the whole shingle sets.
 
 Copies of one set are folded before the join. Of the sets that meet in a symbol only those take part that have enough
-shingles which any other shares. They are first linked to the smallest of each symbol; after contraction only pairs
+shingles which any other shares, and only in pairs whose bit sketches allow a link: the Hamming distance of parity
+sketches is no larger than the symmetric difference either. They are first linked to the smallest of each symbol; after contraction only pairs
 that meet and are still apart are verified, so no link between components is lost and no group of copies is expanded
 into pairs.
 """
@@ -57,6 +58,12 @@ def shingles(w: T.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(doc[new], np.arange(len(counts) + 1))
 
 
+def _parity(h: np.ndarray) -> np.ndarray:
+    """The parity sketch of one set: SKETCH_LONGS * 64 bits, each the parity of the shingles that fall on it."""
+    bits = np.bincount((T.mix(h, 0x7FB5D329728EA185) % np.uint64(64 * SKETCH_LONGS)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _totals(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A 64-bit id of each set: the sum of its mixed hashes."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(h, 0x2545F4914F6CDD1D), dtype=np.uint64)])
@@ -92,6 +99,8 @@ def _identified(size: int):
     return run, "doc_id long, text_hash long, n_shingles long, sid long"
 
 
+#: Longs of a set's parity sketch, by which pairs are judged before their sets are read.
+SKETCH_LONGS = 8
 #: Keys that a task gathers before it gives them on.
 GATHERED = 200_000
 
@@ -141,7 +150,8 @@ def _keys(size: int, percent: int, ends: bool):
 
 
 def _sets(size: int):
-    """(sid, grams): the sorted shingle hashes, as bytes, of the texts whose set is the one ``wanted`` of them."""
+    """(sid, grams, bits): the sorted shingle hashes, as bytes, and the parity sketch of the texts whose set is the one
+    ``wanted`` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,11 +160,13 @@ def _sets(size: int):
                 grams = [h[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
                 sid = _totals(h, first).view(np.int64)
                 same = np.flatnonzero(sid == part.column("wanted").to_numpy(zero_copy_only=False))
+                bits = [_parity(h[first[i] : first[i + 1]]) for i in same]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sid[same]), pa.array([grams[i] for i in same], pa.binary())], ["sid", "grams"]
+                    [pa.array(sid[same]), pa.array([grams[i] for i in same], pa.binary()), pa.array(bits, pa.list_(pa.int64()))],
+                    ["sid", "grams", "bits"],
                 )
 
-    return run, "sid long, grams binary"
+    return run, "sid long, grams binary, bits array<long>"
 
 
 def _verified(percent: int):
@@ -223,9 +235,12 @@ def _shareable(grams: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 def _meet(live: DataFrame, others: DataFrame, percent: int, order: Column | bool = True) -> DataFrame:
     """Distinct pairs (a < b) of ``live`` and ``others`` (key, m) in one key and different components that have enough
-    shingles which anyone shares."""
-    enough = (100 + percent) * F.least("c", "m.c") >= percent * (F.col("n") + F.col("m.n"))
-    pairs = live.join(others, "key").filter((F.col("root") != F.col("m.root")) & enough & F.lit(order))
+    shingles which anyone shares, and whose parity sketches differ in no more bits than linked sets do in shingles."""
+    both = F.col("n") + F.col("m.n")
+    enough = (100 + percent) * F.least("c", "m.c") >= percent * both
+    differ = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("m.bits", F.lit(i)))) for i in range(SKETCH_LONGS)), F.lit(0))
+    close = (100 + percent) * differ <= (100 - percent) * both
+    pairs = live.join(others, "key").filter((F.col("root") != F.col("m.root")) & enough & F.lit(order) & close)
     return pairs.select(F.least("sid", "m.sid").alias("a"), F.greatest("sid", "m.sid").alias("b")).distinct()
 
 
@@ -268,18 +283,19 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     tables.drop("texts")
     full = _shareable(sets.mapInArrow(*_own(lambda batches: batches, False)), able.select("sid", "n"), percent)
     full = tables.table("full", full)
-    live = tables.table("live", members.join(full, "sid").distinct().withColumn("root", F.col("sid")))
+    full = full.join(sets.select("sid", "bits"), "sid")
+    live = tables.table("live", members.join(full, "sid").dropDuplicates(["key", "sid"]).withColumn("root", F.col("sid")))
     tables.drop("members", "able", "full")
 
     # the smallest member of each key is the centre that the others are held against
-    centre = live.groupBy("key").agg(F.min(F.struct("sid", "root", "n", "c")).alias("m"))
+    centre = live.groupBy("key").agg(F.min(F.struct("sid", "root", "n", "c", "bits")).alias("m"))
     first = tables.table("first", _meet(live, centre, percent))
     links = tables.table("links", _links(first, sets, percent))
     live = tables.table("live", _open(_rooted(live, links)))
     tables.drop("live", but_last=True)
 
     # the member with the fewest shingles of its own is the likeliest to be linked with the others
-    middle = live.groupBy("key").agg(F.max_by(F.struct("sid", "root", "n", "c"), F.struct(F.col("c") - F.col("n"), "sid")).alias("m"))
+    middle = live.groupBy("key").agg(F.max_by(F.struct("sid", "root", "n", "c", "bits"), F.struct(F.col("c") - F.col("n"), "sid")).alias("m"))
     near = tables.table("near", _meet(live, middle, percent))
     second = tables.table("second", _links(near.join(first, ["a", "b"], "left_anti"), sets, percent))
     links = links.union(second)
@@ -290,7 +306,7 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     # a pair comes out of the smallest key that both sets have among their lowest, or of each key where they have none
     lowest = F.array_min(F.array_intersect("low", "m.low"))
     once = (F.col("sid") < F.col("m.sid")) & (lowest.isNull() | (lowest == F.col("key")))
-    rest = _meet(live, live.select("key", F.struct("sid", "root", "n", "c", "low").alias("m")), percent, once)
+    rest = _meet(live, live.select("key", F.struct("sid", "root", "n", "c", "bits", "low").alias("m")), percent, once)
     tested = first.union(near)
     more = tables.table("more", _links(rest.join(tested, ["a", "b"], "left_anti"), sets, percent))
     tables.drop("live", "near", "first", "sets")
