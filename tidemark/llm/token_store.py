@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import WORD, partitions, small_batches
+from .common import WORD, partitions
 
 MAGIC = b"TMTOK1\r\n"
 #: Documents that the dictionary is trained on, at most, and its size in bytes.
@@ -188,7 +188,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end: int) -> bytes:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = word_tokenizer(tokenizer_path)
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", 4 << 20):
                 ids, first = t.encode(part.column("text").to_pylist(), end)
                 raw = [ids[a:b].astype(f"<u{t.width}").tobytes() for a, b in zip(first, first[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], ["raw"])
@@ -210,7 +210,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end: int) ->
     import zstandard
 
     spark = docs.sparkSession
-    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dictionary = train_dictionary(docs, tokenizer_path, end)
     _put(folder, "dictionary.zdict", dictionary, "driver")
     shared = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
@@ -232,7 +232,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end: int) ->
             )
 
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", 4 << 20):
                 ids, first = t.encode(part.column("text").to_pylist(), end)
                 packed = ids.astype(f"<u{t.width}").tobytes()
                 for doc_id, a, b in zip(part.column("doc_id").to_pylist(), first.tolist(), first[1:].tolist(), strict=False):
