@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     decontamination,
     jaccard_join,
+    license_scan,
     periodic_runs,
     quality_classifier,
     quality_rules,
@@ -19,6 +20,7 @@ from . import (
     suffix_array,
     token_store,
     warc,
+    whitening,
 )
 from .common import shared_dir, table
 
@@ -103,6 +105,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.on_grid(table(spark, sf_dir, "embeddings"))
+    return whitening.by_component(rows, whitening.fit(rows, 32))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_suffix_array": op2_suffix_array,
@@ -115,6 +126,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_whitening": op12_whitening,
+    "op13_license_scan": op13_license_scan,
 }
 
-ORACLES: dict[str, str] = {"op8_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {
+    "op8_quality_rules": quality_rules.ORACLE,
+    "op13_license_scan": license_scan.ORACLE,
+}
