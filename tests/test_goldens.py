@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, barrier, clock, keyed, load
-from tidemark.sources import generate
+from tidemark.sources import generate, io
 
 VALUES = [(1, t, v) for t, v in [(1, 1), (3, 5), (4, 3), (7, 7), (15, 3)]]
 VALUES += [(2, t, v) for t, v in [(6, 6), (8, 5), (10, 6), (11, 5), (12, 1), (13, 0), (14, 9)]]
@@ -156,3 +156,164 @@ def test_load_summaries_keep_known_keys(spark):
     assert got[(20, 1, 1, 1)] == (0.0, 0) and got[(30, 2, 3, 9)] == (0.0, 0) and (10, 2, None, None) not in got
     house = {(r.marker, r.house): r.prediction for r in load.predict_house(df, marks(spark, [10, 20])).collect()}
     assert math.isclose(house[(10, 1)], 3.0)
+
+
+# Recorded loads (id, seconds, watts, property, plug, household, house) of two houses.
+LOADS = """
+2,1377986401,19.927,1,11,0,0
+4,1377986401,9.472,1,2,0,0
+5,1377986401,0,1,3,0,0
+8,1377986401,17.743,1,7,0,0
+9,1377986401,0,1,9,0,0
+12,1377986401,21.254,1,0,1,0
+13,1377986401,0,1,1,1,0
+15,1377986401,0,1,10,1,0
+17,1377986401,0,1,12,1,0
+20,1377986401,33.291,1,2,1,0
+22,1377986401,18.033,1,4,1,0
+23,1377986401,0,1,6,1,0
+25,1377986401,0,1,0,10,0
+27,1377986401,0,1,0,11,0
+30,1377986401,17.367,1,2,11,0
+31,1377986401,0,1,1,12,0
+33,1377986401,0,1,4,12,0
+36,1377986401,0,1,10,13,0
+38,1377986401,15.737,1,11,13,0
+39,1377986401,0,1,2,13,0
+41,1377986401,0,1,4,13,0
+44,1377986401,20.34,1,5,13,0
+45,1377986401,0,1,9,13,0
+48,1377986401,0,1,0,2,0
+49,1377986401,0,1,1,2,0
+52,1377986401,0,1,3,2,0
+53,1377986401,0,1,4,2,0
+55,1377986401,0,1,6,2,0
+58,1377986401,40.356,1,0,3,0
+60,1377986401,14.593,1,3,3,0
+61,1377986401,0,1,0,4,0
+63,1377986401,0,1,2,4,0
+65,1377986401,0,1,0,5,0
+67,1377986401,0,1,1,5,0
+69,1377986401,0,1,2,5,0
+71,1377986401,0,1,1,6,0
+74,1377986401,30.748,1,11,6,0
+75,1377986401,0,1,12,6,0
+78,1377986401,10.977,1,2,6,0
+80,1377986401,69.812,1,4,6,0
+82,1377986401,6.147,1,5,6,0
+83,1377986401,0,1,8,6,0
+85,1377986401,0,1,9,6,0
+87,1377986401,0,1,1,7,0
+89,1377986401,0,1,2,7,0
+91,1377986401,0,1,4,7,0
+94,1377986401,16.308,1,6,7,0
+96,1377986401,31.633,1,7,7,0
+97,1377986401,0,1,8,7,0
+100,1377986401,9.8,1,0,8,0
+101,1377986401,0,1,2,8,0
+103,1377986401,0,1,3,8,0
+105,1377986401,0,1,5,8,0
+108,1377986401,0,1,8,8,0
+110,1377986401,39.344,1,9,8,0
+112,1377986401,0,1,0,9,0
+113,1377986401,0,1,10,9,0
+116,1377986401,0,1,12,9,0
+117,1377986401,0,1,2,9,0
+120,1377986401,0,1,3,9,0
+121,1377986401,0,1,4,9,0
+124,1377986401,0,1,5,9,0
+126,1377986401,0,1,6,9,0
+127,1377986401,0,1,9,9,0
+2450,1377986402,0,1,1,1,0
+2451,1377986402,0,1,11,1,0
+2454,1377986402,0,1,6,1,0
+2456,1377986402,0,1,0,10,0
+2458,1377986402,0,1,1,12,0
+2459,1377986402,0,1,6,13,0
+2461,1377986402,0,1,8,13,0
+2464,1377986402,0,1,9,13,0
+2466,1377986402,0,1,1,2,0
+2468,1377986402,0,1,6,2,0
+2469,1377986402,0,1,1,4,0
+2472,1377986402,0,1,12,6,0
+2473,1377986402,0,1,3,6,0
+2476,1377986402,0,1,8,7,0
+2478,1377986402,0,1,10,9,0
+2480,1377986402,0,1,9,9,0
+129,1377986401,0,1,1,1,1
+131,1377986401,0,1,2,1,1
+133,1377986401,0,1,1,2,1
+136,1377986401,16.456,1,4,2,1
+2482,1377986402,0,1,2,1,1
+"""
+
+# Published sums and counts of two slices (total, n, total so far, n so far), by house and household; a
+# household is household and plug number of the record.
+SLICE_1 = """
+- - 459.3379999999999 68 459.3379999999999 68
+0 - 442.88199999999995 64 442.88199999999995 64
+1 - 16.456 4 16.456 4
+0 0 47.141999999999996 5 47.141999999999996 5
+0 1 72.578 7 72.578 7
+0 2 0.0 5 0.0 5
+0 3 54.949 2 54.949 2
+0 4 0.0 2 0.0 2
+0 5 0.0 3 0.0 3
+0 6 117.68400000000001 8 117.68400000000001 8
+0 7 47.941 6 47.941 6
+0 8 49.144000000000005 6 49.144000000000005 6
+0 9 0.0 9 0.0 9
+0 10 0.0 1 0.0 1
+0 11 17.367 2 17.367 2
+0 12 0.0 2 0.0 2
+0 13 36.077 6 36.077 6
+1 1 0.0 2 0.0 2
+1 2 16.456 2 16.456 2
+"""
+SLICE_2 = """
+- - 0.0 17 459.3379999999999 85
+0 - 0.0 16 442.88199999999995 80
+1 - 0.0 1 16.456 5
+0 0 0.0 0 47.141999999999996 5
+0 1 0.0 3 72.578 10
+0 2 0.0 2 0.0 7
+0 3 0.0 0 54.949 2
+0 4 0.0 1 0.0 3
+0 5 0.0 0 0.0 3
+0 6 0.0 2 117.68400000000001 10
+0 7 0.0 1 47.941 7
+0 8 0.0 0 49.144000000000005 6
+0 9 0.0 2 0.0 11
+0 10 0.0 1 0.0 2
+0 11 0.0 0 17.367 2
+0 12 0.0 1 0.0 3
+0 13 0.0 3 36.077 9
+1 1 0.0 1 0.0 3
+1 2 0.0 0 16.456 2
+"""
+
+
+def test_recorded_loads(spark, tmp_path):
+    """Slices end half a second after each second; the recorded job took the hour of day from milliseconds as if they
+    were nanoseconds, so that every row is of hour 0."""
+    (tmp_path / "loads.csv").write_text(LOADS.strip() + "\n")
+    rows = io.read_measurements(spark, f"file://{tmp_path}/loads.csv").filter("kind = 'load'")
+    slices = marks(spark, [1377986401500, 1377986402500])
+    now = {(r.marker, r.house, r.household): (r.total, r.n) for r in load.load_summaries(rows, slices, "ns").filter("plug is null").collect()}
+    hours = load.load_by_hour(rows, slices, "ns").filter("plug is null").collect()
+    assert {r.hour for r in hours} == {0}
+    past = {}
+    for r in sorted(hours, key=lambda r: r.marker):
+        past[(r.marker, r.house, r.household)] = (r.total, r.n)
+    number = lambda t: None if t == "-" else int(t)
+    checked = 0
+    for marker, told in ((1377986401500, SLICE_1), (1377986402500, SLICE_2)):
+        for line in told.strip().split("\n"):
+            house, household, total, n, total_so_far, n_so_far = line.split()
+            key = (marker, number(house), number(household))
+            so_far = past.get(key) or past[(1377986401500, *key[1:])]  # a row where an hour's sums change
+            assert now[key][1] == int(n) and so_far[1] == int(n_so_far)
+            assert math.isclose(now[key][0], float(total), rel_tol=1e-9, abs_tol=1e-12)
+            assert math.isclose(so_far[0], float(total_so_far), rel_tol=1e-9, abs_tol=1e-12)
+            checked += 1
+    assert checked == len(now) == 38

@@ -10,11 +10,11 @@ from tidemark.operators import outlier as O
 DIMENSIONS = 3
 
 
-def rows(n, seed=1):
+def rows(n, seed=1, d=DIMENSIONS):
     rng = np.random.default_rng(seed)
     cats = [["tcp", "udp"], ["http", "smtp", "ftp"], ["0", "1"], ["0", "1"]]
     return [
-        (i, int(i % 2), [str(rng.choice(c)) for c in cats], [float(x) for x in rng.normal(size=DIMENSIONS) * (1 + 9 * (rng.random() < 0.05))])
+        (i, int(i % 2), [str(rng.choice(c)) for c in cats], [float(x) for x in rng.normal(size=d) * (1 + 9 * (rng.random() < 0.05))])
         for i in range(n)
     ]
 
@@ -28,7 +28,7 @@ class Plain:
     def score(self, cats, x, keep=True, tau=O.TAU):
         x, score = np.array(x), 0.0
         for g in dict.fromkeys(c for k in (1, 2) for c in combinations(cats, k)):
-            zero = np.zeros((DIMENSIONS, DIMENSIONS))
+            zero = np.zeros((len(x), len(x)))
             n, low, s, vs, vl = self.state.get(g, (0, 0 * x, zero, zero, zero))
             n, low, s = n + 1, low + x, s + np.outer(x, x)
             p = np.outer(x - low / n, x - low / n)
@@ -39,7 +39,7 @@ class Plain:
             v = int(((np.abs(p - c) > tau * sigma) & (sigma > 0)).sum())
             if keep:
                 self.state[g] = (n, low, s, vs, vl)
-            score += 1 / len(g) if n < O.SUPPORT or v > O.DELTA * 9 else 0.0
+            score += 1 / len(g) if n < O.SUPPORT or v > O.DELTA * len(x) ** 2 else 0.0
         return score
 
     def __add__(self, other):
@@ -57,10 +57,11 @@ def mean_bound(normal):
 SCHEMA = "row long, source int, cats array<string>, x array<double>"
 
 
-@pytest.mark.parametrize(("chunk", "step"), [(8192, 256), (37, 5)])
-def test_scores(spark, monkeypatch, chunk, step):
+@pytest.mark.parametrize(("chunk", "step", "run"), [(8192, 256, 256), (37, 5, 256), (7, 3, 4)])
+def test_scores(spark, monkeypatch, chunk, step, run):
     monkeypatch.setattr(O, "CHUNK", chunk)
     monkeypatch.setattr(O, "STEP", step)
+    monkeypatch.setattr(O, "RUN_OF_BLOCKS", run)
     data, model = rows(400), Plain()
     want = {row: model.score(cats, x) for row, _, cats, x in data}
     df = spark.createDataFrame(data, SCHEMA).repartition(3)
@@ -68,6 +69,25 @@ def test_scores(spark, monkeypatch, chunk, step):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+@pytest.mark.parametrize("by", [None, "source"])
+def test_scores_of_34_features(spark, monkeypatch, by):
+    """As wide as the recorded connections; blocks of a few rows, so that sums are carried through several chunks."""
+    monkeypatch.setattr(O, "CHUNK", 16)
+    monkeypatch.setattr(O, "RUN_OF_BLOCKS", 3)
+    data, models = rows(150, seed=7, d=34), {0: Plain(), 1: Plain()}
+    want = {row: models[source if by else 0].score(cats, x) for row, source, cats, x in data}
+    got = O.anomaly_score(O.violation_scores(spark.createDataFrame(data, SCHEMA).repartition(3), 4, by=by)).collect()
+    assert {r.row for r in got} == want.keys() and all(abs(r.score - want[r.row]) < 1e-9 for r in got)
+    assert len(set(want.values())) > 2
+
+
+def test_sums_are_never_cells(spark):
+    """One row an itemset and block goes through the shuffles."""
+    df = spark.createDataFrame(rows(50), SCHEMA)
+    plan = O.itemset_moments(df, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
+
+
 def test_itemsets_of_odd_values(spark):
     """Null values, equal values of different features, rows without rows beside them, no rows at all."""
     data = [(0, 0, ["a", None, "a"], [1.0, 2.0, 3.0]), (1, 0, ["b", "a", None], [0.0, 0.0, 0.0])]

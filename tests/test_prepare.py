@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from tidemark.operators import asof, barrier, clock, keyed, meter
+from tidemark.operators import asof, barrier, clock, keyed, load, meter
 from tidemark.sources import io, prepare
 
 
@@ -124,3 +124,24 @@ def test_fold_in_many_parts(spark):
         ends = lambda a, b: {"low": int(a.min()), "high": int(b.max())}
         out = barrier.sync_fold(df, marks, lambda r: ends(r["val"], r["val"]), lambda s: ends(s["low"], s["high"]), "low long, high long")
         assert {r.marker: (r.low, r.high) for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("bucket", [1, 7, 50, 10_000])
+def test_distances_by_bucket(spark, bucket):
+    """One key with all points, and keys with holes; the same distances however the points are dealt."""
+    rng = random.Random(bucket)
+    rows = [(1, rng.randrange(1000), rng.random() * 9, rng.random() * 9) for _ in range(600)]
+    rows += [(rng.choice([2, 3, None]), rng.choice([*range(300), *range(900, 1000)]), 1.0 * (i % 5), None if i % 17 == 0 else 2.0) for i in range(80)]
+    df = spark.createDataFrame(rows, "k long, ts long, x double, y double")
+    marks = spark.createDataFrame([(m,) for m in range(100, 1001, 100)], "ts long")
+    plain = {(r.marker, r.k): r.distance for r in keyed.distance_per_window(df, marks, "k", 6).collect()}
+    dealt = {(r.marker, r.k): r.distance for r in keyed.distance_per_window(df, marks, "k", 6, bucket).collect()}
+    assert plain == pytest.approx(dealt, abs=2e-6) and len(plain) == 40
+
+
+def test_load_spine_without_nested_loops(spark):
+    df = spark.createDataFrame([(1, 1, 1, 5, 2.0), (2, 3, 9, 15, 8.0)], "house int, household int, plug int, ts long, val double")
+    found = load.load_summaries(df, spark.range(10, 40, 10).withColumnRenamed("id", "ts"))
+    assert found.count() == 3 * 4 + 2 * 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clock import assign_marker, marker_line
+from .clock import Markers, assign_marker, marker_line, settled, unused
 
 
 def sync_aggregate(
@@ -27,9 +27,32 @@ def sync_aggregate(
     ``merge`` must not depend on order. Without ``reset`` the merged columns run on over all markers, which they may
     only do as sums. ``empty`` fills markers without events, ``finish`` derives columns at last.
     """
-    placed = assign_marker(events, markers, closed=closed).filter("marker is not null")
-    parts = placed.groupBy("marker", *keys).agg(*[c.alias(n) for n, c in partial.items()])
-    whole = parts.groupBy("marker").agg(*[c.alias(n) for n, c in merge.items()])
+    markers = settled(markers)
+    placed = _placed(events, markers, closed)
+    return _aggregated(placed, markers, partial, merge, keys, finish, empty, reset)
+
+
+_BUCKET = "_bucket_of_window"
+
+
+def _placed(events: DataFrame, markers: Markers, closed: str) -> DataFrame:
+    return assign_marker(events, markers, closed=closed, bucket=_BUCKET)
+
+
+def _aggregated(
+    placed: DataFrame,
+    markers: Markers,
+    partial: dict[str, Column],
+    merge: dict[str, Column],
+    keys: tuple[str, ...] = ("source",),
+    finish: dict[str, Column] | None = None,
+    empty: dict[str, object] | None = None,
+    reset: bool = True,
+) -> DataFrame:
+    """``sync_aggregate`` of ``_placed`` events. The first window's events may lie in several buckets."""
+    placed = placed.filter("marker is not null").withColumn(_BUCKET, F.when(F.col("previous").isNotNull(), F.col(_BUCKET)))
+    parts = placed.groupBy(_BUCKET, "marker", *keys).agg(*[c.alias(n) for n, c in partial.items()])
+    whole = parts.groupBy(_BUCKET, "marker").agg(*[c.alias(n) for n, c in merge.items()]).drop(_BUCKET)
     out = marker_line(markers).select("marker").join(whole, "marker", "left").fillna(empty or {n: 0 for n in merge})
     if not reset:
         so_far = Window.orderBy("marker").rowsBetween(Window.unboundedPreceding, 0)  # one row a marker
@@ -59,7 +82,7 @@ def sync_fold(
             if len(batch):
                 yield folded(batch, update)
 
-    kind = f"marker long, {state}"
+    kind, markers = f"marker long, {state}", settled(markers)
     placed = assign_marker(events, markers, closed=closed).filter("marker is not null").drop("previous")
     parts = placed.mapInPandas(partial, kind).withColumn("_task", F.spark_partition_id())
     near = parts.groupBy("marker", "_task").applyInPandas(lambda g: folded(g.drop(columns="_task"), merge), kind)
@@ -69,16 +92,17 @@ def sync_fold(
 
 def barrier_window_sum(values: DataFrame, barriers: DataFrame, closed: str = "left") -> DataFrame:
     """(marker, total): the sum of val since the previous barrier."""
-    return sync_aggregate(values, barriers, {"p": F.sum("val")}, {"total": F.sum("p")}, closed=closed)
+    return sync_aggregate(values, barriers, {"p": F.sum("val")}, {"total": F.sum("p")}, (), closed=closed)
 
 
 def barrier_cumulative_sum(values: DataFrame, barriers: DataFrame, closed: str = "left") -> DataFrame:
     """(marker, total): the sum of every val before the barrier."""
-    return sync_aggregate(values, barriers, {"p": F.sum("val")}, {"total": F.sum("p")}, reset=False, closed=closed)
+    return sync_aggregate(values, barriers, {"p": F.sum("val")}, {"total": F.sum("p")}, (), reset=False, closed=closed)
 
 
 def barrier_sum_by_source(values: DataFrame, barriers: DataFrame, closed: str = "left") -> DataFrame:
     """(marker, source, total) per source, and with a null source per barrier."""
+    barriers = settled(barriers)
     placed = assign_marker(values, barriers, closed=closed).filter("marker is not null")
     parts = placed.groupBy("marker", "source").agg(F.sum("val").alias("total"))
     whole = marker_line(barriers).select("marker").join(parts.groupBy("marker").agg(F.sum("total").alias("total")), "marker", "left")
@@ -88,6 +112,7 @@ def barrier_sum_by_source(values: DataFrame, barriers: DataFrame, closed: str =
 
 def heartbeat_then_barrier_sum(values: DataFrame, heartbeats: DataFrame, barriers: DataFrame, closed: str = "right") -> DataFrame:
     """(marker, total, n_intervals): sums per heartbeat interval, summed again per barrier of the heartbeats."""
+    barriers = settled(barriers)
     beats = assign_marker(values, heartbeats, closed=closed).filter("marker is not null")
     beats = beats.groupBy(F.col("marker").alias("ts")).agg(F.sum("val").alias("val"))
     windows = assign_marker(beats, barriers, closed=closed).filter("marker is not null")
@@ -106,31 +131,39 @@ def count_by_timestamp(values: DataFrame, *by: str) -> DataFrame:
 def modulo_match(values: DataFrame, barriers: DataFrame, m: int = 100) -> DataFrame:
     """(kind, ts, val): values whose remainder is that of the last barrier time plus one (0 before the first), and a
     row per barrier with the sum of all values before it."""
-    placed = assign_marker(values, barriers)
+    barriers = settled(barriers)
+    placed = _placed(values, barriers, "left")
     target = F.coalesce(F.pmod(F.col("previous") + 1, F.lit(m)), F.lit(0))
     hits = placed.filter(F.pmod("val", F.lit(m)) == target).select(F.lit("value").alias("kind"), "ts", "val")
-    sums = barrier_cumulative_sum(values, barriers)
+    sums = _aggregated(placed, barriers, {"p": F.sum("val")}, {"total": F.sum("p")}, (), reset=False)
     return hits.unionByName(sums.select(F.lit("sum").alias("kind"), F.col("marker").alias("ts"), F.col("total").alias("val")))
 
 
-def _models(values: DataFrame, rules: DataFrame, closed: str) -> DataFrame:
-    """(start, model): the sum of the window that ended at ``start``."""
-    sums = barrier_window_sum(values, rules, closed)
-    return sums.select(F.col("marker").alias("start"), F.col("total").alias("model"))
+def _matching(trans: DataFrame, rules: Markers, closed: str, model: Column, same: Callable[[Column], Column]) -> DataFrame:
+    """Placed rows of ``trans`` for which ``same`` holds of the model of the window that ended where the row's begins; it
+    is 0 for an empty or no window. Models are small and come with the markers."""
+    (found,) = unused([*trans.columns, "marker", "previous"], "_model")
+    placed = _placed(trans, rules, closed).filter("marker is not null")
+    bucket = F.when(F.col("previous").isNotNull(), F.col(_BUCKET))
+    models = placed.groupBy(bucket, "marker").agg(model.alias(found)).select("marker", found)
+    scored = assign_marker(trans, rules, closed=closed, carry=models)
+    return scored.filter(same(F.coalesce(found, F.lit(0)))).drop(found)
+
+
+def _flagged(trans: DataFrame, rules: Markers, m: int, closed: str) -> DataFrame:
+    return _matching(trans, rules, closed, F.sum("val"), lambda x: F.pmod(x, F.lit(m)) == F.pmod("val", F.lit(m)))
 
 
 def fraud_flags(trans: DataFrame, rules: DataFrame, m: int = 1000, closed: str = "left") -> DataFrame:
     """Transactions whose val equals the previous window's sum modulo ``m`` (sum 0 before the first rule). The open
     window after the last rule is scored too."""
-    placed = assign_marker(trans, rules, closed=closed)
-    scored = placed.join(_models(trans, rules, closed), F.col("previous") == F.col("start"), "left")
-    same = F.pmod(F.coalesce("model", F.lit(0)), F.lit(m)) == F.pmod("val", F.lit(m))
-    return scored.filter(same).select(*trans.columns)
+    return _flagged(trans, settled(rules), m, closed).select(*trans.columns)
 
 
 def fraud_stream(trans: DataFrame, rules: DataFrame, m: int = 1000, closed: str = "left") -> DataFrame:
     """(kind, ts, val): flagged transactions, and each rule with its window's sum."""
-    flags = fraud_flags(trans, rules, m, closed).select(F.lit("transaction").alias("kind"), "ts", "val")
+    rules = settled(rules)
+    flags = _flagged(trans, rules, m, closed).select(F.lit("transaction").alias("kind"), "ts", "val")
     sums = barrier_window_sum(trans, rules, closed)
     return flags.unionByName(sums.select(F.lit("rule").alias("kind"), F.col("marker").alias("ts"), F.col("total").alias("val")))
 
@@ -138,12 +171,8 @@ def fraud_stream(trans: DataFrame, rules: DataFrame, m: int = 1000, closed: str
 def fraud_flags_count_model(trans: DataFrame, rules: DataFrame, m: int = 1000) -> DataFrame:
     """As ``fraud_flags``, but the model is the count of the previous window, val is not reduced, windows are
     ``(previous, rule]`` and the open window gives nothing."""
-    placed = assign_marker(trans, rules, closed="right").filter("marker is not null")
-    counts = placed.groupBy("marker").agg(F.count("*").alias("model"))
-    models = marker_line(rules).select("marker").join(counts, "marker", "left").fillna(0)
-    models = models.select(F.col("marker").alias("start"), "model")
-    scored = placed.join(models, F.col("previous") == F.col("start"), "left")
-    return scored.filter(F.coalesce("model", F.lit(0)) % m == F.col("val")).select(*trans.columns)
+    scored = _matching(trans, settled(rules), "right", F.count("*"), lambda x: x % m == F.col("val"))
+    return scored.filter("marker is not null").select(*trans.columns)
 
 
 def rewindow_reduce(partials: DataFrame, size: int, value: str = "val") -> DataFrame:

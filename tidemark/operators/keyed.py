@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clock import assign_marker, marker_line
+from .clock import assign_marker, marker_line, settled
 
 
 def dense(sums: DataFrame, markers: DataFrame, keys: DataFrame) -> DataFrame:
@@ -23,6 +23,7 @@ def tumbling_sum(
     events: DataFrame, markers: DataFrame, key: str, value: str = "val", closed: str = "left", every_key: bool = True
 ) -> DataFrame:
     """(marker, key, total): every key at every marker, zeros kept; without ``every_key`` only keys with events."""
+    markers = settled(markers)
     placed = assign_marker(events, markers, closed=closed).filter("marker is not null")
     sums = placed.groupBy("marker", key).agg(F.sum(value).alias("total"))
     if not every_key:
@@ -39,12 +40,23 @@ def sliding_sum(events: DataFrame, markers: DataFrame, key: str, panes: int = 3,
     return rows.filter(F.col("pane") >= panes).drop("pane")
 
 
-def distance_per_window(positions: DataFrame, markers: DataFrame, key: str, digits: int = 0) -> DataFrame:
+def distance_per_window(positions: DataFrame, markers: DataFrame, key: str, digits: int = 0, bucket: int | None = None) -> DataFrame:
     """(marker, key, distance): way between consecutive points, in the later point's window; the first point adds 0.
-    Points of one time follow each other by x, then y."""
-    per = Window.partitionBy(key).orderBy("ts", "x", "y")
-    step = F.hypot(F.col("x") - F.lag("x").over(per), F.col("y") - F.lag("y").over(per))
-    steps = positions.withColumn("val", F.coalesce(step, F.lit(0.0)))
+    Points of one time follow each other by x, then y.
+
+    With ``bucket`` a key's points are dealt by time as well: the way from one block's last point to the next one's
+    first comes from a table of one row a block, so that one key may have all points."""
+    rows = positions.select(key, "ts", "x", "y", (F.floor(F.col("ts") / F.lit(bucket)) if bucket else F.lit(0)).alias("part"))
+    per = Window.partitionBy(key, "part").orderBy("ts", "x", "y")
+    way = lambda x, y: F.coalesce(F.hypot(x, y), F.lit(0.0)).alias("val")
+    steps = rows.select(key, "ts", way(F.col("x") - F.lag("x").over(per), F.col("y") - F.lag("y").over(per)))
+    if bucket:
+        point = F.struct("ts", "x", "y")
+        blocks = rows.groupBy(key, "part").agg(F.min(point).alias("first"), F.max(point).alias("last"))
+        before = F.lag("last").over(Window.partitionBy(key).orderBy("part"))
+        blocks = blocks.select(key, "first", before.alias("before"))
+        between = way(F.col("first.x") - F.col("before.x"), F.col("first.y") - F.col("before.y"))
+        steps = steps.unionByName(blocks.select(key, "first.ts", between))
     sums = tumbling_sum(steps, markers, key)
     return sums.select("marker", key, F.round("total", digits).alias("distance"))
 
@@ -55,6 +67,7 @@ def spike_alerts(pressure: DataFrame, temps: DataFrame, markers: DataFrame, spik
     temperature windows ``[previous, marker)``. Consecutive pressures cross windows: each window's first is measured
     from the last of the windows before it, which comes from the table of windows. Readings of one time follow each other
     from the lower to the higher."""
+    markers = settled(markers)
     placed = assign_marker(pressure, markers, closed="right").filter("marker is not null")
     per = Window.partitionBy("marker").orderBy("ts", "pressure")
     rises = placed.withColumn("rise", F.col("pressure") - F.lag("pressure").over(per))
@@ -73,6 +86,7 @@ def net_running_max(events: DataFrame, markers: DataFrame, chunks: int = 64) ->
 
     A period is cut into ``chunks`` by time; sums and prefix maxima of chunks combine, so that a long one is no one
     task's work. Ties are ordered by ``seq``."""
+    markers = settled(markers)
     placed = assign_marker(events, markers).filter("marker is not null")
     start = placed.filter("previous is null").agg(F.min("ts").alias("start"))  # the first period has no marker before it
     placed = placed.join(F.broadcast(start))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .clock import assign_marker, hour_of_day, marker_line
+from .clock import assign_marker, hour_of_day, marker_numbers, settled
 
 LEVELS = ["house", "household", "plug"]
 
@@ -43,11 +43,15 @@ def _levels(fine: DataFrame, *keep: str) -> DataFrame:
 
 def load_summaries(load: DataFrame, slices: DataFrame, unit: str = "ms") -> DataFrame:
     """(marker, house, household, plug, total, n) per slice; keys stay with zeros from the slice they first occur in."""
+    slices = settled(slices)
     sums = _levels(_finest(load, slices, unit), "marker")
     # null keys name levels, so the spine meets the sums in a union, which takes null as a key
     seen = sums.groupBy(*LEVELS).agg(F.min("marker").alias("since"))
-    spine = seen.join(marker_line(slices).select("marker"), F.col("marker") >= F.col("since"))
-    rows = sums.unionByName(spine.drop("since"), allowMissingColumns=True).groupBy("marker", *LEVELS)
+    numbers = marker_numbers(slices)
+    first = seen.join(numbers.withColumnRenamed("marker", "since"), "since")
+    spine = first.select(*LEVELS, F.explode(F.sequence("number", "markers")).alias("number"))
+    spine = spine.join(numbers.drop("markers"), "number").drop("number")
+    rows = sums.unionByName(spine, allowMissingColumns=True).groupBy("marker", *LEVELS)
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     return rows.agg(zero("total"), zero("n"))
 
@@ -67,6 +71,7 @@ def average(total: Column, n: Column) -> Column:
 def load_averages(load: DataFrame, slices: DataFrame, unit: str = "ms") -> DataFrame:
     """(marker, house, household, plug, slice_avg, hour_avg): the slice's average, and the average so far of the hour
     of day of this marker; 0 where nothing was counted."""
+    slices = settled(slices)
     now = load_summaries(load, slices, unit).withColumn("hour", hour_of_day(F.col("marker"), unit))
     past = load_by_hour(load, slices, unit).withColumns({"_t": F.col("total"), "_n": F.col("n")}).drop("total", "n")
     both = now.withColumn("_now", F.lit(True)).unionByName(past, allowMissingColumns=True)

@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.prepare import with_row_index
@@ -25,6 +25,8 @@ from .clock import assign_marker
 SUPPORT, TAU, DELTA, FACTOR, SCORES, LEVEL = 10, 1.96, 0.3, 10.0, 40, 2
 #: Consecutive rows of one block; a block's itemsets are scanned by one task, STEP rows of an itemset at a time.
 CHUNK, STEP = 8192, 256
+#: Blocks whose sums one task adds up along an itemset, and itemsets that a task gathers sums of before it gives them on.
+RUN_OF_BLOCKS, GATHERED = 256, 4096
 
 
 def itemset_lattice(domains: DataFrame, max_level: int = LEVEL) -> DataFrame:
@@ -56,23 +58,75 @@ def itemset_support(conn: DataFrame, features: int, max_level: int = LEVEL) -> D
     return match_itemsets(conn, features, max_level).groupBy("itemset").agg(F.count("*").alias("n"))
 
 
-def _added(parts: DataFrame, keys: list[str], arrays: list[str], over: str | None = None) -> DataFrame:
-    """Element-wise sums of array columns (and n) by ``keys``; with ``over``, sums of all earlier rows in that order."""
-    cells = F.posexplode(F.concat(F.array(F.col("n").cast("double")), *[F.col(a) for a in arrays])).alias("at", "value")
-    sizes = F.array(*[F.size(a) for a in arrays]).alias("sizes")
-    if over:
-        before = Window.partitionBy(*keys, "at").orderBy(over).rowsBetween(Window.unboundedPreceding, -1)
-        rows = parts.select(*keys, over, sizes, cells)
-        rows = rows.select(*keys, over, "sizes", "at", F.coalesce(F.sum("value").over(before), F.lit(0.0)).alias("value"))
-        keys = [*keys, over]
-    else:
-        rows = parts.select(*keys, sizes, cells).groupBy(*keys, "at").agg(F.sum("value").alias("value"), F.first("sizes").alias("sizes"))
-    whole = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("c"), F.first("sizes").alias("sizes"))
-    flat, begin, out = F.col("c.value"), F.lit(2), [F.col("c.value")[0].cast("long").alias("n")]
-    for i, a in enumerate(arrays):
-        out.append(F.slice(flat, begin, F.col("sizes")[i]).alias(a))
-        begin = begin + F.col("sizes")[i]
-    return whole.select(*keys, *out)
+def _summed(parts: DataFrame, keys: list[str], arrays: list[str], over: str | None) -> DataFrame:
+    """n and array columns, added element by element along rows that lie sorted by ``keys`` (and ``over``): one row a
+    key with the sums, or with ``over`` every row with the sums of the rows before it. Arrays stay arrays."""
+    carried = [*keys, over] if over else keys
+    types = [parts.schema[c].dataType.simpleString() for c in carried]
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in zip(carried, types, strict=True)], "n long", *[f"{a} array<double>" for a in arrays]])
+    names = [*carried, "n", *arrays]
+
+    def cells(values: np.ndarray, sizes: list[int]) -> list[pa.Array]:
+        out, at = [pa.array(values[:, 0].astype(np.int64))], 1
+        for size in sizes:
+            ends = pa.array(np.arange(len(values) + 1, dtype=np.int32) * size)
+            out.append(pa.ListArray.from_arrays(ends, pa.array(values[:, at : at + size].ravel())))
+            at += size
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums, last, sizes = None, None, None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = list(zip(*[map(_plain, batch.column(k).to_pylist()) for k in keys], strict=True))
+            matrices = [_numbers(batch.column(a)) for a in arrays]
+            sizes = [m.shape[1] for m in matrices]
+            values = np.concatenate([batch.column("n").to_numpy()[:, None].astype(float), *matrices], axis=1)
+            new = [i for i in range(len(own)) if own[i] != (own[i - 1] if i else now)]
+            earlier, done, whole = np.empty_like(values), [], []
+            for i, j in zip(sorted({0, *new}), [*sorted({0, *new})[1:], len(own)], strict=True):
+                if own[i] != now:
+                    if now is not None:
+                        done.append(last)
+                        whole.append(sums)
+                    now, sums = own[i], np.zeros(values.shape[1])
+                line = np.cumsum(np.concatenate([sums[None], values[i:j]]), 0)
+                earlier[i:j], sums = line[:-1], line[-1]
+                last = batch.slice(j - 1, 1)
+            if over:
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], *cells(earlier, sizes)], names)
+            elif done:
+                yield given(done, whole, sizes)
+        if now is not None and not over:
+            yield given([last], [sums], sizes)
+
+    def given(rows: list[pa.RecordBatch], sums: list[np.ndarray], sizes: list[int]) -> pa.RecordBatch:
+        heads = pa.Table.from_batches([r.select(keys) for r in rows]).combine_chunks()
+        heads = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in heads.columns]
+        return pa.RecordBatch.from_arrays([*heads, *cells(np.array(sums), sizes)], names)
+
+    sorted_ = parts.select(*carried, "n", *arrays).repartition(*keys).sortWithinPartitions(*carried)
+    return sorted_.mapInArrow(run, schema)
+
+
+def _plain(value):
+    """A list as a tuple, so that it can be compared and hashed."""
+    return tuple(value) if isinstance(value, list) else value
+
+
+def _added(parts: DataFrame, keys: list[str], arrays: list[str], over: str | None = None, chunk: Column | None = None) -> DataFrame:
+    """Element-wise sums of array columns (and n) by ``keys``; with ``over``, sums of all earlier rows in that order.
+
+    Rows go through one shuffle and never apart into cells. With ``chunk``, a number that grows along ``over``, the
+    rows of a key are dealt by it too: each chunk starts from the sums of the chunks before it."""
+    if not over or chunk is None:
+        return _summed(parts, keys, arrays, over)
+    parts = parts.withColumn("_chunk", chunk)
+    starts = _summed(_summed(parts, [*keys, "_chunk"], arrays, None), keys, arrays, "_chunk")
+    starts = starts.withColumn(over, F.lit(None).cast(parts.schema[over].dataType))  # nulls come first
+    rows = parts.select(*keys, "_chunk", over, "n", *arrays).unionByName(starts)
+    return _summed(rows, [*keys, "_chunk"], arrays, over).filter(F.col(over).isNotNull()).drop("_chunk")
 
 
 def _itemsets(cats: list[list], max_level: int, qualified: bool = False) -> tuple[list[list], np.ndarray, np.ndarray, np.ndarray]:
@@ -127,18 +181,28 @@ def itemset_moments(conn: DataFrame, features: int, max_level: int = LEVEL) -> D
     """(itemset, n, l, s): count, sums and sums of products (row-major). Tasks add their rows up before the shuffle;
     rows are not copied for each itemset, their places are."""
 
+    def given(found: dict[tuple, list]) -> pa.RecordBatch:
+        sums = list(found.values())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(map(list, found), pa.list_(pa.string())), pa.array([o[0] for o in sums], pa.int64())]
+            + [pa.array([o[k] for o in sums], pa.list_(pa.float64())) for k in (1, 2)],
+            ["itemset", "n", "l", "s"],
+        )
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, list] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 x = _numbers(part.column("x"))
                 sets, rows, first, _ = _itemsets(part.column("cats").to_pylist(), max_level)
-                out = [_sums(x[rows[a:b]]) for a, b in zip(first, first[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sets, pa.list_(pa.string())), pa.array([o[0] for o in out], pa.int64())]
-                    + [pa.array([o[k] for o in out], pa.list_(pa.float64())) for k in (1, 2)],
-                    ["itemset", "n", "l", "s"],
-                )
+                for g, a, b in zip(map(tuple, sets), first, first[1:], strict=False):
+                    more = _sums(x[rows[a:b]])
+                    found[g] = [u + v for u, v in zip(found[g], more, strict=True)] if g in found else more
+                if len(found) >= GATHERED:
+                    yield given(found)
+                    found = {}
+        yield given(found)
 
     rows = conn.select(F.slice("cats", 1, features).alias("cats"), "x")
     parts = rows.mapInArrow(partial, "itemset array<string>, n long, l array<double>, s array<double>")
@@ -209,6 +273,7 @@ class _Scan:
         placed = with_row_index(rows.select("row", "_s", "_m", "cats", "x"), "row", name="_i")
         self.rows = placed.withColumn("_b", F.floor(F.col("_i") / CHUNK)).drop("_i")
         self.level, self.blocks = max_level, self.rows.groupBy(*_KEYS)
+        self.many = (self.rows.agg(F.max("_b")).first()[0] or 0) + 1
         kind = f"{_KEY_KINDS}, itemset array<string>, n long, l array<double>, s array<double>"
         self.sums = self.tables.table("sums", self.blocks.applyInArrow(self._first, kind))
         self.carry = self.tables.table("carry", self._before(self.sums, ["l", "s"]))
@@ -218,7 +283,8 @@ class _Scan:
     def _before(self, parts: DataFrame, arrays: list[str]) -> DataFrame:
         """Sums over the blocks before each block."""
         ordered = parts.withColumn("_o", F.struct("_m", "_b"))
-        return _added(ordered, ["_s", "itemset"], arrays, over="_o").select("*", "_o.*").drop("_o")
+        chunk = F.floor(F.col("_b") / RUN_OF_BLOCKS) if self.many > RUN_OF_BLOCKS else None
+        return _added(ordered, ["_s", "itemset"], arrays, "_o", chunk).select("*", "_o.*").drop("_o")
 
     @property
     def _first(self):

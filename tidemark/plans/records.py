@@ -144,6 +144,34 @@ def _(spark, sf):
     return outlier.anomaly_score(outlier.violation_scores(connections(spark, sf), 3))
 
 
+def wide_connections(spark, sf):
+    """Parts as rows of two categories and 34 whole numbers, as many as a recorded connection has."""
+    price = F.round("p_retailprice").cast("long")
+    number = lambda k: F.pmod(F.col("p_partkey") * (2 * k + 1) + price + F.col("p_size") * k, F.lit(11 + k)).cast("double")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("row"), F.array("p_type", "p_brand").alias("cats"), F.array(*map(number, range(34))).alias("x"))
+
+
+def _wide_sql() -> str:
+    """The same statistics in long form: one row an itemset and pair of features."""
+    w = "OVER (PARTITION BY itemset, a, b ORDER BY row ROWS UNBOUNDED PRECEDING)"
+    return f"""WITH c AS (SELECT p_partkey AS row, p_type AS f1, p_brand AS f2,
+  [CAST((p_partkey * (2 * k + 1) + CAST(round(p_retailprice) AS BIGINT) + p_size * k) % (11 + k) AS DOUBLE) for k in range(34)] AS x FROM part),
+i AS (SELECT row, x, unnest([[f1], [f2], [f1, f2]]) AS itemset FROM c),
+p AS (SELECT a.k AS a, b.k AS b FROM range(1, 35) a(k), range(1, 35) b(k) WHERE a.k <= b.k),
+j AS (SELECT row, itemset, a, b, x[a] AS xa, x[b] AS xb FROM i, p),
+k AS (SELECT *, count(*) {w}::DOUBLE AS n, sum(xa) {w} AS la, sum(xb) {w} AS lb, sum(xa * xb) {w} AS s FROM j),
+q AS (SELECT *, (xa - la / n) * (xb - lb / n) AS v, CASE WHEN n <= 1 THEN s + la * lb ELSE s / (n - 1) + la * lb / (n * (n - 1)) END AS c FROM k),
+t AS (SELECT *, sum(v * v) {w} AS vs, sum(v) {w} AS vl FROM q),
+u AS (SELECT *, sqrt(greatest((vs + 2 * c * vl + n * c * c) / greatest(n - 1, 1), 0)) AS g FROM t),
+r AS (SELECT row, itemset, max(n) AS n, sum(CASE WHEN abs(v - c) > 1.96 * g AND g > 0 THEN CASE WHEN a = b THEN 1 ELSE 2 END ELSE 0 END) AS far FROM u GROUP BY row, itemset)
+SELECT row, sum(CASE WHEN n < 10 OR far > 0.3 * 34 * 34 THEN 1.0::DOUBLE / len(itemset) ELSE 0.0::DOUBLE END) AS score FROM r GROUP BY row"""
+
+
+@query("anomaly_score_wide", _wide_sql())
+def _(spark, sf):
+    return outlier.anomaly_score(outlier.violation_scores(wide_connections(spark, sf), 2))
+
+
 def _flags(rows):
     """Local scores: every source has a model of its own."""
     scores = outlier.anomaly_score(outlier.violation_scores(rows, 3, by="source"))
