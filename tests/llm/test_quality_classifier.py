@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
@@ -42,3 +43,18 @@ def test_one_class_and_no_labels(spark):
     assert {r.score for r in Q.with_scores(docs, Q.fit(docs, none)).collect()} == {0.5}
     odd = spark.createDataFrame([(i, 1) for i in range(9)] + [(None, 0), (4, None)], "doc_id long, quality int")
     assert min(r.score for r in Q.with_scores(docs, Q.fit(docs, odd)).collect()) > 0.9
+
+
+def test_long_texts_are_no_examples(spark, monkeypatch):
+    """One long text early in the order neither ends the sample nor empties it; nothing but long ones is an error."""
+    rows = [(i, ("good words here " if i % 2 else "BAD!! BAD!! ") * (500 if i < 3 else 1)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality")
+    monkeypatch.setattr(Q, "LONGEST_TEXT", 1000)
+    monkeypatch.setattr(Q, "TRAIN_BYTES", 1200)
+    model = Q.fit(docs, labels)
+    good, bad = model.score(["good words here", "BAD!! BAD!!"])
+    assert good > 0.5 > bad
+    monkeypatch.setattr(Q, "LONGEST_TEXT", 5)
+    with pytest.raises(ValueError):
+        Q.fit(docs, labels)

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from . import text as T
 from .common import Scratch, small_batches
 
 #: Labelled documents that one fit uses at most, chosen by a hash of doc_id, and their bytes of text.
-TRAIN_DOCUMENTS, TRAIN_BYTES = 4000, 64 << 20
+TRAIN_DOCUMENTS, TRAIN_BYTES, LONGEST_TEXT = 4000, 64 << 20, 1 << 20
 BUCKETS, DIMENSIONS, NGRAMS = 1 << 16, 8, (1, 2, 3, 4)
 EPOCHS, RATE, SEED = 8, 0.5, 7
 
@@ -69,6 +68,9 @@ class Model:
 def train(texts: list[str | None], labels: list[int]) -> Model:
     """Stochastic gradient descent on the cross-entropy of the softmax, one document a step, rate falling to zero.
 
+    A vector's step is that of the average's gradient times the number of different n-grams of the document, four times
+    the mean share at most: scaled so, a long document's many n-grams learn as fast as a short one's few.
+
     Without both classes in ``labels`` the model scores every text by its bias."""
     y = np.array(labels, np.int64)
     if len(y) == 0 or y.min() == y.max():
@@ -110,10 +112,12 @@ def fold(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """A model from at most TRAIN_DOCUMENTS labelled documents outside the held-out fold, whose texts have TRAIN_BYTES at
-    most together; the texts are whole.
+    most together; the texts are whole, and one longer than LONGEST_TEXT is no example. Texts are taken in the order of
+    the ids' hashes, and one that no longer fits is passed over.
 
     Null labels and ids are left out; of several labels of one doc_id the largest counts, of several texts the one with
-    the smallest hash; a null text is an empty one."""
+    the smallest hash; a null text is an empty one. Without labels every text scores one half; labels whose texts are all
+    too long are an error."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCUMENTS)
@@ -122,15 +126,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     rows = pairs.groupBy(F.xxhash64("doc_id").alias("h"), "doc_id").agg(one_text, F.first("y").alias("y"))
     rows = Scratch(docs.sparkSession, "op1").table("labelled", rows)
     sizes = sorted((r.h, r.doc_id, r.n or 0) for r in rows.select("h", "doc_id", F.octet_length("text").alias("n")).collect())
-    within = [h for h, total in zip((s[0] for s in sizes), accumulate(s[2] for s in sizes), strict=True) if total <= TRAIN_BYTES]
-    known = sorted(rows.filter(F.col("h") <= (within[-1] if within else -(1 << 63))).collect(), key=lambda r: (r.h, r.doc_id))
+    within, total = [], 0
+    for h, _, n in sizes:
+        if n <= LONGEST_TEXT and total + n <= TRAIN_BYTES:
+            within.append((h,))
+            total += n
+    if sizes and not within:
+        raise ValueError("every labelled text is longer than LONGEST_TEXT")
+    some = docs.sparkSession.createDataFrame(within, "h long")  # TRAIN_DOCUMENTS rows at most
+    known = sorted(rows.join(F.broadcast(some), "h", "left_semi").collect(), key=lambda r: (r.h, r.doc_id))
     return train([r.text for r in known], [r.y for r in known])
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with a column ``score`` (0 to 1, higher: class 1 likelier), replacing any column of that name.
 
-    Null text scores as empty text. Nothing but the text enters the score."""
+    Null text scores as empty text. Nothing but the text enters the score, so repeated rows score alike; texts of any
+    length are scored whole; an empty table gives no rows."""
     docs = small_batches(docs.drop("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one float a bucket
     names = docs.columns

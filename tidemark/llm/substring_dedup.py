@@ -167,7 +167,7 @@ def _cut(length: int):
 
 
 def _listed(spans: DataFrame) -> DataFrame:
-    return spans.groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # of one document
+    return spans.groupBy(*_KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # of one text, however often it comes
 
 
 def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:

@@ -237,7 +237,7 @@ def repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     twice = suffixes.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram")
     twice = tables.table("twice", twice)  # written, so that the join can be split at a gram that very many documents have
     kept = suffixes.join(twice, "gram")
-    places = kept.groupBy(*_KEY).agg(F.collect_list(F.struct("gram", "at")).alias("at"))  # of one document
+    places = kept.groupBy(*_KEY).agg(F.collect_set(F.struct("gram", "at")).alias("at"))  # of one text, however often it comes
     around = docs.join(places.hint("shuffle_hash"), _KEY).mapInArrow(*_surroundings(length))
     around = tables.table("around", around.withColumn("ctx", F.xxhash64("gram", "left", "right")))
     tables.drop("suffixes", "twice")

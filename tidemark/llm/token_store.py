@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import WORD, partitions
+from .common import WORD, partitions, small_batches
 
 MAGIC = b"TMTOK1\r\n"
 #: Documents that the dictionary is trained on, at most, and its size in bytes.
-DICTIONARY_SAMPLE, DICTIONARY_BYTES = 1000, 64 << 10
+DICTIONARY_SAMPLE, DICTIONARY_BYTES, SAMPLE_TEXT_BYTES = 1000, 64 << 10, 32 << 10
 #: A task starts another shard when one has this many compressed bytes.
 SHARD_BYTES = 32 << 20
 #: Ids that a reading task holds decompressed at a time.
@@ -177,10 +177,12 @@ class Shard:
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end: int) -> bytes:
-    """A zstandard dictionary from serialized ids of at most DICTIONARY_SAMPLE documents, chosen by a hash of doc_id;
-    empty where the sample is too small to train on."""
+    """A zstandard dictionary from serialized ids of at most DICTIONARY_SAMPLE documents, chosen by a hash of doc_id from
+    those whose texts have at most SAMPLE_TEXT_BYTES (short documents are what it is for); empty where the sample is too
+    small to train on."""
     import zstandard
 
+    docs = small_batches(docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES))
     total = max(1, docs.count())
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
     some = docs.filter(pick <= 1_000_003 * min(1.0, 1.5 * DICTIONARY_SAMPLE / total)).orderBy(pick, "doc_id")
@@ -210,7 +212,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end: int) ->
     import zstandard
 
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dictionary = train_dictionary(docs, tokenizer_path, end)
     _put(folder, "dictionary.zdict", dictionary, "driver")
     shared = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
