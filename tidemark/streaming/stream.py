@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,123 +63,169 @@ def stream_fraud(trans: DataFrame, size: str, seconds: int, m: int = 1000) -> Da
     return hits.filter(F.pmod("model", F.lit(m)) == F.pmod("val", F.lit(m))).select(*trans.columns)
 
 
+class _Held:
+    """One key's rows that wait for the watermark: whole numbers by name, the first the time in microseconds.
+
+    They lie in a map by stretch of ``width_ms``; a batch reads and writes the stretches that it adds to, and those
+    that the watermark has reached, however many others are held."""
+
+    def __init__(self, handle: StatefulProcessorHandle, names: list[str], width_ms: int):
+        self.handle, self.names, self.width = handle, names, width_ms * 1000
+        self.rows = handle.getMapState("held", "stretch long", ", ".join(f"{n} array<bigint>" for n in names))
+        self.index = handle.getValueState("stretches", "stretches array<bigint>")
+
+    def _stretches(self) -> list[int]:
+        return list(self.index.get()[0]) if self.index.exists() else []
+
+    def _read(self, stretch: int) -> list[np.ndarray]:
+        return [np.array(c, np.int64) for c in self.rows.getValue((stretch,))]
+
+    def _write(self, stretch: int, columns: list[np.ndarray]) -> None:
+        self.rows.updateValue((stretch,), tuple(c.tolist() for c in columns))
+
+    def add(self, batches: Iterator[pd.DataFrame]) -> None:
+        known = set(self._stretches())
+        before = len(known)
+        for pdf in batches:
+            columns = [pdf[n].to_numpy(np.int64) for n in self.names]
+            at = columns[0] // self.width
+            for stretch in np.unique(at).tolist():
+                own = [c[at == stretch] for c in columns]
+                if stretch in known:
+                    own = [np.concatenate(pair) for pair in zip(self._read(stretch), own, strict=True)]
+                known.add(stretch)
+                self._write(stretch, own)
+        if len(known) > before:
+            self.index.update((sorted(known),))
+
+    def take(self, upto_ms: int) -> list[np.ndarray]:
+        """The rows before the watermark, in no order; they are held no more. Wakes when the next one is due."""
+        upto, taken, stretches = upto_ms * 1000, [], self._stretches()
+        left = [x for x in stretches if x * self.width >= upto]
+        for stretch in stretches[: len(stretches) - len(left)]:
+            columns = self._read(stretch)
+            due = columns[0] < upto
+            taken.append([c[due] for c in columns])
+            if due.all():
+                self.rows.removeKey((stretch,))
+            else:
+                self._write(stretch, [c[~due] for c in columns])
+                left.insert(0, stretch)
+        if len(left) < len(stretches):
+            self.index.update((left,)) if left else self.index.clear()
+        if left:
+            self.handle.registerTimer(int(self._read(left[0])[0].min()) // 1000 + 1)
+        none = np.zeros(0, np.int64)
+        return [np.concatenate([none, *parts]) for parts in zip(*taken, strict=True)] if taken else [none] * len(self.names)
+
+
 class _Barriers(StatefulProcessor):
-    """Holds a shard's values until the watermark passes, then sums them between its copies of the barriers."""
+    """Holds a shard's values until the watermark passes, then adds them up between its copies of the barriers: what is
+    left of them is one sum."""
+
+    def __init__(self, width_ms: int):
+        self.width_ms = width_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "ts long, val long, barrier boolean")
+        self.held = _Held(handle, ["us", "val", "barrier"], self.width_ms)
         self.open = handle.getValueState("open", "total long")
 
-    def _settle(self, upto_ms: int | None, rows: list[tuple]) -> list[tuple]:
-        done = sorted(r for r in rows if upto_ms is None or r[0] < upto_ms * 1000)
-        keep = [r for r in rows if not (upto_ms is None or r[0] < upto_ms * 1000)]
+    def _settled(self, upto_ms: int) -> pd.DataFrame:
+        us, val, barrier = self.held.take(upto_ms)
+        order = np.lexsort((1 - barrier, us))  # a barrier comes before a value of its own time
+        us, val, mark = us[order], val[order], np.flatnonzero(barrier[order])
         total = self.open.get()[0] if self.open.exists() else 0
-        out = []
-        # a barrier comes before a value of its own time
-        for ts, val, barrier in sorted(done, key=lambda r: (r[0], not r[2])):
-            if barrier:
-                out.append((ts, total))
-                total = 0
-            else:
-                total += val
-        self.open.update((total,))
-        self.held.put(keep) if keep else self.held.clear()
-        return out
+        sums = total + np.cumsum(np.where(barrier[order] == 1, 0, val))
+        if len(us):
+            self.open.update((int(sums[-1] - (sums[mark[-1]] if len(mark) else 0)),))
+        return pd.DataFrame({"marker_us": us[mark], "total": np.diff(sums[mark], prepend=0)}).astype("int64")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
-        for pdf in rows:
-            held += list(zip(pdf["us"].tolist(), pdf["val"].tolist(), pdf["barrier"].tolist(), strict=True))
-        out = self._settle(timerValues.getCurrentWatermarkInMs(), held)
-        if self.held.exists():
-            self._wake()
-        yield self._frame(out)
+        self.held.add(rows)
+        yield self._settled(timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
-        out = self._settle(timerValues.getCurrentWatermarkInMs(), held)
-        if self.held.exists():
-            self._wake()
-        yield self._frame(out)
-
-    def _wake(self) -> None:
-        """At the first time after the earliest row that is held."""
-        self.handle.registerTimer(int(min(r[0] for r in self.held.get()) // 1000 + 1))
-
-    def _frame(self, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({"marker_us": pd.Series([o[0] for o in out], dtype="int64"), "total": pd.Series([o[1] for o in out], dtype="int64")})
+        yield self._settled(timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
-def stream_barrier_sum(values: DataFrame, barriers: DataFrame, shards: int = 8) -> DataFrame:
+def stream_barrier_sum(values: DataFrame, barriers: DataFrame, shards: int = 8, width_ms: int = 60_000) -> DataFrame:
     """(marker_us, total) per shard and barrier of streams with ts; sum them per marker_us for the total. Barriers are
-    copied to every shard; values (ts, val) go to the shard of their hash."""
-    us = F.unix_micros("ts").alias("us")
-    own = values.select("ts", us, F.col("val").cast("long").alias("val"), F.lit(False).alias("barrier"), F.pmod(F.xxhash64("ts", "val"), F.lit(shards)).alias("shard"))
+    copied to every shard; values (ts, val) go to the shard of their hash, a null val counts as 0. ``width_ms`` is the
+    stretch of time whose waiting rows are kept together."""
+    us, one = F.unix_micros("ts").alias("us"), lambda x: F.lit(x).cast("long").alias("barrier")
+    val = F.coalesce(F.col("val").cast("long"), F.lit(0)).alias("val")
+    own = values.select("ts", us, val, one(0), F.pmod(F.xxhash64("ts", "val"), F.lit(shards)).alias("shard"))
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")
-    marks = barriers.select("ts", us, F.lit(0).cast("long").alias("val"), F.lit(True).alias("barrier"), copies)
+    marks = barriers.select("ts", us, F.lit(0).cast("long").alias("val"), one(1), copies)
     return own.unionByName(marks).groupBy("shard").transformWithStateInPandas(
-        _Barriers(), "marker_us long, total long", "Append", "EventTime"
+        _Barriers(width_ms), "marker_us long, total long", "Append", "EventTime"
     )
 
 
 class _Latest(StatefulProcessor):
     """Holds a key's rows until the watermark passes, then answers views with the latest value before them."""
 
+    def __init__(self, width_ms: int, forget_ms: int | None):
+        self.width_ms, self.forget_ms = width_ms, forget_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "us long, val long, view boolean, id long")
-        self.latest = handle.getValueState("latest", "val long")
-
-    def _settle(self, key, upto_ms: int, rows: list[tuple]) -> pd.DataFrame:
-        done = [r for r in rows if r[0] < upto_ms * 1000]
-        keep = [r for r in rows if r[0] >= upto_ms * 1000]
-        value = self.latest.get()[0] if self.latest.exists() else None
-        out = []
-        for us, val, view, row_id in sorted(done, key=lambda r: (r[0], not r[2], r[1])):  # a view comes before an update
-            if view:
-                out.append((key[0], row_id, us, value))
-            else:
-                value = val
-        if value is not None:
-            self.latest.update((value,))
-        self.held.put(keep) if keep else self.held.clear()
-        frame = pd.DataFrame(out, columns=["key", "id", "us", "val"])
-        return frame.astype({"key": "int64", "id": "int64", "us": "int64", "val": "Int64"})
+        self.held = _Held(handle, ["us", "val", "view", "id"], self.width_ms)
+        self.latest = handle.getValueState("latest", "us long, val long")
+
+    def _settled(self, key, upto_ms: int) -> pd.DataFrame:
+        us, val, view, ids = self.held.take(upto_ms)
+        order = np.lexsort((val, 1 - view, us))  # a view comes before an update, the largest update of a time last
+        us, val, view, ids = us[order], val[order], view[order], ids[order]
+        known = self.latest.get() if self.latest.exists() else None
+        when, what = (np.append(known[i] if known else 0, x) for i, x in enumerate((us, val)))
+        last = np.maximum.accumulate(np.append(0, np.where(view == 1, 0, np.arange(1, len(us) + 1))))
+        found = (last > 0) | (known is not None)
+        if self.forget_ms is not None:
+            found &= np.append(0, us) - when[last] < self.forget_ms * 1000
+        newest = int(last[-1])
+        if newest:
+            self.latest.update((int(when[newest]), int(what[newest])))
+            if self.forget_ms is not None:
+                self.handle.registerTimer(int(when[newest]) // 1000 + self.forget_ms + 1)
+        elif known and self.forget_ms is not None and upto_ms * 1000 > known[0] + self.forget_ms * 1000:
+            self.latest.clear()  # no view that is still to come would find it
+        asked = np.flatnonzero(view) + 1
+        answer = pd.array(what[last[asked]], "Int64")
+        answer[~found[asked]] = pd.NA
+        one = np.full(len(asked), key[0], np.int64)
+        return pd.DataFrame({"key": one, "id": ids[asked - 1], "us": us[asked - 1], "val": answer})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
-        for pdf in rows:
-            held += list(zip(pdf["us"].tolist(), pdf["val"].tolist(), pdf["view"].tolist(), pdf["id"].tolist(), strict=True))
-        out = self._settle(key, timerValues.getCurrentWatermarkInMs(), held)
-        if self.held.exists():
-            self._wake()
-        yield out
+        self.held.add(rows)
+        yield self._settled(key, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
-        out = self._settle(key, timerValues.getCurrentWatermarkInMs(), held)
-        if self.held.exists():
-            self._wake()
-        yield out
-
-    def _wake(self) -> None:
-        """At the first time after the earliest row that is held."""
-        self.handle.registerTimer(int(min(r[0] for r in self.held.get()) // 1000 + 1))
+        yield self._settled(key, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
-def stream_asof_join(views: DataFrame, updates: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, id, us, val) of views (ts, id) with the key's latest value strictly before them, null where there is none."""
+def stream_asof_join(
+    views: DataFrame, updates: DataFrame, key: str, value: str, width_ms: int = 60_000, forget_ms: int | None = None
+) -> DataFrame:
+    """(key, id, us, val) of views (ts, id) with the key's latest value strictly before them, null where there is none.
+    Rows without key and updates without value are left out.
+
+    With ``forget_ms`` a value that is so old when it is looked for is no answer, and keys without newer ones leave the
+    state. ``width_ms`` is the stretch of time whose waiting rows are kept together."""
     us, k = F.unix_micros("ts").alias("us"), F.col(key).cast("long").alias("key")
-    a = views.select("ts", us, k, F.lit(0).cast("long").alias("val"), F.lit(True).alias("view"), F.col("id").cast("long").alias("id"))
-    b = updates.select("ts", us, k, F.col(value).cast("long").alias("val"), F.lit(False).alias("view"), F.lit(0).cast("long").alias("id"))
-    return a.unionByName(b).groupBy("key").transformWithStateInPandas(_Latest(), "key long, id long, us long, val long", "Append", "EventTime")
+    whole = lambda c, name: (F.lit(c) if isinstance(c, int) else F.col(c)).cast("long").alias(name)
+    a = views.select("ts", us, k, whole(0, "val"), whole(1, "view"), whole("id", "id"))
+    b = updates.filter(F.col(value).isNotNull()).select("ts", us, k, whole(value, "val"), whole(0, "view"), whole(0, "id"))
+    rows = a.unionByName(b).filter("key is not null")
+    return rows.groupBy("key").transformWithStateInPandas(
+        _Latest(width_ms, forget_ms), "key long, id long, us long, val long", "Append", "EventTime"
+    )
 
 
 def late_rows(query) -> int:
