@@ -138,3 +138,22 @@ def test_merged_moments_are_the_whole(spark):
     c = {tuple(r.itemset): r.c for r in O.itemset_covariance(O.itemset_moments(df, 4), textbook=True).collect()}
     x = np.array([r[3] for r in rows(200) if "tcp" in r[2]])
     assert np.allclose(c[("tcp",)], np.cov(x.T).ravel())
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 64, 10_000])
+def test_flags_of_chunks_are_those_of_one_scan(spark, chunk):
+    """Sources of several kinds: usual scores, only high ones (all outliers), none, jumps that wrong guesses get wrong."""
+    rng = np.random.default_rng(chunk)
+    makers = {"usual": lambda i: rng.random() * (1 + 30 * (rng.random() < 0.02)), "high": lambda i: 5.0, "zero": lambda i: 0.0, "jumps": lambda i: float(20 ** (i // 60 % 3)), None: lambda i: float(i % 3)}
+    data = [(s, i, make(i)) for s, make in makers.items() for i in range(300 if chunk < 7 else 400)]
+    want = {}
+    for s in makers:
+        normal = []
+        for _, i, score in (d for d in data if d[0] == s):
+            bound = mean_bound(normal[-40:])
+            want[(s, i)] = (bound, score > bound)
+            normal = normal if score > bound else [*normal, score]
+    df = spark.createDataFrame(data if chunk > 1 else [d for d in data if d[0] in ("usual", None) and d[1] < 12], "source string, row long, score double")
+    got = {(r.source, r.row): (r.bound, r.outlier) for r in O.flag_outliers(df.repartition(3), chunk=chunk).collect()}
+    assert len(got) == df.count() and all(np.allclose(got[k], want[k]) for k in got)
+    assert O.flag_outliers(df.limit(0), chunk=chunk).count() == 0

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,44 @@ def test_load_spine_without_nested_loops(spark):
     assert found.count() == 3 * 4 + 2 * 3
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_percentiles_by_rank(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, rng.random(), float(rng.randrange(4))])) for _ in range(500)] + [("c", None), ("d", 2.5)]
+    df = spark.createDataFrame(rows, "g string, latency double")
+    built = df.groupBy("g").agg(F.expr("percentile(latency, array(0.1, 0.5, 0.9))").alias("p")).collect()
+    want = {r.g: pytest.approx(r.p) if r.p else [None] * 3 for r in built}
+    got = {r.g: [r.p10, r.p50, r.p90] for r in meter.latency_percentiles(df.repartition(5), "g").collect()}
+    assert got == want and len(got) == 5
+    one = meter.latency_percentiles(df).first()
+    assert [one.p10, one.p50, one.p90] == pytest.approx(df.selectExpr("percentile(latency, array(0.1, 0.5, 0.9)) AS p").first().p)
+    assert tuple(meter.latency_percentiles(df.limit(0)).first()) == (None, None, None)
+
+
+@pytest.mark.parametrize("size", [1, 5, 65_536])
+def test_throughput_series_in_stretches(spark, monkeypatch, size):
+    """The same series however the log times are dealt; holes leave stretches empty; no window over all log times."""
+    rng = random.Random(3)
+    times = sorted(rng.sample([*range(0, 4000), *range(60_000, 61_000), *range(990_000, 1_000_000)], 120))
+    rows = [(t * 1000, rng.choice([0, 1, 5])) for t in times] + [(times[5] * 1000, 2)]
+    df = spark.createDataFrame(rows, "ts_ns long, n long")
+    whole = sorted(map(tuple, meter.throughput_series(df).collect()))
+    monkeypatch.setattr(meter, "SERIES_ROWS", size)
+    found = meter.throughput_series(df)
+    assert len(whole) > 300 and np.allclose(sorted(map(tuple, found.collect())), whole)
+    assert meter.throughput_series(df.limit(0)).count() == 0 == meter.throughput_series(df.filter("n = 0")).count()
+
+
+def test_states_from_changes(spark):
+    rng = random.Random(2)
+    rows = [(m, k, rng.choice([1, 1, 2, None])) for m in range(0, 100, 10) for k in ("a", "b", "c", None) if rng.random() < 0.7]
+    df = spark.createDataFrame([*rows, (200, "z", 1)], "marker long, k string, v long")
+    changes = io.state_changes(df, "k")
+    assert 0 < changes.count() < len(rows) * 2
+    again = io.states(changes, df, "k")
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, df.select(again.columns).collect()), key=str)
+    for m in (0, 35, 90, 150, 300):
+        last = max(x for x in [*range(0, 100, 10), 200] if x <= m)
+        want = sorted(((k, v) for t, k, v in [*rows, (200, "z", 1)] if t == last), key=str)
+        assert sorted(map(tuple, io.state_at(changes, m, "k").collect()), key=str) == want

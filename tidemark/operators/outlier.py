@@ -27,6 +27,8 @@ SUPPORT, TAU, DELTA, FACTOR, SCORES, LEVEL = 10, 1.96, 0.3, 10.0, 40, 2
 CHUNK, STEP = 8192, 256
 #: Blocks whose sums one task adds up along an itemset, and itemsets that a task gathers sums of before it gives them on.
 RUN_OF_BLOCKS, GATHERED = 256, 4096
+#: Rows of a source that one task scans for outliers.
+SCAN_ROWS = 65_536
 
 
 def itemset_lattice(domains: DataFrame, max_level: int = LEVEL) -> DataFrame:
@@ -395,31 +397,83 @@ def anomaly_score(violations: DataFrame) -> DataFrame:
     return violations.groupBy("row").agg(F.sum("contribution").alias("score"))
 
 
-def flag_outliers(scores: DataFrame, factor: float = FACTOR, window: int = SCORES) -> DataFrame:
+def _flagged(scores: list[float], normal: deque, factor: float) -> tuple[list, list, list]:
+    """Bound, verdict and next bound of consecutive scores; ``normal`` holds the last normal scores and moves on."""
+    bounds, flags, after = [], [], []
+    for score in scores:
+        bounds.append(factor * (sum(normal) / len(normal) if normal else 0.0))
+        flags.append(score > bounds[-1])
+        if not flags[-1]:
+            normal.append(score)
+        after.append(factor * (sum(normal) / len(normal) if normal else 0.0))
+    return bounds, flags, after
+
+
+def flag_outliers(scores: DataFrame, factor: float = FACTOR, window: int = SCORES, chunk: int = SCAN_ROWS) -> DataFrame:
     """(source, row, score, bound, outlier, after): in row order per source, an outlier scores above ``factor`` times the
     mean of the last ``window`` normal scores (0 where there are none) and does not enter that mean. ``after`` is the
     bound that the next row meets.
 
-    Each source is one scan by nature; it streams through its task and keeps ``window`` numbers."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, normal = object(), deque(maxlen=window)
-        for b in batches:
-            bounds, flags, after = [], [], []
-            bound = lambda: factor * (sum(normal) / len(normal) if normal else 0.0)
-            for source, score in zip(b["source"], b["score"], strict=True):
-                if source != now:
-                    now, normal = source, deque(maxlen=window)
-                bounds.append(bound())
-                flags.append(score > bounds[-1])
-                if not flags[-1]:
-                    normal.append(score)
-                after.append(bound())
-            yield b.assign(bound=bounds, outlier=flags, after=after)
-
+    A source is scanned in chunks of ``chunk`` rows at the same time. A chunk guesses its window, the last scores of the
+    chunk before it taken as normal; chunks whose guess differs from the window that the one before them ends with are
+    scanned again from that, until all agree. The first chunk needs no guess, so this ends, with the rows of one scan."""
+    tables = Scratch(scores.sparkSession, "flags")
     rows = scores.select("source", "row", "score")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.repartition("source").sortWithinPartitions("source", "row").mapInPandas(scan, f"{kinds}, bound double, outlier boolean, after double")
+    placed = with_row_index(rows, "source", "row", name="_i").alias("a")
+    first = placed.groupBy("source").agg(F.min("_i").alias("_first")).alias("b")
+    part = F.floor((F.col("_i") - F.col("_first")) / chunk).alias("_k")
+    rows = placed.join(first, F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "a.row", "a.score", part)
+    rows = tables.table("rows", rows)
+    source = rows.schema["source"].dataType.simpleString()
+    kind = f"source {source}, _k long, normal array<double>"
+
+    def one(table: pa.Table, normal: list) -> pa.Table:
+        return pa.table({"source": table.column("source")[:1], "_k": table.column("_k")[:1], "normal": pa.array([normal], pa.list_(pa.float64()))})
+
+    def scored(table: pa.Table) -> list[float]:
+        return table.sort_by("row").column("score").to_pylist()
+
+    def guessed(table: pa.Table) -> pa.Table:
+        return one(table, scored(table)[-window:])
+
+    def ended(table: pa.Table, start: pa.Table) -> pa.Table:
+        normal = deque(start.column("normal")[0].as_py(), maxlen=window)
+        _flagged(scored(table), normal, factor)
+        return one(table, list(normal))
+
+    def judged(table: pa.Table, start: pa.Table) -> pa.Table:
+        table = table.sort_by("row")
+        normal = deque(start.column("normal")[0].as_py(), maxlen=window)
+        found = _flagged(table.column("score").to_pylist(), normal, factor)
+        names, kinds = ("bound", "outlier", "after"), (pa.float64(), pa.bool_(), pa.float64())
+        out = table.drop_columns(["_k"])
+        for name, values, t in zip(names, found, kinds, strict=True):
+            out = out.append_column(name, pa.array(values, t))
+        return out
+
+    key = ["source", "_k"]
+    ends = tables.table("ends", rows.groupBy(*key).applyInArrow(guessed, kind))  # one row a chunk
+    chunks, starts = ends.select(*key), None
+    while True:
+        before = ends.select(F.col("source").alias("s"), (F.col("_k") + 1).alias("k"), F.col("normal"))
+        same = F.col("source").eqNullSafe(F.col("s")) & (F.col("_k") == F.col("k"))
+        empty = F.array().cast("array<double>")
+        new = chunks.join(before, same, "left").select(*key, F.coalesce("normal", empty).alias("normal"))
+        new = tables.table("starts", new)
+        if starts is None:
+            redo = new
+        else:
+            old = starts.select(F.col("source").alias("s"), F.col("_k").alias("k"), F.col("normal").alias("old"))
+            redo = tables.table("redo", new.join(old, same).filter("normal <> old").select(*key, "normal"))
+            if redo.isEmpty():
+                break
+        todo = redo.select(F.col("source").alias("s"), F.col("_k").alias("k"))
+        scan = rows.join(todo, same, "left_semi").groupBy(*key).cogroup(redo.groupBy(*key)).applyInArrow(ended, kind)
+        kept = ends.join(todo, same, "left_anti")
+        ends = tables.table("ends", kept.unionByName(scan))
+        starts = new
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scores.select("source", "row", "score").schema)
+    return rows.groupBy(*key).cogroup(new.groupBy(*key)).applyInArrow(judged, f"{kinds}, bound double, outlier boolean, after double")
 
 
 def _judged(rows: DataFrame, support: int, tau: float, delta: float) -> DataFrame:

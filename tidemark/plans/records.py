@@ -6,7 +6,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from ..operators import meter, outlier
+from ..operators import keyed, meter, outlier
 from ..sources import generate, io, prepare
 from ..sources.shared import shared_dir
 from ..streaming import stream
@@ -427,6 +427,28 @@ def _(spark, sf):
     return snap.select("marker", F.size("state").cast("long").alias("keys"), total.alias("total"))
 
 
+def _totals(spark, sf):
+    """Sums of keys that come and go: only windows with events have a row."""
+    return keyed.tumbling_sum(ev.values(ev.events(spark, sf)), ev.every(spark, ev.DAY), "user_id", every_key=False)
+
+
+_T = f"""t AS (SELECT user_id, {ev.START} + ((ts - {ev.START}) // {ev.DAY} + 1) * {ev.DAY} AS marker, sum(val)::BIGINT AS total FROM v GROUP BY ALL),
+n AS (SELECT marker, row_number() OVER (ORDER BY marker) AS i, lead(marker) OVER (ORDER BY marker) AS nm FROM (SELECT DISTINCT marker FROM t)),
+r AS (SELECT user_id, marker, total, i, nm, lag(i) OVER p AS bi, lag(total) OVER p AS bt, lead(i) OVER p AS ai FROM t JOIN n USING (marker) WINDOW p AS (PARTITION BY user_id ORDER BY marker))"""
+
+
+@query("state_changes", ev.sql("SELECT marker, user_id, total, false AS gone FROM r WHERE bi IS NULL OR bi < i - 1 OR bt IS DISTINCT FROM total UNION ALL SELECT nm, user_id, total, true FROM r WHERE nm IS NOT NULL AND (ai IS NULL OR ai > i + 1)", _T))
+def _(spark, sf):
+    return io.state_changes(_totals(spark, sf), "user_id")
+
+
+@query("states", ev.sql("SELECT marker, user_id, total FROM t", _T))
+def _(spark, sf):
+    """Every state again from the changes alone."""
+    whole = _totals(spark, sf)
+    return io.states(io.state_changes(whole, "user_id"), whole, "user_id")
+
+
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 

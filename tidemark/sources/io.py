@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MEASUREMENT = "id long, ts long, value string, property string, plug int, household int, house int"
@@ -66,3 +66,42 @@ def state_snapshots(result: DataFrame, marker: str = "marker") -> DataFrame:
     """The state after each synchronisation: one row a marker, its rows as an array of structs."""
     rest = [c for c in result.columns if c != marker]
     return result.groupBy(marker).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("state"))
+
+
+def state_changes(result: DataFrame, *keys: str, marker: str = "marker") -> DataFrame:
+    """``result``, the whole state after each synchronisation with a row a key, as its changes: the rows that differ
+    from the key's row at the marker before, with ``gone`` false, and where a key is no longer there its last row once
+    more, with ``gone`` true. No cell holds more than one key's values."""
+    per, line = Window.partitionBy(*keys).orderBy(marker), Window.orderBy(marker)
+    numbers = result.select(marker).distinct()  # one row a marker
+    numbers = numbers.select(F.col(marker).alias("_m"), F.row_number().over(line).alias("_i"), F.lead(marker).over(line).alias("_next"))
+    rows = result.join(numbers, F.col(marker) == F.col("_m")).drop("_m")
+    rest = [c for c in result.columns if c not in (marker, *keys)]
+    state = F.struct(*rest) if rest else F.lit(0)
+    rows = rows.withColumns({"_s": state, "_before": F.lag("_i").over(per), "_old": F.lag(state).over(per), "_after": F.lead("_i").over(per)})
+    new = F.col("_before").isNull() | (F.col("_before") < F.col("_i") - 1) | ~F.col("_old").eqNullSafe(F.col("_s"))
+    changed = rows.filter(new).select(*result.columns, F.lit(False).alias("gone"))
+    left = F.col("_next").isNotNull() & (F.col("_after").isNull() | (F.col("_after") > F.col("_i") + 1))
+    ended = rows.filter(left).withColumn(marker, F.col("_next")).select(*result.columns, F.lit(True).alias("gone"))
+    return changed.unionByName(ended)
+
+
+def state_at(changes: DataFrame, at, *keys: str, marker: str = "marker") -> DataFrame:
+    """The state after the last synchronisation at or before ``at``, one row a key."""
+    rest = [c for c in changes.columns if c not in keys]
+    known = changes.filter(F.col(marker) <= F.lit(at)).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(marker)).alias("_s"))
+    return known.filter("not _s.gone").select(*keys, *[F.col(f"_s.`{c}`") for c in rest if c not in (marker, "gone")])
+
+
+def states(changes: DataFrame, markers: DataFrame, *keys: str, marker: str = "marker") -> DataFrame:
+    """The whole state after each of ``markers``, as ``state_changes`` was given it: every change lasts until the key's
+    next one."""
+    line, per = Window.orderBy(marker), Window.partitionBy(*keys).orderBy("_i")
+    every = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numbers = markers.select(marker).distinct()  # one row a marker
+    numbers = numbers.select(F.col(marker).alias("_m"), F.row_number().over(line).alias("_i"), F.count("*").over(every).cast("int").alias("_n"))
+    rows = changes.join(numbers, F.col(marker) == F.col("_m")).drop("_m", marker)
+    upto = F.coalesce(F.lead("_i").over(per) - 1, F.col("_n"))
+    lasting = rows.withColumn("_upto", upto).filter("not gone").withColumn("_i", F.explode(F.sequence("_i", "_upto")))
+    out = lasting.drop("_n", "_upto", "gone").join(numbers.drop("_n"), "_i").withColumnRenamed("_m", marker)
+    return out.select(*[c for c in changes.columns if c != "gone"])
