@@ -59,6 +59,46 @@ def test_held_out_findings_by_kind(spark, docs):
     assert sum((r.score >= S.ACCEPT) == (r.label == 1) for r in rows) >= 0.98 * len(rows)
 
 
+def test_findings_written_by_others(spark, model):
+    """Fifteen plain findings that the labelled ones were not made for."""
+    hexa = "9c1f0be27d5a8436e1f70a2bc94d6835b7e02f9a6c13d84e50a7f3b92d6c81e4"
+    base = "pX3qk9TzLr0WvB7nYc2HsM5dJf8GaEuKi1OeQx4RmZ6tUyVbNwSlCgDhAoPjF7k2Q9sL1xWcZr"
+    rows = [
+        (0, f'<script src="/lib/main.js" integrity="sha512-{base}==" crossorigin>', 0),
+        (1, f"ssh-rsa AAAAB3NzaC1yc2EAAAADAQABAAABgQ{base} someone@laptop", 0),
+        (2, f"background: url(data:image/png;base64,iVBORw0KGgoAAAANSUhEUg{base}==)", 0),
+        (3, f"github.example.com/pkg/errors v0.9.1 h1:{base[:43]}=", 0),
+        (4, f"see https://docs.example.org/document/d/{base[:44]}/edit for notes", 0),
+        (5, f'public_key: "{base[:44]}"', 0),
+        (6, f"commit {hexa[:40]} fixes the build", 0),
+        (7, f"sha256: {hexa}", 0),
+        (8, f'hmac: "{hexa}"', 1),
+        (9, f"DATABASE_URL=postgres://user:{hexa[:32]}@db.example.net:5432/main", 1),
+        (10, f'TWILIO_SID_PAIR = "{hexa[:32]}"', 1),
+        (11, f'client_secret = "{base[:40]}"', 1),
+        (12, f"Authorization: Bearer {base[:60]}", 1),
+        (13, f"export STRIPE_SECRET_KEY={base[:32]}", 1),
+        (14, f'"password": "{base[:22]}"', 1),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id for r in S.findings(docs, model).collect()}
+    wrong = [d for d, _, label in rows if (d in got) != bool(label)]
+    assert len(wrong) <= 2, wrong
+
+
+def test_held_out_names_and_places(spark, docs):
+    """Trained without a third of the names and places, judged on those alone."""
+    words = S.dictionary(docs)
+    labelled = S.labelled_findings(spark, words)
+    held = "crc32(place) % 3 = 0 AND place <> 'alone'"
+    model = S.fit(labelled.filter(f"not ({held})"), words)
+    best = S.scored(labelled.filter(held), model).groupBy("doc_id").agg({"score": "max"}).toDF("doc_id", "score")
+    rows = best.join(labelled, "doc_id").select("kind", "label", "score").collect()
+    right = [(r.score >= S.ACCEPT) == (r.label == 1) for r in rows]
+    print("held-out names and places", len(rows), sum(right) / len(right))
+    assert len(rows) > 1000 and sum(right) >= 0.85 * len(right)
+
+
 def test_dictionary(spark, docs):
     words = S.dictionary(docs)
     assert 0 < len(words) <= 1 / S.DICTIONARY_SHARE

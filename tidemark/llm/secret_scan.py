@@ -6,8 +6,9 @@ findings tell about the neighbouring words; Spark's random forest is trained on
 takes for a secret.
 
 No public table of labelled findings is at hand, so ``labelled_findings`` writes a fixed number of them: every kind of
-VALUES behind every kind of name, in the ways that configuration, code, logs and prose write them. Their random parts
-come from hashes of the row number, so they are the same for every corpus; only filler words are the corpus's.
+value alone, behind names of every sort and in the places that configuration, code, lock files, logs and prose have for
+them. What a random value is, its place says. Random parts come from hashes of the row number, so they are the same for
+every corpus; only filler words are the corpus's.
 
 Defined results: null and empty texts have no candidates; every run of a word is one, however long the text; repeated
 words and rows give a row each; a null doc_id is passed through; an empty table has no findings; extra columns of any
@@ -38,18 +39,33 @@ NEIGHBOUR_DEVIATIONS = 2.5
 
 FEATURES = [
     "length", "digits", "lowers", "uppers", "others", "hex_share", "transitions", "distinct_share",
-    "dictionary", "path_marks", "dots", "dashes", "neighbour_high", "neighbour_low", "assigned", "quoted",
+    "dictionary", "path_marks", "user_info", "dots", "dashes", "neighbour_high", "neighbour_low", "assigned", "quoted",
 ]
 
-# Names that people put before keys, and before what is no key.
-KEY_NAMES = (
-    "token secret password passwd pwd api_key apikey auth bearer access_key private_key client_secret credential "
-    "auth_token access_token refresh_token session_key secret_key signing_key webhook_secret encryption_key"
+# Parts of names of what must stay secret, and of what need not.
+SECRET_PARTS = (
+    "token secret password passwd pwd passphrase api_key apikey auth private_key access_key secret_key signing_key "
+    "encryption_key master_key session_key client_secret webhook_secret credential credentials bearer hmac pat "
+    "auth_token access_token refresh_token deploy_key"
 ).split()
-OTHER_NAMES = (
-    "commit sha sha1 sha256 md5 digest checksum hash etag revision integrity uuid guid id request_id trace_id build "
-    "version order invoice phone card account isbn serial url path file module class author date ref parent tree"
+OPEN_PARTS = (
+    "commit sha sha1 sha256 md5 digest checksum hash etag revision integrity fingerprint public_key pubkey uuid guid id "
+    "request_id trace_id span_id build version order invoice phone card account isbn serial url path file module class "
+    "author date ref parent tree blob object icon image thumbnail certificate nonce cursor snapshot layer"
 ).split()
+# Words that stand before either, and where else keys and other random texts stand; # is the value, ~ a word.
+OWNERS = "app prod staging user admin mail payment cloud storage queue search metrics build service internal main legacy db".split()
+SECRET_PLACES = [
+    "postgres://~:#@~.example.com/~", "mysql://~:#@db.example.com", "redis://:#@~.example.com:6379", "https://~:#@git.example.com/~",
+    "amqp://~:#@~.example.com", "Authorization: Bearer #", "Authorization: Basic #", "X-Api-Key: #", "x-auth-token: #", "curl -u ~:# https://~.example.com",
+    "--password #", "--token=#", "https://~.example.com/~?access_token=#", "login ~ password #", "https://~.example.com/hook?secret=#", "sign with hmac key #",
+]
+OPEN_PLACES = [
+    'integrity="sha512-#"', 'integrity="sha384-#"', "sha256-#", "image@sha256:#", "ssh-rsa #", "ssh-ed25519 #", "data:image/png;base64,#",
+    'src="data:font/woff2;base64,#"', "~.example.com/~ v1.4.0 h1:#", "~ v0.3.1/go.mod h1:#", "https://docs.example.com/document/d/#/edit",
+    "https://files.example.com/d/#", "https://~.example.com/~/#/view", "Fingerprint SHA256:#", "merge commit #", "git checkout #", "If-None-Match: #",
+    "-----BEGIN CERTIFICATE----- #", "-----BEGIN PUBLIC KEY----- #", "https://~.example.com/watch?v=#", "resolved https://~.example.com/~/-/~.tgz##",
+]
 
 
 @dataclass
@@ -120,8 +136,9 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def _with_names(found: DataFrame) -> DataFrame:
     """``found`` with its neighbouring words in lower case (``names``) and with the text right before it in ``lead``,
-    where a run may begin with its own name, as in token=..."""
-    lead = F.concat("lead", F.regexp_extract("finding", r"^[A-Za-z0-9_.\-]+=(?=[^=])", 0))
+    where a run may begin with its own name, as in token=..., sha512-... and ghp_..."""
+    own = r"^(?:[A-Za-z0-9_.\-]+=(?=[^=])|(?:[A-Za-z]{2,8}[0-9]{0,3}[-_]){1,2}(?=[A-Za-z0-9+/=]{16}))"
+    lead = F.concat("lead", F.regexp_extract("finding", own, 0))
     parts = F.regexp_replace(F.concat_ws(" ", "before", lead, "after"), "([a-z])([A-Z])", "$1 $2")
     return found.withColumn("names", F.split(F.lower(parts), r"[^a-z0-9]+")).withColumn("lead", lead)
 
@@ -149,6 +166,7 @@ def with_features(found: DataFrame, words: list[str], neighbours: dict[str, floa
         (F.size(F.array_distinct(F.split(s, ""))) / length).alias("distinct_share"),
         (1 - plain / length).alias("dictionary"),
         _hits("word", r"[/\\]|://").alias("path_marks"),
+        flag(F.col("word").rlike("://[^/@]*:[^/@]+@")).alias("user_info"),
         _hits(s, r"[.]").alias("dots"),
         _hits(s, r"[-_]").alias("dashes"),
         F.coalesce(F.array_max(told), F.lit(0.0)).alias("neighbour_high"),
@@ -174,10 +192,12 @@ def _pick(n: int, options: list[str]) -> Column:
 
 
 def labelled_findings(spark: SparkSession, words: list[str]) -> DataFrame:
-    """(doc_id, text, label, kind): LABELLED findings among ``words``, secrets (1) and what scanners take for them (0).
+    """(doc_id, text, label, kind, place): LABELLED findings among ``words``, secrets (1) and what scanners take for them (0).
 
-    Every kind comes in every context. A random key counts as a secret where a name of keys stands before it, or where
-    its own form tells (``tells``); numbers, words, paths, placeholders and rules are none under any name."""
+    Every kind of value comes in every place: alone, behind a name, and in places of either sort. Names are put together
+    from an owner and a part, in several spellings. Random values are secrets behind names that no part of shows to be
+    open, names never heard of included, and in places of secrets; alone, behind open names and in open places they are
+    none. Keys that their own form tells are secrets anywhere; numbers, words, paths, placeholders and rules nowhere."""
     words = words or ["and", "the", "one"]
     short = [w for w in words if w.isascii()] or words
     joined = lambda n, k, sep="": F.concat_ws(sep, *[_pick(n + i, short) for i in range(k)])
@@ -185,59 +205,70 @@ def labelled_findings(spark: SparkSession, words: list[str]) -> DataFrame:
     alnum = F.regexp_replace(_random(1, 80, "base64"), "[+/]", "")
     uuid = F.concat_ws("-", *[_random(20 + n, n) for n in (8, 4, 4, 4)], _random(30, 12))
     jwt = F.concat(F.lit("eyJ"), _random(2, 33, "base64"), F.lit(".eyJ"), _random(3, 61, "base64"), F.lit("."), _random(4, 43, "base64"))
-    # kind: (value, what it is without a name of keys, what it is behind one)
+    # kind: (value, what it is: a secret, nothing, or what its place says)
     values = {
-        "short hex": (F.substr(_random(5, 28), F.lit(1), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(13)).cast("int") + 16), 0, 1),
-        "hex32": (_random(13, 32), 0, 1),
-        "hex40": (_random(6, 40), 0, 1),
-        "hex64": (_random(7, 64), 0, 1),
-        "base64 key": (_random(8, 40, "base64"), 1, 1),
-        "password": (F.substring(alnum, 1, 22), 1, 1),
-        "long key": (_random(9, 60, "base64"), 1, 1),
-        "cloud key id": (F.concat(F.lit("AKIA"), F.upper(F.substring(alnum, 1, 16))), 1, 1),
-        "prefixed key": (F.concat(_pick(10, ["ghp_", "sk_live_", "xoxb-", "AIza", "npm_", "glpat-"]), F.substring(alnum, 1, 36)), 1, 1),
-        "web token": (jwt, 1, 1),
-        "uuid": (uuid, 0, 0),
-        "number16": (_random(11, 16, numbers), 0, 0),
-        "number20": (_random(12, 20, numbers), 0, 0),
-        "dotted number": (F.concat_ws(".", *[_random(60 + n, n, numbers) for n in (4, 2, 3, 6)]), 0, 0),
-        "words": (joined(100, 5), 0, 0),
-        "capital words": (F.initcap(joined(110, 5)), 0, 0),
-        "end of line": (F.concat(joined(115, 5), F.lit(".")), 0, 0),
-        "snake words": (joined(120, 4, "_"), 0, 0),
-        "camel words": (F.concat(_pick(125, short), *[F.initcap(_pick(126 + i, short)) for i in range(4)]), 0, 0),
-        "dashed words": (joined(130, 4, "-"), 0, 0),
-        "path": (F.concat(F.lit("/"), joined(140, 4, "/"), _pick(145, [".txt", ".py", "/", "", ".json"])), 0, 0),
-        "module": (joined(150, 4, "."), 0, 0),
-        "address": (F.concat(_pick(155, ["https://www.", "http://", "https://cdn."]), joined(156, 2), F.lit(".example.com/"), joined(158, 2, "/")), 0, 0),
-        "mail": (F.concat(_pick(160, short), F.lit("@"), _pick(161, ["mail", "post", "mx"]), _random(162, 1, numbers), F.lit(".example.com")), 0, 0),
-        "placeholder": (F.concat(_pick(165, ["your_", "my-", "insert_", "example_"]), joined(166, 2, "_"), _pick(168, ["_here", "_token_here", "-key"])), 0, 0),
-        "rule": (F.repeat(_pick(170, ["=", "-", ".", "x", "_", "0", "X"]), 24), 0, 0),
+        "short hex": (F.substr(_random(5, 28), F.lit(1), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(13)).cast("int") + 16), None),
+        "hex32": (_random(13, 32), None),
+        "hex40": (_random(6, 40), None),
+        "hex64": (_random(7, 64), None),
+        "base64 key": (_random(8, 40, "base64"), None),
+        "password": (F.substring(alnum, 1, 22), None),
+        "long key": (_random(9, 60, "base64"), None),
+        "cloud key id": (F.concat(F.lit("AKIA"), F.upper(F.substring(alnum, 1, 16))), 1),
+        "prefixed key": (F.concat(_pick(10, ["ghp_", "sk_live_", "xoxb-", "hf_", "npm_", "glpat-"]), F.substring(alnum, 1, 36)), 1),
+        "web token": (jwt, 1),
+        "uuid": (uuid, 0),
+        "number16": (_random(11, 16, numbers), 0),
+        "number20": (_random(12, 20, numbers), 0),
+        "dotted number": (F.concat_ws(".", *[_random(60 + n, n, numbers) for n in (4, 2, 3, 6)]), 0),
+        "words": (joined(100, 5), 0),
+        "capital words": (F.initcap(joined(110, 5)), 0),
+        "end of line": (F.concat(joined(115, 5), F.lit(".")), 0),
+        "snake words": (joined(120, 4, "_"), 0),
+        "camel words": (F.concat(_pick(125, short), *[F.initcap(_pick(126 + i, short)) for i in range(4)]), 0),
+        "dashed words": (joined(130, 4, "-"), 0),
+        "path": (F.concat(F.lit("/"), joined(140, 4, "/"), _pick(145, [".txt", ".py", "/", "", ".json"])), 0),
+        "module": (joined(150, 4, "."), 0),
+        "address": (F.concat(_pick(155, ["https://www.", "http://", "https://cdn."]), joined(156, 2), F.lit(".example.com/"), joined(158, 2, "/")), 0),
+        "mail": (F.concat(_pick(160, short), F.lit("@"), _pick(161, ["mail", "post", "mx"]), _random(162, 1, numbers), F.lit(".example.com")), 0),
+        "placeholder": (F.concat(_pick(165, ["your_", "my-", "insert_", "example_"]), joined(166, 2, "_"), _pick(168, ["_here", "_token_here", "-key"])), 0),
+        "rule": (F.repeat(_pick(170, ["=", "-", ".", "x", "_", "0", "X"]), 24), 0),
     }
-    kinds, k, plain = list(values), F.col("k"), F.col("plain")
-    name = F.when(plain == 2, _pick(91, KEY_NAMES)).otherwise(_pick(92, OTHER_NAMES))
+    kinds, k, sort = list(values), F.col("k"), F.col("sort")
     chosen = lambda of: reduce(lambda done, i: F.when(k == i, of(values[kinds[i]])).otherwise(done), range(len(kinds)), F.lit(None))
     draw = lambda n, many: F.pmod(F.xxhash64("doc_id", F.lit(n)), F.lit(many)).cast("int")
-    rows = spark.range(LABELLED).select(
-        F.col("id").alias("doc_id"), (F.col("id") % len(kinds)).cast("int").alias("k")
-    )
-    rows = rows.select("*", draw(90, 3).alias("plain"))  # 0: no name, 1: another name, 2: a name of keys
+    # random values, which their place decides on, are half of all
+    half = F.when(draw(87, 2) == 0, draw(86, 7)).otherwise((F.col("id") % len(kinds)).cast("int"))
+    rows = spark.range(LABELLED).withColumn("doc_id", F.col("id")).select("doc_id", half.alias("k"))
+    # 0: alone, 1: an open name, 2: a name of secrets, 3: a name never heard of, 4: an open place, 5: a place of secrets
+    rows = rows.select("*", F.get(F.array(*map(F.lit, (0, 1, 1, 2, 2, 3, 4, 4, 4, 5, 5))), draw(90, 11)).alias("sort"))
+    rows = rows.withColumn("sort", F.when((sort == 4) & k.between(7, 9), 0).otherwise(sort))  # where keys of such forms never stand
+    part = F.when(sort == 2, _pick(91, SECRET_PARTS)).when(sort == 1, _pick(92, OPEN_PARTS)).otherwise(_pick(93, short))
+    owner = F.when(sort == 3, _pick(83, short)).otherwise(_pick(84, OWNERS))
+    name = F.when((sort < 3) & (draw(85, 3) == 0), part).otherwise(F.concat_ws("_", owner, part))
+    camel = F.concat(F.substring(name, 1, 1), F.substring(F.replace(F.initcap(F.translate(name, "_", " ")), F.lit(" "), F.lit("")), 2, 99))
+    name = F.when(draw(82, 4) == 0, F.upper(name)).when(draw(82, 4) == 1, camel).when(draw(82, 4) == 2, F.translate(name, "_", "-")).otherwise(name)
+    place = F.when(sort == 4, _pick(80, OPEN_PLACES)).otherwise(_pick(81, SECRET_PLACES))
+    told = F.when(sort.isin(2, 3, 5), 1).otherwise(0)
     rows = rows.select(
-        "doc_id", "k", "plain", name.alias("name"), chosen(lambda v: v[0]).alias("v"),
-        chosen(lambda v: F.when(plain == 2, F.lit(v[2])).otherwise(F.lit(v[1]))).cast("int").alias("label"),
+        "doc_id", "k", "sort", name.alias("name"), place.alias("place"), chosen(lambda v: v[0]).alias("v"),
+        F.coalesce(chosen(lambda v: F.lit(v[1]).cast("int")), told).alias("label"),
     )
     tables = Scratch(spark, "op6")  # written, so that Catalyst writes no expression out more than once
     rows = tables.table("values", rows)
-    styles = ['%s = "%s"', "%s: %s", "%s=%s", '"%s":"%s"', "%s %s", "%s: '%s'", "%s = %s", "%s is %s"]
+    styles = ['%s = "%s"', "%s: %s", "%s=%s", '"%s":"%s"', "%s %s", "%s: '%s'", "%s = %s", '%s: "%s"', "%s = '%s'"]
     bare = F.when(draw(95, 2) == 0, F.col("v")).otherwise(F.format_string('"%s"', "v"))
     named = reduce(lambda done, i: F.when(draw(94, len(styles)) == i, F.format_string(styles[i], "name", "v")).otherwise(done), range(len(styles)), F.lit(None))
-    middle = F.when(plain == 0, bare).otherwise(named)
+    placed = F.replace(F.replace("place", F.lit("~"), _pick(79, short)), F.lit("#"), F.col("v"))
+    middle = F.when(sort == 0, bare).when(sort < 4, named).otherwise(placed)
     text = F.concat_ws(" ", _pick(96, short), _pick(97, short), middle, _pick(98, short), _pick(99, short))
-    rows = rows.select("doc_id", "label", "k", text.alias("text"))
-    shouted = (draw(89, 10) == 0) & ((k <= 3) | (k >= 10))  # whole texts in capitals; base 64 would be another key then
+    rows = rows.select("doc_id", "label", "k", "sort", "name", "place", text.alias("text"))
+    # whole texts in capitals: hex and what is no key; base 64 would be another key then
+    shouted = (draw(89, 10) == 0) & ((k <= 3) | (k >= 10)) & (sort < 4)
     kind = F.get(F.split(F.lit("\n".join(kinds)), "\n"), k).alias("kind")
     text = F.when(shouted, F.upper("text")).otherwise(F.col("text")).alias("text")
-    return tables.table("findings", rows.select("doc_id", text, "label", kind))
+    where = F.when(sort == 0, "alone").when(sort < 4, F.lower("name")).otherwise(F.col("place")).alias("place")
+    return tables.table("findings", rows.select("doc_id", text, "label", kind, where))
 
 
 def _assembled(rows: DataFrame) -> DataFrame:
