@@ -10,7 +10,8 @@ a pair. Links are verified on the whole shingle sets.
 Copies of one set are folded before the join. Of the sets that meet in a symbol only those take part that have enough
 shingles which any other shares. They are first linked to the smallest of each symbol; after contraction only pairs
 that meet and are still apart are verified, so no link between components is lost and no group of copies is expanded
-into pairs.
+into pairs. Pairs whose parity sketches of single bits differ in more bits than linked sets do in shingles are ruled out
+inside that join.
 """
 
 from __future__ import annotations
@@ -57,6 +58,12 @@ def shingles(w: T.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(doc[new], np.arange(len(counts) + 1))
 
 
+def _parity(h: np.ndarray) -> np.ndarray:
+    """SKETCH_LONGS longs of bits, each the parity of the shingles of a set that fall on it."""
+    place = (T.mix(h, 0x7FB5D329728EA185) % np.uint64(64 * SKETCH_LONGS)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=64 * SKETCH_LONGS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _totals(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A 64-bit id of each set: the sum of its mixed hashes."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(h, 0x2545F4914F6CDD1D), dtype=np.uint64)])
@@ -94,6 +101,9 @@ def _identified(size: int):
 
 #: Keys that a task gathers before it gives them on.
 GATHERED = 200_000
+#: Longs of the bit sketch that tells most pairs apart before their sets are read, and keys of a set that are compared so
+#: that a pair comes out once.
+SKETCH_LONGS, LOWEST = 4, 8
 
 
 def _keys(size: int, percent: int, ends: bool):
@@ -141,7 +151,8 @@ def _keys(size: int, percent: int, ends: bool):
 
 
 def _sets(size: int):
-    """(sid, grams): the sorted shingle hashes, as bytes, of the texts whose set is the one ``wanted`` of them."""
+    """(sid, grams, bits): the sorted shingle hashes, as bytes, and the bit sketch of the texts whose set is the one
+    ``wanted`` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,11 +161,13 @@ def _sets(size: int):
                 grams = [h[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
                 sid = _totals(h, first).view(np.int64)
                 same = np.flatnonzero(sid == part.column("wanted").to_numpy(zero_copy_only=False))
+                bits = [_parity(h[first[i] : first[i + 1]]) for i in same]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sid[same]), pa.array([grams[i] for i in same], pa.binary())], ["sid", "grams"]
+                    [pa.array(sid[same]), pa.array([grams[i] for i in same], pa.binary()), pa.array(bits, pa.list_(pa.int64()))],
+                    ["sid", "grams", "bits"],
                 )
 
-    return run, "sid long, grams binary"
+    return run, "sid long, grams binary, bits array<long>"
 
 
 def _verified(percent: int):
@@ -284,13 +297,16 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     second = tables.table("second", _links(near.join(first, ["a", "b"], "left_anti"), sets, percent))
     links = links.union(second)
     live = _open(_rooted(live, links))
-    low = live.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("key")), 1, 64).alias("low"))  # of one set
-    live = tables.table("live", live.join(low, "sid"))
+    low = live.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOWEST).alias("low"))  # of one set
+    live = tables.table("live", live.join(low.join(sets.select("sid", "bits"), "sid"), "sid"))
     tables.drop("live", but_last=True)
     # a pair comes out of the smallest key that both sets have among their lowest, or of each key where they have none
     lowest = F.array_min(F.array_intersect("low", "m.low"))
     once = (F.col("sid") < F.col("m.sid")) & (lowest.isNull() | (lowest == F.col("key")))
-    rest = _meet(live, live.select("key", F.struct("sid", "root", "n", "c", "low").alias("m")), percent, once)
+    # sketches differ in no more bits than the sets in shingles
+    differ = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("m.bits", F.lit(i)))) for i in range(SKETCH_LONGS)), F.lit(0))
+    close = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("m.n"))
+    rest = _meet(live, live.select("key", F.struct("sid", "root", "n", "c", "low", "bits").alias("m")), percent, once & close)
     tested = first.union(near)
     more = tables.table("more", _links(rest.join(tested, ["a", "b"], "left_anti"), sets, percent))
     tables.drop("live", "near", "first", "sets")
