@@ -76,13 +76,19 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(BUCKETS + 2, np.float32), 0.0 if len(y) == 0 else 4.0 * (2 * y[0] - 1))
     rng = np.random.default_rng(SEED)
-    items = []
+    # two arrays for all documents, which the driver gives back whole
+    many, all_ids, all_shares = [0], [], []
     for at in range(0, len(texts), 64):
-        grams = list(_grams(texts[at : at + 64]))
+        grams, found_ids, found_shares = list(_grams(texts[at : at + 64])), [], []
         for i in range(len(texts[at : at + 64])):
             bucket = np.concatenate([found[first[i] : first[i + 1]] for found, first in grams])
             ids, counts = np.unique(bucket, return_counts=True)
-            items.append((ids.astype(np.int32), (counts / max(1, len(bucket))).astype(np.float32)))
+            found_ids.append(ids.astype(np.int32))
+            found_shares.append((counts / max(1, len(bucket))).astype(np.float32))
+            many.append(len(ids))
+        all_ids.append(np.concatenate(found_ids))
+        all_shares.append(np.concatenate(found_shares))
+    all_ids, all_shares, begin = np.concatenate(all_ids), np.concatenate(all_shares), np.cumsum(many)
     embedding = (rng.random((BUCKETS + 2, DIMENSIONS), np.float32) - 0.5) / DIMENSIONS
     softmax, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
     step, steps = 0, EPOCHS * len(y)
@@ -90,7 +96,7 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
         for i in rng.permutation(len(y)):
             rate = RATE * (1 - step / steps)
             step += 1
-            ids, share = items[i]
+            ids, share = all_ids[begin[i] : begin[i + 1]], all_shares[begin[i] : begin[i + 1]]
             rows = embedding[ids]
             hidden = share @ rows
             z = hidden @ softmax + bias
