@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidemark.operators import asof, barrier, clock, keyed, load, meter
-from tidemark.sources import io, prepare
+from tidemark.sources import generate, io, prepare
 
 
 @pytest.fixture
@@ -187,3 +187,22 @@ def test_states_from_changes(spark):
         last = max(x for x in [*range(0, 100, 10), 200] if x <= m)
         want = sorted(((k, v) for t, k, v in [*rows, (200, "z", 1)] if t == last), key=str)
         assert sorted(map(tuple, io.state_at(changes, m, "k").collect()), key=str) == want
+
+
+def test_accelerated_rate(spark):
+    """By any time t there are t / period + a / 2 * t ** 2 events, rounded down."""
+    times = sorted(r.ts for r in generate.gen_rate(spark, 100, 0.5, 0.2).collect())
+    assert len(times) == int(100 / 0.5 + 0.1 * 100 * 100) and times[-1] <= 100
+    for t in range(1, 101):
+        made = sum(x <= t + 1e-9 for x in times)
+        assert abs(made - (t / 0.5 + 0.1 * t * t)) <= 1 and made <= t / 0.5 + 0.1 * t * t + 1e-6
+
+
+def test_generated_zips(spark):
+    """Five digits, evenly spread, the same for a seed, and different for other users, times and seeds."""
+    zips = lambda seed: {(r.user_id, r.ts): r.zip for r in generate.gen_get_update(spark, 400_000, 20, seed).filter("kind = 'update'").collect()}
+    one, again, other = zips(1), zips(1), zips(2)
+    assert one == again and len(one) == 800 and all(10_000 <= z <= 99_999 for z in one.values())
+    assert len(set(one.values())) > 780 and sum(one[k] == other[k] for k in one) < 5
+    low, high = sum(z < 40_000 for z in one.values()), sum(z >= 70_000 for z in one.values())
+    assert 200 < low < 334 and 200 < high < 334

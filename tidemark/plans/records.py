@@ -331,6 +331,16 @@ def _(spark, sf):
     return generate.gen_rate(spark, places["n"], 2.0, ids=places["ids"])
 
 
+_A = "(SELECT 0.5::DOUBLE / count(*) AS a, count(*)::DOUBLE AS n FROM events)"
+
+
+@query("gen_rate_accelerated", f"SELECT t AS seq, round((sqrt(0.25::DOUBLE * 0.25 + 2 * a * (t + 1)) - 0.25) / a, 6) AS ts FROM {_PLACES}, {_A} WHERE t < floor(n / 4 + a / 2 * n * n)")
+def _(spark, sf):
+    places = _places(spark, sf)
+    made = generate.gen_rate(spark, places["n"], 4.0, 0.5 / places["n"], ids=places["ids"])
+    return made.select("seq", F.round("ts", 6).alias("ts"))
+
+
 @query(
     "interleave_heartbeats",
     f"WITH {ev.BASE}, m AS (SELECT DISTINCT ts // 60000000 AS ts FROM e), g AS (SELECT {ev.START} // 60000000 + i * 7 AS ts FROM range({30 * 1440 // 7 + 1}) t(i) WHERE i * 7 < {30 * 1440}) SELECT ts, false AS is_heartbeat FROM m UNION ALL SELECT ts, true FROM g WHERE ts NOT IN (SELECT ts FROM m)",
