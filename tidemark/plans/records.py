@@ -178,19 +178,47 @@ def _flags(rows):
     return outlier.flag_outliers(scores.join(rows.select("row", "source"), "row"))
 
 
-@query(
-    "flag_outliers",
-    f"""WITH RECURSIVE {_scored_sql("source, ")}, sc AS (SELECT source, row, sum(contribution) AS score, row_number() OVER (PARTITION BY source ORDER BY row) AS k FROM scored GROUP BY source, row),
+_F = """sc AS (SELECT source, row, sum(contribution) AS score, row_number() OVER (PARTITION BY source ORDER BY row) AS k FROM scored GROUP BY source, row),
 f AS (SELECT source, k, row, score, 0.0::DOUBLE AS bound, score > 0 AS outlier, CASE WHEN score > 0 THEN []::DOUBLE[] ELSE [score] END AS normal FROM sc WHERE k = 1
 UNION ALL SELECT source, k, row, score, bound, score > bound, CASE WHEN score > bound THEN normal ELSE list_append(normal, score)[-40:] END
-FROM (SELECT sc.source, sc.k, sc.row, sc.score, f.normal, coalesce(10 * (list_sum(f.normal) / len(f.normal)), 0.0) AS bound FROM f JOIN sc ON sc.source = f.source AND sc.k = f.k + 1))
-SELECT source, row, score, bound, outlier FROM f""",
-)
+FROM (SELECT sc.source, sc.k, sc.row, sc.score, f.normal, coalesce(10 * (list_sum(f.normal) / len(f.normal)), 0.0) AS bound FROM f JOIN sc ON sc.source = f.source AND sc.k = f.k + 1))"""
+
+
+@query("flag_outliers", f"WITH RECURSIVE {_scored_sql('source, ')}, {_F} SELECT source, row, score, bound, outlier FROM f")
 def _(spark, sf):
     return _flags(connections(spark, sf)).drop("after")
 
 
-@query("confirm_outliers")
+def _confirmed_sql() -> str:
+    """Local outliers of a check against the sum of all sources' statistics at its marker, each counted once more."""
+    names = [f"l{i}" for i in range(4)] + [f"{x}{i}{j}" for x in ("s", "vs", "vl") for i, j in _CELLS]
+    last = ", ".join(f"arg_max({c}, t.row) AS {c}" for c in ("n", *names))
+    whole = ", ".join(f"sum({c}) AS {c}" for c in ("n", *names))
+    more = ", ".join([f"l{i} + x{i} AS l{i}" for i in range(4)] + [f"s{i}{j} + x{i} * x{j} AS s{i}{j}" for i, j in _CELLS])
+    cov = ", ".join(
+        f"(x{i} - l{i} / n) * (x{j} - l{j} / n) AS p{i}{j}, CASE WHEN n <= 1 THEN s{i}{j} + l{i} * l{j} ELSE s{i}{j} / (n - 1) + l{i} * l{j} / (n * (n - 1)) END AS c{i}{j}"
+        for i, j in _CELLS
+    )
+    sigma = ", ".join(
+        f"sqrt(greatest((vs{i}{j} + p{i}{j} * p{i}{j} + 2 * c{i}{j} * (vl{i}{j} + p{i}{j}) + n * c{i}{j} * c{i}{j}) / greatest(n - 1, 1), 0)) AS g{i}{j}" for i, j in _CELLS
+    )
+    far = " + ".join(f"CASE WHEN abs(p{i}{j} - c{i}{j}) > 1.96 * g{i}{j} AND g{i}{j} > 0 THEN {1 if i == j else 2} ELSE 0 END" for i, j in _CELLS)
+    keep = ", ".join(f"{x}{i}{j}" for x in ("vs", "vl") for i, j in _CELLS)
+    xs = "x0, x1, x2, x3"
+    return f"""WITH RECURSIVE {_scored_sql("source, ")}, {_F},
+mk AS (SELECT max(row) + 1 AS m FROM (SELECT row_number() OVER (ORDER BY {", ".join(_LINE)}) - 1 AS row, floor(log2(l_orderkey + 1)) AS batch FROM lineitem) GROUP BY batch),
+w AS (SELECT f.*, coalesce(10 * (list_sum(normal) / len(normal)), 0.0) AS after, (SELECT min(m) FROM mk WHERE m > f.row) AS m FROM f),
+bo AS (SELECT m, after AS bound FROM w QUALIFY row_number() OVER (PARTITION BY m ORDER BY source, row DESC) = 1),
+fo AS (SELECT w.m, i.row, i.itemset, {xs} FROM w JOIN i USING (row) WHERE w.outlier AND w.m IS NOT NULL),
+st AS (SELECT m, source, itemset, {last} FROM t JOIN mk ON t.row < mk.m WHERE itemset IN (SELECT itemset FROM fo) GROUP BY m, source, itemset),
+md AS (SELECT m, itemset, {whole} FROM st GROUP BY m, itemset),
+j1 AS (SELECT fo.m, fo.row, fo.itemset, {xs}, n + 1 AS n, {more}, {keep} FROM fo JOIN md USING (m, itemset)),
+j2 AS (SELECT *, {cov} FROM j1), j3 AS (SELECT *, {sigma} FROM j2),
+j4 AS (SELECT m, row, sum(CASE WHEN n < 10 OR {far} > 4.8 THEN 1.0::DOUBLE / len(itemset) ELSE 0.0::DOUBLE END) AS score FROM j3 GROUP BY m, row)
+SELECT m AS marker, row, score, bound FROM j4 JOIN bo USING (m) WHERE score > bound"""
+
+
+@query("confirm_outliers", _confirmed_sql())
 def _(spark, sf):
     rows = connections(spark, sf)
     markers = rows.groupBy("batch").agg((F.max("row") + 1).alias("ts")).select("ts")  # checks at orders that double
