@@ -1,4 +1,9 @@
-"""Quality rules: a table of thresholds compiled into one projection of built-in functions (operator 8)."""
+"""Quality rules: a table of thresholds compiled into one projection of built-in functions (operator 8).
+
+Defined results: null and empty texts have no words, all their counts and shares are 0 and they fail; texts of any
+length are measured whole; every row is judged by itself, so repeated rows come out alike and null ids are passed
+through; a measure at its bound passes; an empty table gives no rows; extra columns of any name are dropped.
+"""
 
 from __future__ import annotations
 

@@ -4,7 +4,7 @@ The distinct words of a batch lie in flat numpy symbol arrays. Each round takes
 word (segmented minimum), merges its leftmost occurrences at once and compacts the arrays, until no pair remains.
 All occurrences in a word merge in one round only where no pair that arises on the way ranks before them;
 otherwise the leftmost alone merges, as the library's priority queue would. Known words are kept in a bounded
-table of each worker.
+table of each worker. Texts of any length are encoded whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -3,7 +3,8 @@
 A store is a folder. ``dictionary.zdict`` is trained on serialized id arrays of a bounded sample. Each shard
 ``part-NNNNNNN-NNNNN.tok`` holds one zstandard frame a document, in ascending doc_id order, then an index (doc ids, null
 flags, token counts, frame offsets), then a footer with the dictionary's SHA-256; any document is read from its frame
-alone. ``manifest`` is a table with the first document, documents and tokens of each shard.
+alone. ``manifest`` is a table with the first document, documents and tokens of each shard. Texts of any length are
+encoded whole into one frame.
 """
 
 from __future__ import annotations

@@ -4,6 +4,8 @@ A page is a ``response`` record whose payload travels in chunked transfer framin
 page holds an equal payload. Blocks longer than SEGMENT_BYTES are cut: the first segment is the response, the others
 are ``continuation`` records that name the first record's id, their segment number and, in the last, the total length.
 Reading groups segments by that origin, orders them by number, verifies the total and takes the framing off.
+
+Payloads of any length are cut into segments and put together again whole; an empty table gives archives without pages.
 """
 
 from __future__ import annotations
