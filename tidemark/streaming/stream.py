@@ -151,10 +151,10 @@ class _Barriers(StatefulProcessor):
         pass
 
 
-def stream_barrier_sum(values: DataFrame, barriers: DataFrame, shards: int = 8, width_ms: int = 60_000) -> DataFrame:
+def stream_barrier_sum(values: DataFrame, barriers: DataFrame, shards: int = 8, width_ms: int = 3_600_000) -> DataFrame:
     """(marker_us, total) per shard and barrier of streams with ts; sum them per marker_us for the total. Barriers are
     copied to every shard; values (ts, val) go to the shard of their hash, a null val counts as 0. ``width_ms`` is the
-    stretch of time whose waiting rows are kept together."""
+    stretch of time whose waiting rows are kept together: about what a batch brings is a good one."""
     us, one = F.unix_micros("ts").alias("us"), lambda x: F.lit(x).cast("long").alias("barrier")
     val = F.coalesce(F.col("val").cast("long"), F.lit(0)).alias("val")
     own = values.select("ts", us, val, one(0), F.pmod(F.xxhash64("ts", "val"), F.lit(shards)).alias("shard"))
@@ -211,7 +211,7 @@ class _Latest(StatefulProcessor):
 
 
 def stream_asof_join(
-    views: DataFrame, updates: DataFrame, key: str, value: str, width_ms: int = 60_000, forget_ms: int | None = None
+    views: DataFrame, updates: DataFrame, key: str, value: str, width_ms: int = 3_600_000, forget_ms: int | None = None
 ) -> DataFrame:
     """(key, id, us, val) of views (ts, id) with the key's latest value strictly before them, null where there is none.
     Rows without key and updates without value are left out.
