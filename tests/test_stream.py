@@ -34,7 +34,7 @@ def replay(spark, recorded, kind=None, files=4):
 
 def test_barrier_sums(spark, recorded):
     table = recorded[1]
-    for width in (1, 600_000):
+    for width in (50, 4096):
         out = stream.stream_barrier_sum(replay(spark, recorded, "event_type <> 'signup'", 2), replay(spark, recorded, "event_type = 'signup'", 1), 3, width)
         got = {r.marker_us: r.t for r in records._drained(spark, out, "t").groupBy("marker_us").agg(F.sum("total").alias("t")).collect()}
         batch = table.select("event_type", F.col("us").alias("ts"), "val", F.lit(0).alias("source"))
@@ -43,7 +43,7 @@ def test_barrier_sums(spark, recorded):
         assert got == {m: t for m, t in want.items() if m // 1000 < last} and len(got) > 100
 
 
-@pytest.mark.parametrize("width", [60_000, 10**9])
+@pytest.mark.parametrize("width", [3, 4096])
 def test_asof_join(spark, recorded, width):
     table = recorded[1].select("event_id", "user_id", "event_type", F.col("us").alias("ts"), F.col("val"))
     views, updates = replay(spark, recorded, "event_type = 'view'"), replay(spark, recorded, "event_type = 'signup'")

@@ -66,55 +66,55 @@ def stream_fraud(trans: DataFrame, size: str, seconds: int, m: int = 1000) -> Da
 class _Held:
     """One key's rows that wait for the watermark: whole numbers by name, the first the time in microseconds.
 
-    They lie in a map by stretch of ``width_ms``; a batch reads and writes the stretches that it adds to, and those
-    that the watermark has reached, however many others are held."""
+    They lie in a map, in chunks of at most ``rows`` that follow each other in time. A batch writes the chunks that it
+    brings and reads those that the watermark has reached, however many others are held; which these are says an index
+    of the chunks' first times."""
 
-    def __init__(self, handle: StatefulProcessorHandle, names: list[str], width_ms: int):
-        self.handle, self.names, self.width = handle, names, width_ms * 1000
-        self.rows = handle.getMapState("held", "stretch long", ", ".join(f"{n} array<bigint>" for n in names))
-        self.index = handle.getValueState("stretches", "stretches array<bigint>")
+    def __init__(self, handle: StatefulProcessorHandle, names: list[str], rows: int):
+        self.handle, self.names, self.most = handle, names, rows
+        self.chunks = handle.getMapState("held", "chunk long", ", ".join(f"{n} array<bigint>" for n in names))
+        self.index = handle.getValueState("chunks", "ids array<bigint>, firsts array<bigint>, made long")
 
-    def _stretches(self) -> list[int]:
-        return list(self.index.get()[0]) if self.index.exists() else []
+    def _known(self) -> tuple[dict[int, int], int]:
+        if not self.index.exists():
+            return {}, 0
+        ids, firsts, made = self.index.get()
+        return dict(zip(ids, firsts, strict=True)), made
 
-    def _read(self, stretch: int) -> list[np.ndarray]:
-        return [np.array(c, np.int64) for c in self.rows.getValue((stretch,))]
-
-    def _write(self, stretch: int, columns: list[np.ndarray]) -> None:
-        self.rows.updateValue((stretch,), tuple(c.tolist() for c in columns))
+    def _write(self, chunk: int, columns: list[np.ndarray]) -> None:
+        self.chunks.updateValue((chunk,), tuple(c.tolist() for c in columns))
 
     def add(self, batches: Iterator[pd.DataFrame]) -> None:
-        known = set(self._stretches())
-        before = len(known)
-        for pdf in batches:
-            columns = [pdf[n].to_numpy(np.int64) for n in self.names]
-            at = columns[0] // self.width
-            for stretch in np.unique(at).tolist():
-                own = [c[at == stretch] for c in columns]
-                if stretch in known:
-                    own = [np.concatenate(pair) for pair in zip(self._read(stretch), own, strict=True)]
-                known.add(stretch)
-                self._write(stretch, own)
-        if len(known) > before:
-            self.index.update((sorted(known),))
+        parts = [[pdf[n].to_numpy(np.int64) for n in self.names] for pdf in batches if len(pdf)]
+        if not parts:
+            return
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        order, (known, made) = np.argsort(columns[0], kind="stable"), self._known()
+        for at in range(0, len(order), self.most):
+            own = [c[order[at : at + self.most]] for c in columns]
+            known[made] = int(own[0][0])
+            self._write(made, own)
+            made += 1
+        self.index.update((list(known), list(known.values()), made))
 
     def take(self, upto_ms: int) -> list[np.ndarray]:
         """The rows before the watermark, in no order; they are held no more. Wakes when the next one is due."""
-        upto, taken, stretches = upto_ms * 1000, [], self._stretches()
-        left = [x for x in stretches if x * self.width >= upto]
-        for stretch in stretches[: len(stretches) - len(left)]:
-            columns = self._read(stretch)
+        upto, taken, (known, made) = upto_ms * 1000, [], self._known()
+        reached = [chunk for chunk, first in known.items() if first < upto]
+        for chunk in reached:
+            columns = [np.array(c, np.int64) for c in self.chunks.getValue((chunk,))]
             due = columns[0] < upto
             taken.append([c[due] for c in columns])
             if due.all():
-                self.rows.removeKey((stretch,))
+                self.chunks.removeKey((chunk,))
+                del known[chunk]
             else:
-                self._write(stretch, [c[~due] for c in columns])
-                left.insert(0, stretch)
-        if len(left) < len(stretches):
-            self.index.update((left,)) if left else self.index.clear()
-        if left:
-            self.handle.registerTimer(int(self._read(left[0])[0].min()) // 1000 + 1)
+                self._write(chunk, [c[~due] for c in columns])
+                known[chunk] = int(columns[0][~due].min())
+        if reached:
+            self.index.update((list(known), list(known.values()), made))
+        if known:
+            self.handle.registerTimer(min(known.values()) // 1000 + 1)
         none = np.zeros(0, np.int64)
         return [np.concatenate([none, *parts]) for parts in zip(*taken, strict=True)] if taken else [none] * len(self.names)
 
@@ -123,11 +123,11 @@ class _Barriers(StatefulProcessor):
     """Holds a shard's values until the watermark passes, then adds them up between its copies of the barriers: what is
     left of them is one sum."""
 
-    def __init__(self, width_ms: int):
-        self.width_ms = width_ms
+    def __init__(self, chunk_rows: int):
+        self.chunk_rows = chunk_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = _Held(handle, ["us", "val", "barrier"], self.width_ms)
+        self.held = _Held(handle, ["us", "val", "barrier"], self.chunk_rows)
         self.open = handle.getValueState("open", "total long")
 
     def _settled(self, upto_ms: int) -> pd.DataFrame:
@@ -151,29 +151,29 @@ class _Barriers(StatefulProcessor):
         pass
 
 
-def stream_barrier_sum(values: DataFrame, barriers: DataFrame, shards: int = 8, width_ms: int = 3_600_000) -> DataFrame:
+def stream_barrier_sum(values: DataFrame, barriers: DataFrame, shards: int = 8, chunk_rows: int = 4096) -> DataFrame:
     """(marker_us, total) per shard and barrier of streams with ts; sum them per marker_us for the total. Barriers are
-    copied to every shard; values (ts, val) go to the shard of their hash, a null val counts as 0. ``width_ms`` is the
-    stretch of time whose waiting rows are kept together: about what a batch brings is a good one."""
+    copied to every shard; values (ts, val) go to the shard of their hash, a null val counts as 0. ``chunk_rows``
+    waiting rows are kept together."""
     us, one = F.unix_micros("ts").alias("us"), lambda x: F.lit(x).cast("long").alias("barrier")
     val = F.coalesce(F.col("val").cast("long"), F.lit(0)).alias("val")
     own = values.select("ts", us, val, one(0), F.pmod(F.xxhash64("ts", "val"), F.lit(shards)).alias("shard"))
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")
     marks = barriers.select("ts", us, F.lit(0).cast("long").alias("val"), one(1), copies)
     return own.unionByName(marks).groupBy("shard").transformWithStateInPandas(
-        _Barriers(width_ms), "marker_us long, total long", "Append", "EventTime"
+        _Barriers(chunk_rows), "marker_us long, total long", "Append", "EventTime"
     )
 
 
 class _Latest(StatefulProcessor):
     """Holds a key's rows until the watermark passes, then answers views with the latest value before them."""
 
-    def __init__(self, width_ms: int, forget_ms: int | None):
-        self.width_ms, self.forget_ms = width_ms, forget_ms
+    def __init__(self, chunk_rows: int, forget_ms: int | None):
+        self.chunk_rows, self.forget_ms = chunk_rows, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = _Held(handle, ["us", "val", "view", "id"], self.width_ms)
+        self.held = _Held(handle, ["us", "val", "view", "id"], self.chunk_rows)
         self.latest = handle.getValueState("latest", "us long, val long")
 
     def _settled(self, key, upto_ms: int) -> pd.DataFrame:
@@ -211,20 +211,20 @@ class _Latest(StatefulProcessor):
 
 
 def stream_asof_join(
-    views: DataFrame, updates: DataFrame, key: str, value: str, width_ms: int = 3_600_000, forget_ms: int | None = None
+    views: DataFrame, updates: DataFrame, key: str, value: str, chunk_rows: int = 4096, forget_ms: int | None = None
 ) -> DataFrame:
     """(key, id, us, val) of views (ts, id) with the key's latest value strictly before them, null where there is none.
     Rows without key and updates without value are left out.
 
     With ``forget_ms`` a value that is so old when it is looked for is no answer, and keys without newer ones leave the
-    state. ``width_ms`` is the stretch of time whose waiting rows are kept together."""
+    state. ``chunk_rows`` waiting rows are kept together."""
     us, k = F.unix_micros("ts").alias("us"), F.col(key).cast("long").alias("key")
     whole = lambda c, name: (F.lit(c) if isinstance(c, int) else F.col(c)).cast("long").alias(name)
     a = views.select("ts", us, k, whole(0, "val"), whole(1, "view"), whole("id", "id"))
     b = updates.filter(F.col(value).isNotNull()).select("ts", us, k, whole(value, "val"), whole(0, "view"), whole(0, "id"))
     rows = a.unionByName(b).filter("key is not null")
     return rows.groupBy("key").transformWithStateInPandas(
-        _Latest(width_ms, forget_ms), "key long, id long, us long, val long", "Append", "EventTime"
+        _Latest(chunk_rows, forget_ms), "key long, id long, us long, val long", "Append", "EventTime"
     )
 
 
