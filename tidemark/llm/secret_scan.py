@@ -136,8 +136,8 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def _with_names(found: DataFrame) -> DataFrame:
     """``found`` with its neighbouring words in lower case (``names``) and with the text right before it in ``lead``,
-    where a run may begin with its own name, as in token=..., sha512-... and ghp_..."""
-    own = r"^(?:[A-Za-z0-9_.\-]+=(?=[^=])|(?:[A-Za-z]{2,8}[0-9]{0,3}[-_]){1,2}(?=[A-Za-z0-9+/=]{16}))"
+    where a run may begin with its own name, as in token=..., sha512-..., ghp_... and AKIA..."""
+    own = r"^(?:[A-Z]{4}(?=[A-Z0-9]{16}$)|[A-Za-z0-9_.\-]+=(?=[^=])|(?:[A-Za-z]{2,8}[0-9]{0,3}[-_]){1,2}(?=[A-Za-z0-9+/=]{16}))"
     lead = F.concat("lead", F.regexp_extract("finding", own, 0))
     parts = F.regexp_replace(F.concat_ws(" ", "before", lead, "after"), "([a-z])([A-Z])", "$1 $2")
     return found.withColumn("names", F.split(F.lower(parts), r"[^a-z0-9]+")).withColumn("lead", lead)
