@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch, shared_dir, written
 
-__all__ = ["Scratch", "partitions", "shared_dir", "small_batches", "table", "words_column", "written"]
+__all__ = ["Scratch", "partitions", "sent", "shared_dir", "small_batches", "table", "words_column", "written"]
 
 #: Words are maximal runs of characters other than ASCII white space (Java and Python syntax alike).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +36,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a few numbers that are sent to every task at most (some 20 MB as a hash table).
+SENT_ROWS = 400_000
+
+
+def sent(rows: DataFrame, otherwise: str = "") -> DataFrame:
+    """``rows``, a written table of a few numbers each, as the side of a join that goes to every task if they are
+    SENT_ROWS or fewer; of more, both sides are shuffled (with the hint ``otherwise``)."""
+    if rows.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
+        return F.broadcast(rows)
+    return rows.hint(otherwise) if otherwise else rows
+
+
 def words_column(text: F.Column | str) -> F.Column:
     """The words of a text as an array of strings; null text: no words."""
     text = F.col(text) if isinstance(text, str) else text

@@ -7,11 +7,10 @@ symbols more than that limit: two linked sets agree in two symbols at least, and
 Empty symbols say little, so they only meet in pairs: two agreeing symbols are either not both empty or form such
 a pair. Links are verified on the whole shingle sets.
 
-Copies of one set are folded before the join. Of the sets that meet in a symbol only those take part that have enough
-shingles which any other shares. They are first linked to the smallest of each symbol; after contraction only pairs
-that meet and are still apart are verified, so no link between components is lost and no group of copies is expanded
-into pairs. Pairs whose parity sketches of single bits differ in more bits than linked sets do in shingles are ruled out
-inside that join.
+Copies of one set are folded before the join. Only sets that have enough shingles which any other shares are sketched.
+Those that meet in a symbol are first linked to the smallest of it; after contraction only pairs that meet and are still
+apart are verified, so no link between components is lost and no group of copies is expanded into pairs. Pairs whose
+parity sketches of single bits differ in more bits than linked sets do in shingles are ruled out inside that join.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import Scratch, partitions, small_batches
+from .common import Scratch, partitions, sent, small_batches
 from .graph import components
 
 
@@ -99,16 +98,51 @@ def _identified(size: int):
     return run, "doc_id long, text_hash long, n_shingles long, sid long"
 
 
-#: Keys that a task gathers before it gives them on.
+#: Keys or shingles that a task gathers before it gives them on.
 GATHERED = 200_000
 #: Longs of the bit sketch that tells most pairs apart before their sets are read, and keys of a set that are compared so
 #: that a pair comes out once.
 SKETCH_LONGS, LOWEST = 4, 8
 
 
-def _keys(size: int, percent: int, ends: bool):
+def _gathered(sets: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(values, sids) of GATHERED or more values at a time, out of (sid, values) of single sets."""
+    found, sids, many = [np.zeros(0, np.int64)], [0], 0
+
+    def given() -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(found), np.repeat(np.array(sids, np.int64), [len(v) for v in found])
+
+    for sid, values in sets:
+        found.append(values)
+        sids.append(sid)
+        many += len(values)
+        if many >= GATHERED:
+            yield given()
+            found, sids, many = [], [], 0
+    if found:
+        yield given()
+
+
+def _ends(value: np.ndarray, sid: np.ndarray, name: str) -> pa.RecordBatch:
+    """(name, low, high): each value once, with its least and greatest sid."""
+    order = np.lexsort((sid, value))
+    value, sid = value[order], sid[order]
+    new = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
+    last = np.append(new[1:], len(value))[: len(new)] - 1
+    by_set = np.argsort(sid[new], kind="stable")  # rows of one set side by side compress well
+    new, last = new[by_set], last[by_set]
+    return pa.RecordBatch.from_arrays([pa.array(value[new]), pa.array(sid[new]), pa.array(sid[last])], [name, "low", "high"])
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """(sid, hashes) of the rows of a batch of sets."""
+    for sid, grams in zip(batch.column("sid").to_pylist(), batch.column("grams"), strict=True):
+        yield sid, np.frombuffer(grams.as_buffer(), np.int64)
+
+
+def _keys(percent: int, ends: bool):
     """(key, sid) of each set's sketches, or with ``ends`` (key, low, high): the least and greatest sid of each key
-    among those gathered, so that a key of many sets travels as few rows. Of copies, a task takes the first one's."""
+    among those gathered, so that a key of many sets travels as few rows."""
     low, high, symbols = _bands(percent)
 
     def keys(h: np.ndarray) -> np.ndarray:
@@ -117,35 +151,14 @@ def _keys(size: int, percent: int, ends: bool):
         for band in np.flatnonzero((low <= n) & (100 * high >= percent * n)):
             if symbols[band]:
                 out.append(_sketch(h, int(band), int(symbols[band])))
-        return np.concatenate(out)
-
-    def given(found: list[np.ndarray], sids: list[int]) -> pa.RecordBatch:
-        owner = np.repeat(np.array(sids, np.int64), [len(k) for k in found])
-        key = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-        if not ends:
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner)], ["key", "sid"])
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-        last = np.append(new[1:], len(key)) - 1 if len(key) else new
-        return pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(owner[new]), pa.array(owner[last])], ["key", "low", "high"])
+        return np.concatenate(out).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        found, sids, many = [], [], 0
-        for batch in batches:
-            for part in T.slices(batch, "text", 1 << 18):
-                h, first = shingles(T.words(part.column("text"), lower=True), size)
-                for i, s in enumerate(_totals(h, first).view(np.int64).tolist()):
-                    if s not in seen:
-                        seen.add(s)
-                        found.append(keys(h[first[i] : first[i + 1]]))
-                        sids.append(s)
-                        many += len(found[-1])
-                if many >= GATHERED:
-                    yield given(found, sids)
-                    found, sids, many = [], [], 0
-        yield given(found, sids)
+        for key, sid in _gathered((sid, keys(h.view(np.uint64))) for batch in batches for sid, h in _read(batch)):
+            if ends:
+                yield _ends(key, sid, "key")
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sid)], ["key", "sid"])
 
     return run, "key long, low long, high long" if ends else "key long, sid long"
 
@@ -186,49 +199,61 @@ def _verified(percent: int):
     return run, "a long, b long"
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the candidate pairs (a, b), those whose sets reach the bound."""
-    left = sets.select(F.col("sid").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("sid").alias("b"), F.col("grams").alias("gb"))
-    bytes_a, bytes_b = F.length("ga"), F.length("gb")
-    near = 100 * F.least(bytes_a, bytes_b) >= percent * F.greatest(bytes_a, bytes_b)
-    return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b", "ga", "gb").mapInArrow(*_verified(percent))
+def _differ(a: str, b: str) -> Column:
+    """In how many bits two sketches differ: no more than their sets do in shingles."""
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH_LONGS)), F.lit(0))
+
 
+def _links(tables: Scratch, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the candidate pairs (a, b), those whose sets reach the bound. Only pairs that sizes and bit sketches leave over
+    are given their shingles."""
+    n = (F.length("grams") / 8).cast("long")
+    left = sets.select(F.col("sid").alias("a"), n.alias("na"), F.col("bits").alias("bits_a"))
+    right = sets.select(F.col("sid").alias("b"), n.alias("nb"), F.col("bits").alias("bits_b"))
+    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    close = (100 + percent) * _differ("bits_a", "bits_b") <= (100 - percent) * (F.col("na") + F.col("nb"))
+    left_over = tables.table("close", pairs.join(left, "a").join(right, "b").filter(near & close).select("a", "b"))
+    ends = tables.table("ends", left_over.select(F.col("a").alias("sid")).union(left_over.select("b")).distinct())
+    these = sets.join(sent(ends), "sid", "left_semi")
+    left = these.select(F.col("sid").alias("a"), F.col("grams").alias("ga"))
+    right = these.select(F.col("sid").alias("b"), F.col("grams").alias("gb"))
+    found = left_over.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(*_verified(percent))
+    links = tables.table("links", found)
+    tables.drop("close", "ends")
+    return links
 
-def _grams(batches: Iterator[pa.RecordBatch], half: bool) -> Iterator[pa.RecordBatch]:
-    """(gram, k, sid): shingles of sets, or of one half of all hashes, with the number of the gathered sets that have
-    each, and one of them."""
-    found, sids, many = [], [], 0
 
-    def given() -> pa.RecordBatch:
-        gram = np.concatenate([np.zeros(0, np.int64), *found])
-        sid = np.repeat(np.array(sids, np.int64), [len(h) for h in found])
-        gram, first, k = np.unique(gram, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(k.astype(np.int64)), pa.array(sid[first])], ["gram", "k", "sid"])
+def _hashed(size: int):
+    """(sid, hashes) of every text of a batch (text)."""
 
-    for batch in batches:
-        for sid, grams in zip(batch.column("sid").to_pylist(), batch.column("grams"), strict=True):
-            h = np.frombuffer(grams.as_buffer(), np.int64)
-            found.append(h[h >= 0] if half else h)
-            sids.append(sid)
-            many += len(found[-1])
-            if many >= GATHERED:
-                yield given()
-                found, sids, many = [], [], 0
-    yield given()
+    def sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for part in T.slices(batch, "text", 1 << 18):
+            h, first = shingles(T.words(part.column("text"), lower=True), size)
+            for sid, a, b in zip(_totals(h, first).view(np.int64).tolist(), first, first[1:], strict=False):
+                yield sid, h[a:b].view(np.int64)
 
+    return sets
 
-def _own(sets: Callable, half: bool):
-    """``_grams`` of the sets that ``sets`` makes of a batch."""
-    return lambda batches: _grams(sets(batches), half), "gram long, k long, sid long"
+
+def _grams(sets: Callable, per_cent: int = 100):
+    """(gram, low, high) of the sets that ``sets`` finds in a batch: their shingles, or those whose hashes are in the
+    lowest ``per_cent``, with the least and greatest sid among the gathered sets that have it."""
+    # hashes are signed here, and the lowest of them is -2**63
+    limit = min(per_cent * (1 << 64) // 100 - (1 << 63), (1 << 63) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gram, sid in _gathered((sid, h[h <= limit]) for batch in batches for sid, h in sets(batch)):
+            yield _ends(gram, sid, "gram")
+
+    return run, "gram long, low long, high long"
 
 
 def _shareable(grams: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(sid, n, c) of the ``sizes`` (sid, n) that can be linked with any other: c is n without the shingles that no other
-    set has, as far as ``grams`` tells. A link needs ``percent`` of n in c; and no two sets can have more shingles in
-    common than the smaller c."""
-    dealt = grams.repartition(partitions(grams.sparkSession), "gram")  # tasks have added them up
-    alone = dealt.groupBy("gram").agg(F.sum("k").alias("k"), F.min("sid").alias("sid")).filter("k = 1")
+    set has, as far as ``grams`` (gram, low, high) tells. A link needs ``percent`` of n in c; and no two sets can have
+    more shingles in common than the smaller c."""
+    dealt = grams.repartition(partitions(grams.sparkSession), "gram")  # tasks have folded them already
+    alone = dealt.groupBy("gram").agg(F.min("low").alias("sid"), F.max("high").alias("high")).filter("sid = high")
     own = alone.groupBy("sid").agg(F.count("*").alias("own"))
     both = sizes.join(own, "sid", "left").select("sid", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c"))
     return both.filter(100 * F.col("c") >= percent * F.col("n"))
@@ -259,43 +284,43 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     the id of one set of the component, which tells components of one smallest doc_id apart."""
     tables = Scratch(docs.sparkSession, "op7")
     sized = tables.table("sized", docs.mapInArrow(*_identified(size)))
-    known = docs.filter("doc_id is not null").select("text")
-    # keys are computed twice rather than kept: they are larger than the texts. The tasks have added them up already, so
-    # they are dealt by key before they are grouped: hash tables of Spark need no room beside the Python workers
-    met = known.mapInArrow(*_keys(size, percent, True)).repartition(partitions(docs.sparkSession), "key")
-    met = met.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
-    met = tables.table("met", met.select("key"))
-    members = tables.table("members", known.mapInArrow(*_keys(size, percent, False)).join(met, "key"))
-    tables.drop("met")
-
     reps = sized.filter("n_shingles > 0 and doc_id is not null").groupBy("sid")
     reps = tables.table("reps", reps.agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")))
-    wanted = reps.join(members.select("sid").distinct(), "sid", "left_semi").select("doc_id", F.col("sid").alias("wanted"))
-    texts = tables.table("texts", docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id"))
-    # half of all shingles rules most sets out: one that can be linked has few of its own in either half
-    sets_of, kind = _sets(size)
-    able = _shareable(texts.mapInArrow(*_own(sets_of, True)), reps.select("sid", "n"), percent)
-    able = tables.table("able", able.join(members.select("sid").distinct(), "sid", "left_semi"))
-    sets = texts.join(able.select(F.col("sid").alias("wanted")), "wanted", "left_semi").mapInArrow(sets_of, kind)
-    sets = tables.table("sets", sets.dropDuplicates(["sid"]))
-    tables.drop("texts")
-    full = _shareable(sets.mapInArrow(*_own(lambda batches: batches, False)), able.select("sid", "n"), percent)
+    # twice the shingles that a linked set can have of its own, of all shingles, rule most sets out: of those that nobody
+    # shares any, and of the others many that share less than half
+    known = docs.filter("doc_id is not null").select("text")
+    some = known.mapInArrow(*_grams(_hashed(size), min(100, 2 * (100 - percent))))
+    able = tables.table("able", _shareable(some, reps.select("sid", "n"), percent))
+    wanted = reps.join(able.select("sid"), "sid", "left_semi").select("doc_id", F.col("sid").alias("wanted"))
+    wanted = tables.table("wanted", wanted)
+    texts = docs.select("doc_id", "text").join(sent(wanted, "shuffle_hash"), "doc_id")
+    sets = tables.table("sets", texts.mapInArrow(*_sets(size)).dropDuplicates(["sid"]))
+    full = _shareable(sets.mapInArrow(*_grams(_read)), able.select("sid", "n"), percent)
     full = tables.table("full", full)
+    sets = tables.table("sets", sets.join(sent(full.select("sid")), "sid", "left_semi"))
+    tables.drop("sets", but_last=True)
+
+    # keys are computed twice rather than kept. The tasks have folded them already, so they are dealt by key before they
+    # are grouped: hash tables of Spark need no room beside the Python workers
+    sketched = sets.select("sid", "grams")
+    met = sketched.mapInArrow(*_keys(percent, True)).repartition(partitions(docs.sparkSession), "key")
+    met = met.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
+    met = tables.table("met", met.select("key"))
+    members = sketched.mapInArrow(*_keys(percent, False)).join(met, "key")
     live = tables.table("live", members.join(full, "sid").distinct().withColumn("root", F.col("sid")))
-    tables.drop("members", "able", "full")
+    tables.drop("met", "able", "wanted", "full")
 
     # the smallest member of each key is the centre that the others are held against
     centre = live.groupBy("key").agg(F.min(F.struct("sid", "root", "n", "c")).alias("m"))
     first = tables.table("first", _meet(live, centre, percent))
-    links = tables.table("links", _links(first, sets, percent))
+    links = _links(tables, first, sets, percent)
     live = tables.table("live", _open(_rooted(live, links)))
     tables.drop("live", but_last=True)
 
     # the member with the fewest shingles of its own is the likeliest to be linked with the others
     middle = live.groupBy("key").agg(F.max_by(F.struct("sid", "root", "n", "c"), F.struct(F.col("c") - F.col("n"), "sid")).alias("m"))
     near = tables.table("near", _meet(live, middle, percent))
-    second = tables.table("second", _links(near.join(first, ["a", "b"], "left_anti"), sets, percent))
-    links = links.union(second)
+    links = links.union(_links(tables, near.join(first, ["a", "b"], "left_anti"), sets, percent))
     live = _open(_rooted(live, links))
     low = live.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOWEST).alias("low"))  # of one set
     live = tables.table("live", live.join(low.join(sets.select("sid", "bits"), "sid"), "sid"))
@@ -303,16 +328,14 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     # a pair comes out of the smallest key that both sets have among their lowest, or of each key where they have none
     lowest = F.array_min(F.array_intersect("low", "m.low"))
     once = (F.col("sid") < F.col("m.sid")) & (lowest.isNull() | (lowest == F.col("key")))
-    # sketches differ in no more bits than the sets in shingles
-    differ = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("m.bits", F.lit(i)))) for i in range(SKETCH_LONGS)), F.lit(0))
-    close = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("m.n"))
+    close = (100 + percent) * _differ("bits", "m.bits") <= (100 - percent) * (F.col("n") + F.col("m.n"))
     rest = _meet(live, live.select("key", F.struct("sid", "root", "n", "c", "low", "bits").alias("m")), percent, once & close)
     tested = first.union(near)
-    more = tables.table("more", _links(rest.join(tested, ["a", "b"], "left_anti"), sets, percent))
+    more = _links(tables, rest.join(tested, ["a", "b"], "left_anti"), sets, percent)
     tables.drop("live", "near", "first", "sets")
 
     classes = components(links.union(more)).withColumnRenamed("node", "sid")
-    tables.drop("links", "second", "more")
+    tables.drop("links")
     smallest = reps.join(classes, "sid").groupBy("root").agg(F.min("doc_id").alias("least"))
     per_set = classes.join(smallest, "root").select("sid", "root", "least")
     # written, so that the last join has nothing but two shuffles below it and can be split where copies crowd a set
@@ -353,9 +376,10 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     texts = tables.table("texts", texts)
     best = texts.filter("doc_id = component_id").groupBy("root").agg(F.min("text_hash").alias("best"))
     judged = texts.join(best, "root").withColumn("stays", F.expr("doc_id = component_id and text_hash = best"))
-    verdicts = tables.table("verdicts", judged.filter("n > 1 or not stays").select("doc_id", "text_hash", "stays")).alias("v")
+    verdicts = tables.table("verdicts", judged.filter("n > 1 or not stays").select("doc_id", "text_hash", "stays"))
+    stay = sent(verdicts.filter("stays")).alias("v")
     rows = docs.alias("d")
     same = (F.col("d.doc_id").cast("long") == F.col("v.doc_id")) & (F.xxhash64("d.text") == F.col("v.text_hash"))
-    single = rows.join(verdicts, same, "left_anti")
-    repeated = rows.join(verdicts.filter("stays"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    single = rows.join(sent(verdicts).alias("v"), same, "left_anti")
+    repeated = rows.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated)
