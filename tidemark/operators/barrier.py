@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,22 +72,48 @@ def sync_fold(
     """(marker, state columns) of an aggregate that built-in functions cannot say; nulls where a window is empty.
 
     ``update`` folds some rows of a window into a state (a dictionary with the columns of ``state``), ``merge`` folds
-    some states into one; both must not depend on order or grouping. Batches are folded where they lie, states of a task
-    next, so that a window of any size sends a row a task."""
-
-    def folded(rows: pd.DataFrame, fold: Callable[[pd.DataFrame], dict]) -> pd.DataFrame:
-        return pd.DataFrame([{"marker": m} | fold(g.drop(columns="marker")) for m, g in rows.groupby("marker")])
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield folded(batch, update)
+    some states into one; both must not depend on order or grouping, and one state alone is left as it is. Rows are sorted
+    by window first, in ranges that part large windows too: ``update`` runs once a window and batch, and a task sends one row
+    a window."""
+
+    def folded(rows: pd.DataFrame, fold: Callable[[pd.DataFrame], dict], least: int = 1) -> pd.DataFrame:
+        """One state a marker; groups of less than ``least`` rows stay."""
+        rows = rows.sort_values("marker", kind="stable", ignore_index=True)
+        marks, rest = rows["marker"].to_numpy(), rows.drop(columns="marker")
+        first = np.flatnonzero(np.append(True, marks[1:] != marks[:-1]))
+        many = np.diff(first, append=len(marks)) >= least
+        new = pd.DataFrame([{"marker": marks[a]} | fold(rest.iloc[a:b]) for a, b, m in zip(first, [*first[1:], len(marks)], many, strict=True) if m])
+        kept = rows.iloc[first[~many]]
+        whole = [part for part in (kept, new) if len(part)]
+        return whole[0] if len(whole) == 1 else pd.concat(whole).sort_values("marker")
+
+    def run(fold: Callable[[pd.DataFrame], dict], least: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            last = None  # the state of the window that the next batch may go on with
+            for batch in batches:
+                if not len(batch):
+                    continue
+                found = folded(batch, fold, least)
+                if last is not None and last["marker"].iloc[0] == found["marker"].iloc[0]:
+                    last = folded(pd.concat([last, found.iloc[:1]]), merge)
+                    found = found.iloc[1:]
+                if len(found):
+                    if last is not None:
+                        yield last
+                    yield found.iloc[:-1]
+                    last = found.iloc[-1:]
+            if last is not None:
+                yield last
+
+        return states
 
     kind, markers = f"marker long, {state}", settled(markers)
     placed = assign_marker(events, markers, closed=closed).filter("marker is not null").drop("previous")
-    parts = placed.mapInPandas(partial, kind).withColumn("_task", F.spark_partition_id())
-    near = parts.groupBy("marker", "_task").applyInPandas(lambda g: folded(g.drop(columns="_task"), merge), kind)
-    whole = near.groupBy("marker").applyInPandas(lambda g: folded(g, merge), kind)
+    known = [c for c, t in placed.dtypes if "map<" not in t and "variant" not in t]  # what Spark can hash
+    (part,) = unused(placed.columns, "_part")
+    ranged = placed.withColumn(part, F.xxhash64(*known)).repartitionByRange("marker", part).sortWithinPartitions("marker").drop(part)
+    near = ranged.mapInPandas(run(update, 1), kind)
+    whole = near.repartition("marker").sortWithinPartitions("marker").mapInPandas(run(merge, 2), kind)
     return marker_line(markers).select("marker").join(whole, "marker", "left")
 
 
