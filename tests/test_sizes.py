@@ -2,8 +2,9 @@
 
 import numpy as np
 from pyspark import TaskContext
+from pyspark.sql import functions as F
 
-from tidemark.operators import barrier
+from tidemark.operators import barrier, load
 
 
 def test_fold_calls(spark):
@@ -29,3 +30,12 @@ def test_fold_parts_large_windows(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert row.n == 200_000 and row.tasks.bit_count() > 1
+
+
+def test_load_rows_of_a_task(spark, monkeypatch):
+    """All keys begin with the first slice and have a row in every one; no task groups more than its part."""
+    monkeypatch.setattr(load, "GROUP_ROWS", 100)
+    rows = spark.range(60).selectExpr("id div 10 as house", "id div 2 as household", "id as plug", "1L as ts", "id as val")
+    out = load.load_summaries(rows, spark.range(1, 41).selectExpr("10 * id as ts"), "s")
+    parts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == (1 + 6 + 30 + 60) * 40 and max(parts) < 300

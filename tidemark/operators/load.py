@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .clock import assign_marker, hour_of_day, marker_numbers, settled
+from .clock import Markers, assign_marker, hour_of_day, marker_numbers, settled
 
 LEVELS = ["house", "household", "plug"]
+#: Rows that one task groups, when every key gets a row a slice.
+GROUP_ROWS = 500_000
 
 
 def _hour(previous: Column, unit: str) -> Column:
@@ -29,12 +31,13 @@ def _finest(load: DataFrame, slices: DataFrame, unit: str) -> DataFrame:
 
 
 def _levels(fine: DataFrame, *keep: str) -> DataFrame:
-    """The finest sums rolled up to all four levels: each level from the finest, which is small already."""
+    """The finest sums rolled up to all four levels: each level from the finest, which is the last one (a marker has one
+    hour) and small already."""
     sums = [F.sum("total").alias("total"), F.sum("n").alias("n")]
     frames = []
     for depth in range(len(LEVELS) + 1):
         keys = LEVELS[:depth]
-        level = fine.groupBy(*keep, *keys).agg(*sums)
+        level = fine.groupBy(*keep, *keys).agg(*sums) if depth < len(LEVELS) else fine
         for c in LEVELS[depth:]:
             level = level.withColumn(c, F.lit(None).cast(fine.schema[c].dataType))
         frames.append(level.select(*keep, *LEVELS, "total", "n"))
@@ -44,22 +47,34 @@ def _levels(fine: DataFrame, *keep: str) -> DataFrame:
 def load_summaries(load: DataFrame, slices: DataFrame, unit: str = "ms") -> DataFrame:
     """(marker, house, household, plug, total, n) per slice; keys stay with zeros from the slice they first occur in."""
     slices = settled(slices)
-    sums = _levels(_finest(load, slices, unit), "marker")
+    return _summaries(written(_finest(load, slices, unit), "load"), slices)
+
+
+def _summaries(fine: DataFrame, slices: Markers) -> DataFrame:
+    sums = written(_levels(fine, "marker"), "load-sums")
     # null keys name levels, so the spine meets the sums in a union, which takes null as a key
-    seen = sums.groupBy(*LEVELS).agg(F.min("marker").alias("since"))
+    seen = written(sums.groupBy(*LEVELS).agg(F.min("marker").alias("since")), "load-keys")
     numbers = marker_numbers(slices)
-    first = seen.join(numbers.withColumnRenamed("marker", "since"), "since")
+    if slices.known is not None:  # most keys begin with the first slice: no shuffle by it
+        numbers = F.broadcast(numbers)
+    many = seen.count() * slices.times.count() + sums.count()
+    first = seen.join(numbers.withColumnRenamed("marker", "since"), "since").repartition(max(1, many // GROUP_ROWS), *LEVELS)
     spine = first.select(*LEVELS, F.explode(F.sequence("number", "markers")).alias("number"))
     spine = spine.join(numbers.drop("markers"), "number").drop("number")
-    rows = sums.unionByName(spine, allowMissingColumns=True).groupBy("marker", *LEVELS)
+    # a key has few sums and many zeros: rows are dealt as they are, in parts of about GROUP_ROWS, and grouped there
+    rows = sums.unionByName(spine, allowMissingColumns=True).repartition(max(1, many // GROUP_ROWS), "marker", *LEVELS)
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    return rows.agg(zero("total"), zero("n"))
+    return rows.groupBy("marker", *LEVELS).agg(zero("total"), zero("n"))
 
 
 def load_by_hour(load: DataFrame, slices: DataFrame, unit: str = "ms") -> DataFrame:
     """(marker, hour, house, household, plug, total, n): all slices so far, per hour of day; a row where an hour's sums
     change."""
-    sums = _levels(_finest(load, slices, unit), "marker", "hour")
+    return _by_hour(_finest(load, slices, unit))
+
+
+def _by_hour(fine: DataFrame) -> DataFrame:
+    sums = _levels(fine, "marker", "hour")
     so_far = Window.partitionBy("hour", *LEVELS).orderBy("marker").rowsBetween(Window.unboundedPreceding, 0)
     return sums.select("marker", "hour", *LEVELS, F.sum("total").over(so_far).alias("total"), F.sum("n").over(so_far).alias("n"))
 
@@ -72,8 +87,9 @@ def load_averages(load: DataFrame, slices: DataFrame, unit: str = "ms") -> DataF
     """(marker, house, household, plug, slice_avg, hour_avg): the slice's average, and the average so far of the hour
     of day of this marker; 0 where nothing was counted."""
     slices = settled(slices)
-    now = load_summaries(load, slices, unit).withColumn("hour", hour_of_day(F.col("marker"), unit))
-    past = load_by_hour(load, slices, unit).withColumns({"_t": F.col("total"), "_n": F.col("n")}).drop("total", "n")
+    fine = written(_finest(load, slices, unit), "load")
+    now = _summaries(fine, slices).withColumn("hour", hour_of_day(F.col("marker"), unit))
+    past = _by_hour(fine).withColumns({"_t": F.col("total"), "_n": F.col("n")}).drop("total", "n")
     both = now.withColumn("_now", F.lit(True)).unionByName(past, allowMissingColumns=True)
     order = Window.partitionBy("hour", *LEVELS).orderBy("marker", F.col("_now").asc_nulls_first())
     t, n = (F.last(c, ignorenulls=True).over(order) for c in ("_t", "_n"))
