@@ -4,7 +4,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from tidemark.operators import barrier, load
+from tidemark.operators import barrier, load, outlier
 
 
 def test_fold_calls(spark):
@@ -39,3 +39,15 @@ def test_load_rows_of_a_task(spark, monkeypatch):
     out = load.load_summaries(rows, spark.range(1, 41).selectExpr("10 * id as ts"), "s")
     parts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(parts) == (1 + 6 + 30 + 60) * 40 and max(parts) < 300
+
+
+def test_moments_beyond_doubles(spark):
+    """Sums over 2^53 are the doubles nearest to the true ones, in whatever order tasks add them up."""
+    x = [90_000_001 + 2 * i for i in range(40)]
+    df = spark.range(0, 40, 1, 40).selectExpr("array('a') as cats", "array(double(90000001 + 2 * id)) as x", "id")
+    want = float(sum(v * v for v in x))
+    assert np.cumsum([float(v * v) for v in x])[-1] != want  # what adding one after the other gives
+    (row,) = outlier.itemset_moments(df, 1).collect()
+    halves = [outlier.itemset_moments(df.filter(f"id % 2 = {k}"), 1) for k in (0, 1)]
+    (both,) = outlier.merge_moments(*halves).collect()
+    assert (row.n, row.l, row.s) == (40, [float(sum(x))], [want]) and both.n == 40 and abs(both.s[0] - want) <= 64

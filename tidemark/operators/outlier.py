@@ -27,6 +27,8 @@ SUPPORT, TAU, DELTA, FACTOR, SCORES, LEVEL = 10, 1.96, 0.3, 10.0, 40, 2
 CHUNK, STEP = 8192, 256
 #: Blocks whose sums one task adds up along an itemset, and itemsets that a task gathers sums of before it gives them on.
 RUN_OF_BLOCKS, GATHERED = 256, 4096
+#: Rows of sums that a task adds up at a time, and the step in which large sums are counted apart from their rest.
+SUMMED, GRID = 256, 2.0**32
 #: Rows of a source that one task scans for outliers.
 SCAN_ROWS = 65_536
 
@@ -78,9 +80,7 @@ def _summed(parts: DataFrame, keys: list[str], arrays: list[str], over: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sums, last, sizes = None, None, None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, SUMMED) for b in batches for at in range(0, b.num_rows, SUMMED)):
             own = list(zip(*[map(_plain, batch.column(k).to_pylist()) for k in keys], strict=True))
             matrices = [_numbers(batch.column(a)) for a in arrays]
             sizes = [m.shape[1] for m in matrices]
@@ -179,16 +179,28 @@ def _sums(x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     return len(x), x.sum(0), (x.T @ x).ravel()
 
 
+def _split(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multiples of GRID and what is left of them: added up apart, they keep what a double beyond 2^53 would lose."""
+    high = np.rint(v / GRID) * GRID
+    return high, np.where(np.isfinite(v), v - np.where(np.isfinite(v), high, 0.0), 0.0)
+
+
+def _added_moments(parts: DataFrame) -> DataFrame:
+    """n, and l and s put together from the sums of both their parts, rounded once."""
+    sums = _added(parts, ["itemset"], ["l", "s", "l_low", "s_low"])
+    return sums.select("itemset", "n", *[F.zip_with(c, f"{c}_low", lambda a, b: a + b).alias(c) for c in ("l", "s")])
+
+
 def itemset_moments(conn: DataFrame, features: int, max_level: int = LEVEL) -> DataFrame:
     """(itemset, n, l, s): count, sums and sums of products (row-major). Tasks add their rows up before the shuffle;
-    rows are not copied for each itemset, their places are."""
+    rows are not copied for each itemset, their places are. Sums of whole numbers are the doubles nearest to them."""
 
     def given(found: dict[tuple, list]) -> pa.RecordBatch:
         sums = list(found.values())
         return pa.RecordBatch.from_arrays(
             [pa.array(map(list, found), pa.list_(pa.string())), pa.array([o[0] for o in sums], pa.int64())]
-            + [pa.array([o[k] for o in sums], pa.list_(pa.float64())) for k in (1, 2)],
-            ["itemset", "n", "l", "s"],
+            + [pa.array([o[k] for o in sums], pa.list_(pa.float64())) for k in (1, 2, 3, 4)],
+            ["itemset", "n", "l", "s", "l_low", "s_low"],
         )
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +211,9 @@ def itemset_moments(conn: DataFrame, features: int, max_level: int = LEVEL) -> D
                 x = _numbers(part.column("x"))
                 sets, rows, first, _ = _itemsets(part.column("cats").to_pylist(), max_level)
                 for g, a, b in zip(map(tuple, sets), first, first[1:], strict=False):
-                    more = _sums(x[rows[a:b]])
+                    n, *whole = _sums(x[rows[a:b]])
+                    (high_l, low_l), (high_s, low_s) = map(_split, whole)
+                    more = [n, high_l, high_s, low_l, low_s]
                     found[g] = [u + v for u, v in zip(found[g], more, strict=True)] if g in found else more
                 if len(found) >= GATHERED:
                     yield given(found)
@@ -207,8 +221,8 @@ def itemset_moments(conn: DataFrame, features: int, max_level: int = LEVEL) -> D
         yield given(found)
 
     rows = conn.select(F.slice("cats", 1, features).alias("cats"), "x")
-    parts = rows.mapInArrow(partial, "itemset array<string>, n long, l array<double>, s array<double>")
-    return _added(parts, ["itemset"], ["l", "s"])
+    parts = rows.mapInArrow(partial, "itemset array<string>, n long, l array<double>, s array<double>, l_low array<double>, s_low array<double>")
+    return _added_moments(parts)
 
 
 def itemset_covariance(moments: DataFrame, textbook: bool = False) -> DataFrame:
@@ -226,7 +240,11 @@ def merge_moments(*parts: DataFrame) -> DataFrame:
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
-    return _added(merged, ["itemset"], ["l", "s"])
+    high = lambda v: F.rint(v / GRID) * GRID
+    finite = lambda v: F.abs(v) < float("inf")
+    low = lambda v: F.when(finite(v), v - high(v)).otherwise(0.0)
+    lows = {f"{c}_low": F.transform(c, low) for c in ("l", "s")}
+    return _added_moments(merged.withColumns(lows).withColumns({c: F.transform(c, high) for c in ("l", "s")}))
 
 
 def _running(x: np.ndarray, n0: int, l0: np.ndarray, s0: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
