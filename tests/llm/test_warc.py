@@ -1,3 +1,5 @@
+import gzip
+
 import pytest
 
 from tests.conftest import SF
@@ -76,3 +78,30 @@ def test_chunked_framing():
         assert warc.unchunked(warc.chunked(b"a" * n)) == b"a" * n
     with pytest.raises(ValueError):
         warc.unchunked(b"5\r\nabc")
+
+
+def test_members_are_not_copied_for_each_other(spark, monkeypatch):
+    """An archive has a member for each record; reading one must not copy all that follow it."""
+    parts = [warc.record({"WARC-Type": "response", "N": str(i)}, b"%d " % i * (i % 50)) for i in range(400)]
+    packed = b"".join(gzip.compress(p, 1, mtime=0) + b"\0" * (i % 3) for i, p in enumerate(parts))
+    fed, make = [], warc.zlib.decompressobj
+
+    class Member:
+        def __init__(self, **kw):
+            self.own = make(**kw)
+
+        def decompress(self, part):
+            fed.append(len(part))
+            return self.own.decompress(part)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Member)
+    for size in (64, 1000, 4096):
+        monkeypatch.setattr(warc, "MEMBER_BYTES", size)
+        fed.clear()
+        assert b"".join(parts) == warc.unzipped(packed) and sum(fed) <= len(packed) + len(parts) * size
+    assert [h["n"] for h, _ in warc.records(packed)] == [str(i) for i in range(400)]
+    with pytest.raises(EOFError):
+        warc.unzipped(packed[:-40])

@@ -14,6 +14,7 @@ import base64
 import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -21,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shuffles_dropped
 from .common import small_batches
 from .token_store import _put
 
 SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 4096, 1000, 16 << 20
+#: Compressed bytes that go to a member of an archive at a time; at most so many are copied to begin the next member.
+MEMBER_BYTES = 4096
 _NULL_ID = -(1 << 63)
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -60,9 +64,27 @@ def record(headers: dict[str, str], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
+def unzipped(data: bytes) -> bytes:
+    """All members of a gzip file, in time that grows with its length: ``gzip.decompress`` copies all that is left of the
+    file for each member, and archives have one for each record."""
+    view, at, out = memoryview(data), 0, []
+    while at < len(view):
+        if not view[at]:  # zeros may pad a member
+            at += 1
+            continue
+        member = zlib.decompressobj(wbits=16 + zlib.MAX_WBITS)
+        while not member.eof:
+            part = view[at : at + MEMBER_BYTES]
+            if not part:
+                raise EOFError("an archive ends within a member")
+            out.append(member.decompress(part))
+            at += len(part) - len(member.unused_data)
+    return b"".join(out)
+
+
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of an archive, compressed or not."""
-    at, data = 0, gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    at, data = 0, unzipped(data) if data[:2] == b"\x1f\x8b" else data
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")
@@ -145,9 +167,9 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
         if parts:
             yield close()
 
-    ordered.select("kid", "sha", "best", "url", "html").mapInArrow(run, "archive string, bytes long").write.parquet(
-        f"{folder}/manifest"
-    )
+    made = ordered.select("kid", "sha", "best", "url", "html").mapInArrow(run, "archive string, bytes long")
+    with shuffles_dropped(pages.sparkSession):
+        made.write.parquet(f"{folder}/manifest")
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

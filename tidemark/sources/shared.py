@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession, kind: str) -> str:
 
 
 @contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what is run inside go as soon as it has ended."""
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
@@ -51,7 +51,7 @@ class Scratch:
         """``df`` as a Parquet table: cuts lineage, survives lost executors and frees the shuffles before it. A table
         of the same name written before stays until it is dropped."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        with _shuffles_dropped(self.spark):
+        with shuffles_dropped(self.spark):
             df.write.parquet(path)
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
