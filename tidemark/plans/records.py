@@ -141,7 +141,7 @@ def _(spark, sf):
 
 @query("anomaly_score", f"WITH {_scored_sql('')} SELECT row, sum(contribution) AS score FROM scored GROUP BY row")
 def _(spark, sf):
-    return outlier.anomaly_score(outlier.violation_scores(connections(spark, sf), 3))
+    return outlier.row_scores(connections(spark, sf), 3)
 
 
 def wide_connections(spark, sf):
@@ -169,13 +169,12 @@ SELECT row, sum(CASE WHEN n < 10 OR far > 0.3 * 34 * 34 THEN 1.0::DOUBLE / len(i
 
 @query("anomaly_score_wide", _wide_sql())
 def _(spark, sf):
-    return outlier.anomaly_score(outlier.violation_scores(wide_connections(spark, sf), 2))
+    return outlier.row_scores(wide_connections(spark, sf), 2)
 
 
 def _flags(rows):
     """Local scores: every source has a model of its own."""
-    scores = outlier.anomaly_score(outlier.violation_scores(rows, 3, by="source"))
-    return outlier.flag_outliers(scores.join(rows.select("row", "source"), "row"))
+    return outlier.flag_outliers(outlier.row_scores(rows, 3, by="source"))
 
 
 _F = """sc AS (SELECT source, row, sum(contribution) AS score, row_number() OVER (PARTITION BY source ORDER BY row) AS k FROM scored GROUP BY source, row),
