@@ -51,3 +51,30 @@ def test_moments_beyond_doubles(spark):
     halves = [outlier.itemset_moments(df.filter(f"id % 2 = {k}"), 1) for k in (0, 1)]
     (both,) = outlier.merge_moments(*halves).collect()
     assert (row.n, row.l, row.s) == (40, [float(sum(x))], [want]) and both.n == 40 and abs(both.s[0] - want) <= 64
+
+
+def test_row_groups_of_large_rows(spark):
+    """Spark reads 4,096 rows of a row group at once: rows of half a megabyte must not fill one of 128 MB."""
+    from pyarrow.parquet import ParquetFile
+
+    from tidemark.sources.shared import Scratch
+
+    rows = spark.range(0, 220, 1, 1).select("id", F.transform(F.sequence(F.lit(0), F.lit(65535)), lambda i: F.xxhash64(i, "id")).alias("x"))
+    table = Scratch(spark, "t").table("rows", rows, large_rows=True)
+    (path,) = table.inputFiles()
+    found = ParquetFile(path.removeprefix("file://"))
+    assert found.num_row_groups > 1 and max(found.metadata.row_group(i).num_rows for i in range(found.num_row_groups)) <= 101
+
+
+def test_rows_of_a_scan_are_shuffled_once(spark, monkeypatch):
+    """Blocks come from one table of packed rows; scores leave their block added up, for null and empty sources too."""
+    monkeypatch.setattr(outlier, "CHUNK", 40)
+    cats = "array(string(id % 2), string(id % 3)) as cats"
+    df = spark.range(300).selectExpr("id as row", "element_at(array('a', '', null), int(id % 3) + 1) as source", cats, "array(double(id % 7), double(id % 11)) as x")
+    got = outlier.row_scores(df, 2, by="source")
+    assert got.columns == ["source", "row", "score"]
+    slow = [outlier.anomaly_score(outlier.violation_scores(df.filter(F.col("source").eqNullSafe(s)), 2)) for s in ("a", "", None)]
+    want = {r.row: r.score for part in slow for r in part.collect()}
+    assert {r.row: r.score for r in got.collect()} == want and len(want) == 300
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "cats" not in plan and "Aggregate" not in plan

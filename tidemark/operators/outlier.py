@@ -334,7 +334,7 @@ class _Scan:
             f"{_KEY_KINDS}, _v {self.value}, row array<{self.row}>, x array<double>, at array<int>, first array<int>, "
             "sets array<array<string>>, itemset array<string>, n long, l array<double>, s array<double>"
         )
-        packed = self.tables.table("packed", ranged.mapInArrow(_packing(max_level, CHUNK, CELLS), kind))
+        packed = self.tables.table("packed", ranged.mapInArrow(_packing(max_level, CHUNK, CELLS), kind), large_rows=True)
         self.blocks = packed.filter("n is null").drop("itemset", "n", "l", "s")
         self.sums = packed.filter("n is not null").select(*_KEYS, "itemset", "n", "l", "s")
         self.many = self.blocks.count()
@@ -546,7 +546,7 @@ def flag_outliers(scores: DataFrame, factor: float = FACTOR, window: int = SCORE
 
     # ranges follow each other as sources and rows do; a row is a chunk
     ranged = rows.repartitionByRange("source", "row").sortWithinPartitions("source", "row")
-    chunks = tables.table("chunks", ranged.mapInArrow(pack, f"source {source}, _k long, rows array<{row}>, scores array<double>"))
+    chunks = tables.table("chunks", ranged.mapInArrow(pack, f"source {source}, _k long, rows array<{row}>, scores array<double>"), large_rows=True)
 
     def one(batch: pa.RecordBatch, normals: list[list]) -> pa.RecordBatch:
         normals = pa.array(normals, pa.list_(pa.float64()))

@@ -8,6 +8,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group of large rows.
+ROW_GROUP = 8 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -47,12 +49,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, kind: str):
         self.spark, self.root, self.paths = spark, shared_dir(spark, kind), {}
 
-    def table(self, name: str, df: DataFrame) -> DataFrame:
+    def table(self, name: str, df: DataFrame, large_rows: bool = False) -> DataFrame:
         """``df`` as a Parquet table: cuts lineage, survives lost executors and frees the shuffles before it. A table
-        of the same name written before stays until it is dropped."""
+        of the same name written before stays until it is dropped. ``large_rows`` of megabytes lie in small row groups,
+        since Spark's reader takes 4,096 rows of a group at a time."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         with shuffles_dropped(self.spark):
-            df.write.parquet(path)
+            df.write.options(**({"parquet.block.size": ROW_GROUP} if large_rows else {})).parquet(path)
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
