@@ -4,6 +4,7 @@ import re
 import pytest
 
 from tests.conftest import SF
+from tidemark.llm.common import Scratch
 from tidemark.llm.graph import components
 from tidemark.llm.jaccard_join import deduplicated, near_duplicates
 
@@ -87,6 +88,30 @@ def test_deduplicated_rows(spark, hard_docs, no_docs):
     assert deduplicated(hard_docs).columns == hard_docs.columns and deduplicated(no_docs).count() == 0
 
 
+def test_far_pairs_are_not_given_their_shingles(spark, monkeypatch):
+    """Texts of 1,600 words that share less than linked ones do are told apart by the wide sketches."""
+    rng, rows = random.Random(3), []
+    for i in range(12):
+        words = [f"w{k}" for k in range(1600)]
+        for k in range(40, 1600, 40 if i else 1700):  # some 60 % shared with the first, and 40 % among each other
+            words[k] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    words[-1] = "near the last"
+    rows.append((99, " ".join(words)))
+    left_over, table = [], Scratch.table
+
+    def counted(self, name, df, *more):
+        out = table(self, name, df, *more)
+        if name == "close":
+            left_over.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "table", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(near_duplicates(df, 5, 80)) == brute(rows, 5, 80)
+    assert sum(left_over) == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

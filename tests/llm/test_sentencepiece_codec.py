@@ -1,10 +1,11 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
 from tests.conftest import SMALL
-from tidemark.llm.sentencepiece_codec import Codec, encode_decode
+from tidemark.llm.sentencepiece_codec import Codec, codec, encode_decode
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
@@ -41,6 +42,17 @@ def test_documents(spark):
     assert all(len(r.ids) == 4 * r.n_tokens for r in rows)
 
 
+def test_a_worker_keeps_no_words(spark):
+    """Workers stay for later stages; what a task has learned goes with it."""
+    encode_decode(spark.read.parquet(f"{SMALL}/documents.parquet"), PATH).collect()
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(codec(PATH).code)] * batch.num_rows)], ["n"])
+
+    assert {r.n for r in spark.range(64, numPartitions=16).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_hard_rows(hard_docs, no_docs):
     rows = encode_decode(hard_docs, PATH).collect()
     assert len(rows) == hard_docs.count()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch, shared_dir, written
 
-__all__ = ["Scratch", "partitions", "sent", "shared_dir", "small_batches", "table", "words_column", "written"]
+__all__ = ["Scratch", "partitions", "sent", "shared_dir", "small_batches", "table", "trim", "trimmed", "words_column", "written"]
 
 #: Words are maximal runs of characters other than ASCII white space (Java and Python syntax alike).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +32,27 @@ def small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system. Python processes outlive their tasks, and Arrow and the C library
+    keep what was freed."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if give:
+        give(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run``, whose process keeps no free memory when a task has ended: Spark keeps it for the tasks that come."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -134,7 +134,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, least: int, coverage: float
                     out.append(_judge(doc_ids[d], ids[i], *texts, least, coverage))
                 yield _output([r for r in out if r])
 
-    return docs.mapInArrow(run, _SCHEMA)
+    return docs.mapInArrow(trimmed(run), _SCHEMA)
 
 
 def _by_join(docs: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:

@@ -10,7 +10,8 @@ a pair. Links are verified on the whole shingle sets.
 Copies of one set are folded before the join. Only sets that have enough shingles which any other shares are sketched.
 Those that meet in a symbol are first linked to the smallest of it; after contraction only pairs that meet and are still
 apart are verified, so no link between components is lost and no group of copies is expanded into pairs. Pairs whose
-parity sketches of single bits differ in more bits than linked sets do in shingles are ruled out inside that join.
+parity sketches of single bits differ in more bits than linked sets do in shingles are ruled out inside that join, and
+by sketches of more bits before their shingles are read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import Scratch, partitions, sent, small_batches
+from .common import Scratch, partitions, sent, small_batches, trimmed
 from .graph import components
 
 
@@ -57,10 +58,10 @@ def shingles(w: T.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(doc[new], np.arange(len(counts) + 1))
 
 
-def _parity(h: np.ndarray) -> np.ndarray:
-    """SKETCH_LONGS longs of bits, each the parity of the shingles of a set that fall on it."""
-    place = (T.mix(h, 0x7FB5D329728EA185) % np.uint64(64 * SKETCH_LONGS)).astype(np.int64)
-    return np.packbits((np.bincount(place, minlength=64 * SKETCH_LONGS) & 1).astype(np.uint8)).view(np.int64)
+def _parity(h: np.ndarray, longs: int) -> np.ndarray:
+    """``longs`` longs of bits, each the parity of the shingles of a set that fall on it."""
+    place = (T.mix(h, 0x7FB5D329728EA185) % np.uint64(64 * longs)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=64 * longs) & 1).astype(np.uint8)).view(np.int64)
 
 
 def _totals(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -95,14 +96,14 @@ def _identified(size: int):
                     [part.column("doc_id"), part.column("text_hash"), n, sid], ["doc_id", "text_hash", "n_shingles", "sid"]
                 )
 
-    return run, "doc_id long, text_hash long, n_shingles long, sid long"
+    return trimmed(run), "doc_id long, text_hash long, n_shingles long, sid long"
 
 
 #: Keys or shingles that a task gathers before it gives them on.
 GATHERED = 200_000
-#: Longs of the bit sketch that tells most pairs apart before their sets are read, and keys of a set that are compared so
-#: that a pair comes out once.
-SKETCH_LONGS, LOWEST = 4, 8
+#: Longs of the bit sketch that tells most pairs apart before their sets are read, of the wide one that tells apart what
+#: the first leaves over (it is full at some 500 shingles), and keys of a set that are compared so that a pair comes out once.
+SKETCH_LONGS, WIDE_LONGS, LOWEST = 4, 64, 8
 
 
 def _gathered(sets: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -160,12 +161,12 @@ def _keys(percent: int, ends: bool):
             else:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sid)], ["key", "sid"])
 
-    return run, "key long, low long, high long" if ends else "key long, sid long"
+    return trimmed(run), "key long, low long, high long" if ends else "key long, sid long"
 
 
 def _sets(size: int):
-    """(sid, grams, bits): the sorted shingle hashes, as bytes, and the bit sketch of the texts whose set is the one
-    ``wanted`` of them."""
+    """(sid, grams, bits, wide): the sorted shingle hashes, as bytes, and the bit sketches of the texts whose set is the
+    one ``wanted`` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,13 +175,13 @@ def _sets(size: int):
                 grams = [h[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
                 sid = _totals(h, first).view(np.int64)
                 same = np.flatnonzero(sid == part.column("wanted").to_numpy(zero_copy_only=False))
-                bits = [_parity(h[first[i] : first[i + 1]]) for i in same]
+                sketches = [[_parity(h[first[i] : first[i + 1]], n) for i in same] for n in (SKETCH_LONGS, WIDE_LONGS)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sid[same]), pa.array([grams[i] for i in same], pa.binary()), pa.array(bits, pa.list_(pa.int64()))],
-                    ["sid", "grams", "bits"],
+                    [pa.array(sid[same]), pa.array([grams[i] for i in same], pa.binary()), *(pa.array(s, pa.list_(pa.int64())) for s in sketches)],
+                    ["sid", "grams", "bits", "wide"],
                 )
 
-    return run, "sid long, grams binary, bits array<long>"
+    return trimmed(run), "sid long, grams binary, bits array<long>, wide array<long>"
 
 
 def _verified(percent: int):
@@ -196,7 +197,7 @@ def _verified(percent: int):
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
 
-    return run, "a long, b long"
+    return trimmed(run), "a long, b long"
 
 
 def _differ(a: str, b: str) -> Column:
@@ -204,15 +205,25 @@ def _differ(a: str, b: str) -> Column:
     return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH_LONGS)), F.lit(0))
 
 
+def _differ_widely(a: str, b: str) -> Column:
+    """The same of wide sketches."""
+    bits = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+
+
 def _links(tables: Scratch, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the candidate pairs (a, b), those whose sets reach the bound. Only pairs that sizes and bit sketches leave over
-    are given their shingles."""
+    """Of the candidate pairs (a, b), those whose sets reach the bound. Only pairs that sizes, bit sketches and then wide ones
+    leave over are given their shingles."""
     n = (F.length("grams") / 8).cast("long")
     left = sets.select(F.col("sid").alias("a"), n.alias("na"), F.col("bits").alias("bits_a"))
     right = sets.select(F.col("sid").alias("b"), n.alias("nb"), F.col("bits").alias("bits_b"))
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     close = (100 + percent) * _differ("bits_a", "bits_b") <= (100 - percent) * (F.col("na") + F.col("nb"))
-    left_over = tables.table("close", pairs.join(left, "a").join(right, "b").filter(near & close).select("a", "b"))
+    left_over = pairs.join(left, "a").join(right, "b").filter(near & close).select("a", "b", (F.col("na") + F.col("nb")).alias("both"))
+    wide_a = sets.select(F.col("sid").alias("a"), F.col("wide").alias("wide_a"))
+    wide_b = sets.select(F.col("sid").alias("b"), F.col("wide").alias("wide_b"))
+    close = (100 + percent) * _differ_widely("wide_a", "wide_b") <= (100 - percent) * F.col("both")
+    left_over = tables.table("close", left_over.join(wide_a, "a").join(wide_b, "b").filter(close).select("a", "b"))
     ends = tables.table("ends", left_over.select(F.col("a").alias("sid")).union(left_over.select("b")).distinct())
     these = sets.join(sent(ends), "sid", "left_semi")
     left = these.select(F.col("sid").alias("a"), F.col("grams").alias("ga"))
@@ -245,7 +256,7 @@ def _grams(sets: Callable, per_cent: int = 100):
         for gram, sid in _gathered((sid, h[h <= limit]) for batch in batches for sid, h in sets(batch)):
             yield _ends(gram, sid, "gram")
 
-    return run, "gram long, low long, high long"
+    return trimmed(run), "gram long, low long, high long"
 
 
 def _shareable(grams: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -295,7 +306,7 @@ def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     wanted = tables.table("wanted", wanted)
     texts = docs.select("doc_id", "text").join(sent(wanted, "shuffle_hash"), "doc_id")
     sets = tables.table("sets", texts.mapInArrow(*_sets(size)).dropDuplicates(["sid"]))
-    full = _shareable(sets.mapInArrow(*_grams(_read)), able.select("sid", "n"), percent)
+    full = _shareable(sets.select("sid", "grams").mapInArrow(*_grams(_read)), able.select("sid", "n"), percent)
     full = tables.table("full", full)
     sets = tables.table("sets", sets.join(sent(full.select("sid")), "sid", "left_semi"))
     tables.drop("sets", but_last=True)

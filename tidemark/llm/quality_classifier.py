@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import text as T
-from .common import Scratch, small_batches
+from .common import Scratch, small_batches, trim, trimmed
 
 #: Labelled documents that one fit uses at most, chosen by a hash of doc_id, and their bytes of text.
 TRAIN_DOCUMENTS, TRAIN_BYTES, LONGEST_TEXT = 4000, 64 << 20, 1 << 20
@@ -141,7 +141,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
         raise ValueError("every labelled text is longer than LONGEST_TEXT")
     some = docs.sparkSession.createDataFrame(within, "h long")  # TRAIN_DOCUMENTS rows at most
     known = sorted(rows.join(F.broadcast(some), "h", "left_semi").collect(), key=lambda r: (r.h, r.doc_id))
-    return train([r.text for r in known], [r.y for r in known])
+    texts, ys = [r.text for r in known], [r.y for r in known]
+    del known, sizes, within
+    model = train(texts, ys)
+    del texts
+    trim()  # the driver's Python, for the rest of the session
+    return model
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -159,4 +164,4 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
                 score = shared.value.score(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*names, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(trimmed(run), StructType([*docs.schema.fields, StructField("score", DoubleType())]))

@@ -4,7 +4,7 @@ The distinct words of a batch lie in flat numpy symbol arrays. Each round takes
 word (segmented minimum), merges its leftmost occurrences at once and compacts the arrays, until no pair remains.
 All occurrences in a word merge in one round only where no pair that arises on the way ranks before them;
 otherwise the leftmost alone merges, as the library's priority queue would. Known words are kept in a bounded
-table of each worker. Texts of any length are encoded whole; an empty table gives no rows.
+table of each task. Texts of any length are encoded whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import small_batches
+from .common import small_batches, trimmed
 
 SPACE = "▁"
 _CHAR = 1 << 20  # symbols of single characters outside the vocabulary: _CHAR + code point
 _SHIFT = 22
 _NONE = np.int64(1 << 40)
-#: Words that a worker remembers before it starts anew.
+#: Words that a task remembers before it starts anew.
 REMEMBERED = 400_000
 
 
@@ -79,9 +79,10 @@ class Codec:
         unk = self.library.unk_id()
         text[unk] = model.trainer_spec.unk_surface.encode()
         self.surface = text
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drops the words met so far."""
         self.code: dict[str, int] = {}
         self.ids, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -182,7 +183,7 @@ class Codec:
         split = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         new = set().union(*split).difference(self.code)
         if new and len(self.code) + len(new) > REMEMBERED:
-            self._forget()
+            self.forget()
             new = set().union(*split)
         if new:
             self._learn(new)
@@ -235,5 +236,11 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids", "decoded"],
                 )
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            codec(model_path).forget()  # some 100 MB, which the worker would hold through all later stages
+
     source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return source.mapInArrow(trimmed(task), "doc_id long, n_tokens long, ids binary, decoded string")
