@@ -55,6 +55,18 @@ def test_asof_join(spark, recorded, width):
     assert len(got) > 100 and None in got.values()
 
 
+@pytest.mark.parametrize("forget_ms", [None, 86_400_000])
+def test_asof_join_keeps_keys_together(spark, recorded, forget_ms):
+    """Few buckets of many keys give what a bucket for nearly every key gives."""
+    rows = {}
+    for buckets in (2, 1 << 40):
+        views, updates = replay(spark, recorded, "event_type = 'view'"), replay(spark, recorded, "event_type = 'signup'")
+        out = stream.stream_asof_join(views.withColumn("id", F.col("event_id")), updates, "user_id", "val", 50, forget_ms, buckets)
+        rows[buckets] = sorted((r.id, r.key, r.us, str(r.val)) for r in records._drained(spark, out, "t").collect())
+    assert rows[2] == rows[1 << 40] and len(rows[2]) > 100
+    assert len({k for _, k, _, _ in rows[2]}) > 10
+
+
 def test_old_values_are_forgotten(spark, recorded):
     day = 86_400_000
     views, updates = replay(spark, recorded, "event_type = 'view'"), replay(spark, recorded, "event_type = 'signup'")

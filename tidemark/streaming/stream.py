@@ -166,64 +166,79 @@ def stream_barrier_sum(values: DataFrame, barriers: DataFrame, shards: int = 8,
 
 
 class _Latest(StatefulProcessor):
-    """Holds a key's rows until the watermark passes, then answers views with the latest value before them."""
+    """Holds a bucket's rows until the watermark passes, then answers views with their key's latest value before them. The
+    latest values of the bucket's keys lie in one state, so that a batch costs a bucket as much as it did a key."""
 
     def __init__(self, chunk_rows: int, forget_ms: int | None):
         self.chunk_rows, self.forget_ms = chunk_rows, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = _Held(handle, ["us", "val", "view", "id"], self.chunk_rows)
-        self.latest = handle.getValueState("latest", "us long, val long")
-
-    def _settled(self, key, upto_ms: int) -> pd.DataFrame:
-        us, val, view, ids = self.held.take(upto_ms)
-        order = np.lexsort((val, 1 - view, us))  # a view comes before an update, the largest update of a time last
-        us, val, view, ids = us[order], val[order], view[order], ids[order]
-        known = self.latest.get() if self.latest.exists() else None
-        when, what = (np.append(known[i] if known else 0, x) for i, x in enumerate((us, val)))
-        last = np.maximum.accumulate(np.append(0, np.where(view == 1, 0, np.arange(1, len(us) + 1))))
-        found = (last > 0) | (known is not None)
+        self.held = _Held(handle, ["us", "val", "view", "id", "key"], self.chunk_rows)
+        self.latest = handle.getValueState("latest", "keys array<bigint>, us array<bigint>, val array<bigint>")
+
+    def _settled(self, upto_ms: int) -> pd.DataFrame:
+        us, val, view, ids, key = self.held.take(upto_ms)
+        known = [np.array(c, np.int64) for c in self.latest.get()] if self.latest.exists() else [np.zeros(0, np.int64)] * 3
+        none = np.zeros(len(known[0]), np.int64)
+        pairs = zip((*known, none, none, none), (key, us, val, view, ids, np.ones(len(us), np.int64)), strict=True)
+        key, us, val, view, ids, new = (np.concatenate(p) for p in pairs)
+        # of a key what is known comes first, a view before an update, the largest update of a time last
+        order = np.lexsort((val, 1 - view, us, new, key))
+        key, us, val, view, ids, new = (c[order] for c in (key, us, val, view, ids, new))
+        at, first = np.arange(len(key)), np.append(True, key[1:] != key[:-1])[: len(key)]
+        last = np.maximum.accumulate(np.where(view == 1, -1, at))
+        found = last >= np.maximum.accumulate(np.where(first, at, 0))
+        asked = np.flatnonzero(view)
+        before = last[asked]
+        known_then = found[asked]
+        if self.forget_ms is not None:
+            known_then &= us[asked] - us[before] < self.forget_ms * 1000
+        answer = pd.array(val[before], "Int64")
+        answer[~known_then] = pd.NA
+        ends = np.flatnonzero(np.append(first[1:], True)[: len(key)])
+        newest = last[ends][found[ends]]
         if self.forget_ms is not None:
-            found &= np.append(0, us) - when[last] < self.forget_ms * 1000
-        newest = int(last[-1])
-        if newest:
-            self.latest.update((int(when[newest]), int(what[newest])))
-            if self.forget_ms is not None:
-                self.handle.registerTimer(int(when[newest]) // 1000 + self.forget_ms + 1)
-        elif known and self.forget_ms is not None and upto_ms * 1000 > known[0] + self.forget_ms * 1000:
-            self.latest.clear()  # no view that is still to come would find it
-        asked = np.flatnonzero(view) + 1
-        answer = pd.array(what[last[asked]], "Int64")
-        answer[~found[asked]] = pd.NA
-        one = np.full(len(asked), key[0], np.int64)
-        return pd.DataFrame({"key": one, "id": ids[asked - 1], "us": us[asked - 1], "val": answer})
+            newest = newest[us[newest] + self.forget_ms * 1000 >= upto_ms * 1000]  # no view that is still to come would find the others
+            if len(newest):
+                self.handle.registerTimer(int(us[newest].min()) // 1000 + self.forget_ms + 1)
+        if len(newest) == 0 and len(none):
+            self.latest.clear()
+        elif len(newest) != len(none) or new[newest].any():
+            self.latest.update(tuple(c[newest].tolist() for c in (key, us, val)))
+        return pd.DataFrame({"key": key[asked], "id": ids[asked], "us": us[asked], "val": answer})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         self.held.add(rows)
-        yield self._settled(key, timerValues.getCurrentWatermarkInMs())
+        yield self._settled(timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._settled(key, timerValues.getCurrentWatermarkInMs())
+        yield self._settled(timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
 def stream_asof_join(
-    views: DataFrame, updates: DataFrame, key: str, value: str, chunk_rows: int = 4096, forget_ms: int | None = None
+    views: DataFrame,
+    updates: DataFrame,
+    key: str,
+    value: str,
+    chunk_rows: int = 4096,
+    forget_ms: int | None = None,
+    buckets: int = 512,
 ) -> DataFrame:
     """(key, id, us, val) of views (ts, id) with the key's latest value strictly before them, null where there is none.
     Rows without key and updates without value are left out.
 
     With ``forget_ms`` a value that is so old when it is looked for is no answer, and keys without newer ones leave the
-    state. ``chunk_rows`` waiting rows are kept together."""
+    state. ``chunk_rows`` waiting rows are kept together, and so are the latest values of the keys of one of ``buckets``."""
     us, k = F.unix_micros("ts").alias("us"), F.col(key).cast("long").alias("key")
     whole = lambda c, name: (F.lit(c) if isinstance(c, int) else F.col(c)).cast("long").alias(name)
     a = views.select("ts", us, k, whole(0, "val"), whole(1, "view"), whole("id", "id"))
     b = updates.filter(F.col(value).isNotNull()).select("ts", us, k, whole(value, "val"), whole(0, "view"), whole(0, "id"))
-    rows = a.unionByName(b).filter("key is not null")
-    return rows.groupBy("key").transformWithStateInPandas(
+    rows = a.unionByName(b).filter("key is not null").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    return rows.groupBy("bucket").transformWithStateInPandas(
         _Latest(chunk_rows, forget_ms), "key long, id long, us long, val long", "Append", "EventTime"
     )
 
