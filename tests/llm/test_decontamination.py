@@ -2,10 +2,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.conftest import SF, SMALL
 from tidemark.llm import decontamination as D
+from tidemark.llm import text as T
+from tidemark.llm.common import trimmed
 
 
 def slow_tiles(a, b, least):
@@ -102,3 +105,16 @@ def test_reordered_and_hard_rows(spark, monkeypatch, hard_docs, no_docs, limit):
     assert {g for g in got if g[0] in (77, None)} >= {(77, 1, 3, 1.0), (None, 1, 3, 1.0)}
     assert D.contaminated(no_docs, items).count() == 0
     assert D.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_a_task_keeps_no_powers():
+    """Workers stay for later stages; the powers of a long text's hashes go with its task."""
+
+    def run(batches):
+        for batch in batches:
+            T.words(batch.column("text"))
+            assert T._powers
+            yield batch
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["word " * 100_000])], ["text"])
+    assert len(list(trimmed(run)(iter([batch])))) == 1 and not T._powers

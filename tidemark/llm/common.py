@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch, shared_dir, written
+from . import text as T
 
 __all__ = ["Scratch", "partitions", "sent", "shared_dir", "small_batches", "table", "trim", "trimmed", "words_column", "written"]
 
@@ -42,12 +43,14 @@ def trim() -> None:
 
 
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """``run``, whose process keeps no free memory when a task has ended: Spark keeps it for the tasks that come."""
+    """``run``, whose process keeps no free memory and no powers of hashes when a task has ended: Spark keeps it for the
+    tasks that come, and one long text makes the powers many."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
+            T.forget()
             trim()
 
     return whole

@@ -27,6 +27,8 @@ _SHIFT = 22
 _NONE = np.int64(1 << 40)
 #: Words that a task remembers before it starts anew.
 REMEMBERED = 400_000
+#: Bytes of text that a task encodes at a time: a character that is not known yet takes some 100 bytes of working memory.
+SLICE = 1 << 18
 
 
 class Codec:
@@ -44,18 +46,19 @@ class Codec:
             raise ValueError("only BPE models with byte fallback are encoded here")
         if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix:
             raise ValueError("only models with identity normalisation and a leading space are encoded here")
-        self.library = SentencePieceProcessor(model_proto=raw)
-        self.bos, self.eos = self.library.bos_id(), self.library.eos_id()
+        library = SentencePieceProcessor(model_proto=raw)  # for ids alone; it goes with this call
+        self.bos, self.eos = library.bos_id(), library.eos_id()
         normal = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
         if any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in model.pieces):
             raise ValueError("user-defined and unused pieces are not supported")
-        self.byte = np.array([self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+        self.byte = np.array([library.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         self.joins = {p[i : i + 2] for p in normal for i in range(len(p) - 1)}
         if any(not x.startswith(SPACE) and x.endswith(SPACE) for x in self.joins):
             raise ValueError("a piece holds a space after another character")
         alone = "\n" if not any("\n" in p for p in normal) else ""
-        self.words = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|\n")
-        self.stem = re.compile(f"({SPACE}*[A-Za-zÀ-ÖØ-öø-ÿ]+)([^\\w{SPACE}]+)")
+        # words keep a plain space for SPACE: with it, strings of ASCII would take two bytes a character and more to begin with
+        self.words = re.compile(f" *[^ {alone}]+| +|\n")
+        self.stem = re.compile("( *[A-Za-zÀ-ÖØ-öø-ÿ]+)([^\\w ]+)")
 
         def symbol(s: str) -> int | None:
             return normal.get(s, _CHAR + ord(s) if len(s) == 1 else None)
@@ -69,14 +72,15 @@ class Codec:
         self.keys = np.array(sorted(pairs), np.int64)
         self.rank = np.array([pairs[k][0] for k in self.keys.tolist()]).astype(np.int64)
         self.into = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
-        self.single = np.arange(0x110000) + _CHAR
+        self.single = np.arange(_CHAR, _CHAR + 0x110000, dtype=np.int32)
         for piece, i in normal.items():
             if len(piece) == 1:
                 self.single[ord(piece)] = i
+        self.single[ord(" ")] = self.single[ord(SPACE)]
         text = [p.piece.replace(SPACE, " ").encode() if p.type == kinds.NORMAL else b"" for p in model.pieces]
         for b, i in enumerate(self.byte):
             text[i] = bytes([b])
-        unk = self.library.unk_id()
+        unk = library.unk_id()
         text[unk] = model.trainer_spec.unk_surface.encode()
         self.surface = text
         self.forget()
@@ -84,7 +88,7 @@ class Codec:
     def forget(self) -> None:
         """Drops the words met so far."""
         self.code: dict[str, int] = {}
-        self.ids, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of each symbol pair; rank _NONE where they do not merge."""
@@ -155,7 +159,7 @@ class Codec:
             return []
         points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         word = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        symbols, word = self.merge(self.single[points], word)
+        symbols, word = self.merge(self.single[points].astype(np.int64), word)
         ids, unknown = symbols, np.flatnonzero(symbols >= _CHAR)
         if len(unknown):
             raw = [chr(c).encode("utf-8", "surrogatepass") for c in (symbols[unknown] - _CHAR).tolist()]
@@ -163,7 +167,7 @@ class Codec:
             width[unknown] = [len(b) for b in raw]
             ids, word = np.repeat(symbols, width), np.repeat(word, width)
             ids[ids >= _CHAR] = self.byte[np.frombuffer(b"".join(raw), np.uint8)]
-        return np.split(ids, np.searchsorted(word, np.arange(1, len(parts))))
+        return np.split(ids.astype(np.int32), np.searchsorted(word, np.arange(1, len(parts))))
 
     def _learn(self, words: set[str]) -> None:
         """Encodes new words, apart at a letter and the marks that follow it where no piece joins the two."""
@@ -175,12 +179,12 @@ class Codec:
         coded = self._encode_parts(list(parts))
         new = [coded[s[0]] if len(s) == 1 else np.concatenate([coded[i] for i in s]) for s in split]
         self.code.update(zip(words, range(len(self.length), len(self.length) + len(new)), strict=True))
-        self.length = np.concatenate([self.length, np.array([len(x) for x in new], np.int64)])
+        self.length = np.concatenate([self.length, np.array([len(x) for x in new], np.int32)])
         self.ids = np.concatenate([self.ids, *new])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids with begin and end ids, and where each text's begin; null encodes as the empty text."""
-        split = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        split = [self.words.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         new = set().union(*split).difference(self.code)
         if new and len(self.code) + len(new) > REMEMBERED:
             self.forget()
@@ -190,9 +194,9 @@ class Codec:
         counts = np.array([len(s) for s in split])
         code = self.code
         codes = np.array([code[w] for s in split for w in s], np.int64)
-        first = np.concatenate([[0], np.cumsum(self.length)])
+        first = np.concatenate([[0], np.cumsum(self.length, dtype=np.int64)])
         size = self.length[codes]
-        total = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+        total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)])]
         per_text = total + 2 * np.arange(len(texts) + 1)
         out = np.empty(per_text[-1], np.int64)
         out[per_text[:-1]], out[per_text[1:] - 1] = self.bos, self.eos
@@ -214,15 +218,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded) per input row: ids are little-endian unsigned 32-bit integers with begin and
-    end ids, decoded is the text decoded from them. Null text counts as empty (two ids, empty text); doc_id may be
-    null or repeated and is passed through; other columns are dropped. ``model_path`` is readable on every worker."""
-
+def _coded(model_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for batch in batches:
-            for part in T.slices(batch, "text", 2 << 20):
+            for part in T.slices(batch, "text", SLICE):
                 ids, first = c.encode(part.column("text").to_pylist())
                 listed, packed = ids.tolist(), ids.astype("<u4").tobytes()
                 spans = list(zip(first.tolist(), first[1:].tolist(), strict=False))
@@ -240,7 +240,14 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
         try:
             yield from run(batches)
         finally:
-            codec(model_path).forget()  # some 100 MB, which the worker would hold through all later stages
+            codec(model_path).forget()  # some 50 MB, which the worker would hold through all later stages
+
+    return trimmed(task), "doc_id long, n_tokens long, ids binary, decoded string"
 
+
+def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) per input row: ids are little-endian unsigned 32-bit integers with begin and
+    end ids, decoded is the text decoded from them. Null text counts as empty (two ids, empty text); doc_id may be
+    null or repeated and is passed through; other columns are dropped. ``model_path`` is readable on every worker."""
     source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(trimmed(task), "doc_id long, n_tokens long, ids binary, decoded string")
+    return source.mapInArrow(*_coded(model_path))

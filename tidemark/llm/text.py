@@ -34,6 +34,11 @@ def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[base]
 
 
+def forget() -> None:
+    """Drops the power tables, which are as long as the longest array so far."""
+    _powers.clear()
+
+
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective finaliser on 64-bit values."""
     h = h ^ np.uint64(salt)
